@@ -1,0 +1,4 @@
+"""The registered queries of the triage jobs, with their SQL."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
