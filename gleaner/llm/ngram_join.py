@@ -2,11 +2,12 @@
 
 1. Texts with equal shingle sets form a class; one document stands for it.
 2. Shingles get one global order, rare before frequent (counts in a table of fixed size). Two sets
-   that overlap enough share a shingle among the first of each in that order, so only shingles
-   that lead two classes matter; most documents drop out here.
+   that overlap enough share a certain number of shingles among the first of each in that order
+   (a tenth of the smaller set, beside the one that is shared in any case), so a class that shares
+   fewer leading shingles with all others drops out here, as most do.
 3. The remaining classes are partitioned into groups of similar sets of bounded size, keyed by the
    smallest hash among their shared leading shingles. A group stores its members' sets and their union.
-4. Groups that share a leading shingle meet once, whatever the number of shingles and members
+4. Groups that share enough leading shingles meet once, whatever the number of shingles and members
    they share. For each member of one the overlap with the other's union bounds the overlap with
    every member; only members that can still reach the threshold open the group.
 5. Of the links found in a meeting a spanning forest leaves the task, with each class's number of
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.bytewords import shingle_sets
@@ -65,11 +66,12 @@ def frequency_ranks(texts: DataFrame, buckets: int) -> np.ndarray:
 
 
 def leading(shingles: np.ndarray, ranks: np.ndarray, percent: int) -> np.ndarray:
-    """The first shingles of a set in the global order: as many as can't all be missed by a match."""
+    """The first shingles of a set in the global order: so many that a match shares at least
+    ``least_shared`` of the smaller set's size of them."""
     n = len(shingles)
     bucket = (shingles & np.uint64(len(ranks) - 1)).astype(np.int64)
     order = np.argsort((ranks[bucket].astype(np.uint64) << np.uint64(56)) | (shingles >> np.uint64(8)), kind="stable")
-    return shingles[order[: n - (percent * n + 99) // 100 + 1]]
+    return shingles[order[: n - (percent * n + 99) // 100 + 1 + n // 10]]
 
 
 def meet(a: list[tuple[int, int, np.ndarray]], b: list[tuple[int, int, np.ndarray]], percent: int, same: bool) -> list[tuple[int, int, int]]:
@@ -129,7 +131,7 @@ def jaccard_components(
     text_col: str = "text",
     percent: int = 80,
     group_size: int = 128,
-    buckets: int = 1 << 21,
+    buckets: int = 1 << 23,
     broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, n_shingles, component_id, n_links.
@@ -164,17 +166,21 @@ def jaccard_components(
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), short, lists], ["id", "n", "key", "class", "leads"])
 
     signed = work.table("signed", docs.mapInArrow(sign, "id long, n long, key binary, class long, leads array<long>"))
-    classes = signed.where("id is not null and n > 0").groupBy("key", "class").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    classes = signed.where("id is not null and n > 0").groupBy("key", "class").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"))
 
     # shingles that lead at least two classes
     leads = signed.where("id is not null and n > 0").select(F.explode("leads").alias("shingle"), "class")
-    spread = leads.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("shingle")
-    shared = work.table("shared", leads.join(spread, "shingle").select("shingle", "class").distinct())
-
-    keyed = shared.groupBy("class").agg(F.min(F.xxhash64("shingle")).alias("gkey"))
-    keyed = work.table("keyed", classes.join(keyed, "class").select("rep", "class", "copies", "gkey"))
+    same = Window.partitionBy("shingle")
+    spread = leads.withColumn("low", F.min("class").over(same)).withColumn("high", F.max("class").over(same)).where("low <> high")
+    shared = work.table("shared", spread.select("shingle", "class").distinct())
+
+    # a match is at least this large, and shares as many leading shingles as the smaller set must
+    smallest = F.floor((percent * F.col("n") + 99) / 100)
+    keyed = shared.groupBy("class").agg(F.count("*").alias("found"), F.min(F.xxhash64("shingle")).alias("gkey"))
+    keyed = classes.join(keyed, "class").where(F.col("found") >= 1 + F.floor(smallest / 10))
+    keyed = work.table("keyed", keyed.select("rep", "class", "copies", "gkey", (1 + F.floor(F.col("n") / 10)).alias("least")))
     sizes = keyed.groupBy("gkey").agg(F.ceil(F.count("*") / group_size).alias("parts"))
-    members = work.table("members", keyed.join(sizes, "gkey").select("rep", "class", "copies", F.xxhash64("gkey", F.pmod(F.xxhash64("class"), F.col("parts"))).alias("grp")))
+    members = work.table("members", keyed.join(sizes, "gkey").select("rep", "class", "copies", "least", F.xxhash64("gkey", F.pmod(F.xxhash64("class"), F.col("parts"))).alias("grp")))
 
     wanted = members.select(F.col("rep").alias("id"), "class", "copies", "grp")
     if wanted.count() <= broadcast_rows:  # 32 bytes each
@@ -191,9 +197,11 @@ def jaccard_components(
     member = F.struct("rep", "copies", "tokens")
     groups = work.table("groups", sets.dropDuplicates(["rep", "tokens"]).groupBy("grp").agg(F.collect_list(member).alias("members")))
 
-    # groups that share a leading shingle meet
-    led = shared.join(members.select("class", "grp"), "class").select("shingle", "grp").distinct()
-    pairs = led.alias("x").join(led.alias("y"), "shingle").where("x.grp < y.grp").select(F.col("x.grp").alias("g"), F.col("y.grp").alias("h")).distinct()
+    # groups that share enough leading shingles meet
+    least = members.groupBy("grp").agg(F.min("least").alias("least"))
+    led = shared.join(members.select("class", "grp"), "class").select("shingle", "grp").distinct().join(least, "grp")
+    pairs = led.alias("x").join(led.alias("y"), "shingle").where("x.grp < y.grp").groupBy(F.col("x.grp").alias("g"), F.col("y.grp").alias("h"))
+    pairs = pairs.agg(F.count("*").alias("found"), F.first(F.least("x.least", "y.least")).alias("least")).where("found >= least").select("g", "h")
     alone = groups.where(F.size("members") > 1).select(F.col("grp").alias("g"), F.col("grp").alias("h"))
     left, right = (groups.select(F.col("grp").alias(k), F.col("members").alias(m)) for k, m in (("g", "left"), ("h", "right")))
     met = pairs.union(alone).join(left, "g").join(right, "h").select("g", "h", "left", "right")
