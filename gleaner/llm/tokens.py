@@ -10,18 +10,24 @@ from __future__ import annotations
 
 import json
 import os
+import re
 
 import numpy as np
 
 #: Trailing signs that may be cut off after a letter or digit; the apostrophe is not among them.
 _TRAIL = ",.;:!?*#$%&)"
+#: A word, maybe with the space before it, of letters that are one sign each in every normal form.
+_LATIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ž]+")
+#: Byte-level tokenizers write bytes that don't print as signs from 256 on, in order.
+_PRINTS = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTS)}
 _loaded: dict[tuple[str, int], "WordEncoder"] = {}
 
 
 class WordEncoder:
     """``encode(texts)``: for each text its ids as little-endian 32-bit bytes."""
 
-    def __init__(self, path: str, cache_entries: int = 700_000):
+    def __init__(self, path: str, cache_entries: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -69,6 +75,20 @@ class WordEncoder:
             return [stem, piece[len(stem) :]]
         return [piece]
 
+    def _encode_atoms(self, atoms: list[str]) -> list[bytes]:
+        """A word of common letters only is one pre-token: it goes to the library's model at once."""
+        out, rest = {}, []
+        tokenize = self.tokenizer.model.tokenize
+        for atom in atoms:
+            if _LATIN.fullmatch(atom):
+                word = atom if self.cut == "led" else atom.lower()
+                raw = word if word.isalpha() and word.isascii() else word.encode().decode("latin-1").translate(_BYTE_SIGNS)
+                out[atom] = np.array([t.id for t in tokenize(raw)], "<u4").tobytes()
+            else:
+                rest.append(atom)
+        out.update(zip(rest, self._encode_all(rest), strict=True))
+        return [out[a] for a in atoms]
+
     def _encode_all(self, strings: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
@@ -80,15 +100,15 @@ class WordEncoder:
         if len(self.atoms) > self.cache_entries:
             self.atoms.clear()
         split = [self._pieces(t) if t else [] for t in texts]
-        new = {p: self._atoms(p) for p in set().union(*split) - self.words.keys()}
-        unseen = list({a for atoms in new.values() for a in atoms} - self.atoms.keys())
-        self.atoms.update(zip(unseen, self._encode_all(unseen), strict=True))
+        new = {p: self._atoms(p) for p in set().union(*split) if p not in self.words}
+        unseen = list({a for atoms in new.values() for a in atoms if a not in self.atoms})
+        self.atoms.update(zip(unseen, self._encode_atoms(unseen), strict=True))
         for piece, atoms in new.items():
             self.words[piece] = b"".join(map(self.atoms.__getitem__, atoms)) if len(atoms) > 1 else self.atoms[atoms[0]]
         return [b"".join(map(self.words.__getitem__, p)) for p in split]
 
 
-def encoder(path: str, cache_entries: int = 700_000) -> WordEncoder:
+def encoder(path: str, cache_entries: int = 1_000_000) -> WordEncoder:
     """This process's encoder for ``path``; kept between tasks."""
     key = (path, cache_entries)
     if key not in _loaded:
