@@ -95,7 +95,7 @@ class WordEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if not self.cut:
             return self._encode_all([t or "" for t in texts])
-        if len(self.words) > self.cache_entries // 2:
+        if len(self.words) > self.cache_entries:
             self.words.clear()
         if len(self.atoms) > self.cache_entries:
             self.atoms.clear()
