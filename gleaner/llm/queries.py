@@ -92,10 +92,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_top_k": """
 with ints as (
-  select vec_id, list_transform(embedding, x -> cast(floor(64 * cast(x as double)) as bigint)) as v from embeddings
-  where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+  select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), scores as (
-  select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) as bigint) as score
+  select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
   from ints q join ints c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0
 ), ranked as (
   select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from scores
