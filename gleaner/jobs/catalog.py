@@ -1,4 +1,439 @@
-"""The registered queries of the triage jobs, with their SQL."""
+"""The registered queries of the triage jobs, with their SQL.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+The given tables hold no script files, so both engines derive a table of files from ``documents``
+by the same expressions; see ``files_view``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleaner.functions import needles as N
+from gleaner.functions.text import base_name, extension, json_leaf_paths, short_label, tokens
+from gleaner.operators import analysis, dashboard, hashes, report, selection
+
+SNIPPETS = """case length(text) % 8
+  when 0 then 'eval(base64_decode($_POST[1]));' when 1 then 'move_uploaded_file($_FILES[1], 2); system(3);'
+  when 2 then 'include 5; echo substr(1,2);' when 3 then 'echo 1;'
+  when 4 then 'SYSTEM(gzinflate($password)); file_put_contents(1);'
+  when 5 then 'substr(implode(strtr(basename(getcwd(pathinfo(getenv(fopen(copy(mail(ini_set(1)))))))))));'
+  else 'return 0;' end"""
+FILES_SQL = f"""select doc_id,
+  concat('/srv/www/', source, '/', case doc_id % 5 when 0 then 'uploads' when 1 then 'cache' when 2 then 'lib' when 3 then 'images' else 'app' end,
+    '/f', cast(doc_id as {{S}}), case doc_id % 6 when 0 then '.php' when 1 then '.phtml' when 2 then '.inc' when 3 then '.PHP' when 4 then '.txt' else '/.htaccess' end) as path,
+  1700000000 + (doc_id * 7919) % 2592000 as mtime,
+  concat('<?php ', {SNIPPETS}, ' ?> ', text) as source_text, doc_id % 29 <> 0 as is_readable
+from documents"""
+
+
+def files_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, path, mtime, size, content, is_readable, source_text): a file for every document."""
+    sql = FILES_SQL.format(S="string").replace("from documents", "from {docs}")
+    rows = spark.sql(sql, docs=spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
+    content = F.when(F.col("is_readable"), F.col("source_text"))
+    return rows.withColumn("content", content).withColumn("size", F.octet_length(content).cast("long"))
+
+
+def _list(spark: SparkSession, sf_dir: str, every: int) -> DataFrame:
+    return files_view(spark, sf_dir).where(F.col("doc_id") % every == 0).select(F.md5(F.col("source_text").cast("binary")).alias("md5")).distinct()
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.features(files_view(spark, sf_dir), _list(spark, sf_dir, 17), _list(spark, sf_dir, 23))
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features are read twice, for statistics and for scores, so they are kept in between."""
+    return analysis.analyse(_features(spark, sf_dir).persist())
+
+
+def _readable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = selection.filter_patterns(files_view(spark, sf_dir)).where("is_readable")
+    return kept.withColumn("md5", F.md5(F.col("content").cast("binary")))
+
+
+# -- SQL of the shared steps ------------------------------------------------------------------
+
+AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _sql_list(words: list[str]) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+def _low(x: str) -> str:
+    return f"translate({x}, {AZ})"
+
+
+WEIGHT_MAP = "map {" + ", ".join(f"'{t}': {w}" for t, w in N.WEB) + "}"
+WORDS = r"[$]?[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^ \t\n\x0B\f\rA-Za-z0-9_]"
+CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
+EXT = r"regexp_extract(path, '[.]([^./]*)$', 1)"
+PATTERN = "(?i)^(" + "|".join(N.PATTERNS) + ")$"
+STEPS = {
+    "base": FILES_SQL.format(S="varchar"),
+    "files": "select doc_id, path, mtime, is_readable, source_text, case when is_readable then source_text end as content, case when is_readable then strlen(source_text) end as size from base",
+    "white": "select distinct md5(source_text) as md5 from base where doc_id % 17 = 0",
+    "black": "select distinct md5(source_text) as md5 from base where doc_id % 23 = 0",
+    "kept": f"select *, {EXT} as ext from files where regexp_matches({EXT}, '{PATTERN}')",
+    "readable": "select *, md5(content) as md5 from kept where is_readable",
+    "known": "select * from readable where md5 not in (select md5 from white)",
+    "tokened": rf"""select *, list_distinct(list_filter(list_transform(regexp_extract_all(regexp_replace(regexp_replace(content, '{CONTROL}', '', 'g'), '<\?([^=A-Za-z0-9_])', '<?php ', 'g'), '{WORDS}'), lambda x: trim(x)), lambda x: x <> '' and x <> '0')) as tokens from known""",
+    "lowered": f"select *, list_transform(tokens, lambda t: {_low('t')}) as low_tokens from tokened",
+    "matched": f"select *, list_filter({_sql_list([t for t, _ in N.WEB])}, lambda n: list_contains(low_tokens, {_low('n')})) as matched_tokens from lowered",
+    "joined": "select *, array_to_string(matched_tokens, '') as j, list_filter(list_distinct(string_split(array_to_string(matched_tokens, ''), '')), lambda c: c <> '') as chars from matched",
+    "measured": "select *, case when length(j) = 0 then 0.0 else coalesce(list_sum(list_transform(chars, lambda c: -(length(j) - length(replace(j, c, ''))) / length(j) * log2((length(j) - length(replace(j, c, ''))) / length(j)))), 0.0) end as entropy from joined",
+    "features": """select path, cast(size as bigint) as size, mtime, cast(len(tokens) as bigint) as total_tokens, matched_tokens, md5, md5 in (select md5 from black) as is_blacklisted,
+      ext = 'htaccess' as is_htaccess, case when first_value(path) over w <> path then first_value(path) over w end as duplicate_of, cast(null as varchar) as error, false as is_unreadable, entropy
+    from measured window w as (partition by md5 order by mtime desc, path)
+    union all select path, null, mtime, null, ['NOT_READABLE'], 'N/A', false, false, null, null, true, 0.0 from kept where not is_readable""",
+    "counted": "select *, case when is_unreadable then 0 else cast(len(matched_tokens) as bigint) end as susp_count from features",
+    "stats": """select coalesce(avg(size), 0) as size_mean, coalesce(stddev_pop(size), 0) as size_std, coalesce(avg(mtime), 0) as mtime_mean, coalesce(stddev_pop(mtime), 0) as mtime_std,
+      coalesce(avg(total_tokens), 0) as tokens_mean, coalesce(stddev_pop(total_tokens), 0) as tokens_std, coalesce(avg(susp_count), 0) as susp_mean, coalesce(stddev_pop(susp_count), 0) as susp_std,
+      coalesce(avg(entropy), 0) as entropy_mean, coalesce(stddev_pop(entropy), 0) as entropy_std, coalesce(avg(susp_count), 0) / greatest(1.0, coalesce(avg(total_tokens), 0)) as ratio
+    from counted where not is_unreadable""",
+    "weighed": f"select *, list_transform(matched_tokens, lambda t: {_low('t')}) as low, coalesce(list_sum(list_transform(matched_tokens, lambda t: coalesce({WEIGHT_MAP}[{_low('t')}], 1.0))), 0.0) as base_score from counted",
+    "times": f"select *, base_score * case when list_has_any(low, {_sql_list(N.CRITICAL)}) and list_has_any(low, {_sql_list(N.OBFUSCATION)}) then 2.5 else 1 end * case when list_has_any(low, {_sql_list(N.CRITICAL)}) and list_has_any(low, {_sql_list(N.UPLOAD)}) then 1.8 else 1 end as s1 from weighed",
+    "placed": f"select *, s1 + case when regexp_matches({_low('path')}, '{'|'.join(N.UPLOAD_PLACES)}') and (s1 > 0 or entropy > 5.5) then 5 else 0 end as s2 from times",
+    "bonus": "select *, round(cast(s2 + case when size is not null and size < 20480 and entropy > 5.8 then 3 else 0 end as double), 2) as s3 from placed",
+    "zs": """select *, case when is_unreadable then 0.0 when is_blacklisted then greatest(s3, 100.0) else s3 end as threat_score,
+      case when is_unreadable or size_std = 0 then 0.0 else (size - size_mean) / size_std end as z_size, case when is_unreadable or mtime_std = 0 then 0.0 else (mtime - mtime_mean) / mtime_std end as z_mtime,
+      case when is_unreadable or tokens_std = 0 then 0.0 else (total_tokens - tokens_mean) / tokens_std end as z_tokens, case when is_unreadable or susp_std = 0 then 0.0 else (susp_count - susp_mean) / susp_std end as z_susp,
+      case when is_unreadable or entropy_std = 0 then 0.0 else (entropy - entropy_mean) / entropy_std end as z_entropy, case when is_unreadable then 0.0 else susp_count - total_tokens * ratio end as residual
+    from bonus, stats""",
+    "scored": """select *, is_unreadable or threat_score >= 8 or abs(z_size) > 3.5 or abs(z_susp) > 3.5 or abs(z_entropy) > 3.5 or abs(z_mtime) > 3.5 or residual > 5 or is_blacklisted or is_htaccess or duplicate_of is not null as is_anomaly,
+      case when mtime = 0 then 'N/A' else strftime(make_timestamp(mtime * 1000000), '%d/%m/%Y, %H:%M:%S') end as date from zs""",
+}
+
+
+def _with(last: str, select: str) -> str:
+    names = list(STEPS)
+    return "with " + ",\n".join(f"{n} as materialized ({STEPS[n]})" for n in names[: names.index(last) + 1]) + "\n" + select
+
+
+def _r(name: str) -> F.Column:
+    return F.round(F.col(name).cast("double"), 6).alias(name.split(".")[-1])
+
+
+CATALOG: list[tuple[str, Callable[[SparkSession, str], DataFrame], str]] = []
+
+
+def _add(name: str, sql: str | None):  # noqa: ANN202
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        CATALOG.append((name, f, sql))
+        return f
+
+    return register
+
+
+@_add("hash_list", _with("files", f"select path, md5(content) as md5 from files where {EXT} = 'php' and is_readable"))
+def hash_list(s: SparkSession, d: str) -> DataFrame:
+    return hashes.build_hash_list(files_view(s, d).where("is_readable"))
+
+
+@_add("pattern_filter", _with("kept", "select path, ext, ext = 'htaccess' as is_htaccess from kept"))
+def pattern_filter(s: SparkSession, d: str) -> DataFrame:
+    return selection.filter_patterns(files_view(s, d)).select("path", extension(F.col("path")).alias("ext"), selection.is_htaccess(F.col("path")).alias("is_htaccess"))
+
+
+@_add("extension_filter", _with("files", f"select path from files where {EXT} in ('php', 'inc')"))
+def extension_filter(s: SparkSession, d: str) -> DataFrame:
+    return selection.filter_extensions(files_view(s, d), ["php", "inc"]).select("path")
+
+
+@_add("url_extensions", r"select page_id, regexp_extract(url, '[.]([^./]*)$', 1) as ext, case when length(split_part(url, '/', -1)) > 26 then concat(substr(split_part(url, '/', -1), 1, 23), '...') else split_part(url, '/', -1) end as label from pages")
+def url_extensions(s: SparkSession, d: str) -> DataFrame:
+    pages = s.read.parquet(f"{d}/pages.parquet")
+    return pages.select("page_id", extension(F.col("url")).alias("ext"), short_label(base_name(F.col("url"))).alias("label"))
+
+
+@_add("whitelist_dropped", _with("known", "select path, md5 from known"))
+def whitelist_dropped(s: SparkSession, d: str) -> DataFrame:
+    return hashes.drop_whitelisted(_readable(s, d), _list(s, d, 17)).select("path", "md5")
+
+
+@_add("blacklist_flagged", _with("readable", "select path, md5, md5 in (select md5 from black) as is_blacklisted from readable"))
+def blacklist_flagged(s: SparkSession, d: str) -> DataFrame:
+    return hashes.flag_blacklisted(_readable(s, d).select("path", "md5"), _list(s, d, 23))
+
+
+@_add("hash_conflicts", _with("black", "select md5 from white intersect select md5 from black"))
+def hash_conflicts(s: SparkSession, d: str) -> DataFrame:
+    return hashes.hash_conflicts(_list(s, d, 17), _list(s, d, 23))
+
+
+@_add("hash_list_difference", _with("black", "select md5 from white except select md5 from black"))
+def hash_list_difference(s: SparkSession, d: str) -> DataFrame:
+    return _list(s, d, 17).subtract(_list(s, d, 23))
+
+
+@_add("hash_list_deduped", _with("base", "select md5(source_text) as md5, min(doc_id) as line_no from base group by 1"))
+def hash_list_deduped(s: SparkSession, d: str) -> DataFrame:
+    return hashes.dedupe_hashes(files_view(s, d).select(F.col("doc_id").alias("line_no"), F.md5(F.col("source_text").cast("binary")).alias("md5")))
+
+
+@_add("duplicate_groups", _with("known", "select md5, count(*) as copies, first(path order by mtime desc, path) as first_path from known group by md5 having count(*) > 1"))
+def duplicate_groups(s: SparkSession, d: str) -> DataFrame:
+    return hashes.duplicate_groups(hashes.drop_whitelisted(_readable(s, d).select("path", "mtime", "md5"), _list(s, d, 17)))
+
+
+@_add("token_counts", _with("tokened", "select path, cast(len(tokens) as bigint) as total_tokens from tokened"))
+def token_counts(s: SparkSession, d: str) -> DataFrame:
+    rows = hashes.drop_whitelisted(_readable(s, d), _list(s, d, 17))
+    return rows.select("path", F.size(tokens(F.col("content"))).cast("long").alias("total_tokens"))
+
+
+@_add("needles_matched", _with("matched", "select path, array_to_string(matched_tokens, '|') as matched from matched"))
+def needles_matched(s: SparkSession, d: str) -> DataFrame:
+    rows = hashes.drop_whitelisted(_readable(s, d), _list(s, d, 17))
+    return rows.select("path", F.array_join(selection.match_needles(tokens(F.col("content")), N.WEB), "|").alias("matched"))
+
+
+_WANTED = _sql_list(list(dict.fromkeys(t.lower() for t, _ in N.CLI)))
+
+
+@_add("needles_matched_by_token", _with("tokened", f"select path, array_to_string(list_sort(list_filter(tokens, lambda t: list_contains({_WANTED}, {_low('t')}))), '|') as matched from tokened"))
+def needles_matched_by_token(s: SparkSession, d: str) -> DataFrame:
+    rows = hashes.drop_whitelisted(_readable(s, d), _list(s, d, 17))
+    return rows.select("path", F.array_join(F.sort_array(selection.match_needles(tokens(F.col("content")), N.CLI, "token")), "|").alias("matched"))
+
+
+@_add("features", _with("features", "select path, size, mtime, total_tokens, array_to_string(matched_tokens, '|') as matched, md5, is_blacklisted, is_htaccess, duplicate_of, is_unreadable, round(entropy, 6) as entropy from features"))
+def features(s: SparkSession, d: str) -> DataFrame:
+    return _features(s, d).select("path", "size", "mtime", "total_tokens", F.array_join("matched_tokens", "|").alias("matched"), "md5", "is_blacklisted", "is_htaccess", "duplicate_of", "is_unreadable", _r("entropy"))
+
+
+_STATS = [f"{n}_{k}" for n in analysis.STATS for k in ("mean", "std")] + ["ratio"]
+
+
+@_add("corpus_stats", _with("stats", "select " + ", ".join(f"round(cast({c} as double), 6) as {c}" for c in _STATS) + " from stats"))
+def corpus_stats(s: SparkSession, d: str) -> DataFrame:
+    return analysis.corpus_stats(_features(s, d)).select(*map(_r, _STATS))
+
+
+_SCORED = "path, threat_score, susp_count, round(z_size, 6) as z_size, round(z_mtime, 6) as z_mtime, round(z_tokens, 6) as z_tokens, round(z_susp, 6) as z_susp, round(z_entropy, 6) as z_entropy, round(residual, 6) as residual, is_anomaly, date"
+
+
+def _flat(scored: DataFrame) -> DataFrame:
+    zs = [F.round(F.col(f"z.{n}"), 6).alias(f"z_{n}") for n in analysis.STATS]
+    return scored.select("path", "threat_score", "susp_count", *zs, _r("residual"), "is_anomaly", "date")
+
+
+@_add("scored", _with("scored", f"select {_SCORED} from scored"))
+def scored(s: SparkSession, d: str) -> DataFrame:
+    return _flat(_scored(s, d))
+
+
+MODES = ["anomalies", "critical", "obfuscated", "blacklisted"]
+
+
+@_add("selections", _with("scored", """select 'anomalies' as mode, path from scored where is_anomaly union all select 'critical', path from scored where threat_score >= 10 or is_blacklisted
+union all select 'obfuscated', path from scored where entropy >= 5.8 and not is_unreadable union all select 'blacklisted', path from scored where is_blacklisted
+union all select 'time', path from scored where mtime <> 0 and mtime between 1700500000 and 1701000000
+union all select 'search', path from scored where contains(lower(path), 'cache') or len(list_filter(matched_tokens, lambda t: contains(lower(t), 'cache'))) > 0
+union all select 'tokens', path from scored where len(list_filter(matched_tokens, lambda t: contains(lower(t), 'eval'))) > 0"""))
+def selections(s: SparkSession, d: str) -> DataFrame:
+    rows = _scored(s, d).persist()
+    parts = [selection.select_rows(rows, m).select(F.lit(m).alias("mode"), "path") for m in MODES]
+    parts.append(selection.select_rows(rows, "time", low=1_700_500_000, high=1_701_000_000).select(F.lit("time").alias("mode"), "path"))
+    parts += [selection.select_rows(rows, m, query=q).select(F.lit(m).alias("mode"), "path") for m, q in (("search", "Cache"), ("tokens", "eval"))]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@_add("warnings", _with("kept", "select 'not readable' as warning, path from kept where not is_readable"))
+def warnings(s: SparkSession, d: str) -> DataFrame:
+    return selection.warnings(_features(s, d))
+
+
+_SEVERITY = "case when is_unreadable then 'NOT READABLE' when is_blacklisted then 'BLACKLIST' when threat_score >= 15 then 'CRITICAL' when threat_score >= 8 then 'HIGH RISK' when is_htaccess then 'HTACCESS' when duplicate_of is not null then 'DUPLICATE' end"
+
+
+@_add("labels", _with("scored", f"""select path, {_SEVERITY} as severity, case when {_SEVERITY} = 'DUPLICATE' then duplicate_of else array_to_string(matched_tokens, ', ') end as status,
+  array_to_string(list_sort(list_filter(list_transform(matched_tokens, lambda t: {_low('t')}), lambda t: list_contains({_sql_list(N.ESSENTIAL)}, t))), '|') as essential from scored"""))
+def labels(s: SparkSession, d: str) -> DataFrame:
+    return _scored(s, d).select("path", selection.severity().alias("severity"), selection.status().alias("status"), F.array_join(F.sort_array(selection.essential_tokens()), "|").alias("essential"))
+
+
+_RATIO = "case when total_tokens > 0 then susp_count / total_tokens else 0 end"
+
+
+@_add("quadrants", _with("scored", f"select case when r >= 0.15 and threat_score >= 8 then 'OBFUSCATED WEBSHELL' when threat_score >= 8 then 'RCE SCRIPT' when r >= 0.15 then 'DENSE NORMAL' else 'BENIGN' end as quadrant, count(*) as n from (select *, {_RATIO} as r from scored where not is_unreadable) group by 1"))
+def quadrants(s: SparkSession, d: str) -> DataFrame:
+    return dashboard.quadrants(_scored(s, d))
+
+
+@_add("bands", _with("scored", f"""select path, round({_RATIO}, 6) as ratio, case when threat_score >= 10 then 'high' when threat_score >= 5 then 'medium' else 'low' end as score_band,
+  case when threat_score >= 15 then 'critical' when threat_score >= 8 then 'high' when entropy > 5.8 then 'dense' else 'normal' end as entropy_band from scored"""))
+def bands(s: SparkSession, d: str) -> DataFrame:
+    return _scored(s, d).select("path", F.round(dashboard.suspicious_ratio(), 6).alias("ratio"), dashboard.score_band(F.col("threat_score")).alias("score_band"), dashboard.entropy_band().alias("entropy_band"))
+
+
+@_add("top_threats", _with("scored", "select path, split_part(path, '/', -1) as base_name, threat_score, susp_count from scored where not is_unreadable order by threat_score desc, mtime desc, path limit 5"))
+def top_threats(s: SparkSession, d: str) -> DataFrame:
+    return selection.top_threats(_scored(s, d)).select("path", base_name(F.col("path")).alias("base_name"), "threat_score", "susp_count")
+
+
+@_add("top_recent", _with("scored", "select path, mtime, size from scored where not is_unreadable order by mtime desc, path limit 5"))
+def top_recent(s: SparkSession, d: str) -> DataFrame:
+    return selection.top_recent(_scored(s, d)).select("path", "mtime", "size")
+
+
+@_add("top_bars", _with("scored", "select path, threat_score, round(threat_score / greatest(10.0, max(threat_score) over ()), 6) as share from (select * from scored where not is_unreadable order by threat_score desc, mtime desc, path limit 12)"))
+def top_bars(s: SparkSession, d: str) -> DataFrame:
+    return selection.top_bars(_scored(s, d)).select("path", "threat_score", _r("share"))
+
+
+@_add("sorted_by_residual", _with("scored", "select path, round(residual, 6) as residual from scored order by coalesce(residual, 0) desc, mtime desc, path"))
+def sorted_by_residual(s: SparkSession, d: str) -> DataFrame:
+    return selection.sort_rows(_scored(s, d), "residual").select("path", _r("residual"))
+
+
+_SIZED = "filter (where not is_unreadable and size is not null)"
+
+
+@_add("insights", _with("scored", f"""select count(*) as total, count(*) filter (where not is_unreadable) as readable, count(*) filter (where is_unreadable) as unreadable, count(*) filter (where is_blacklisted) as blacklisted,
+  count(duplicate_of) as duplicates, count(*) filter (where is_htaccess) as htaccess, count(*) filter (where is_anomaly) as anomalies, count(*) filter (where threat_score >= 10 or is_blacklisted) as critical,
+  round(coalesce(avg(size) {_SIZED}, 0), 6) as avg_size, coalesce(min(size) {_SIZED}, 0) as min_size, coalesce(max(size) {_SIZED}, 0) as max_size,
+  round(coalesce(avg(total_tokens) {_SIZED}, 0), 6) as avg_tokens, coalesce(min(total_tokens) {_SIZED}, 0) as min_tokens, coalesce(max(total_tokens) {_SIZED}, 0) as max_tokens,
+  coalesce(min(mtime) {_SIZED}, 0) as min_mtime, coalesce(max(mtime) {_SIZED}, 0) as max_mtime from scored"""))
+def insights(s: SparkSession, d: str) -> DataFrame:
+    return dashboard.insights(_scored(s, d)).withColumn("avg_size", _r("avg_size")).withColumn("avg_tokens", _r("avg_tokens"))
+
+
+def _timeline_sql(source: str, t: str, score: str) -> str:
+    return f"""timed as (select {t} as t, cast({score} as double) as s from {source} where {t} > 0), ends as (select min(t) as first, greatest(1, max(t) - min(t)) as span from timed),
+counts as (select least(19, cast(floor((t - first) / (span / 20)) as integer)) as bucket, count(*) as n, greatest(max(s), 0.0) as m from timed, ends group by 1),
+filled as (select cast(b.range as integer) as bucket, first + b.range * span / 20 as start, coalesce(n, 0) as n, coalesce(m, 0.0) as max_threat from range(20) b cross join ends left join counts on bucket = b.range)
+select bucket, round(cast(start as double), 6) as start, n, round(max_threat, 6) as max_threat, case when max_threat >= 10 then 'high' when max_threat >= 5 then 'medium' else 'low' end as band, round(n / greatest(1, max(n) over ()), 6) as height from filled"""
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select("bucket", _r("start"), "n", _r("max_threat"), "band", _r("height"))
+
+
+@_add("timeline", _with("scored", "").rstrip() + ", " + _timeline_sql("scored", "mtime", "threat_score"))
+def timeline(s: SparkSession, d: str) -> DataFrame:
+    return _rounded(dashboard.timeline(_scored(s, d)))
+
+
+@_add("event_timeline", "with " + _timeline_sql("events", "cast(floor(epoch(ts)) as bigint)", "value"))
+def event_timeline(s: SparkSession, d: str) -> DataFrame:
+    events = s.read.parquet(f"{d}/events.parquet").select(F.unix_timestamp(F.col("ts").cast("timestamp")).alias("mtime"), F.col("value").alias("threat_score"))
+    return _rounded(dashboard.timeline(events))
+
+
+def _order_sql(source: str, col: str) -> str:
+    return f"""select q, round(coalesce((select v from (select {col} as v, row_number() over (order by {col}) - 1 as i from {source}) where i = floor((select count({col}) from {source}) * q)), 0), 6) as value
+from (values (0.25::double), (0.5::double), (0.75::double)) t(q)"""
+
+
+@_add("entropy_percentiles", _with("scored", "").rstrip() + ", valid as (select entropy from scored where not is_unreadable) " + _order_sql("valid", "entropy"))
+def entropy_percentiles(s: SparkSession, d: str) -> DataFrame:
+    return dashboard.order_stats(_scored(s, d).where("not is_unreadable")).select("q", _r("value"))
+
+
+@_add("event_percentiles", _order_sql("events", "value"))
+def event_percentiles(s: SparkSession, d: str) -> DataFrame:
+    return dashboard.order_stats(s.read.parquet(f"{d}/events.parquet"), "value").select("q", _r("value"))
+
+
+@_add("entropy_rank", _with("scored", "select path, round((row_number() over (order by round(entropy, 9), mtime desc, path) - 1) / greatest(1, count(*) over () - 1), 6) as rank from scored where not is_unreadable"))
+def entropy_rank(s: SparkSession, d: str) -> DataFrame:
+    return dashboard.entropy_rank(_scored(s, d).withColumn("entropy", F.round("entropy", 9))).select("path", _r("rank"))
+
+
+_CLASS = "case when is_unreadable then 'NOT_READABLE' when is_blacklisted then 'BLACKLIST' when is_htaccess then 'HTACCESS' when duplicate_of is not null then duplicate_of when len(matched_tokens) > 0 then array_to_string(matched_tokens, ', ') end"
+
+
+@_add("report_lines", _with("scored", f"""select path, concat(path, coalesce(' (' || ({_CLASS}) || ')', ''), case when not is_unreadable and size is not null then
+  concat(' | ', date, ' | Tokens: ', total_tokens, ' | Suspicious: ', susp_count, ' | MD5: ', md5) else concat(' | ', date) end) as line from scored"""))
+def report_lines(s: SparkSession, d: str) -> DataFrame:
+    # numbers with one decimal are left out of the comparison: the engines round halves apart
+    lines = report.report_lines(_scored(s, d))
+    return lines.withColumn("line", F.regexp_replace("line", r" \| (Size|ThreatScore|Z-Susp): -?[0-9.]+( KB)?", ""))
+
+
+_CLI = """clikept as (select *, md5(content) as md5 from files where is_readable and regexp_matches(EXT, '(?i)^(ph.+|sh.+|inc)$')), cliknown as (select * from clikept where md5 not in (select md5 from white)),
+rest as (select *, first_value(path) over (partition by md5 order by mtime desc, path) as first_path from cliknown where md5 not in (select md5 from black))
+select path, 'blacklist' as class, concat(path, ' (Blacklist)(', md5, ')') as line from cliknown where md5 in (select md5 from black)
+union all select path, 'duplicate', concat(path, ' -> ', first_path, '(', md5, ')') from rest where first_path <> path""".replace("EXT", EXT)
+
+
+@_add("cli_report", _with("black", "").rstrip() + ", " + _CLI)
+def cli_report(s: SparkSession, d: str) -> DataFrame:
+    # the third class lists tokens in file order, which SQL's distinct lists don't keep; see cli_matched
+    return report.cli_report(files_view(s, d), _list(s, d, 17), _list(s, d, 23)).where("class <> 'matched'")
+
+
+@_add("cli_matched", None)
+def cli_matched(s: SparkSession, d: str) -> DataFrame:
+    return report.cli_report(files_view(s, d), _list(s, d, 17), _list(s, d, 23)).where("class = 'matched'")
+
+
+@_add("quarantine", _with("known", "select path, md5, 'quarantine' as action, 'hash is blacklisted' as reason from known where md5 in (select md5 from black)"))
+def quarantine(s: SparkSession, d: str) -> DataFrame:
+    return report.quarantine_list(_features(s, d))
+
+
+@_add("reputation", _with("readable", "select path, md5, case when votes > 0 then 'malicious' end as verdict from readable left join (select md5(source_text) as m, max(doc_id % 3) as votes from base where doc_id % 13 = 0 group by 1) on m = md5"))
+def reputation(s: SparkSession, d: str) -> DataFrame:
+    known = files_view(s, d).where("doc_id % 13 = 0").groupBy(F.md5(F.col("source_text").cast("binary")).alias("md5")).agg(F.max(F.col("doc_id") % 3).alias("votes"))
+    replies = known.select("md5", F.format_string('{"data":{"attributes":{"total_votes":{"malicious": %d}}}}', "votes").alias("reply"))
+    return report.apply_reputation(_readable(s, d).select("path", "md5"), replies)
+
+
+@_add("json_leaves", "select event_id, case when lower(event_type) = 'click' then 'a[type]' else '' end as paths from events")
+def json_leaves(s: SparkSession, d: str) -> DataFrame:
+    events = s.read.parquet(f"{d}/events.parquet")
+    reply = F.concat(F.lit('{"a":{"type":"'), F.col("event_type"), F.lit('"},"props":'), F.col("props"), F.lit("}"))
+    return events.select("event_id", F.array_join(json_leaf_paths(reply, "CLICK"), "|").alias("paths"))
+
+
+@_add("lexer_tokens", None)
+def lexer_tokens(s: SparkSession, d: str) -> DataFrame:
+    rows = _readable(s, d).dropDuplicates(["md5"])
+    return rows.select("md5", F.size(tokens(F.col("content"), "lexer")).alias("total_tokens"))
+
+
+@_add("content_entropy", None)
+def content_entropy(s: SparkSession, d: str) -> DataFrame:
+    feats = analysis.features(files_view(s, d), _list(s, d, 17), _list(s, d, 23), entropy_source="content")
+    return analysis.analyse(feats.persist()).select("path", _r("entropy"), "threat_score")
+
+
+@_add("chunked_scan", _with("scored", f"select {_SCORED} from scored"))
+def chunked_scan(s: SparkSession, d: str) -> DataFrame:
+    """The stream over the listing cut into chunks, newest first; equal to the scan in one go."""
+    import uuid
+
+    from gleaner.streaming.incremental import read_chunks, scan_in_chunks
+
+    base = s.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        import tempfile
+
+        base = "file://" + tempfile.mkdtemp(prefix="gleaner-")
+    root = f"{base.rstrip('/')}/scan-{uuid.uuid4().hex}"
+    listing = files_view(s, d).drop("source_text")
+    ends = listing.agg(F.min("mtime").alias("a"), F.max("mtime").alias("b")).first()
+    if ends["a"] is None:
+        return _flat(analysis.analyse(_features(s, d)))
+    chunks, width = 4, max(1, (ends["b"] - ends["a"]) // 4 + 1)
+    for k in range(chunks):  # the oldest is written first: the stream takes the latest files first
+        low = ends["a"] + k * width
+        listing.where(F.col("mtime").between(low, low + width - 1)).coalesce(1).write.mode("append").parquet(f"{root}/files")
+        import time
+
+        time.sleep(1.1)  # modification times of the chunk files must differ
+    stream = read_chunks(s, f"{root}/files", listing.schema, newest_first=True)
+    return _flat(scan_in_chunks(s, stream, _list(s, d, 17), _list(s, d, 23), f"{root}/out", f"{root}/checkpoint"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for name, f, _ in CATALOG}
+ORACLE_SQL: dict[str, str] = {name: sql for name, _, sql in CATALOG if sql}
