@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.bytewords import ALNUM, chunks, word_hashes
+from gleaner.llm.tokens import release
 
 SHARD_SYMBOLS = 400_000
 
@@ -223,6 +224,7 @@ def _search(docs: DataFrame, items: list[tuple[str, str]], id_col: str, text_col
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         phrases = Phrases(items, width)
         top = len(phrases.words)
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

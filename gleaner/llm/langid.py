@@ -15,6 +15,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gleaner.llm.tokens import release
+
 UNKNOWN = "und"
 #: What is compressed of a text: its letters, lower-cased; digits, signs and gaps become one space.
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -95,6 +97,7 @@ def identify_language(
     kind = docs.schema[id_col].dataType.simpleString()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         model = Classifier(dictionaries, level, block_chars)
         for batch in batches:
             found = [model.judge(t.as_py()) for t in batch.column(1)]

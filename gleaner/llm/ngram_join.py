@@ -28,11 +28,13 @@ from pyspark.sql import functions as F
 from gleaner.llm.bytewords import shingle_sets
 from gleaner.llm.components import connected_components
 from gleaner.llm.scratch import Scratch
+from gleaner.llm.tokens import release
 
 COUNT_BLOCK = 8192
 
 
 def _text_batches(batches: Iterator[pa.RecordBatch], column: int, rows: int = 2048) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    release()
     for batch in batches:
         for lo in range(0, batch.num_rows, rows):
             part = batch.slice(lo, rows)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.scratch import Scratch
+from gleaner.llm.tokens import release
 
 # The kinds in the order that decides ties, each with its pattern, the group that is
 # measured and the fewest characters of it. Runs are maximal, so a length bound inside the pattern
@@ -74,6 +75,7 @@ def scan_new_blobs(spark: SparkSession, versions: DataFrame, ledger: str, path_c
     contents = texts.join(todo.hint("shuffle_hash"), F.col("_path").eqNullSafe(F.col("_at")) & (blob_of(F.col("_text")) == F.col("blob")))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         compiled = {v: [(k, re.compile(p), g, n) for k, (p, g, n) in kinds.items()] for v, kinds in rules.items()}
         kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
         seen: set[str] = set()  # of repeated rows within a batch run

@@ -95,7 +95,7 @@ class WordEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if not self.cut:
             return self._encode_all([t or "" for t in texts])
-        if len(self.words) > self.cache_entries:
+        if len(self.words) > self.cache_entries // 2:
             self.words.clear()
         if len(self.atoms) > self.cache_entries:
             self.atoms.clear()
@@ -116,6 +116,12 @@ def encoder(path: str, cache_entries: int = 1_000_000) -> WordEncoder:
     return _loaded[key]
 
 
+def release() -> None:
+    """Give back what this process's encoders hold; tasks of other operators call it, as they may
+    run in a worker that has tokenised before."""
+    _loaded.clear()
+
+
 def vocabulary(name: str) -> str:
     """Where the named public vocabulary file lies on this machine."""
     import public_tokenizers
