@@ -34,6 +34,7 @@ def pack_power_of_two(
     end_id: int = 1,
     longest: int = 2048,
     with_ids: bool = True,
+    cache_entries: int = 400_000,
 ) -> DataFrame:
     """One row per piece, which is also a sequence.
 
@@ -41,6 +42,8 @@ def pack_power_of_two(
     ids (array<int>) if ``with_ids``. Sequences are numbered without gaps, bucket by bucket with
     the longest first, then by document and start.
 
+    Each worker keeps the ids of up to ``cache_entries`` words, which bounds its memory only.
+
     A null or empty text is the end id alone. Repeated rows are packed as often as they occur, a
     null id like any other. Other columns are ignored; no rows give no rows.
     """
@@ -53,13 +56,13 @@ def pack_power_of_two(
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        words = encoder(tokenizer, cache_entries)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 rows, cols = [], ([], [], [], [])
                 pieces = []
-                for i, ids in enumerate(encode(part.column(1).to_pylist())):
+                for i, ids in enumerate(words.encode(part.column(1).to_pylist())):
                     ids += end
                     n, at = len(ids) // 4, 0
                     for length in cut_lengths(n, longest):
@@ -74,6 +77,7 @@ def pack_power_of_two(
                 if with_ids:
                     arrays.append(pa.array(pieces, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(arrays, [id_col, *(n for n, _ in fields)])
+        words.words.clear()  # a worker that waits for its next task keeps the smaller table only
 
     work = Scratch(spark, "packing")
     pieces = work.table("pieces", docs.select(id_col, text_col).mapInArrow(cut, out_schema))
