@@ -11,16 +11,20 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 
 import numpy as np
 
 #: Trailing signs that may be cut off after a letter or digit; the apostrophe is not among them.
 _TRAIL = ",.;:!?*#$%&)"
-#: A word, maybe with the space before it, of letters that are one sign each in every normal form.
-_LATIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ž]+")
+#: A word, maybe with the space before it, of letters that are one sign each in every normal form and in lower case.
+_LATIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-įı-ž]+")
+#: A space that leads a word, and one that does not.
+_LEAD, _GAP = re.compile(r" (?=\S)"), re.compile(r" (?!\S)")
 #: Byte-level tokenizers write bytes that don't print as signs from 256 on, in order.
 _PRINTS = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTS)}
+_SPACE_SIGN = chr(_BYTE_SIGNS[32])
 _loaded: dict[tuple[str, int], "WordEncoder"] = {}
 
 
@@ -53,17 +57,21 @@ class WordEncoder:
         return ""
 
     def _pieces(self, text: str) -> list[str]:
+        """Keys of ``words``. In a 'led' text a key is what follows a space, but for the first,
+        which has a space put before it to tell it from those."""
         if self.cut == "bare":
             return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        first, *rest = text.split(" ")
-        out = [first]
-        for part in rest:
-            if part and not part[0].isspace():
-                out.append(" " + part)
-            else:  # a run of white space belongs together
-                out[-1] += " " + part
+        # a run of white space belongs together, so only its last space may lead a word
+        out = _LEAD.split(text) if _GAP.search(text) else text.split(" ")
+        out[0] = " " + out[0]
         return out
 
+    def _text(self, key: str) -> str:
+        """The piece of text that a key stands for."""
+        if self.cut == "bare":
+            return key
+        return key[1:] if key.startswith(" ") else " " + key
+
     @staticmethod
     def _atoms(piece: str) -> list[str]:
         """A piece cut further at a lone line end and before trailing signs."""
@@ -71,19 +79,20 @@ class WordEncoder:
         if line and left and right and not left[-1].isspace() and not right[0].isspace():
             return [*WordEncoder._atoms(left), "\n", *WordEncoder._atoms(right)]
         stem = piece.rstrip(_TRAIL)
-        if stem and stem != piece and stem[-1].isalnum():
+        if stem and stem != piece and stem[-1].lower().isalnum():  # a dotted capital I ends with a mark
             return [stem, piece[len(stem) :]]
         return [piece]
 
     def _encode_atoms(self, atoms: list[str]) -> list[bytes]:
         """A word of common letters only is one pre-token: it goes to the library's model at once."""
         out, rest = {}, []
-        tokenize = self.tokenizer.model.tokenize
+        tokenize, led = self.tokenizer.model.tokenize, self.cut == "led"
         for atom in atoms:
             if _LATIN.fullmatch(atom):
-                word = atom if self.cut == "led" else atom.lower()
-                raw = word if word.isalpha() and word.isascii() else word.encode().decode("latin-1").translate(_BYTE_SIGNS)
-                out[atom] = np.array([t.id for t in tokenize(raw)], "<u4").tobytes()
+                word = atom if led else atom.lower()
+                raw = word.replace(" ", _SPACE_SIGN) if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_SIGNS)
+                ids = [t.id for t in tokenize(raw)]
+                out[atom] = struct.pack(f"<{len(ids)}I", *ids)
             else:
                 rest.append(atom)
         out.update(zip(rest, self._encode_all(rest), strict=True))
@@ -100,7 +109,8 @@ class WordEncoder:
         if len(self.atoms) > self.cache_entries:
             self.atoms.clear()
         split = [self._pieces(t) if t else [] for t in texts]
-        new = {p: self._atoms(p) for p in set().union(*split) if p not in self.words}
+        unknown = [p for p in set().union(*split) if p not in self.words]
+        new = {p: [self._text(p)] if p.isalpha() else self._atoms(self._text(p)) for p in unknown}
         unseen = list({a for atoms in new.values() for a in atoms if a not in self.atoms})
         self.atoms.update(zip(unseen, self._encode_atoms(unseen), strict=True))
         for piece, atoms in new.items():
