@@ -34,7 +34,7 @@ def pack_power_of_two(
     end_id: int = 1,
     longest: int = 2048,
     with_ids: bool = True,
-    cache_entries: int = 400_000,
+    cache_entries: int = 1_000_000,
 ) -> DataFrame:
     """One row per piece, which is also a sequence.
 
@@ -77,7 +77,6 @@ def pack_power_of_two(
                 if with_ids:
                     arrays.append(pa.array(pieces, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(arrays, [id_col, *(n for n, _ in fields)])
-        words.words.clear()  # a worker that waits for its next task keeps the smaller table only
 
     work = Scratch(spark, "packing")
     pieces = work.table("pieces", docs.select(id_col, text_col).mapInArrow(cut, out_schema))

@@ -38,7 +38,6 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.cache_entries = cache_entries
         self.words: dict[str, bytes] = {}
-        self.atoms: dict[str, bytes] = {}
         self.cut = self._rule(path)
 
     @staticmethod
@@ -72,6 +71,12 @@ class WordEncoder:
             return key
         return key[1:] if key.startswith(" ") else " " + key
 
+    def _key(self, piece: str) -> str:
+        """The key that stands for a piece of text."""
+        if self.cut == "bare":
+            return piece
+        return piece[1:] if len(piece) > 1 and piece[0] == " " and not piece[1].isspace() else " " + piece
+
     @staticmethod
     def _atoms(piece: str) -> list[str]:
         """A piece cut further at a lone line end and before trailing signs."""
@@ -104,17 +109,19 @@ class WordEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if not self.cut:
             return self._encode_all([t or "" for t in texts])
-        if len(self.words) > self.cache_entries // 2:
+        if len(self.words) > self.cache_entries:
             self.words.clear()
-        if len(self.atoms) > self.cache_entries:
-            self.atoms.clear()
         split = [self._pieces(t) if t else [] for t in texts]
-        unknown = [p for p in set().union(*split) if p not in self.words]
-        new = {p: [self._text(p)] if p.isalpha() else self._atoms(self._text(p)) for p in unknown}
-        unseen = list({a for atoms in new.values() for a in atoms if a not in self.atoms})
-        self.atoms.update(zip(unseen, self._encode_atoms(unseen), strict=True))
-        for piece, atoms in new.items():
-            self.words[piece] = b"".join(map(self.atoms.__getitem__, atoms)) if len(atoms) > 1 else self.atoms[atoms[0]]
+        fresh, joined = set(), {}
+        for key in [k for k in set().union(*split) if k not in self.words]:
+            parts = [key] if key.isalpha() else [self._key(a) for a in self._atoms(self._text(key))]
+            if len(parts) > 1:
+                joined[key] = parts
+            fresh.update(k for k in parts if k not in self.words)
+        keys = list(fresh)
+        self.words.update(zip(keys, self._encode_atoms([self._text(k) for k in keys]), strict=True))
+        for key, parts in joined.items():
+            self.words[key] = b"".join(map(self.words.__getitem__, parts))
         return [b"".join(map(self.words.__getitem__, p)) for p in split]
 
 
