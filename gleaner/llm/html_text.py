@@ -1,10 +1,9 @@
 """Main text of web pages with a suffix array per host.
 
-A page is cut into blocks. Blocks inside its article container are its own text. The token streams
-of all other blocks of a host's pages are concatenated; a suffix array over them finds long runs
-that occur on several pages, and what such runs cover is boilerplate. A page with a container keeps
-the container's text; a page without one keeps the runs that no other page has, from blocks that
-the markup does not mark as menu, header, footer, sidebar, notice, advert, form or comments.
+A page is cut into blocks. The blocks of a host's distinct pages that the markup does not mark as
+menu, header, footer, sidebar, notice, advert, form or comments are concatenated, those of article
+containers too; a suffix array over them finds runs that a share of the pages has. These are
+boilerplate and leave the text; all other unmarked blocks stay, in page order.
 """
 
 from __future__ import annotations
@@ -14,11 +13,13 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.decontaminate import suffix_array
+from gleaner.llm.scratch import Scratch
 
 # Element and attribute names of HTML by what they mean here.
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "canvas", "title", "audio", "video", "select", "button"}
@@ -119,39 +120,117 @@ def blocks_of(page: str | None) -> list[tuple[str, bool, bool]]:
     return out
 
 
-def repeated_tokens(streams: list[list[str]], least: int) -> list[np.ndarray]:
-    """For each page's stream, which tokens lie in a run of at least ``least`` tokens that another
-    page has too: suffixes that agree in that many tokens stand together in the suffix array."""
-    if not any(streams):
-        return [np.zeros(len(s), bool) for s in streams]
-    _, codes = np.unique(np.array([t for s in streams for t in s], object).astype(str), return_inverse=True)
-    n_codes = int(codes.max()) + 1
-    lengths = np.array([len(s) for s in streams])
-    # a border of its own after every page, so that no run crosses pages
+def run_groups(codes: np.ndarray, lengths: np.ndarray, least: int, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The suffix array of streams of these lengths, for each of its places the group of suffixes that agree in
+    ``least`` tokens, and for each group how many owners have it (0 for runs that cross a border)."""
+    _, codes = np.unique(codes, return_inverse=True)
+    n_codes = int(codes.max(initial=0)) + 1
+    # a border of its own after every stream, so that no run crosses streams
     ends = np.cumsum(lengths + 1) - 1
     text = np.zeros(int(ends[-1]) + 1, np.int64)
     border = np.zeros(len(text), bool)
     border[ends] = True
     text[~border] = codes
-    text[ends] = n_codes + np.arange(len(streams))
-    page = np.repeat(np.arange(len(streams)), lengths + 1)
+    text[ends] = n_codes + np.arange(len(lengths))
     order = suffix_array(text)
     padded = np.concatenate([text, np.full(least, -1)])
     same = np.ones(len(order) - 1, bool)
     for j in range(least):
         same &= padded[order[:-1] + j] == padded[order[1:] + j]
     group = np.cumsum(np.concatenate([[True], ~same])) - 1
-    low, high = np.full(group[-1] + 1, len(streams)), np.zeros(group[-1] + 1, np.int64)
-    np.minimum.at(low, group, page[order])
-    np.maximum.at(high, group, page[order])
-    starts = order[(low < high)[group]]
-    mark = np.zeros(len(text) + least + 1, np.int64)
+    left = np.repeat(ends, lengths + 1) - np.arange(len(text))  # tokens up to the border
+    whole = left[order] >= least
+    pairs = np.unique(group[whole] * np.int64(owner.max() + 1) + np.repeat(owner, lengths + 1)[order[whole]])
+    return order, group, np.bincount(pairs // np.int64(owner.max() + 1), minlength=group[-1] + 1)
+
+
+def repeated_tokens(streams: list[list[str]], least: int) -> list[np.ndarray]:
+    """For each page's stream, which tokens lie in a run of at least ``least`` tokens that another
+    page has too: suffixes that agree in that many tokens stand together in the suffix array."""
+    if not any(streams):
+        return [np.zeros(len(s), bool) for s in streams]
+    lengths = np.array([len(s) for s in streams])
+    codes = np.array([t for s in streams for t in s], object).astype(str)
+    order, group, count = run_groups(codes, lengths, least, np.arange(len(streams)))
+    starts = order[(count > 1)[group]]
+    ends = np.cumsum(lengths + 1) - 1
+    mark = np.zeros(int(ends[-1]) + least + 2, np.int64)
     np.add.at(mark, starts, 1)
     np.add.at(mark, starts + least, -1)
-    covered = np.cumsum(mark)[: len(text)] > 0
+    covered = np.cumsum(mark) > 0
     return [covered[e - n : e] for e, n in zip(ends, lengths, strict=True)]
 
 
+def block_codes(blocks: list[str], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of all blocks as numbers that are the same in every process, and each block's length.
+    A block of fewer than ``least`` tokens is filled up, so that it is one run as a whole."""
+    streams = [b.split(" ") for b in blocks]
+    tokens = [t for s in streams for t in (*s, *[""] * (least - len(s)))]
+    codes = pd.util.hash_array(np.array(tokens, object)) if tokens else np.zeros(0, np.uint64)
+    return codes, np.array([max(least, len(s)) for s in streams], np.int64)
+
+
+def window_hashes(codes: np.ndarray, lengths: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """A number for the run of ``least`` tokens from each place on, and whether it lies within a block."""
+    out = np.zeros(max(0, len(codes) - least + 1), np.uint64)
+    for j in range(least):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + codes[j : j + len(out)]
+    return out.view(np.int64), np.arange(len(out)) + least <= np.repeat(np.cumsum(lengths), lengths)[: len(out)]
+
+
+def common_runs(pages: list[tuple[np.ndarray, np.ndarray]], least: int, share: float, piece_tokens: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Runs within a block that ``share`` of these pages (codes, lengths) have: their hashes, and how
+    many pages have each. The suffix arrays are built over pieces of about ``piece_tokens``; what a
+    share of the pages has, a share of some piece's pages has, so pieces propose and all pages count."""
+    proposed, counts, begin = [], [], 0
+    sizes = np.cumsum([len(c) for c, _ in pages])
+    while begin < len(pages):
+        end = max(begin + 1, int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + piece_tokens, "right")))
+        piece = pages[begin:end]
+        codes, lengths = (np.concatenate([p[k] for p in piece]) for k in (0, 1))
+        if len(codes):
+            order, group, count = run_groups(codes, lengths, least, np.repeat(np.arange(len(piece)), [len(n) for _, n in piece]))
+            chosen = np.flatnonzero((count >= share * len(piece)) & (count > 0))
+            starts = order[np.flatnonzero(np.diff(group, prepend=-1))[chosen]]
+            # the suffix array's text has a border after each block
+            block = np.searchsorted(np.cumsum(lengths + 1), starts, "right")
+            proposed.append(window_hashes(codes, lengths, least)[0][starts - block])
+            counts.append(count[chosen])
+        begin = end
+    if len(proposed) < 2:
+        return (proposed or [np.zeros(0, np.int64)])[0], (counts or [np.zeros(0, np.int64)])[0]
+    runs = np.unique(np.concatenate(proposed))
+    total = np.zeros(len(runs), np.int64)
+    for codes, lengths in pages:
+        hashes, within = window_hashes(codes, lengths, least)
+        total += np.isin(runs, hashes[within])
+    enough = total >= share * len(pages)
+    return runs[enough], total[enough]
+
+
+def kept_text(blocks: list[tuple[str, bool]], common: np.ndarray, least: int, near_copy: int) -> str:
+    """The unmarked blocks without the ``common`` runs. A block of which these are less than half
+    stays whole. If more than ``near_copy`` tokens and half of the page would go, it is one of many
+    near copies rather than an article among menus, and stays whole."""
+    texts = [t for t, side in blocks if not side]
+    if not texts or not len(common):
+        return "\n\n".join(texts)
+    codes, lengths = block_codes(texts, least)
+    hashes, within = window_hashes(codes, lengths, least)
+    covered = np.convolve(within & np.isin(hashes, common), np.ones(least, int)) > 0
+    kept, cut, total, begin = [], 0, 0, 0
+    for text, end in zip(texts, np.cumsum(lengths).tolist(), strict=True):
+        tokens = text.split(" ")
+        own = covered[begin : begin + len(tokens)]
+        hit, total, begin = int(own.sum()), total + len(tokens), end
+        if not hit:
+            kept.append(text)
+        else:
+            cut += hit
+            kept.append(" ".join(t for t, c in zip(tokens, own.tolist(), strict=True) if not c))
+    return "\n\n".join(t for t in kept if t)
+
+
 def host_of(url: str) -> F.Column:
     return F.translate(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"(?s)^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -165,49 +244,75 @@ def extract_text(
     least_tokens: int = 8,
     shard_chars: int = 32_000_000,
     broadcast_rows: int = 100_000,
+    least_pages: int = 3,
+    share: float = 0.25,
+    near_copy: int = 100,
 ) -> DataFrame:
     """One row per row of ``pages``: ``id_col``, ``url_col``, text (blocks joined by two line ends; empty if none).
 
+    A run of ``least_tokens`` tokens within a block, or a whole shorter block, is boilerplate if at
+    least ``least_pages`` of the host's distinct pages and a ``share`` of them have it, inside an
+    article container or not. ``kept_text`` says what of it leaves a page. Blocks that the markup
+    marks as something beside the article go; all others stay, also outside the container.
+
     A host whose pages hold more than ``shard_chars`` characters of html is dealt over shards of
-    about that size by the hash of the page, each with a suffix array of its own; a menu that a host
-    repeats on its pages shows in every shard. Pages without a host share the empty one. A null
-    html is empty. Repeated rows give repeated rows, and count as different pages. Other columns
-    are ignored; no rows give no rows.
+    about that size by the hash of the page, each with a suffix array of its own. What a share of
+    all pages has, a share of some shard's pages has: the shards propose runs, which are then
+    counted on all pages of the host, so the shards do not change the result. Pages without a host
+    share the empty one. A null html is empty. Repeated rows give repeated rows, and count as one
+    page, as do pages of a host with equal html. Other columns are ignored; no rows give no rows.
     """
+    work = Scratch(spark, "html-text")
     read = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(url_col).alias("host"))
     large = read.groupBy("host").agg(F.sum(F.length("html")).alias("chars")).where(F.col("chars") > shard_chars).select("host", F.ceil(F.col("chars") / shard_chars).alias("shards"))
-    if large.count() <= broadcast_rows:  # a row for each host of more than shard_chars
-        large = F.broadcast(large)
-    shard = F.pmod(F.xxhash64("id", "html"), F.coalesce("shards", F.lit(1)))
+    large = work.table("large", large)
+    n_large = large.count()
+
+    def small(df: DataFrame, rows: int) -> DataFrame:
+        return F.broadcast(df) if rows <= broadcast_rows else df
+
     kind = pages.schema[id_col].dataType.simpleString()
+    digest = F.unhex(F.md5(F.col("html").cast("binary")))
+    dealt = read.where("html is not null").join(small(large, n_large), "host", "left").select("host", digest.alias("page"), "html", "shards")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            fresh = []
+            for i, k in enumerate(keys):  # copies within the task
+                if k not in seen:
+                    seen.add(k)
+                    fresh.append(i)
+            one = batch.take(pa.array(fresh, pa.int64()))
+            blocks = [[t for t, _, side in blocks_of(p.as_py()) if not side] for p in one.column(2)]
+            yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), one.column(3), pa.array(blocks, pa.list_(pa.string()))], ["host", "page", "shards", "blocks"])
+
+    parsed = dealt.mapInArrow(parse, "host string, page binary, shards long, blocks array<string>")
+    shard = F.pmod(F.xxhash64("page"), F.coalesce("shards", F.lit(1)))
+
+    def propose(table: pa.Table) -> pa.Table:
+        distinct = {}
+        for key, blocks in zip(table.column("page").to_pylist(), table.column("blocks"), strict=True):
+            if key not in distinct:
+                distinct[key] = block_codes(blocks.as_py(), least_tokens)
+        runs, count = common_runs(list(distinct.values()), least_tokens, share)
+        return pa.table([pa.array([table.column("host")[0].as_py()] * (len(runs) + 1), pa.string()), pa.array([None, *runs.tolist()], pa.int64()), pa.array([len(distinct), *count.tolist()], pa.int64())], ["host", "run", "pages"])
+
+    proposed = work.table("proposed", parsed.withColumn("shard", shard).groupBy("host", "shard").applyInArrow(propose, "host string, run long, pages long"))
+    total = proposed.where("run is null").groupBy("host").agg(F.sum("pages").alias("total"))
+    counted = proposed.where("run is not null")
+    common = counted.join(total, "host").where((F.col("pages") >= least_pages) & (F.col("pages") >= share * F.col("total")))
+    common = work.table("common", common.groupBy("host").agg(F.collect_list("run").alias("runs")))
+    n_common = common.agg(F.sum(F.size("runs"))).first()[0] or 0
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            main, rest = [], []
-            for page in batch.column(2):
-                blocks = blocks_of(page.as_py())
-                own = [t for t, inside, side in blocks if inside and not side]
-                main.append("\n\n".join(own) if own else None)
-                rest.append([{"text": t, "side": side} for t, inside, side in blocks if side or not inside])
-            block = pa.list_(pa.struct([("text", pa.string()), ("side", pa.bool_())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), batch.column(4), pa.array(main, pa.string()), pa.array(rest, block)], ["id", "url", "host", "shard", "main", "rest"])
-
-    dealt = read.join(large, "host", "left").select("id", "url", "html", "host", shard.alias("shard"))
-    parsed = dealt.mapInArrow(parse, f"id {kind}, url string, host string, shard long, main string, rest array<struct<text:string,side:boolean>>")
-
-    def clean(table: pa.Table) -> pa.Table:
-        rests = table.column("rest").to_pylist()
-        repeated = repeated_tokens([[t for b in rest for t in b["text"].split(" ")] for rest in rests], least_tokens)
-        texts = []
-        for main, rest, covered in zip(table.column("main").to_pylist(), rests, repeated, strict=True):
-            kept, at = [], 0
-            for b in rest:
-                tokens = b["text"].split(" ")
-                unique = [t for t, c in zip(tokens, covered[at : at + len(tokens)].tolist(), strict=True) if not c]
-                at += len(tokens)
-                if unique and not b["side"]:
-                    kept.append(" ".join(unique))
-            texts.append(main if main is not None else "\n\n".join(kept))
-        return pa.table([table.column("id"), table.column("url"), pa.array(texts, pa.string())], [id_col, url_col, "text"])
-
-    return parsed.groupBy("host", "shard").applyInArrow(clean, f"`{id_col}` {kind}, `{url_col}` string, text string")
+            texts = []
+            for page, runs in zip(batch.column(2), batch.column(3), strict=True):
+                blocks = [(t, side) for t, _, side in blocks_of(page.as_py())]
+                texts.append(kept_text(blocks, np.array(runs.as_py() or [], np.int64), least_tokens, near_copy))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], [id_col, url_col, "text"])
+
+    marked = read.join(small(common, n_common // 10), "host", "left").select("id", "url", "html", "runs")
+    return marked.mapInArrow(clean, f"`{id_col}` {kind}, `{url_col}` string, text string")

@@ -130,6 +130,17 @@ def test_page_text(spark):
     assert html_text.extract_text(spark, frame.limit(0)).collect() == []
 
 
+def page_texts(spark, pages, **how):
+    frame = spark.createDataFrame([(i, f"http://h/{i}", p, "d", 0) for i, p in pages], PAGES)
+    return sorted((r["page_id"], r["text"]) for r in html_text.extract_text(spark, frame, **how).collect())
+
+
+def test_repeated_blocks_leave_containers_and_unique_ones_outside_stay(spark):
+    share = " ".join(f"share{i}" for i in range(10))
+    pages = [(i, f"<article><p>{share}</p><p>own{i} text{i} here</p><p>Tell a friend</p></article><p>more of {i}</p>") for i in range(4)]
+    assert page_texts(spark, pages) == [(i, f"own{i} text{i} here\n\nmore of {i}") for i in range(4)]
+
+
 def test_repeated_tokens_match_brute_force():
     rng = random.Random(9)
     for _ in range(30):
