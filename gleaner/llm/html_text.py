@@ -302,6 +302,22 @@ def extract_text(
     proposed = work.table("proposed", parsed.withColumn("shard", shard).groupBy("host", "shard").applyInArrow(propose, "host string, run long, pages long"))
     total = proposed.where("run is null").groupBy("host").agg(F.sum("pages").alias("total"))
     counted = proposed.where("run is not null")
+    if n_large:
+        # a host of several shards: count what any of them proposed on all its pages
+        several = counted.join(small(large, n_large), "host", "left_semi").groupBy("host").agg(F.collect_set("run").alias("runs"))
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hits = []
+                for blocks, runs in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                    hashes, within = window_hashes(*block_codes(blocks, least_tokens), least_tokens)
+                    hits.append(np.intersect1d(hashes[within], np.array(runs, np.int64)).tolist())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, pa.list_(pa.int64()))], ["host", "page", "hits"])
+
+        again = dealt.join(small(large.select("host"), n_large), "host", "left_semi").mapInArrow(parse, "host string, page binary, shards long, blocks array<string>")
+        hits = again.join(small(several, n_large), "host").select("host", "page", "blocks", "runs").mapInArrow(count, "host string, page binary, hits array<long>")
+        exact = hits.dropDuplicates(["host", "page"]).select("host", F.explode("hits").alias("run")).groupBy("host", "run").agg(F.count("*").alias("pages"))
+        counted = counted.join(small(large, n_large), "host", "left_anti").unionByName(exact)
     common = counted.join(total, "host").where((F.col("pages") >= least_pages) & (F.col("pages") >= share * F.col("total")))
     common = work.table("common", common.groupBy("host").agg(F.collect_list("run").alias("runs")))
     n_common = common.agg(F.sum(F.size("runs"))).first()[0] or 0

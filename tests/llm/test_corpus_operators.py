@@ -141,6 +141,26 @@ def test_repeated_blocks_leave_containers_and_unique_ones_outside_stay(spark):
     assert page_texts(spark, pages) == [(i, f"own{i} text{i} here\n\nmore of {i}") for i in range(4)]
 
 
+def test_shards_do_not_change_page_text(spark):
+    rng = random.Random(8)
+    notes = [" ".join(f"note{k}x{i}" for i in range(9)) for k in range(6)]
+    pages = []
+    for i in range(40):
+        some = [notes[k] for k in range(6) if i % (k + 1) == 0]  # on 40, 20, 14, 10, 8 and 7 pages
+        pages.append((i, "".join(f"<p>{b}</p>" for b in [*some, " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))])))
+    pages += pages[:5]
+    one = page_texts(spark, pages)
+    assert page_texts(spark, pages, shard_chars=700) == page_texts(spark, pages, shard_chars=5000, broadcast_rows=0) == one
+    assert [sum(n in t for _, t in one) for n in notes] == [0, 0, 0, 0, 8 + 1, 7 + 1]
+
+
+def test_pieces_do_not_change_common_runs():
+    rng = random.Random(7)
+    pages = [html_text.block_codes([" ".join(rng.choices("ab", k=rng.randint(1, 9))) for _ in range(rng.randrange(6))], 4) for _ in range(60)]
+    one, some = (dict(zip(*(x.tolist() for x in html_text.common_runs(pages, 4, 0.2, n)), strict=True)) for n in (10**6, 200))
+    assert one == some and one
+
+
 def test_repeated_tokens_match_brute_force():
     rng = random.Random(9)
     for _ in range(30):
