@@ -223,11 +223,13 @@ def kept_text(blocks: list[tuple[str, bool]], common: np.ndarray, least: int, ne
         tokens = text.split(" ")
         own = covered[begin : begin + len(tokens)]
         hit, total, begin = int(own.sum()), total + len(tokens), end
-        if not hit:
+        if not hit or 2 * hit < len(tokens):
             kept.append(text)
         else:
             cut += hit
             kept.append(" ".join(t for t, c in zip(tokens, own.tolist(), strict=True) if not c))
+    if cut > near_copy and 2 * cut > total:
+        kept = texts
     return "\n\n".join(t for t in kept if t)
 
 

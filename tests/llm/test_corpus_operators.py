@@ -161,6 +161,16 @@ def test_pieces_do_not_change_common_runs():
     assert one == some and one
 
 
+def test_copies_and_quotes_stay(spark):
+    quote, article = (" ".join(f"{w}{i}" for i in range(n)) for w, n in (("quote", 20), ("word", 300)))
+    copies = [(1, f"<p>{article}</p>"), (1, f"<p>{article}</p>"), (2, f"<p>{article}</p>")]
+    assert page_texts(spark, copies) == [(i, article) for i in (1, 1, 2)]
+    near = [(i, f"<p>{article} end{i}</p>") for i in range(4)]
+    assert page_texts(spark, near) == [(i, f"{article} end{i}") for i in range(4)]
+    quoted = [(i, "<p>" + " ".join(f"p{i}a{k}" for k in range(15)) + f" {quote} " + " ".join(f"p{i}b{k}" for k in range(15)) + "</p>") for i in range(4)]
+    assert page_texts(spark, quoted) == [(i, p[3:-4]) for i, p in quoted]
+
+
 def test_repeated_tokens_match_brute_force():
     rng = random.Random(9)
     for _ in range(30):
