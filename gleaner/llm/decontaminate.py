@@ -279,8 +279,8 @@ def find_contamination(
 
     Benchmark items reach the tasks in blocks of ``block_chars`` characters; a larger benchmark is
     searched block by block and the spans of all blocks are merged, so none is left out. A null text
-    has no words. Repeated rows give repeated rows; with several blocks, rows equal in id and text
-    become one. Other columns are ignored. No items, no spans.
+    has no words. Repeated rows give repeated rows, with several blocks too. Other columns are
+    ignored. No items, no spans.
     """
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where(F.col("item").isNotNull() & (F.length("text") > 0))
     chars = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
@@ -294,7 +294,9 @@ def find_contamination(
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).distinct().collect()
         one = _search(keyed, [(r["item"], r["text"]) for r in part], "_key", "_text", width)
         found = one if found is None else found.unionByName(one)
-    merged = found.groupBy("_key").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    # a row comes once from every block, and rows equal in id and text have equal findings
+    rows = (F.count("*") / blocks).cast("int").alias("rows")
+    merged = found.groupBy("_key").agg(rows, F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
 
     def join_spans(acc, s):  # noqa: ANN001, ANN202  columns
         touches = (F.size(acc) > 0) & (s["start"] <= F.get(acc, F.size(acc) - 1)["end"])
@@ -302,7 +304,8 @@ def find_contamination(
         return F.when(touches, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(acc, F.array(s)))
 
     spans = F.aggregate("spans", F.array().cast("array<struct<start:long,end:long>>"), join_spans)
-    return merged.select(F.col("_key.id").alias(id_col), "n_words", spans.alias("spans"), "items")
+    one = merged.select(F.col("_key.id").alias(id_col), "n_words", spans.alias("spans"), "items", "rows")
+    return one.withColumn("_row", F.explode(F.sequence(F.lit(1), "rows"))).drop("rows", "_row")
 
 
 #: The words that spans count: ASCII letters, digits and all non-ASCII characters.

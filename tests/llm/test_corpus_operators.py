@@ -232,6 +232,16 @@ def test_decontamination(spark, block_chars):
     assert decontaminate.find_contamination(spark, frame.limit(0), bench).collect() == []
 
 
+@pytest.mark.parametrize("block_chars", [8_000_000, 150])
+def test_decontamination_keeps_repeated_rows(spark, block_chars):
+    bench = spark.createDataFrame([(i, " ".join(f"item{i}w{k}" for k in range(12))) for i in range(5)], "item_id long, text string")
+    rows = [(1, " ".join(f"item2w{k}" for k in range(12)) + " x"), (2, "clean"), (None, "null id"), (3, None)]
+    frame = spark.createDataFrame([(i, t, "c", 1, "r") for i, t in rows * 3 + rows[:1]], DOC)
+    got = decontaminate.find_contamination(spark, frame, bench, block_chars=block_chars).collect()
+    found = collections.Counter((r["doc_id"], r["n_words"], tuple(map(tuple, r["spans"])), tuple(r["items"])) for r in got)
+    assert found == {(1, 13, ((0, 12),), ("2",)): 4, (2, 1, (), ()): 3, (None, 2, (), ()): 3, (3, 0, (), ()): 3}
+
+
 TOKEN_TEXTS = [None, "", "a", "a  b\n\n c", " lead", "It's they'll.", "x,\ty\r\nz", "é, ñ .", "3.5, 4!) ok?!", "ΟΔΟΣ. ΟΔΟΣ", "<|endoftext|> a<|endoftext|>b.", "日本語。 テスト", "x'., y", "word " * 3000, "unbroken" * 2000]
 
 
