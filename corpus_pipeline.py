@@ -27,9 +27,28 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest id stays."""
-    kept = ngram_join.jaccard_components(spark, docs).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi").select(*COLUMNS)
+    """Of each component of near duplicates the document with the smallest id stays.
+
+    A row with a null id is a document of its own and takes part, after all ids: it stays unless its
+    component has an id or another such row before it. Of rows equal in all columns one stays; rows
+    that repeat an id with other contents are one document and stay or go together.
+    """
+    work = Scratch(spark, "ngram-stage")
+    docs = docs.select(*COLUMNS)
+    top = docs.agg(F.max("doc_id").alias("top")).first()["top"]
+    after = F.lit(-1 if top is None else top).cast("long") + 1 + F.monotonically_increasing_id()
+    # written, so that the numbers stay the same
+    nameless = work.table("nameless", docs.where("doc_id is null").dropDuplicates().withColumn("_id", after))
+    named = docs.where("doc_id is not null").withColumn("_id", F.col("doc_id").cast("long")).unionByName(nameless)
+    found = ngram_join.jaccard_components(spark, named, id_col="_id").where("_id = component_id")
+    kept = work.table("kept", found.groupBy(F.col("_id").alias("_kept")).agg(F.count("*").alias("rows")))
+
+    def only(of: str) -> DataFrame:
+        return named.join(kept.where(of), F.col("_id") == F.col("_kept"), "left_semi").select(*COLUMNS)
+
+    if not kept.where("rows > 1").limit(1).count():
+        return only("rows = 1")
+    return only("rows = 1").unionByName(only("rows > 1").dropDuplicates())
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -334,3 +334,12 @@ def test_pipeline_stages(spark):
     assert set(kept[3]) == set(kept[2])
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, table).collect()
     assert {r["doc_id"] for r in packed} == set(kept[3])
+
+
+def test_pipeline_keeps_rows_without_id_and_one_of_equal_rows(spark):
+    same, near = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(None, "clean one"), (None, "clean two"), (None, "clean two"), (7, same), (7, same), (8, same), (None, same), (None, near), (None, near + " end"), (9, "two texts"), (9, "of one id")]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.ngram_jaccard(spark, frame, "").collect()]
+    assert sum(t.startswith(near) for _, t in got) == 1
+    assert sorted((str(i), t) for i, t in got if not t.startswith(near)) == [("7", same), ("9", "of one id"), ("9", "two texts"), ("None", "clean one"), ("None", "clean two")]
