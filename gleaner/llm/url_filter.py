@@ -1,11 +1,11 @@
 """URL filters: rules first, then a ratio of two character language models.
 
 URLs that a rule allows or blocks train one smoothed Markov model each, of variable order: the
-estimate for a character mixes those after the last three, two, one and no characters, each weighed
-by how often its context was seen and how many characters followed it (Witten-Bell). The verdict on
-other URLs is the difference of the two log-likelihoods per character, held against a threshold
-that separates labelled URLs best which did not train the models. All of it is DataFrame code; the
-models are two arrays of fixed size, whatever the number of URLs.
+estimate for a character mixes those after the last five, four, three, two, one and no characters,
+each weighed by how often its context was seen and how many characters followed it (Witten-Bell).
+The verdict on other URLs is the difference of the two log-likelihoods per character, held against
+a threshold that separates labelled URLs best which did not train the models. All of it is
+DataFrame code; the models are tables of exact counts by context and character, which grow with the URLs.
 """
 
 from __future__ import annotations
@@ -18,10 +18,8 @@ from gleaner.llm.scratch import Scratch
 # The characters that URLs are written in; upper case counts as lower, all others as one more sign.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789-._~:/?#[]@!$&'()*+,;=%"
 SIGNS = 64
-ORDERS = 4
-CONTEXTS = [1, 64, 4096, 4096]  # of each order; three characters share a table by a hash
-CONTEXT_AT = [0, 1, 65, 4161]
-N_CONTEXTS = 8257
+MOST = 5  # the highest order
+HOT = 2000  # a run of characters with more than one in so many of all places is joined by broadcast
 #: (verdict, host and path); the longest that fits decides.
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
@@ -50,53 +48,49 @@ def sign_codes(url: Column) -> Column:
     return F.transform(chars, lambda c: F.get(F.array(*map(F.lit, table)), F.least(F.ascii(c), F.lit(127))))
 
 
-def _contexts(p1: Column, p2: Column, p3: Column) -> list[Column]:
-    """The context's place in the tables for each order."""
-    three = F.pmod((p3 * 4096 + p2 * 64 + p1).cast("long") * F.lit(40503), F.lit(262139))
-    return [F.lit(0), p1 + CONTEXT_AT[1], p2 * 64 + p1 + CONTEXT_AT[2], (F.pmod(three, F.lit(CONTEXTS[3])) + CONTEXT_AT[3]).cast("int")]
-
-
 def _places(urls: DataFrame, *keys: str) -> DataFrame:
-    """A row per character: its code c and those of the three before it."""
-    steps = F.transform(
-        F.sequence(F.lit(0), F.size("codes") - 1),
-        lambda i: F.struct(*(F.coalesce(F.get("codes", i - back), F.lit(0)).alias(n) for back, n in ((0, "c"), (1, "p1"), (2, "p2"), (3, "p3")))),
-    )
-    return urls.where(F.size("codes") > 0).select(*keys, F.explode(steps).alias("s")).select(*keys, "s.c", "s.p1", "s.p2", "s.p3")
-
-
-def _train(spark: SparkSession, urls: DataFrame, work: Scratch) -> DataFrame:
-    """One row: counts of each class by context and character, and by context their sum and how many are not 0."""
-    places = _places(urls, "allowed")
-    context = F.explode(F.array(*_contexts(F.col("p1"), F.col("p2"), F.col("p3"))))
-    counts = places.select("allowed", "c", context.alias("context")).groupBy((F.col("context") * SIGNS + F.col("c")).alias("slot")).agg(
-        F.count_if("allowed").cast("int").alias("a"), F.count_if(~F.col("allowed")).cast("int").alias("r")
-    )
-    # from here on the tables have a fixed number of rows
-    slots = work.table("slots", spark.range(N_CONTEXTS * SIGNS).select(F.col("id").cast("int").alias("slot")).join(counts, "slot", "left").na.fill(0))
-    context = F.floor(F.col("slot") / SIGNS).cast("int").alias("context")
-    sums = slots.groupBy(context).agg(F.sum("a").alias("ta"), F.count_if(F.col("a") > 0).alias("da"), F.sum("r").alias("tr"), F.count_if(F.col("r") > 0).alias("dr"))
+    """A row per character: gram, which holds its code in the lowest digit of base 64 and those of the MOST before it above."""
+    at = lambda i, back: F.coalesce(F.get("codes", i - back), F.lit(0)).cast("long") * F.lit(SIGNS**back)
+    steps = F.transform(F.sequence(F.lit(0), F.size("codes") - 1), lambda i: sum((at(i, back) for back in range(1, MOST + 1)), at(i, 0)))
+    return urls.where(F.size("codes") > 0).select(*keys, F.explode(steps).alias("gram"))
 
-    def arrays(df: DataFrame, key: str, kind: str, *names: str) -> DataFrame:
-        rows = df.agg(F.sort_array(F.collect_list(F.struct(key, *names))).alias("rows"))
-        return rows.select(*(F.col(f"rows.{n}").cast(f"array<{kind}>").alias(n) for n in names))
 
-    return arrays(slots, "slot", "int", "a", "r").crossJoin(arrays(sums, "context", "double", "ta", "da", "tr", "dr")).select(F.struct("*").alias("model"))
+def _model(urls: DataFrame, work: Scratch) -> DataFrame:
+    """(gram, n, score) of every gram: how many places of distinct URLs have it, and its log-likelihood
+    under the allowed model less that under the blocked one.
 
-
-def _scores(urls: DataFrame, model: DataFrame, *keys: str) -> DataFrame:
-    """By ``keys``: log-likelihood under the allowed model less that under the blocked one, per character."""
-    m, c = model.scalar(), F.col("c")  # the one row of the model, held once by every task
-    contexts = _contexts(F.col("p1"), F.col("p2"), F.col("p3"))
-
-    def likelihood(n: str) -> Column:
-        p = F.lit(1.0 / SIGNS)
-        for context in contexts:
-            weight = F.get(m["d" + n], context) + F.lit(0.5)
-            p = (F.get(m[n], context * SIGNS + c) + weight * p) / (F.get(m["t" + n], context) + weight)
-        return p
-
-    return _places(urls, *keys).groupBy(*keys).agg(F.avg(F.log(likelihood("a")) - F.log(likelihood("r"))).alias("score"))
+    ``urls`` has a row per distinct URL with the rows that train each class, a and r. The counts of each
+    order are those of the order above by all but the first character, and each order's estimates
+    mix with those below by a join on the whole gram, so no key has more than 64 rows.
+    """
+    grams = _places(urls.withColumn("n", F.lit(1)), "n", "a", "r").groupBy("gram").agg(*(F.sum(c).alias(c) for c in ("n", "a", "r")))
+    levels = [work.table(f"order-{MOST}", grams)]
+    for k in range(MOST - 1, -1, -1):
+        shorter = levels[0].select(F.pmod("gram", F.lit(SIGNS ** (k + 1))).alias("gram"), "n", "a", "r").groupBy("gram")
+        levels.insert(0, work.table(f"order-{k}", shorter.agg(*(F.sum(c).alias(c) for c in ("n", "a", "r")))))
+    below = None
+    for k, level in enumerate(levels):
+        context = F.floor(F.col("gram") / SIGNS).cast("long")
+        sums = level.groupBy(context.alias("context")).agg(*(x for c in ("a", "r") for x in (F.sum(c).alias("t" + c), (F.count_if(F.col(c) > 0) + F.lit(0.5)).alias("w" + c))))
+        rows = level.withColumn("context", context).join(sums, "context")
+        if below is None:
+            rows = rows.withColumn("qa", F.lit(1.0 / SIGNS)).withColumn("qr", F.lit(1.0 / SIGNS))
+        else:
+            rows = rows.join(below, F.pmod("gram", F.lit(SIGNS**k)) == F.col("_gram"))
+        mixed = (((F.col(c) + F.col("w" + c) * F.col("q" + c)) / (F.col("t" + c) + F.col("w" + c))).alias("p" + c) for c in ("a", "r"))
+        done = work.table(f"estimates-{k}", rows.select("gram", "n", *mixed))
+        below = done.select(F.col("gram").alias("_gram"), F.col("pa").alias("qa"), F.col("pr").alias("qr"))
+    return done.select("gram", "n", (F.log("pa") - F.log("pr")).alias("score"))
+
+
+def _scores(urls: DataFrame, model: DataFrame) -> DataFrame:
+    """(key, score): the mean of the scores of each URL's places."""
+    total = model.agg(F.sum("n").alias("n")).first()["n"] or 0
+    common = F.broadcast(model.where(F.col("n") * HOT > total).select(F.col("gram").alias("_gram"), F.col("score").alias("score")))  # HOT rows at the most
+    places = _places(urls.select("key", "codes"), "key").join(common, F.col("gram") == F.col("_gram"), "left")
+    rare = places.where("_gram is null").select("key", "gram").join(model.where(F.col("n") * HOT <= total).select("gram", "score"), "gram")
+    both = places.where("_gram is not null").select("key", "score").unionByName(rare.select("key", "score"))
+    return both.groupBy("key").agg(F.avg("score").alias("score"))
 
 
 def judge_urls(
@@ -119,20 +113,24 @@ def judge_urls(
     host, path = host_and_path(F.col(url_col))
     urls = pages.select(F.col(id_col), F.col(url_col).alias("_url"), host.alias("host"), path.alias("path"))
     urls = urls.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
-    urls = urls.withColumn("key", F.sha2(F.coalesce("_url", F.lit("")).cast("binary"), 256)).withColumn("codes", sign_codes(F.col("_url")))
-    labelled = urls.where(F.col("fit").isNotNull()).select((F.col("fit.verdict") == "allow").alias("allowed"), "key", "codes", (F.pmod(F.xxhash64("_url"), F.lit(held_out)) == 0).alias("held"))
-    model = work.table("model", _train(spark, labelled.where(~F.col("held")), work))
+    urls = urls.withColumn("key", F.unhex(F.md5(F.coalesce("_url", F.lit("")).cast("binary"))))
+    allowed = F.when(F.col("fit").isNotNull(), F.col("fit.verdict") == "allow")
+    held = F.pmod(F.xxhash64("_url"), F.lit(held_out)) == 0
+    distinct = urls.groupBy("key").agg(F.count("*").alias("n"), F.min("_url").alias("_url"), F.min(allowed).alias("allowed"))
+    distinct = distinct.select("key", "n", "allowed", (F.col("allowed").isNotNull() & held).alias("held"), sign_codes(F.col("_url")).alias("codes"))
+    trains = lambda label: F.when(F.col("allowed").eqNullSafe(label) & ~F.col("held"), F.col("n")).otherwise(0)
+    distinct = work.table("distinct", distinct.withColumn("a", trains(True)).withColumn("r", trains(False)))
 
     # counts of held-out scores in bins of a hundredth, from -10 to 10
-    scores = work.table("scores", _scores(urls, model, "key"))
-    tried = labelled.where("held").select("allowed", "key").join(scores, "key")
-    bins = tried.select("allowed", F.greatest(F.lit(-1000), F.least(F.lit(1000), F.floor(F.col("score") * 100))).alias("bin"))
-    per_bin = bins.groupBy("bin").agg(F.count_if("allowed").alias("a"), F.count_if(~F.col("allowed")).alias("r"))
+    scores = work.table("scores", _scores(distinct, _model(distinct, work)))
+    tried = distinct.where("held").select("allowed", "n", "key").join(scores, "key")
+    bins = tried.select("allowed", "n", F.greatest(F.lit(-1000), F.least(F.lit(1000), F.floor(F.col("score") * 100))).alias("bin"))
+    per_bin = bins.groupBy("bin").agg(F.sum(F.when(F.col("allowed"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(~F.col("allowed"), F.col("n")).otherwise(0)).alias("r"))
     below, all_rows = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
     error = F.coalesce(F.sum("a").over(below), F.lit(0)) / F.sum("a").over(all_rows) + 1 - F.coalesce(F.sum("r").over(below), F.lit(0)) / F.sum("r").over(all_rows)
     best = per_bin.select("bin", error.alias("error")).where("error is not null").agg(F.min(F.struct("error", "bin"))["bin"].alias("bin"))
     threshold = work.table("threshold", best.select(F.coalesce(F.col("bin") / 100, F.lit(0.0)).alias("threshold")))
 
-    judged = urls.drop("codes", "_url").join(scores, "key", "left").withColumn("score", F.coalesce("score", F.lit(0.0))).withColumn("threshold", threshold.scalar())
+    judged = urls.drop("_url").join(scores, "key", "left").withColumn("score", F.coalesce("score", F.lit(0.0))).withColumn("threshold", threshold.scalar())
     guess = F.when(F.col("score") >= F.col("threshold"), "allow").otherwise("block")
     return judged.select(id_col, "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", guess).alias("verdict"), "score", "threshold")

@@ -1,10 +1,12 @@
 """Top-k, secret scans, URL filters and language identification against brute force."""
 
+import math
 import random
 import re
 import zlib
 
 import pytest
+from pyspark.sql import SparkSession
 
 from gleaner.llm import langid, secret_scan, topk, url_filter
 from gleaner.llm.scratch import Scratch
@@ -133,6 +135,38 @@ def test_url_models_tell_hosts_apart(judged):
     assert sum(a > b for a in like_allowed for b in like_blocked) >= 0.95 * 1600
 
 
+def test_url_scores_match_brute_force(judged):
+    urls, got = judged
+    every = [(i, u or "") for i, u in [*enumerate(urls), (5, URLS[5])]]
+    codes = {u: [0] * 5 + [url_filter.ALPHABET.find(c.lower() if c.isascii() else "\0") + 1 for c in u] for _, u in every}
+    scores = {r["page_id"]: r["score"] for r in got}
+
+    def brute(held):
+        seen = {True: {}, False: {}}
+        for _, u in every:
+            verdict = brute_rule(u)[3]
+            if verdict and u not in held:
+                for i in range(5, len(codes[u])):
+                    for k in range(6):
+                        after = seen[verdict == "allow"].setdefault(tuple(codes[u][i - k : i]), {})
+                        after[codes[u][i]] = after.get(codes[u][i], 0) + 1
+
+        def p(label, u, i):
+            q = 1 / 64
+            for k in range(6):
+                after = seen[label].get(tuple(codes[u][i - k : i]), {})
+                w = len(after) + 0.5
+                q = (after.get(codes[u][i], 0) + w * q) / (sum(after.values()) + w)
+            return q
+
+        return {j: sum(math.log(p(True, u, i) / p(False, u, i)) for i in range(5, len(codes[u]))) / max(1, len(u)) for j, u in every}
+
+    spark = SparkSession.getActiveSession()
+    hashed = spark.createDataFrame([(u,) for u in {u for _, u in every}], "u string").selectExpr("u", "pmod(xxhash64(u), 5) = 0 as held")
+    want = brute({r["u"] for r in hashed.where("held").collect()})
+    assert all(abs(scores[j] - x) < 1e-9 for j, x in want.items())
+
+
 def test_urls_without_labels_or_rows(spark):
     frame = spark.createDataFrame([(1, "https://a.example.com/x"), (2, None)], "page_id long, url string")
     assert {r["verdict"] for r in url_filter.judge_urls(spark, frame).collect()} == {"allow"}
