@@ -26,13 +26,13 @@ LIMIT = 1 << 61  # so that differences of scores fit a long
 
 def integer_vectors(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
     """(id, vec array<long>): floor(scale * x) of each component; vectors that are null or hold a
-    null or non-finite component, and null ids, are left out. Components stop at +-2**61. An id
-    that occurs again keeps the smallest of its vectors."""
+    null or non-finite component, and null ids, are left out. Components stop at +-2**61. Of rows
+    equal in both one stays."""
     x = F.transform(vec_col, lambda v: v.cast("double"))
     finite = F.forall(x, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), F.lit(False)))
     whole = F.transform(x, lambda v: F.floor(F.greatest(F.least(v * F.lit(float(scale)), F.lit(float(LIMIT))), F.lit(-float(LIMIT)))).cast("long"))
     kept = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & finite)
-    return kept.select(F.col(id_col).cast("long").alias("id"), whole.alias("vec")).groupBy("id").agg(F.min("vec").alias("vec"))
+    return kept.select(F.col(id_col).cast("long").alias("id"), whole.alias("vec")).distinct()
 
 
 def _matrix(vectors: list[list[int]]) -> bytes:
@@ -67,14 +67,16 @@ def exact_top_k(
     """(query_id, rank from 1, the candidate's id as ``id_col``, score): each query's ``k`` highest
     integer inner products among candidates of another id, ties to the smaller id; all, if fewer.
 
-    Vectors null or with null or non-finite components, and null ids, take no part; an id that
-    occurs again counts once, with the smallest of its vectors. Vectors meet those of their own
+    Vectors null or with null or non-finite components, and null ids, take no part; of rows
+    equal in id and integer vector one takes part. An id with several vectors is a candidate with each of
+    them; as a query it ranks what all of them find. Vectors meet those of their own
     length only. Scores are exact and stop at +-2**61. Other columns are ignored; without queries
     or candidates there are no rows.
     """
     work = Scratch(spark, "topk")
     cand = work.table("candidates", integer_vectors(candidates, id_col, vec_col, scale))
-    asked = work.table("queries", integer_vectors(queries, id_col, vec_col, scale))
+    # written, so that the keys stay the same
+    asked = work.table("queries", integer_vectors(queries, id_col, vec_col, scale).withColumn("key", F.monotonically_increasing_id()))
     squared = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
     facts = cand.agg(F.count("*").alias("n"), F.max(squared("vec")).alias("sq")).crossJoin(asked.agg(F.count("*").alias("m"), F.max(squared("vec")).alias("qsq"))).first()
     shards = max(spark.sparkContext.defaultParallelism * 2, -(-facts["n"] // 200_000))
@@ -82,7 +84,7 @@ def exact_top_k(
     bound = F.least(F.sqrt(squared("vec")) * F.lit(longest * 1.000001) + 2, F.lit(float(LIMIT)))
     parts = max(1, -(-facts["m"] // block_rows))
     state = asked.select(
-        "id", "vec", F.size("vec").alias("width"), F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"),
+        "key", "id", "vec", F.size("vec").alias("width"), F.pmod(F.xxhash64("key"), F.lit(parts)).alias("part"),
         (-bound).cast("long").alias("low"), bound.cast("long").alias("high"), F.lit(k).cast("long").alias("need"),
     )
 
@@ -102,7 +104,7 @@ def exact_top_k(
     blocks = work.table("blocks", blocks.select(F.pmod(F.xxhash64("ids"), F.lit(shards)).alias("shard"), "ids", "width", "data"))
 
     def met(now: DataFrame) -> DataFrame:
-        row = F.struct("id", "vec", "low", "high", "need")
+        row = F.struct("key", "id", "vec", "low", "high", "need")
         asking = now.groupBy("part", "width").agg(F.collect_list(row).alias("rows"))  # block_rows of them, about
         spread = asking.select("width", "rows", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
         return spread.join(blocks, ["shard", "width"]).select("rows", "ids", "data")
@@ -125,26 +127,26 @@ def exact_top_k(
                 slot = np.where(ok, (found - low) // step, BINS) + np.arange(len(rows))[:, None] * (BINS + 1)
                 counts = np.bincount(slot.ravel(), minlength=len(rows) * (BINS + 1)).reshape(len(rows), -1)[:, :BINS]
                 q, b = np.nonzero(counts)
-                for col, values in zip(out, (np.array([r["id"] for r in rows], np.int64)[q], b, counts[q, b]), strict=True):
+                for col, values in zip(out, (np.array([r["key"] for r in rows], np.int64)[q], b, counts[q, b]), strict=True):
                     col.append(values)
             cols = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["id", "bin", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["key", "bin", "n"])
 
     rounds, span = 0, 2 * min(longest * 1.000001 * math.sqrt(facts["qsq"] or 0.0) + 2, LIMIT) + 1
     while span > 1:
         span, rounds = span // BINS + 1 if span > BINS else 1, rounds + 1
     for r in range(rounds + 1):
-        counts = met(state).mapInArrow(histogram, "id long, bin long, n long").groupBy("id", "bin").agg(F.sum("n").alias("n"))
-        from_top = Window.partitionBy("id").orderBy(F.col("bin").desc())  # BINS rows
-        reached = counts.withColumn("upto", F.sum("n").over(from_top)).join(state.select("id", "low", "high", "need"), "id")
-        kth = reached.where("upto >= need").groupBy("id").agg(F.max(F.struct("bin", (F.col("need") - F.col("upto") + F.col("n")).alias("need"))).alias("kth"))
+        counts = met(state).mapInArrow(histogram, "key long, bin long, n long").groupBy("key", "bin").agg(F.sum("n").alias("n"))
+        from_top = Window.partitionBy("key").orderBy(F.col("bin").desc())  # BINS rows
+        reached = counts.withColumn("upto", F.sum("n").over(from_top)).join(state.select("key", "low", "high", "need"), "key")
+        kth = reached.where("upto >= need").groupBy("key").agg(F.max(F.struct("bin", (F.col("need") - F.col("upto") + F.col("n")).alias("need"))).alias("kth"))
         step = F.expr(f"(high - low) div {BINS} + 1")
-        joined = state.join(kth, "id", "left")
+        joined = state.join(kth, "key", "left")
         low = F.when(F.col("kth").isNull(), F.col("low")).otherwise(F.col("low") + F.col("kth.bin") * step)
         high = F.when(F.col("kth").isNull(), F.col("low")).otherwise(F.least("high", F.col("low") + (F.col("kth.bin") + 1) * step - 1))
         # fewer scores than asked for: everything from the lower end on is wanted
         need = F.when(F.col("kth").isNull(), F.lit(k)).otherwise(F.col("kth.need")).cast("long")
-        state = work.table(f"state-{r}", joined.select("id", "vec", "width", "part", low.alias("low"), high.alias("high"), need.alias("need")))
+        state = work.table(f"state-{r}", joined.select("key", "id", "vec", "width", "part", low.alias("low"), high.alias("high"), need.alias("need")))
         if r:
             work.drop(f"state-{r - 1}")
         if not state.where("low < high").limit(1).count():

@@ -41,6 +41,13 @@ def test_top_k(spark):
     assert got.columns == ["query_id", "rank", "vec_id", "score"]
 
 
+def test_top_k_of_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 2.0]), (1, [1.0, 1.0]), (1, [3.0, 0.0]), (2, [0.0, 1.0]), (2, [0.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.exact_top_k(spark, frame, frame.where("vec_id = 0"), k=4, scale=1)
+    assert sorted(map(tuple, got.collect())) == [(0, 1, 1, 3), (0, 2, 1, 2), (0, 3, 2, 2), (0, 4, 1, 1)]
+
+
 def test_top_k_of_nothing(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.exact_top_k(spark, none, none).collect() == []
