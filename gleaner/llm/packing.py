@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.scratch import Scratch
-from gleaner.llm.tokens import encoder
+from gleaner.llm.tokens import chunked, encoder
 
 
 def cut_lengths(n: int, longest: int) -> list[int]:
@@ -34,7 +34,7 @@ def pack_power_of_two(
     end_id: int = 1,
     longest: int = 2048,
     with_ids: bool = True,
-    cache_entries: int = 1_000_000,
+    cache_bytes: int = 64_000_000,
 ) -> DataFrame:
     """One row per piece, which is also a sequence.
 
@@ -42,7 +42,7 @@ def pack_power_of_two(
     ids (array<int>) if ``with_ids``. Sequences are numbered without gaps, bucket by bucket with
     the longest first, then by document and start.
 
-    Each worker keeps the ids of up to ``cache_entries`` words, which bounds its memory only.
+    Each worker keeps ``cache_bytes`` of words and their ids, which bounds its memory only.
 
     A null or empty text is the end id alone. Repeated rows are packed as often as they occur, a
     null id like any other. Other columns are ignored; no rows give no rows.
@@ -56,24 +56,24 @@ def pack_power_of_two(
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(tokenizer, cache_entries)
+        words = encoder(tokenizer, cache_bytes)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for first, ids, counts in chunked(words, batch.column(1)):
+                raw, begin = ids.tobytes(), 0
                 rows, cols = [], ([], [], [], [])
                 pieces = []
-                for i, ids in enumerate(words.encode(part.column(1).to_pylist())):
-                    ids += end
-                    n, at = len(ids) // 4, 0
+                for i, count in enumerate(counts.tolist(), first):
+                    own = raw[4 * begin : 4 * (begin + count)] + end
+                    n, at, begin = count + 1, 0, begin + count
                     for length in cut_lengths(n, longest):
-                        piece = ids[4 * at : 4 * (at + length)]
+                        piece = own[4 * at : 4 * (at + length)]
                         rows.append(i)
                         for col, value in zip(cols, (at, length, zlib.crc32(piece), n), strict=True):
                             col.append(value)
                         if with_ids:
                             pieces.append(np.frombuffer(piece, "<i4"))
                         at += length
-                arrays = [part.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, pa.int64()) for c in cols)]
+                arrays = [batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, pa.int64()) for c in cols)]
                 if with_ids:
                     arrays.append(pa.array(pieces, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(arrays, [id_col, *(n for n, _ in fields)])

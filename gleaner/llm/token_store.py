@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.tokens import encoder
+from gleaner.llm.tokens import chunked, encoder
 
 #: Fixed values of the seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -126,25 +126,23 @@ def write_tokens(
     end = np.array([end_id], "<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(tokenizer).encode, TaskContext.get().partitionId()
+        words, part = encoder(tokenizer), TaskContext.get().partitionId()
         fs, root = pafs.FileSystem.from_uri(folder)
         name = f"ids-{part:06d}-{uuid.uuid4().hex}.zst"
         out, first = None, 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                rows = batch.slice(lo, 256)
+            for lo, ids, own in chunked(words, batch.column(1)):
                 if out is None:
                     fs.create_dir(root, recursive=True)
                     out = FrameWriter(fs.open_output_stream(f"{root}/{name}", compression=None), 4 * frame_tokens)
-                counts = []
-                for ids in encode(rows.column(1).to_pylist()):
-                    out.write(ids + end)
-                    counts.append(len(ids) // 4 + 1)
-                n = len(counts)
-                firsts = first + np.cumsum([0, *counts])
+                n, raw, begin = len(own), ids.tobytes(), 0
+                for count in own.tolist():
+                    out.write(raw[4 * begin : 4 * (begin + count)] + end)
+                    begin += count
+                firsts = first + np.concatenate([[0], np.cumsum(own + 1)])
                 first = int(firsts[-1])
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array([name] * n), pa.array([part] * n, pa.int64()), pa.array(firsts[:-1], pa.int64()), pa.array(counts, pa.int64())],
+                    [batch.column(0).slice(lo, n), pa.array([name] * n), pa.array([part] * n, pa.int64()), pa.array(firsts[:-1], pa.int64()), pa.array(own + 1, pa.int64())],
                     [id_col, "file", "file_no", "first", "n_tokens"],
                 )
         if out is not None:
@@ -176,6 +174,8 @@ def read_tokens(index: DataFrame, folder: str, id_col: str = "doc_id", with_ids:
                 crcs, ids = [], []
                 for file, first, n in zip(*(rows.column(c).to_pylist() for c in (1, 2, 4)), strict=True):
                     if held[0] != file:
+                        if held[1]:
+                            held[1].source.close()
                         held = (file, FrameReader(fs.open_input_file(f"{root}/{file}")))
                     data = held[1].read(4 * first, 4 * n)
                     crcs.append(zlib.crc32(data))
@@ -185,6 +185,8 @@ def read_tokens(index: DataFrame, folder: str, id_col: str = "doc_id", with_ids:
                 if with_ids:
                     arrays.append(pa.array(ids, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(arrays, [id_col, "start", "n_tokens", "ids_crc32", *["ids"] * with_ids])
+        if held[1]:
+            held[1].source.close()
 
     stretch = F.floor(F.col("first") / run_tokens)
     dealt = index.repartition("file", stretch).sortWithinPartitions("file", "first").select(id_col, "file", "first", "start", "n_tokens")

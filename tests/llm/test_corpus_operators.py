@@ -249,7 +249,7 @@ TOKEN_TEXTS = [None, "", "a", "a  b\n\n c", " lead", "It's they'll.", "x,\ty\r\n
 def test_cut_words_give_the_ids_of_whole_texts(name):
     rng = random.Random(6)
     texts = TOKEN_TEXTS[1:] + ["".join(rng.choices(["a", "b", " ", "\n", "'s", ",", "!", "1", "\t", "é", "\u0301", "Σ", "\xa0", "'", "<|endoftext|>"], k=rng.randint(1, 25))) for _ in range(3000)]
-    words = WordEncoder(vocabulary(name), cache_entries=50)
+    words = WordEncoder(vocabulary(name), cache_bytes=5000)
     want = [np.array(e.ids, "<u4").tobytes() for e in words.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert words.cut and [x for lo in range(0, len(texts), 40) for x in words.encode(texts[lo : lo + 40])] == want
 
