@@ -15,8 +15,9 @@ _CASTS = r"\([ \t]*(?:int|integer|bool|boolean|float|double|real|string|binary|a
 _OPERATORS = ["<<<", "===", "!==", "<=>", "**=", "...", "<<=", ">>=", "??=", "?->", "==", "!=", "<>", "<=", ">=", "&&", "||", "??", "++", "--", "+=", "-=", "*=", "/=", ".=", "%=", "&=", "|=", "^=", "->", "=>", "::", "<<", ">>", "**"]
 _PHP = re.compile(
     r"(?P<space>[ \t\r\n]+)|(?P<close>\?>\n?)|(?P<attribute>\#\[)|(?P<line>(?:\#|//)(?:(?!\?>)[^\r\n])*)|(?P<block>/\*.*?(?:\*/|\Z))"
-    r"|(?P<heredoc><<<[ \t]*(?P<quote>[\"']?)(?P<label>" + _NAME + r")(?P=quote)\r?\n)"
-    r"|(?P<single>'(?:[^'\\]++|\\.)*+(?:'|\Z))|(?P<double>\"(?:[^\"\\]++|\\.)*+(?:\"|\Z))"
+    r"|(?P<heredoc>b?<<<[ \t]*(?P<quote>[\"']?)(?P<label>" + _NAME + r")(?P=quote)\r?\n)"
+    r"|(?P<single>b?'(?:[^'\\]++|\\.)*+(?:'|\Z))|(?P<double>b?\"(?:[^\"\\]++|\\.)*+(?:\"|\Z))"
+    r"|(?P<shell>`(?:[^`\\]++|\\.)*+(?:`|\Z))|(?P<from>yield[ \t\r\n]+from(?![A-Za-z0-9_\x80-\U0010ffff]))"
     r"|(?P<variable>\$" + _NAME + r")|(?P<name>\\?" + _NAME + r"(?:\\" + _NAME + r")*)"
     r"|(?P<number>0[xX][0-9a-fA-F_]+|0[bB][01_]+|(?:[0-9][0-9_]*\.?[0-9_]*|\.[0-9][0-9_]*)(?:[eE][+-]?[0-9]+)?)"
     r"|(?P<cast>" + _CASTS + r")|(?P<operator>" + "|".join(map(re.escape, _OPERATORS)) + r")|(?P<other>.)",
@@ -78,8 +79,15 @@ def lex(source: str) -> list[str]:
                 at = end.end() if end else len(source)
                 continue
             if kind == "double":
-                inner = _interpolated(text[1:-1]) if len(text) > 1 else None
-                out += ['"', *inner, '"'] if inner else [text]
+                begin = text.index('"') + 1
+                inner = _interpolated(text[begin:-1]) if len(text) > begin else None
+                out += [text[:begin], *inner, '"'] if inner else [text]
+                continue
+            if kind == "shell":
+                # the signs are tokens of their own, what stands between them is text
+                closed = len(text) > 1 and text.endswith("`")
+                body = text[1:-1] if closed else text[1:]
+                out += ["`", *(_interpolated(body) or [body] * bool(body)), *["`"] * closed]
                 continue
             out.append(text)
             if kind == "close":

@@ -18,5 +18,8 @@ PATTERNS = ["ph.+", "sh.+", "inc", "htaccess"]
 CLI_PATTERNS = ["ph.+", "sh.+", "inc"]
 UPLOAD_PLACES = ["upload", "cache", "tmp", "images", "media"]
 
+#: Tokens that decide multipliers: critical, obfuscation, upload.
+Categories = tuple[list[str], list[str], list[str]]
+CATEGORIES: Categories = (CRITICAL, OBFUSCATION, UPLOAD)
 WEB = [(token, weight) for weight, tokens in WEIGHTS for token in tokens]
 CLI = [(token, None) for token, _ in WEB] + [(token, None) for token in CLI_ONLY]

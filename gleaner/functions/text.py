@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from gleaner.functions.lexer import lex
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# The tokens of the word rule, control signs, and short open tags that are written out.
 #: A name with or without a dollar sign, a number, or one other sign.
 WORD_TOKEN = r"[$]?[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^ \t\n\x0B\f\rA-Za-z0-9_]"
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
+SHORT_TAG = r"<\?([^=A-Za-z0-9_])"
 
 
 def ascii_lower(c: Column) -> Column:
@@ -38,7 +40,7 @@ def short_label(name: Column) -> Column:
 def clean_source(content: Column) -> Column:
     """Without control characters (tabs and line ends stay); short open tags written out, which
     takes the character after them."""
-    return F.regexp_replace(F.regexp_replace(content.cast("string"), CONTROL, ""), r"<\?([^=A-Za-z0-9_])", "<?php ")
+    return F.regexp_replace(F.regexp_replace(content.cast("string"), CONTROL, ""), SHORT_TAG, "<?php ")
 
 
 def tokens(content: Column, mode: str = "words") -> Column:
@@ -46,7 +48,7 @@ def tokens(content: Column, mode: str = "words") -> Column:
     ``lexer`` follows the language's own lexical rules."""
     source = clean_source(content)
     found = F.regexp_extract_all(source, F.lit(WORD_TOKEN), 0) if mode == "words" else lexer_tokens(source)
-    return F.array_distinct(F.filter(F.transform(found, lambda t: F.trim(t)) if mode == "words" else found, lambda t: (t != "") & (t != "0")))
+    return F.array_remove(F.array_remove(F.array_distinct(found), "0"), "")
 
 
 def lexer_tokens(source: Column) -> Column:
@@ -90,17 +92,17 @@ def entropy_bytes(content: Column) -> Column:
 
 
 def leaf_paths(value: object, needle: str) -> list[str]:
-    """Key paths like a[b][0] of the string leaves that equal ``needle``, letter case aside."""
-    out: list[str] = []
-
-    def walk(node: object, path: str) -> None:
+    """Key paths like a[b[0]] of the string leaves that equal ``needle``, the case of A-Z aside."""
+    fold = str.maketrans(UPPER, LOWER)
+    wanted, out = needle.translate(fold), []
+    todo: list[tuple[object, list[str]]] = [(value, [])]
+    while todo:
+        node, keys = todo.pop()
         if isinstance(node, (dict, list)):
-            for key, item in node.items() if isinstance(node, dict) else enumerate(node):
-                walk(item, f"{path}[{key}]" if path else str(key))
-        elif isinstance(node, str) and node.lower() == needle.lower():
-            out.append(path)
-
-    walk(value, "")
+            items = list(node.items() if isinstance(node, dict) else enumerate(node))
+            todo += [(item, [*keys, str(key)]) for key, item in reversed(items)]
+        elif isinstance(node, str) and node.translate(fold) == wanted:
+            out.append("[".join(keys) + "]" * (len(keys) - 1))
     return out
 
 
@@ -110,7 +112,7 @@ def json_leaf_paths(reply: Column, needle: str) -> Column:
         def one(text: str | None) -> list[str]:
             try:
                 return leaf_paths(json.loads(text), needle) if text else []
-            except ValueError:
+            except (ValueError, RecursionError):
                 return []
 
         return replies.map(one)

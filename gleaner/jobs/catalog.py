@@ -7,6 +7,7 @@ by the same expressions; see ``files_view``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 from gleaner.functions import needles as N
 from gleaner.functions.text import base_name, extension, json_leaf_paths, short_label, tokens
 from gleaner.operators import analysis, dashboard, hashes, report, selection
+from gleaner.sources import files as sources
+from gleaner.sources.tables import shared_folder, written
+from gleaner.streaming.incremental import read_chunks, scan_in_chunks
 
 SNIPPETS = """case length(text) % 8
   when 0 then 'eval(base64_decode($_POST[1]));' when 1 then 'move_uploaded_file($_FILES[1], 2); system(3);'
@@ -46,8 +50,7 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features are read twice, for statistics and for scores, so they are kept in between."""
-    return analysis.analyse(_features(spark, sf_dir).persist())
+    return analysis.analyse(_features(spark, sf_dir))
 
 
 def _readable(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,12 +71,14 @@ def _low(x: str) -> str:
     return f"translate({x}, {AZ})"
 
 
-WEIGHT_MAP = "map {" + ", ".join(f"'{t}': {w}" for t, w in N.WEB) + "}"
 WORDS = r"[$]?[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^ \t\n\x0B\f\rA-Za-z0-9_]"
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 EXT = r"regexp_extract(path, '[.]([^./]*)$', 1)"
 PATTERN = "(?i)^(" + "|".join(N.PATTERNS) + ")$"
-STEPS = {
+WORD_TOKENS = rf"""list_distinct(list_filter(list_transform(regexp_extract_all(regexp_replace(regexp_replace(content, '{CONTROL}', '', 'g'), '<\?([^=A-Za-z0-9_])', '<?php ', 'g'), '{WORDS}'), lambda x: trim(x)), lambda x: x <> '' and x <> '0'))"""
+TOKEN_ENTROPY = "case when length(j) = 0 then 0.0 else coalesce(list_sum(list_transform(chars, lambda c: -(length(j) - length(replace(j, c, ''))) / length(j) * log2((length(j) - length(replace(j, c, ''))) / length(j)))), 0.0) end"
+BYTE_ENTROPY = "case when strlen(content) = 0 then 0.0 else list_sum(list_transform(map_values(list_histogram(list_transform(range(strlen(content)), lambda i: substr(hex(encode(content)), 2 * i + 1, 2)))), lambda n: -(n / strlen(content)) * log2(n / strlen(content)))) end"
+_COMMON = {
     "base": FILES_SQL.format(S="varchar"),
     "files": "select doc_id, path, mtime, is_readable, source_text, case when is_readable then source_text end as content, case when is_readable then strlen(source_text) end as size from base",
     "white": "select distinct md5(source_text) as md5 from base where doc_id % 17 = 0",
@@ -81,11 +86,18 @@ STEPS = {
     "kept": f"select *, {EXT} as ext from files where regexp_matches({EXT}, '{PATTERN}')",
     "readable": "select *, md5(content) as md5 from kept where is_readable",
     "known": "select * from readable where md5 not in (select md5 from white)",
-    "tokened": rf"""select *, list_distinct(list_filter(list_transform(regexp_extract_all(regexp_replace(regexp_replace(content, '{CONTROL}', '', 'g'), '<\?([^=A-Za-z0-9_])', '<?php ', 'g'), '{WORDS}'), lambda x: trim(x)), lambda x: x <> '' and x <> '0')) as tokens from known""",
+}
+
+
+def _steps(tokens: str = WORD_TOKENS, needles: list[tuple[str, float | None]] = N.WEB, categories: N.Categories = N.CATEGORIES, entropy: str = TOKEN_ENTROPY) -> dict[str, str]:
+    weights = "map {" + ", ".join(f"'{t}': {w}" for t, w in needles) + "}"
+    critical, obfuscation, upload = map(_sql_list, categories)
+    return _COMMON | {
+    "tokened": f"select *, {tokens} as tokens from known",
     "lowered": f"select *, list_transform(tokens, lambda t: {_low('t')}) as low_tokens from tokened",
-    "matched": f"select *, list_filter({_sql_list([t for t, _ in N.WEB])}, lambda n: list_contains(low_tokens, {_low('n')})) as matched_tokens from lowered",
+    "matched": f"select *, list_filter({_sql_list([t for t, _ in needles])}, lambda n: list_contains(low_tokens, {_low('n')})) as matched_tokens from lowered",
     "joined": "select *, array_to_string(matched_tokens, '') as j, list_filter(list_distinct(string_split(array_to_string(matched_tokens, ''), '')), lambda c: c <> '') as chars from matched",
-    "measured": "select *, case when length(j) = 0 then 0.0 else coalesce(list_sum(list_transform(chars, lambda c: -(length(j) - length(replace(j, c, ''))) / length(j) * log2((length(j) - length(replace(j, c, ''))) / length(j)))), 0.0) end as entropy from joined",
+    "measured": f"select *, {entropy} as entropy from joined",
     "features": """select path, cast(size as bigint) as size, mtime, cast(len(tokens) as bigint) as total_tokens, matched_tokens, md5, md5 in (select md5 from black) as is_blacklisted,
       ext = 'htaccess' as is_htaccess, case when first_value(path) over w <> path then first_value(path) over w end as duplicate_of, cast(null as varchar) as error, false as is_unreadable, entropy
     from measured window w as (partition by md5 order by mtime desc, path)
@@ -95,8 +107,8 @@ STEPS = {
       coalesce(avg(total_tokens), 0) as tokens_mean, coalesce(stddev_pop(total_tokens), 0) as tokens_std, coalesce(avg(susp_count), 0) as susp_mean, coalesce(stddev_pop(susp_count), 0) as susp_std,
       coalesce(avg(entropy), 0) as entropy_mean, coalesce(stddev_pop(entropy), 0) as entropy_std, coalesce(avg(susp_count), 0) / greatest(1.0, coalesce(avg(total_tokens), 0)) as ratio
     from counted where not is_unreadable""",
-    "weighed": f"select *, list_transform(matched_tokens, lambda t: {_low('t')}) as low, coalesce(list_sum(list_transform(matched_tokens, lambda t: coalesce({WEIGHT_MAP}[{_low('t')}], 1.0))), 0.0) as base_score from counted",
-    "times": f"select *, base_score * case when list_has_any(low, {_sql_list(N.CRITICAL)}) and list_has_any(low, {_sql_list(N.OBFUSCATION)}) then 2.5 else 1 end * case when list_has_any(low, {_sql_list(N.CRITICAL)}) and list_has_any(low, {_sql_list(N.UPLOAD)}) then 1.8 else 1 end as s1 from weighed",
+    "weighed": f"select *, list_transform(matched_tokens, lambda t: {_low('t')}) as low, coalesce(list_sum(list_transform(matched_tokens, lambda t: coalesce({weights}[{_low('t')}], 1.0))), 0.0) as base_score from counted",
+    "times": f"select *, base_score * case when list_has_any(low, {critical}) and list_has_any(low, {obfuscation}) then 2.5 else 1 end * case when list_has_any(low, {critical}) and list_has_any(low, {upload}) then 1.8 else 1 end as s1 from weighed",
     "placed": f"select *, s1 + case when regexp_matches({_low('path')}, '{'|'.join(N.UPLOAD_PLACES)}') and (s1 > 0 or entropy > 5.5) then 5 else 0 end as s2 from times",
     "bonus": "select *, round(cast(s2 + case when size is not null and size < 20480 and entropy > 5.8 then 3 else 0 end as double), 2) as s3 from placed",
     "zs": """select *, case when is_unreadable then 0.0 when is_blacklisted then greatest(s3, 100.0) else s3 end as threat_score,
@@ -106,12 +118,15 @@ STEPS = {
     from bonus, stats""",
     "scored": """select *, is_unreadable or threat_score >= 8 or abs(z_size) > 3.5 or abs(z_susp) > 3.5 or abs(z_entropy) > 3.5 or abs(z_mtime) > 3.5 or residual > 5 or is_blacklisted or is_htaccess or duplicate_of is not null as is_anomaly,
       case when mtime = 0 then 'N/A' else strftime(make_timestamp(mtime * 1000000), '%d/%m/%Y, %H:%M:%S') end as date from zs""",
-}
+    }
 
 
-def _with(last: str, select: str) -> str:
-    names = list(STEPS)
-    return "with " + ",\n".join(f"{n} as materialized ({STEPS[n]})" for n in names[: names.index(last) + 1]) + "\n" + select
+STEPS = _steps()
+
+
+def _with(last: str, select: str, steps: dict[str, str] = STEPS) -> str:
+    names = list(steps)
+    return "with " + ",\n".join(f"{n} as materialized ({steps[n]})" for n in names[: names.index(last) + 1]) + "\n" + select
 
 
 def _r(name: str) -> F.Column:
@@ -236,7 +251,7 @@ union all select 'time', path from scored where mtime <> 0 and mtime between 170
 union all select 'search', path from scored where contains(lower(path), 'cache') or len(list_filter(matched_tokens, lambda t: contains(lower(t), 'cache'))) > 0
 union all select 'tokens', path from scored where len(list_filter(matched_tokens, lambda t: contains(lower(t), 'eval'))) > 0"""))
 def selections(s: SparkSession, d: str) -> DataFrame:
-    rows = _scored(s, d).persist()
+    rows = written(_scored(s, d), "scored")
     parts = [selection.select_rows(rows, m).select(F.lit(m).alias("mode"), "path") for m in MODES]
     parts.append(selection.select_rows(rows, "time", low=1_700_500_000, high=1_701_000_000).select(F.lit("time").alias("mode"), "path"))
     parts += [selection.select_rows(rows, m, query=q).select(F.lit(m).alias("mode"), "path") for m, q in (("search", "Cache"), ("tokens", "eval"))]
@@ -246,18 +261,31 @@ def selections(s: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@_add("warnings", _with("kept", "select 'not readable' as warning, path from kept where not is_readable"))
+OUTCOME = "doc_id % 46 = 0"  # of the known bad files, those whose action failed
+_FAILED = _with("scored", "").rstrip() + f", failed as (select distinct md5(source_text) as m from base where {OUTCOME}), told as (select scored.*, case when is_blacklisted and m is not null then 'permission denied' end as err from scored left join failed on m = md5)\n"
+
+
+def _outcomes(s: SparkSession, d: str) -> DataFrame:
+    return files_view(s, d).where(OUTCOME).select(F.md5(F.col("source_text").cast("binary")).alias("md5"), F.lit("permission denied").alias("error"))
+
+
+def _features_with_outcomes(s: SparkSession, d: str) -> DataFrame:
+    return analysis.features(files_view(s, d), _list(s, d, 17), _list(s, d, 23), outcomes=_outcomes(s, d))
+
+
+@_add("warnings", _FAILED + "select 'action failed' as warning, path from told where err is not null union all select 'not readable', path from told where is_unreadable")
 def warnings(s: SparkSession, d: str) -> DataFrame:
-    return selection.warnings(_features(s, d))
+    return selection.warnings(_features_with_outcomes(s, d))
 
 
 _SEVERITY = "case when is_unreadable then 'NOT READABLE' when is_blacklisted then 'BLACKLIST' when threat_score >= 15 then 'CRITICAL' when threat_score >= 8 then 'HIGH RISK' when is_htaccess then 'HTACCESS' when duplicate_of is not null then 'DUPLICATE' end"
 
 
-@_add("labels", _with("scored", f"""select path, {_SEVERITY} as severity, case when {_SEVERITY} = 'DUPLICATE' then duplicate_of else array_to_string(matched_tokens, ', ') end as status,
-  array_to_string(list_sort(list_filter(list_transform(matched_tokens, lambda t: {_low('t')}), lambda t: list_contains({_sql_list(N.ESSENTIAL)}, t))), '|') as essential from scored"""))
+@_add("labels", _FAILED + f"""select path, {_SEVERITY} as severity, case when {_SEVERITY} = 'DUPLICATE' then duplicate_of when {_SEVERITY} = 'BLACKLIST' and err is not null then err else array_to_string(matched_tokens, ', ') end as status,
+  array_to_string(list_sort(list_filter(list_transform(matched_tokens, lambda t: {_low('t')}), lambda t: list_contains({_sql_list(N.ESSENTIAL)}, t))), '|') as essential from told""")
 def labels(s: SparkSession, d: str) -> DataFrame:
-    return _scored(s, d).select("path", selection.severity().alias("severity"), selection.status().alias("status"), F.array_join(F.sort_array(selection.essential_tokens()), "|").alias("essential"))
+    scored = analysis.analyse(_features_with_outcomes(s, d))
+    return scored.select("path", selection.severity().alias("severity"), selection.status().alias("status"), F.array_join(F.sort_array(selection.essential_tokens()), "|").alias("essential"))
 
 
 _RATIO = "case when total_tokens > 0 then susp_count / total_tokens else 0 end"
@@ -294,6 +322,26 @@ def sorted_by_residual(s: SparkSession, d: str) -> DataFrame:
     return selection.sort_rows(_scored(s, d), "residual").select("path", _r("residual"))
 
 
+_PLACES = {"threat": "threat_score", "mtime": "mtime", "tokens": "total_tokens", "susp": "round(abs(z_susp), 9)", "residual": "round(residual, 9)"}
+_LISTED = "is_unreadable, case when is_unreadable then 0 else mtime end desc, path"
+
+
+@_add("result_orders", _with("scored", " union all ".join(f"select '{m}' as mode, path, row_number() over (order by coalesce({k}, 0) desc, {_LISTED}) - 1 as place from scored" for m, k in _PLACES.items())))
+def result_orders(s: SparkSession, d: str) -> DataFrame:
+    rows = _scored(s, d).withColumn("residual", F.round("residual", 9)).withColumn("z", F.col("z").withField("susp", F.round("z.susp", 9)))
+    rows = written(rows.select("path", "is_unreadable", "mtime", "threat_score", "total_tokens", "residual", "z"), "orders")
+    parts = [dashboard.ranked_rows(rows, m).select(F.lit(m).alias("mode"), "path", "place") for m in selection.SORT_MODES]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@_add("listing", _with("features", f"select path, row_number() over (order by {_LISTED}) - 1 as place from features"))
+def listing(s: SparkSession, d: str) -> DataFrame:
+    return dashboard.numbered(_features(s, d).select("path", "mtime", "is_unreadable"), selection.listing_order()).select("path", "place")
+
+
 _SIZED = "filter (where not is_unreadable and size is not null)"
 
 
@@ -351,27 +399,49 @@ def entropy_rank(s: SparkSession, d: str) -> DataFrame:
 _CLASS = "case when is_unreadable then 'NOT_READABLE' when is_blacklisted then 'BLACKLIST' when is_htaccess then 'HTACCESS' when duplicate_of is not null then duplicate_of when len(matched_tokens) > 0 then array_to_string(matched_tokens, ', ') end"
 
 
+def _one(x: str) -> str:
+    """SQL of a number with one decimal, halves away from zero."""
+    tenths = f"cast(floor(abs({x}) * 10 + 0.5) as bigint)"
+    return f"concat(case when {x} < 0 and {tenths} > 0 then '-' else '' end, {tenths} // 10, '.', {tenths} % 10)"
+
+
 @_add("report_lines", _with("scored", f"""select path, concat(path, coalesce(' (' || ({_CLASS}) || ')', ''), case when not is_unreadable and size is not null then
-  concat(' | ', date, ' | Tokens: ', total_tokens, ' | Suspicious: ', susp_count, ' | MD5: ', md5) else concat(' | ', date) end) as line from scored"""))
+  concat(' | ', date, ' | Size: ', {_one("(size / 1024)")}, ' KB | ThreatScore: ', {_one("threat_score")}, ' | Tokens: ', total_tokens, ' | Suspicious: ', susp_count, ' | Z-Susp: ', {_one("round(z_susp, 9)")}, ' | MD5: ', md5) else concat(' | ', date) end) as line from scored"""))
 def report_lines(s: SparkSession, d: str) -> DataFrame:
-    # numbers with one decimal are left out of the comparison: the engines round halves apart
-    lines = report.report_lines(_scored(s, d))
-    return lines.withColumn("line", F.regexp_replace("line", r" \| (Size|ThreatScore|Z-Susp): -?[0-9.]+( KB)?", ""))
+    # the engines' sums differ in the last digits, which a decimal must not depend on
+    return report.report_lines(_scored(s, d).withColumn("z", F.col("z").withField("susp", F.round("z.susp", 9))))
 
 
-_CLI = """clikept as (select *, md5(content) as md5 from files where is_readable and regexp_matches(EXT, '(?i)^(ph.+|sh.+|inc)$')), cliknown as (select * from clikept where md5 not in (select md5 from white)),
-rest as (select *, first_value(path) over (partition by md5 order by mtime desc, path) as first_path from cliknown where md5 not in (select md5 from black))
-select path, 'blacklist' as class, concat(path, ' (Blacklist)(', md5, ')') as line from cliknown where md5 in (select md5 from black)
-union all select path, 'duplicate', concat(path, ' -> ', first_path, '(', md5, ')') from rest where first_path <> path""".replace("EXT", EXT)
+_REPLIES = """replies as (select md5(source_text) as m, max(doc_id % 26) = 13 as named, max(doc_id % 3) > 0 as voted from base where doc_id % 13 = 0 group by 1)"""
 
 
-@_add("cli_report", _with("black", "").rstrip() + ", " + _CLI)
+def _replies(s: SparkSession, d: str) -> DataFrame:
+    """Replies of both kinds, some of which recur, and one without data."""
+    known = files_view(s, d).where("doc_id % 13 = 0").select("doc_id", F.md5(F.col("source_text").cast("binary")).alias("md5"))
+    votes = known.select("md5", F.format_string('{"data":{"attributes":{"total_votes":{"malicious": %d}}}}', F.col("doc_id") % 3).alias("reply"))
+    named = known.where("doc_id % 26 = 13").select("md5", F.lit('{"data":{"attributes":{"engines":[{"x":{"category":"Malicious"}}]}}}').alias("reply"))
+    empty = known.select("md5", F.lit('{"error":{"code":"malicious"}}').alias("reply"))
+    return votes.unionByName(named).unionByName(empty)
+
+
+_VERDICT = "case when named then 'webshell' when voted then 'malicious' end"
+_CLI = f"""{_REPLIES}, clikept as (select *, md5(content) as md5 from files where is_readable and regexp_matches(EXT, '(?i)^(ph.+|sh.+|inc)$')), cliknown as (select * from clikept where md5 not in (select md5 from white)),
+rest as (select *, first_value(path) over (partition by md5 order by mtime desc, path) as first_path from cliknown where md5 not in (select md5 from black)),
+told as (select *, {_VERDICT} as verdict from rest left join replies on m = md5 where first_path = path),
+tokened as (select *, list_filter(list_transform(regexp_extract_all(regexp_replace(regexp_replace(content, '{CONTROL}', '', 'g'), '<\\?([^=A-Za-z0-9_])', '<?php ', 'g'), '{WORDS}'), lambda x: trim(x)), lambda x: list_contains({_WANTED}, {_low('x')})) as hits from told where verdict is null),
+matched as (select *, list_filter(hits, lambda x, i: list_position(hits, x) = i) as shown from tokened)
+""".replace("EXT", EXT)
+
+
+@_add("cli_report", _with("black", "").rstrip() + ", " + _CLI + """select path, 'blacklist' as class, concat(path, ' (Blacklist)(', md5, ')') as line from cliknown where md5 in (select md5 from black)
+union all select path, 'duplicate', concat(path, ' -> ', first_path, '(', md5, ')') from rest where first_path <> path
+union all select path, verdict, concat('[!] ', path, case when verdict = 'webshell' then ' (VTotal Webshell) (' else ' (VTotal Malicious) (' end, md5, ')') from told where verdict is not null
+union all select path, 'matched', concat(path, ' (', array_to_string(shown, ', '), ')') from matched where len(shown) > 0""")
 def cli_report(s: SparkSession, d: str) -> DataFrame:
-    # the third class lists tokens in file order, which SQL's distinct lists don't keep; see cli_matched
-    return report.cli_report(files_view(s, d), _list(s, d, 17), _list(s, d, 23)).where("class <> 'matched'")
+    return report.cli_report(files_view(s, d), _list(s, d, 17), _list(s, d, 23), _replies(s, d))
 
 
-@_add("cli_matched", None)
+@_add("cli_matched", _with("black", "").rstrip() + ", " + _CLI.replace("replies as (select", "replies as (select * from (select").replace("group by 1)", "group by 1) where false)", 1) + "select path, 'matched' as class, concat(path, ' (', array_to_string(shown, ', '), ')') as line from matched where len(shown) > 0")
 def cli_matched(s: SparkSession, d: str) -> DataFrame:
     return report.cli_report(files_view(s, d), _list(s, d, 17), _list(s, d, 23)).where("class = 'matched'")
 
@@ -381,58 +451,156 @@ def quarantine(s: SparkSession, d: str) -> DataFrame:
     return report.quarantine_list(_features(s, d))
 
 
-@_add("reputation", _with("readable", "select path, md5, case when votes > 0 then 'malicious' end as verdict from readable left join (select md5(source_text) as m, max(doc_id % 3) as votes from base where doc_id % 13 = 0 group by 1) on m = md5"))
+@_add("reputation", _with("readable", "").rstrip() + f", {_REPLIES} select path, md5, {_VERDICT} as verdict from readable left join replies on m = md5")
 def reputation(s: SparkSession, d: str) -> DataFrame:
-    known = files_view(s, d).where("doc_id % 13 = 0").groupBy(F.md5(F.col("source_text").cast("binary")).alias("md5")).agg(F.max(F.col("doc_id") % 3).alias("votes"))
-    replies = known.select("md5", F.format_string('{"data":{"attributes":{"total_votes":{"malicious": %d}}}}', "votes").alias("reply"))
-    return report.apply_reputation(_readable(s, d).select("path", "md5"), replies)
+    return report.apply_reputation(_readable(s, d).select("path", "md5"), _replies(s, d))
 
 
-@_add("json_leaves", "select event_id, case when lower(event_type) = 'click' then 'a[type]' else '' end as paths from events")
+@_add("json_leaves", "select event_id, case when lower(event_type) = 'click' then 'a[b[type]]|c[1]' else '' end as paths from events")
 def json_leaves(s: SparkSession, d: str) -> DataFrame:
     events = s.read.parquet(f"{d}/events.parquet")
-    reply = F.concat(F.lit('{"a":{"type":"'), F.col("event_type"), F.lit('"},"props":'), F.col("props"), F.lit("}"))
+    kind = F.col("event_type")
+    reply = F.concat(F.lit('{"a":{"b":{"type":"'), kind, F.lit('"}},"c":[1,"'), kind, F.lit('"],"props":'), F.col("props"), F.lit("}"))
     return events.select("event_id", F.array_join(json_leaf_paths(reply, "CLICK"), "|").alias("paths"))
 
 
+@_add("blacklist_dropped", _with("readable", "").rstrip() + ", b as (" + STEPS["black"] + ") select path, md5, false as is_blacklisted from readable where md5 not in (select md5 from b)")
+def blacklist_dropped(s: SparkSession, d: str) -> DataFrame:
+    return hashes.flag_blacklisted(_readable(s, d).select("path", "md5"), _list(s, d, 23), drop=True)
+
+
+@_add("needles_matched_by_join", _with("matched", "select path, array_to_string(matched_tokens, '|') as matched from matched where len(matched_tokens) > 0"))
+def needles_matched_by_join(s: SparkSession, d: str) -> DataFrame:
+    rows = hashes.drop_whitelisted(_readable(s, d), _list(s, d, 17)).select("path", tokens(F.col("content")).alias("tokens"))
+    return selection.match_needles_by_join(rows, sources.needle_table(s)).select("path", F.array_join("matched_tokens", "|").alias("matched"))
+
+
+# -- sources and sinks: what was written from the tables is read back -----------------------------
+
+
+def _text_lines(s: SparkSession, d: str) -> str:
+    """A folder of text files with a line for each document: its id and the hash of its text."""
+    folder = shared_folder(s, "lines")
+    files_view(s, d).select(F.concat_ws(" ", "doc_id", F.md5(F.col("source_text").cast("binary")))).write.text(folder)
+    return folder
+
+
+def _lines(files: DataFrame) -> DataFrame:
+    lines = files.where("is_readable").select(F.explode(F.split(F.col("content").cast("string"), "\n")).alias("line")).where("line <> ''")
+    return lines.select(F.split_part("line", F.lit(" "), F.lit(1)).cast("long").alias("doc_id"), F.split_part("line", F.lit(" "), F.lit(2)).alias("md5"))
+
+
+@_add("files_read", _with("base", "select doc_id, md5(source_text) as md5 from base"))
+def files_read(s: SparkSession, d: str) -> DataFrame:
+    return _lines(sources.read_files(s, _text_lines(s, d)))
+
+
+@_add("manifest_read", _with("base", "select doc_id, md5(source_text) as md5 from base union all select -1, 'unreadable'"))
+def manifest_read(s: SparkSession, d: str) -> DataFrame:
+    """The same files by a manifest, which names one that is not there."""
+    listed = sources.read_files(s, _text_lines(s, d)).select("path", "mtime")
+    missing = s.range(1).select(F.lit("/nowhere/missing.php").alias("path"), F.lit(0).cast("long").alias("mtime"))
+    files = written(sources.read_manifest(listed.unionByName(missing)), "manifest")
+    return _lines(files).unionByName(files.where("not is_readable").select(F.lit(-1).cast("long").alias("doc_id"), F.lit("unreadable").alias("md5")))
+
+
+@_add("hash_list_loaded", _with("base", "select distinct md5(source_text) as md5 from base"))
+def hash_list_loaded(s: SparkSession, d: str) -> DataFrame:
+    folder = shared_folder(s, "hashes")
+    files_view(s, d).select(F.concat(F.lit("  "), F.upper(F.md5(F.col("source_text").cast("binary"))), F.when(F.col("doc_id") % 2 == 0, " \r").otherwise(""))).write.text(folder)
+    return sources.load_hashes(s, folder)
+
+
+@_add("features_written", _with("features", "select path, size, array_to_string(matched_tokens, '|') as matched, md5, duplicate_of, is_unreadable, strftime(make_timestamp(mtime * 1000000), '%Y-%m-%d') as day from features"))
+def features_written(s: SparkSession, d: str) -> DataFrame:
+    feats, folder = _features(s, d), shared_folder(s, "written")
+    report.write_features(feats, folder)
+    back = s.read.schema(feats.schema.add("day", "date")).json(folder)
+    return back.select("path", "size", F.array_join("matched_tokens", "|").alias("matched"), "md5", "duplicate_of", "is_unreadable", F.date_format("day", "yyyy-MM-dd").alias("day"))
+
+
+# -- other token rules, needle tables and measures --------------------------------------------------
+
+_LEXED = {
+    0: "eval ( base64_decode $_POST [ 1 ] ) ;", 1: "move_uploaded_file ( $_FILES [ 1 ] , 2 ) ; system 3", 2: "include 5 ; echo substr ( 1 , 2 )", 3: "echo 1 ;",
+    4: "SYSTEM ( gzinflate $password ) ; file_put_contents 1", 5: "substr ( implode strtr basename getcwd pathinfo getenv fopen copy mail ini_set 1 ) ;",
+}
+#: What the lexer finds in a file of the view: the snippet's tokens, and the text after the tags as one.
+_LEXED_SQL = (
+    "list_filter(list_concat(['<?php', '?>'], case cast(length(regexp_replace(content, '^<[?]php .*? [?]> ', '', 's')) % 8 as integer) "
+    + " ".join(f"when {k} then {_sql_list(v.split())}" for k, v in _LEXED.items())
+    + f" else ['return', ';'] end, [trim(regexp_replace(regexp_replace(content, '^<[?]php .*? [?]> ', '', 's'), '{CONTROL}', '', 'g'), ' \t\n\r\x0b')]), lambda x: x <> '' and x <> '0')"
+)
+_SCORE = "path, total_tokens, array_to_string(matched_tokens, '|') as matched, round(entropy, 6) as entropy, threat_score, is_anomaly"
+
+
+def _short(scored: DataFrame) -> DataFrame:
+    return scored.select("path", "total_tokens", F.array_join("matched_tokens", "|").alias("matched"), _r("entropy"), "threat_score", "is_anomaly")
+
+
+@_add("scored_by_lexer", _with("scored", f"select {_SCORE} from scored", _steps(tokens=_LEXED_SQL)))
+def scored_by_lexer(s: SparkSession, d: str) -> DataFrame:
+    """The language's own lexical rules from tokens to score: words of the page text don't match."""
+    return _short(analysis.analyse(analysis.features(files_view(s, d), _list(s, d, 17), _list(s, d, 23), mode="lexer")))
+
+
+OWN_NEEDLES = [(0, "echo", 42.0, True, False, False), (1, "Return", 3.5, False, False, True), (2, "base64_decode", 7.0, False, True, False), (3, "getenv", None, False, False, False), (4, "eval", 1.5, True, False, False)]
+_OWN = [(t, w) for _, t, w, *_ in OWN_NEEDLES]
+_OWN_SQL = [(t, "null" if w is None else w) for t, w in _OWN]
+
+
+@_add("scored_by_own_needles", _with("scored", f"select {_SCORE} from scored", _steps(needles=_OWN_SQL, categories=(["echo", "eval"], ["base64_decode"], ["return"]))))
+def scored_by_own_needles(s: SparkSession, d: str) -> DataFrame:
+    """A needle table of the user's, with weights and categories, from matching to score."""
+    rows = [(i, t, None if w is None else Decimal(str(w)), *flags) for i, t, w, *flags in OWN_NEEDLES]
+    needles, categories = sources.needle_lists(s.createDataFrame(rows, sources.NEEDLES))
+    feats = analysis.features(files_view(s, d), _list(s, d, 17), _list(s, d, 23), needles=needles)
+    return _short(analysis.analyse(feats, needles=needles, categories=categories))
+
+
 @_add("lexer_tokens", None)
 def lexer_tokens(s: SparkSession, d: str) -> DataFrame:
     rows = _readable(s, d).dropDuplicates(["md5"])
     return rows.select("md5", F.size(tokens(F.col("content"), "lexer")).alias("total_tokens"))
 
 
-@_add("content_entropy", None)
+@_add("content_entropy", _with("scored", "select path, round(entropy, 6) as entropy, threat_score from scored", _steps(entropy=BYTE_ENTROPY)))
 def content_entropy(s: SparkSession, d: str) -> DataFrame:
     feats = analysis.features(files_view(s, d), _list(s, d, 17), _list(s, d, 23), entropy_source="content")
-    return analysis.analyse(feats.persist()).select("path", _r("entropy"), "threat_score")
+    return analysis.analyse(feats).select("path", _r("entropy"), "threat_score")
 
 
-@_add("chunked_scan", _with("scored", f"select {_SCORED} from scored"))
-def chunked_scan(s: SparkSession, d: str) -> DataFrame:
-    """The stream over the listing cut into chunks, newest first; equal to the scan in one go."""
-    import uuid
+_DENSE = "concat('<?php echo \"', " + ", ".join(f"{{b}}(unhex({{h}}(concat({i}, {{t}}))))" for i in range(8)) + ", '\";')"
+_DENSE_STEPS = {k: f"select doc_id, path, mtime, is_readable, {_DENSE.format(b='to_base64', h='sha256', t='source_text')} as source_text from ({v})" if k == "base" else v for k, v in _steps(entropy=BYTE_ENTROPY).items()}
 
-    from gleaner.streaming.incremental import read_chunks, scan_in_chunks
 
-    base = s.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
+@_add("dense_files", _with("scored", "select path, round(entropy, 6) as entropy, threat_score, is_anomaly, entropy >= 5.8 and not is_unreadable as obfuscated from scored", _DENSE_STEPS))
+def dense_files(s: SparkSession, d: str) -> DataFrame:
+    """Small files of dense content, for which the entropy rules hold."""
+    source = F.concat(F.lit('<?php echo "'), *(F.base64(F.unhex(F.sha2(F.concat(F.lit(str(i)), "source_text"), 256))) for i in range(8)), F.lit('";'))
+    files = files_view(s, d).withColumn("source_text", source).withColumn("content", F.when(F.col("is_readable"), F.col("source_text"))).withColumn("size", F.octet_length("content").cast("long"))
+    lists = [files.where(F.col("doc_id") % n == 0).select(F.md5(F.col("source_text").cast("binary")).alias("md5")).distinct() for n in (17, 23)]
+    scored = written(analysis.analyse(analysis.features(files, *lists, entropy_source="content")), "dense")
+    dense = selection.select_rows(scored, "obfuscated").select("path", F.lit(True).alias("obfuscated"))
+    return scored.join(dense, "path", "left").select("path", _r("entropy"), "threat_score", "is_anomaly", F.coalesce("obfuscated", F.lit(False)).alias("obfuscated"))
 
-        base = "file://" + tempfile.mkdtemp(prefix="gleaner-")
-    root = f"{base.rstrip('/')}/scan-{uuid.uuid4().hex}"
-    listing = files_view(s, d).drop("source_text")
-    ends = listing.agg(F.min("mtime").alias("a"), F.max("mtime").alias("b")).first()
+
+@_add("chunked_scan", _with("scored", f"select {_SCORED} from scored"))
+def chunked_scan(s: SparkSession, d: str) -> DataFrame:
+    """The listing cut into chunks, newest first, that arrive one after another in the folder that the
+    stream reads; equal to the scan in one go."""
+    root, chunks = shared_folder(s, "scan"), 4
+    listed = files_view(s, d).drop("source_text")
+    ends = listed.agg(F.min("mtime").alias("a"), F.max("mtime").alias("b")).first()
     if ends["a"] is None:
         return _flat(analysis.analyse(_features(s, d)))
-    chunks, width = 4, max(1, (ends["b"] - ends["a"]) // 4 + 1)
-    for k in range(chunks):  # the oldest is written first: the stream takes the latest files first
-        low = ends["a"] + k * width
-        listing.where(F.col("mtime").between(low, low + width - 1)).coalesce(1).write.mode("append").parquet(f"{root}/files")
-        import time
-
-        time.sleep(1.1)  # modification times of the chunk files must differ
-    stream = read_chunks(s, f"{root}/files", listing.schema, newest_first=True)
-    return _flat(scan_in_chunks(s, stream, _list(s, d, 17), _list(s, d, 23), f"{root}/out", f"{root}/checkpoint"))
+    width = (ends["b"] - ends["a"]) // chunks + 1
+    white, black, scan = _list(s, d, 17), _list(s, d, 23), None
+    for k in range(chunks):
+        high = ends["b"] - k * width
+        listed.where(F.col("mtime").between(high - width + 1, high)).write.mode("append").parquet(f"{root}/files")
+        scan = scan_in_chunks(s, read_chunks(s, f"{root}/files", listed.schema), white, black, f"{root}/out", f"{root}/checkpoint")
+    return _flat(scan)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for name, f, _ in CATALOG}

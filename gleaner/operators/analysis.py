@@ -11,13 +11,18 @@ from gleaner.functions import needles as N
 from gleaner.functions.text import ascii_lower, entropy, entropy_bytes, tokens
 from gleaner.operators.hashes import drop_whitelisted, flag_blacklisted, mark_duplicates
 from gleaner.operators.selection import filter_patterns, is_htaccess, match_needles
+from gleaner.sources.tables import written
 
 FEATURES = ["path", "size", "mtime", "total_tokens", "matched_tokens", "md5", "is_blacklisted", "is_htaccess", "duplicate_of", "error", "is_unreadable", "entropy"]
 
 
+def readable() -> Column:
+    return F.coalesce("is_readable", F.lit(False))
+
+
 def unreadable_features(files: DataFrame) -> DataFrame:
     no = F.lit(False)
-    return files.where("not is_readable").select(
+    return files.where(~readable()).select(
         "path", F.lit(None).cast("long").alias("size"), F.coalesce("mtime", F.lit(0)).cast("long").alias("mtime"), F.lit(None).cast("long").alias("total_tokens"),
         F.array(F.lit("NOT_READABLE")).alias("matched_tokens"), F.lit("N/A").alias("md5"), no.alias("is_blacklisted"), no.alias("is_htaccess"),
         F.lit(None).cast("string").alias("duplicate_of"), F.lit(None).cast("string").alias("error"), F.lit(True).alias("is_unreadable"), F.lit(0.0).alias("entropy"),
@@ -27,23 +32,32 @@ def unreadable_features(files: DataFrame) -> DataFrame:
 def token_features(
     files: DataFrame, mode: str = "words", needles: list[tuple[str, float | None]] = N.WEB, emit: str = "needle", entropy_source: str = "tokens"
 ) -> DataFrame:
-    """(md5, total_tokens, matched_tokens, entropy): each distinct content is tokenised once."""
-    contents = files.select("md5", "content").dropDuplicates(["md5"])
-    found = contents.select("md5", "content", tokens(F.col("content"), mode).alias("tokens")).withColumn("matched_tokens", match_needles(F.col("tokens"), needles, emit))
+    """(path, size, mtime, md5, total_tokens, matched_tokens, entropy) of each file, made where the file
+    lies: content goes through no shuffle."""
+    found = files.select("path", "size", "mtime", "content", F.md5(F.col("content").cast("binary")).alias("md5"), tokens(F.col("content"), mode).alias("tokens"))
+    found = found.withColumn("matched_tokens", match_needles(F.col("tokens"), needles, emit))
     measure = entropy(F.array_join("matched_tokens", "")) if entropy_source == "tokens" else entropy_bytes(F.col("content"))
-    return found.select("md5", F.size("tokens").cast("long").alias("total_tokens"), "matched_tokens", measure.alias("entropy"))
+    return found.select("path", "size", "mtime", "md5", F.size("tokens").cast("long").alias("total_tokens"), "matched_tokens", measure.alias("entropy"))
 
 
-def features(files: DataFrame, white: DataFrame, black: DataFrame, mark: bool = True, **how: object) -> DataFrame:
-    """One row per kept file: known good files are dropped first, known bad ones flagged, copies
-    point at the first file of their hash; unreadable files keep a row without content."""
+def features(files: DataFrame, white: DataFrame, black: DataFrame, mark: bool = True, outcomes: DataFrame | None = None, **how: object) -> DataFrame:
+    """One row per kept file: known good files are dropped, known bad ones flagged, copies point at
+    the first file of their hash; unreadable files (also those of which that is not known) keep a row
+    without content. ``outcomes`` (md5, error) says what failed of the actions on known bad files.
+
+    The rows are written once, without content, and what follows reads those.
+    """
     kept = filter_patterns(files)
-    readable = drop_whitelisted(kept.where("is_readable").withColumn("md5", F.md5(F.col("content").cast("binary"))), white)
-    meta = flag_blacklisted(readable.select("path", "size", "mtime", "md5"), black)
-    meta = mark_duplicates(meta) if mark else meta.withColumn("duplicate_of", F.lit(None).cast("string"))
-    full = meta.join(token_features(readable, **how), "md5").select(
+    rows = drop_whitelisted(written(token_features(kept.where(readable()), **how), "features"), white)
+    rows = flag_blacklisted(rows, black)
+    rows = mark_duplicates(rows) if mark else rows.withColumn("duplicate_of", F.lit(None).cast("string"))
+    if outcomes is None:
+        rows = rows.withColumn("error", F.lit(None).cast("string"))
+    else:
+        rows = rows.join(outcomes.groupBy("md5").agg(F.min("error").alias("_error")), "md5", "left").withColumn("error", F.when(F.col("is_blacklisted"), F.col("_error")))
+    full = rows.select(
         "path", "size", "mtime", "total_tokens", "matched_tokens", "md5", "is_blacklisted", is_htaccess(F.col("path")).alias("is_htaccess"), "duplicate_of",
-        F.lit(None).cast("string").alias("error"), F.lit(False).alias("is_unreadable"), "entropy",
+        "error", F.lit(False).alias("is_unreadable"), "entropy",
     )
     return full.unionByName(unreadable_features(kept))
 
@@ -52,17 +66,20 @@ def base_score(matched: Column, needles: list[tuple[str, float | None]] = N.WEB)
     """Sum of weights; the table's own spelling is looked up with the lower-cased token, and what
     it lacks weighs 1."""
     zero = F.lit(Decimal("0.00")).cast("decimal(12,2)")
-    table = F.create_map(*(x for n, w in needles for x in (F.lit(n), F.lit(Decimal(str(w)))))).cast("map<string,decimal(12,2)>")
+    weights = {n: w for n, w in needles if w is not None}
+    table = F.create_map(*(x for n, w in weights.items() for x in (F.lit(n), F.lit(Decimal(str(w)))))).cast("map<string,decimal(12,2)>")
     one = F.lit(Decimal("1.00")).cast("decimal(12,2)")
     return F.aggregate(matched, zero, lambda s, t: (s + F.coalesce(F.try_element_at(table, ascii_lower(t)), one)).cast("decimal(12,2)"))
 
 
-def threat_score(path: Column, size: Column, matched: Column, text_entropy: Column, is_blacklisted: Column) -> Column:
+def threat_score(
+    path: Column, size: Column, matched: Column, text_entropy: Column, is_blacklisted: Column, needles: list[tuple[str, float | None]] = N.WEB, categories: N.Categories = N.CATEGORIES
+) -> Column:
     """Weights, then multipliers for categories found together, then bonuses for place and small
     dense files, rounded; at least 100 for a known bad file."""
     low = F.transform(matched, ascii_lower)
-    critical, obfuscation, upload = (F.arrays_overlap(low, F.array(*map(F.lit, c))) for c in (N.CRITICAL, N.OBFUSCATION, N.UPLOAD))
-    score = base_score(matched).cast("decimal(16,4)")
+    critical, obfuscation, upload = (F.arrays_overlap(low, F.array(*map(F.lit, c)).cast("array<string>")) for c in categories)
+    score = base_score(matched, needles).cast("decimal(16,4)")
     score = F.when(critical & obfuscation, score * F.lit(Decimal("2.5"))).otherwise(score).cast("decimal(18,4)")
     score = F.when(critical & upload, score * F.lit(Decimal("1.8"))).otherwise(score).cast("decimal(20,4)")
     place = ascii_lower(F.replace(path, F.lit("\\"), F.lit("/"))).rlike("|".join(N.UPLOAD_PLACES))
@@ -90,8 +107,11 @@ def corpus_stats(feats: DataFrame) -> DataFrame:
     return rows.agg(*aggs).withColumn("ratio", F.col("susp_mean") / F.greatest(F.lit(1.0), F.col("tokens_mean")))
 
 
-def analyse(feats: DataFrame, z_threshold: float = 3.5, stats: DataFrame | None = None) -> DataFrame:
-    """Adds susp_count, threat_score, z, residual, is_anomaly and date to features."""
+def analyse(
+    feats: DataFrame, z_threshold: float = 3.5, stats: DataFrame | None = None, needles: list[tuple[str, float | None]] = N.WEB, categories: N.Categories = N.CATEGORIES
+) -> DataFrame:
+    """Adds susp_count, threat_score, z, residual, is_anomaly and date to features. ``needles`` and
+    ``categories`` are those that the features were matched with (see ``sources.files.needle_lists``)."""
     rows = feats.withColumn("susp_count", susp_count()).crossJoin(F.broadcast(stats if stats is not None else corpus_stats(feats)))
     unreadable = F.col("is_unreadable")
 
@@ -99,7 +119,7 @@ def analyse(feats: DataFrame, z_threshold: float = 3.5, stats: DataFrame | None
         v, m, s = F.col(STATS[name]).cast("double"), F.col(f"{name}_mean"), F.col(f"{name}_std")
         return F.when(unreadable | (s == 0) | v.isNull(), F.lit(0.0)).otherwise((v - m) / s)
 
-    score = threat_score(F.col("path"), F.col("size"), F.col("matched_tokens"), F.col("entropy"), F.col("is_blacklisted"))
+    score = threat_score(F.col("path"), F.col("size"), F.col("matched_tokens"), F.col("entropy"), F.col("is_blacklisted"), needles, categories)
     rows = rows.withColumn("z", F.struct(*(z(n).alias(n) for n in STATS))).withColumn("threat_score", F.when(unreadable, F.lit(0.0)).otherwise(score))
     rows = rows.withColumn("residual", F.when(unreadable, F.lit(0.0)).otherwise(F.col("susp_count") - F.col("total_tokens") * F.col("ratio")))
     far = F.lit(False)

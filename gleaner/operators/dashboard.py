@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.operators.selection import sort_order
+from gleaner.sources.tables import written
+
 
 def insights(scored: DataFrame) -> DataFrame:
     """One row of counts and ranges; ranges are over readable rows with a size, 0 without any."""
@@ -55,11 +58,25 @@ def timeline(rows: DataFrame, buckets: int = 20, time: str = "mtime", score: str
     return full.crossJoin(F.broadcast(most)).select("bucket", start.alias("start"), "n", "max_threat", score_band(F.col("max_threat")).alias("band"), (F.col("n") / F.col("most")).alias("height"))
 
 
+def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """Adds place, from 0, in the given order of all rows.
+
+    Rows are dealt over partitions by ranges and sorted there; each row's partition and place in it
+    are written with it, so that they are the same for the counts and for the rows.
+    """
+    place = F.monotonically_increasing_id()  # low 33 bits: place in the partition; the rest: the partition
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    kept = written(dealt.select("*", F.shiftright(place, 33).alias("_part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")), "numbered")
+    sizes = kept.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return kept.join(F.broadcast(before), "_part").withColumn("place", F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
 def _value_counts(rows: DataFrame, col: str) -> DataFrame:
     """Counts of each value with the number of rows below it. The running sum is over partitions
     of values in order: first within, then what came before by partition."""
     counts = rows.groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n"))
-    dealt = counts.repartitionByRange("value").withColumn("part", F.spark_partition_id())
+    dealt = written(counts.repartitionByRange("value").withColumn("part", F.spark_partition_id()), "values")
     before = dealt.groupBy("part").agg(F.sum("n").alias("m")).select("part", (F.sum("m").over(Window.orderBy("part")) - F.col("m")).alias("base"))
     within = F.sum("n").over(Window.partitionBy("part").orderBy("value")) - F.col("n")
     return dealt.withColumn("within", within).join(F.broadcast(before), "part").select("value", "n", (F.col("base") + F.col("within")).alias("below"))
@@ -76,11 +93,11 @@ def order_stats(rows: DataFrame, col: str = "entropy", qs: tuple[float, ...] = (
 
 def entropy_rank(scored: DataFrame) -> DataFrame:
     """(path, entropy, rank): each readable file's place by entropy, then newest first and path, from 0 to 1."""
-    rows = scored.where("not is_unreadable").select("path", "mtime", "entropy")
-    counts = _value_counts(rows, "entropy")
-    total = counts.agg(F.sum("n").alias("total"))
-    dealt = rows.repartitionByRange("entropy", F.col("mtime").desc(), "path").sortWithinPartitions("entropy", F.col("mtime").desc(), "path").withColumn("part", F.spark_partition_id())
-    sizes = dealt.groupBy("part").agg(F.count("*").alias("m")).select("part", (F.sum("m").over(Window.orderBy("part")) - F.col("m")).alias("base"))
-    within = F.row_number().over(Window.partitionBy("part").orderBy("entropy", F.col("mtime").desc(), "path")) - 1
-    placed = dealt.withColumn("within", within).join(F.broadcast(sizes), "part").crossJoin(F.broadcast(total))
-    return placed.select("path", "entropy", ((F.col("base") + F.col("within")) / F.greatest(F.lit(1), F.col("total") - 1)).alias("rank"))
+    rows = numbered(scored.where("not is_unreadable").select("path", "mtime", "entropy"), [F.col("entropy"), F.col("mtime").desc(), F.col("path")])
+    total = rows.agg(F.count("*").alias("total"))
+    return rows.crossJoin(F.broadcast(total)).select("path", "entropy", (F.col("place") / F.greatest(F.lit(1), F.col("total") - 1)).alias("rank"))
+
+
+def ranked_rows(scored: DataFrame, mode: str = "threat") -> DataFrame:
+    """Adds place, from 0, by one of the result orders."""
+    return numbered(scored, sort_order(mode))

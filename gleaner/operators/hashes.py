@@ -36,7 +36,7 @@ def dedupe_hashes(lines: DataFrame) -> DataFrame:
 
 def duplicate_groups(files: DataFrame) -> DataFrame:
     """For each hash of several files: how many, and the first by time (newest) and path."""
-    first = F.min(F.struct((-F.col("mtime")).alias("age"), "path"))
+    first = F.min(F.struct((-F.coalesce("mtime", F.lit(0))).alias("age"), "path"))
     return files.groupBy("md5").agg(F.count("*").alias("copies"), first["path"].alias("first_path")).where("copies > 1")
 
 
@@ -53,5 +53,5 @@ def mark_duplicates(files: DataFrame) -> DataFrame:
 
 def mark_duplicates_by_window(files: DataFrame) -> DataFrame:
     """The same by a window, for checks; one task holds all files of a hash."""
-    first = F.first("path").over(Window.partitionBy("md5").orderBy(F.col("mtime").desc(), "path"))
+    first = F.first("path").over(Window.partitionBy("md5").orderBy(F.coalesce("mtime", F.lit(0)).desc(), "path"))
     return files.withColumn("duplicate_of", F.when(first != F.col("path"), first))

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import needles as N
 from gleaner.functions.text import json_leaf_paths
-from gleaner.operators.analysis import token_features
-from gleaner.operators.hashes import drop_whitelisted, mark_duplicates
+from gleaner.operators.analysis import readable, token_features
+from gleaner.operators.hashes import drop_whitelisted, flag_blacklisted, mark_duplicates
 from gleaner.operators.selection import filter_patterns
+from gleaner.sources.tables import written
+
+
+def one_decimal(value: Column) -> Column:
+    """The number with one decimal, halves away from zero; null stays null."""
+    tenths = F.floor(F.abs(value.cast("double")) * 10 + 0.5).cast("long")
+    sign = F.when((value < 0) & (tenths > 0), F.lit("-")).otherwise(F.lit(""))
+    return F.concat(sign, F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
 
 
 def report_lines(scored: DataFrame) -> DataFrame:
@@ -20,27 +28,31 @@ def report_lines(scored: DataFrame) -> DataFrame:
     )
     head = F.concat(F.col("path"), F.coalesce(F.concat(F.lit(" ("), kind, F.lit(")")), F.lit("")))
     measures = F.format_string(
-        " | %s | Size: %.1f KB | ThreatScore: %.1f | Tokens: %d | Suspicious: %d | Z-Susp: %.1f",
-        "date", F.col("size") / 1024, "threat_score", "total_tokens", "susp_count", F.col("z.susp"),
+        " | %s | Size: %s KB | ThreatScore: %s | Tokens: %d | Suspicious: %d | Z-Susp: %s",
+        "date", one_decimal(F.col("size") / 1024), one_decimal(F.col("threat_score")), "total_tokens", "susp_count", one_decimal(F.col("z.susp")),
     )
     md5 = F.when(F.col("md5") != "N/A", F.concat(F.lit(" | MD5: "), F.col("md5"))).otherwise("")
     tail = F.when(~F.col("is_unreadable") & F.col("size").isNotNull(), F.concat(measures, md5)).otherwise(F.concat(F.lit(" | "), F.col("date")))
     return scored.select("path", F.concat(head, tail).alias("line"))
 
 
-def cli_report(files: DataFrame, white: DataFrame, black: DataFrame) -> DataFrame:
-    """(path, class, line): known bad files leave first, then copies, then files with matched
-    tokens; a file without any gives no row."""
-    kept = filter_patterns(files, N.CLI_PATTERNS).where("is_readable").withColumn("md5", F.md5(F.col("content").cast("binary")))
-    rows = drop_whitelisted(kept, white)
-    bad = rows.join(black.select("md5"), "md5", "left_semi")
-    rest = rows.join(black.select("md5"), "md5", "left_anti")
-    marked = mark_duplicates(rest.select("path", "mtime", "md5"))
-    copies = marked.where(F.col("duplicate_of").isNotNull())
-    found = marked.where(F.col("duplicate_of").isNull()).join(token_features(rest, needles=N.CLI, emit="token"), "md5").where(F.size("matched_tokens") > 0)
-    out = bad.select("path", F.lit("blacklist").alias("class"), F.format_string("%s (Blacklist)(%s)", "path", "md5").alias("line"))
-    out = out.unionByName(copies.select("path", F.lit("duplicate").alias("class"), F.format_string("%s -> %s(%s)", "path", "duplicate_of", "md5").alias("line")))
-    return out.unionByName(found.select("path", F.lit("matched").alias("class"), F.format_string("%s (%s)", F.col("path"), F.array_join("matched_tokens", ", ")).alias("line")))
+def cli_report(files: DataFrame, white: DataFrame, black: DataFrame, reputation: DataFrame | None = None) -> DataFrame:
+    """(path, class, line): known bad files leave first, then copies, then files whose hash has a verdict
+    in ``reputation``, then files with matched tokens; a file without any gives no row."""
+    kept = filter_patterns(files, N.CLI_PATTERNS).where(readable())
+    rows = drop_whitelisted(written(token_features(kept, needles=N.CLI, emit="token"), "cli"), white)
+    rows = flag_blacklisted(rows, black)
+    marked = mark_duplicates(rows.where("not is_blacklisted"))
+    told = marked.withColumn("verdict", F.lit(None).cast("string")) if reputation is None else apply_reputation(marked, reputation)
+    kind = F.when(F.col("duplicate_of").isNotNull(), "duplicate").when(F.col("verdict").isNotNull(), F.col("verdict")).when(F.size("matched_tokens") > 0, "matched")
+    line = (
+        F.when(F.col("class") == "duplicate", F.format_string("%s -> %s(%s)", "path", "duplicate_of", "md5"))
+        .when(F.col("class") == "webshell", F.format_string("[!] %s (VTotal Webshell) (%s)", "path", "md5"))
+        .when(F.col("class") == "malicious", F.format_string("[!] %s (VTotal Malicious) (%s)", "path", "md5"))
+        .otherwise(F.format_string("%s (%s)", F.col("path"), F.array_join("matched_tokens", ", ")))
+    )
+    found = told.withColumn("class", kind).where(F.col("class").isNotNull()).select("path", "class", line.alias("line"))
+    return rows.where("is_blacklisted").select("path", F.lit("blacklist").alias("class"), F.format_string("%s (Blacklist)(%s)", "path", "md5").alias("line")).unionByName(found)
 
 
 def quarantine_list(features: DataFrame) -> DataFrame:
@@ -54,8 +66,11 @@ def write_features(features: DataFrame, path: str, form: str = "json") -> None:
 
 
 def apply_reputation(files: DataFrame, reputation: DataFrame) -> DataFrame:
-    """Adds verdict: webshell if any string of the reply is 'malicious', malicious if it counts
-    votes for that, else null (such rows go on to the token stage)."""
-    told = reputation.select("md5", F.size(json_leaf_paths(F.col("reply"), "malicious")).alias("leaves"), F.get_json_object("reply", "$.data.attributes.total_votes.malicious").cast("long").alias("votes"))
-    verdict = F.when(F.col("leaves") > 0, "webshell").when(F.col("votes") > 0, "malicious")
-    return files.join(told, "md5", "left").withColumn("verdict", verdict).drop("leaves", "votes")
+    """Adds verdict: webshell if any string of the reply is 'malicious', malicious if it counts votes for
+    that, else null; a reply without data has none. Of several replies to one hash the worst counts."""
+    votes = F.get_json_object("reply", "$.data.attributes.total_votes.malicious").try_cast("double")
+    held = F.get_json_object("reply", "$.data").isNotNull()
+    told = reputation.where(held).select("md5", (F.size(json_leaf_paths(F.col("reply"), "malicious")) > 0).alias("named"), F.coalesce(votes > 0, F.lit(False)).alias("voted"))
+    told = told.groupBy("md5").agg(F.max("named").alias("_named"), F.max("voted").alias("_voted"))
+    verdict = F.when(F.col("_named"), "webshell").when(F.col("_voted"), "malicious")
+    return files.join(told, "md5", "left").withColumn("verdict", verdict).drop("_named", "_voted")

@@ -29,15 +29,30 @@ def _ascii_lower(name: str) -> str:
 def match_needles(tokens: Column, needles: list[tuple[str, float | None]], emit: str = "needle") -> Column:
     """Needles that are among the tokens, in needle order; or the tokens that are needles, in token
     order. Compared without regard to the case of A-Z."""
-    names = [n for n, _ in needles]
-    if emit == "needle":
-        spelled = F.create_map(*(F.lit(x) for n in names for x in (_ascii_lower(n), n)))
-        hits = F.array_intersect(F.array(*(F.lit(_ascii_lower(n)) for n in names)), F.transform(tokens, ascii_lower))
-        return F.transform(hits, lambda low: F.element_at(spelled, low))
+    names = list(dict.fromkeys(n for n, _ in needles))
+    if not names:
+        return F.array().cast("array<string>")
     wanted = F.array(*(F.lit(n) for n in dict.fromkeys(map(_ascii_lower, names))))
+    if emit == "needle":
+        hits = F.array_intersect(wanted, _lowered(tokens, names))
+        groups: dict[str, list[str]] = {}
+        for n in names:
+            groups.setdefault(_ascii_lower(n), []).append(n)
+        if len(groups) == len(names):
+            spelled = F.create_map(*(F.lit(x) for low, (n,) in groups.items() for x in (low, n)))
+            return F.transform(hits, lambda low: F.element_at(spelled, low))
+        return F.filter(F.array(*map(F.lit, names)), lambda n: F.array_contains(hits, ascii_lower(n)))
     return F.filter(tokens, lambda t: F.array_contains(wanted, ascii_lower(t)))
 
 
+def _lowered(tokens: Column, names: list[str]) -> Column:
+    """All tokens in lower case. If no needle has other signs than ASCII, one call of Spark's ``lower``
+    serves for all tokens of a file; of the signs that it makes ASCII only the Kelvin sign does so alone."""
+    if not all(n.isascii() and "\n" not in n for n in names):
+        return F.transform(tokens, ascii_lower)
+    return F.split(F.lower(F.replace(F.array_join(tokens, "\n"), F.lit("\u212a"), F.lit("?"))), "\n")
+
+
 def match_needles_by_join(files: DataFrame, needles: DataFrame, key: str = "path") -> DataFrame:
     """The same for needle tables too long for literals: (key, matched_tokens) in needle order."""
     rows = files.select(key, F.explode("tokens").alias("t")).select(key, ascii_lower(F.col("t")).alias("low")).distinct()
@@ -88,12 +103,22 @@ def essential_tokens() -> Column:
     return F.array_intersect(F.transform("matched_tokens", ascii_lower), F.array(*map(F.lit, N.ESSENTIAL)))
 
 
+def listing_order() -> list[Column]:
+    """Readable files newest first, then by path; after them the others by path."""
+    return [F.coalesce("is_unreadable", F.lit(False)), F.when(~F.col("is_unreadable"), F.coalesce("mtime", F.lit(0))).desc(), F.col("path")]
 
 
-def sort_rows(scored: DataFrame, mode: str = "threat") -> DataFrame:
-    """By the key falling, null as 0; ties newest first, then by path."""
+SORT_MODES = ["threat", "mtime", "tokens", "susp", "residual"]
+
+
+def sort_order(mode: str = "threat") -> list[Column]:
+    """By the key falling, null as 0; ties in listing order."""
     key = {"threat": F.col("threat_score"), "mtime": F.col("mtime"), "tokens": F.col("total_tokens"), "susp": F.abs(F.col("z.susp")), "residual": F.col("residual")}[mode]
-    return scored.orderBy(F.coalesce(key, F.lit(0)).desc(), F.col("mtime").desc(), "path")
+    return [F.coalesce(key.cast("double"), F.lit(0.0)).desc(), *listing_order()]
+
+
+def sort_rows(scored: DataFrame, mode: str = "threat") -> DataFrame:
+    return scored.orderBy(*sort_order(mode))
 
 
 def top_threats(scored: DataFrame, k: int = 5) -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import needles as N
+from gleaner.functions.text import LOWER, UPPER
 
 FILES = "path string, mtime long, size long, content binary, is_readable boolean"
 NEEDLES = "pos int, token string, weight decimal(6,2), is_critical boolean, is_obfuscation boolean, is_upload boolean"
@@ -48,9 +50,16 @@ def load_hashes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.lower(F.trim(F.regexp_replace("value", "\r", ""))).alias("md5")).where("md5 <> ''").distinct()
 
 
+def needle_lists(table: DataFrame) -> tuple[list[tuple[str, float | None]], N.Categories]:
+    """A needle table of the user's, in its order, as what ``features`` and ``analyse`` take. Such a table
+    is a list of words that a person keeps; longer ones go through ``match_needles_by_join``."""
+    rows = sorted(table.collect(), key=lambda r: r["pos"])
+    pick = lambda flag: [r["token"].translate(str.maketrans(UPPER, LOWER)) for r in rows if r[flag]]
+    weights = [(r["token"], None if r["weight"] is None else float(r["weight"])) for r in rows]
+    return weights, (pick("is_critical"), pick("is_obfuscation"), pick("is_upload"))
+
+
 def needle_table(spark: SparkSession, profile: str = "web") -> DataFrame:
     rows = N.WEB if profile == "web" else N.CLI
-    from decimal import Decimal
-
     made = [(i, t, None if w is None else Decimal(str(w)), t in N.CRITICAL, t in N.OBFUSCATION, t in N.UPLOAD) for i, (t, w) in enumerate(rows)]
     return spark.createDataFrame(made, NEEDLES)

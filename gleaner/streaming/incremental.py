@@ -10,27 +10,35 @@ from gleaner.operators.analysis import FEATURES, analyse, features
 from gleaner.operators.hashes import mark_duplicates
 
 
-def read_chunks(spark: SparkSession, folder: str, schema: object, files_per_chunk: int = 1, newest_first: bool = False) -> DataFrame:
-    """A stream of Parquet files of file rows, some of them per chunk."""
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_chunk).option("latestFirst", newest_first)
-    return source.parquet(folder)
+SEEN = "md5 string, path string, chunk int, prefix string"
+
+
+def read_chunks(spark: SparkSession, folder: str, schema: object, files_per_chunk: int | None = None, newest_first: bool = False) -> DataFrame:
+    """A stream of Parquet files of file rows: so many files per chunk, or all that are new."""
+    source = spark.readStream.schema(schema).option("latestFirst", newest_first)
+    return (source.option("maxFilesPerTrigger", files_per_chunk) if files_per_chunk else source).parquet(folder)
 
 
 def stream_features(files: DataFrame, white: DataFrame, black: DataFrame, out: str, checkpoint: str, every: int = 3, **how: object) -> StreamingQuery:
     """Start the scan. Features are appended to ``out``/features by chunk; a chunk that runs again
-    replaces its own rows. A file's copies in earlier chunks are found by a join with the first
-    files of each hash there. After every third chunk all rows so far are analysed to ``out``/scored.
+    replaces its own rows. A file's copies in earlier chunks are found in ``out``/seen, which holds the
+    first file of each hash by chunk and by the first two signs of the hash; a chunk reads the parts that
+    its own hashes need. After every third chunk all rows so far are analysed to ``out``/scored.
     """
 
     def chunk(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
         own = features(rows, white, black, mark=False, **how)
-        readable = mark_duplicates(own.where("not is_unreadable").drop("duplicate_of"))
+        readable = mark_duplicates(own.where("not is_unreadable").drop("duplicate_of")).withColumn("prefix", F.substring("md5", 1, 2))
         if number:
-            seen = spark.read.parquet(f"{out}/features").where((F.col("chunk") < number) & F.col("duplicate_of").isNull() & ~F.col("is_unreadable")).select("md5", F.col("path").alias("_seen"))
+            asked = [r["prefix"] for r in readable.select("prefix").distinct().collect()]  # 256 at the most
+            seen = spark.read.schema(SEEN).parquet(f"{out}/seen").where((F.col("chunk") < number) & F.col("prefix").isin(asked)).select("md5", F.col("path").alias("_seen"))
             readable = readable.join(seen, "md5", "left").withColumn("duplicate_of", F.coalesce("_seen", "duplicate_of")).drop("_seen")
         every_row = readable.select(*FEATURES).unionByName(own.where("is_unreadable").select(*FEATURES))
         every_row.write.mode("overwrite").parquet(f"{out}/features/chunk={number}")
+        done = spark.read.parquet(f"{out}/features/chunk={number}")
+        first = done.where(F.col("duplicate_of").isNull() & ~F.col("is_unreadable")).select("md5", "path", F.substring("md5", 1, 2).alias("prefix"))
+        first.repartition("prefix").write.mode("overwrite").partitionBy("prefix").parquet(f"{out}/seen/chunk={number}")
         if number % every == every - 1:
             analyse(spark.read.parquet(f"{out}/features").drop("chunk")).write.mode("overwrite").parquet(f"{out}/scored")
 
@@ -38,7 +46,7 @@ def stream_features(files: DataFrame, white: DataFrame, black: DataFrame, out: s
 
 
 def scan_in_chunks(spark: SparkSession, files: DataFrame, white: DataFrame, black: DataFrame, out: str, checkpoint: str) -> DataFrame:
-    """Run the stream over all that is there and analyse once more at the end."""
+    """Run the stream over all that is there and analyse all chunks so far."""
     query = stream_features(files, white, black, out, checkpoint)
     query.awaitTermination()
     return analyse(spark.read.parquet(f"{out}/features").drop("chunk"))

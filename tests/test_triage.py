@@ -1,5 +1,7 @@
 """Golden rows for the quirks of the triage rules; the queries themselves are held against SQL."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from gleaner.functions import text
 from gleaner.functions.lexer import lex
 from gleaner.functions.needles import CLI, WEB
 from gleaner.jobs import catalog
-from gleaner.operators import analysis, dashboard, hashes, selection
+from gleaner.operators import analysis, dashboard, hashes, report, selection
 from gleaner.sources import files as sources
 
 SF = "/root/testdata/sf0.001"
@@ -51,6 +53,10 @@ def test_short_tags(spark):
         ('<?php "a $b c"', ["<?php", " ", '"', "a ", "$b", " c", '"']),
         ("<?php (int)$x->y??\\system", ["<?php", " ", "(int)", "$x", "->", "y", "??", "\\system"]),
         ("<?php `ls`", ["<?php", " ", "`", "ls", "`"]),
+        ("<?php `cat eval -x`;", ["<?php", " ", "`", "cat eval -x", "`", ";"]),
+        ("<?php `a $b\\` c", ["<?php", " ", "`", "a ", "$b", "\\` c"]),
+        ("<?php yield from x(); yield fromage;", ["<?php", " ", "yield from", " ", "x", "(", ")", ";", " ", "yield", " ", "fromage", ";"]),
+        ("<?php b'eval'.B\"a $b\";", ["<?php", " ", "b'eval'", ".", 'B"', "a ", "$b", '"', ";"]),
         ("<?php <<<'E'\nraw $x\nE;", ["<?php", " ", "<<<'E'\n", "raw $x\n", "E", ";"]),
         ("<?php __halt_compiler();rest <?php eval", ["<?php", " ", "__halt_compiler", "(", ")", ";", "rest <?php eval"]),
     ],
@@ -103,7 +109,64 @@ def test_order_stats_and_timeline(spark):
     assert len(got) == 20 and (got[0], got[10], got[19]) == ((1, "low"), (1, "high"), (1, "medium"))
 
 
+def test_own_needles_reach_the_score(spark):
+    table = spark.createDataFrame([(1, "b", None, False, True, False), (0, "Zap", 42.0, True, False, False)], "pos int, token string, weight double, is_critical boolean, is_obfuscation boolean, is_upload boolean")
+    needles, categories = sources.needle_lists(table)
+    assert needles == [("Zap", 42.0), ("b", None)] and categories == (["zap"], ["b"], [])
+    frame = spark.createDataFrame([(["zap"],), (["zap", "b"],), (["b"],)], "m array<string>")
+    none = F.lit(None)
+    got = frame.select(analysis.threat_score(F.lit("/a/x"), F.lit(1), F.col("m"), F.lit(0.0), none.cast("boolean"), [("zap", 42.0), ("b", None)], categories)).collect()
+    assert [r[0] for r in got] == [42.0, 107.5, 1.0]
+    assert values(spark, lambda c: selection.match_needles(text.tokens(c), needles), ["ZAP \u212a B"]) == [["Zap", "b"]]
+    assert values(spark, lambda c: selection.match_needles(text.tokens(c), [("k", 1.0), ("É", 1.0)]), ["\u212a é É"]) == [["É"]]
+
+
+def files(spark, rows):
+    return spark.createDataFrame([(*r, None if r[2] is None else len(r[2])) for r in rows], "path string, mtime long, content string, is_readable boolean, size long")
+
+
+def test_unknown_readability_and_outcomes(spark):
+    rows = files(spark, [("/a.php", 5, "<?php eval(1);", True), ("/b.php", 6, None, False), ("/c.php", None, None, None), ("/d.txt", 1, "x", True)])
+    md5 = rows.where("path = '/a.php'").select(F.md5(F.col("content").cast("binary")).alias("md5"))
+    none = md5.limit(0)
+    feats = analysis.features(rows, none, md5, outcomes=md5.withColumn("error", F.lit("busy")).unionAll(md5.withColumn("error", F.lit("busy"))))
+    got = {r["path"]: (r["is_unreadable"], r["error"], r["mtime"]) for r in feats.collect()}
+    assert got == {"/a.php": (False, "busy", 5), "/b.php": (True, None, 6), "/c.php": (True, None, 0)}
+    assert sorted(map(tuple, selection.warnings(feats).collect())) == [("action failed", "/a.php"), ("not readable", "/b.php"), ("not readable", "/c.php")]
+    assert analysis.analyse(analysis.features(rows.limit(0), none, none)).count() == 0
+
+
+def test_reputation(spark):
+    rows = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3"), ("d", "4")], "path string, md5 string")
+    voted = '{"data":{"attributes":{"total_votes":{"malicious":2}}}}'
+    replies = [("1", voted), ("1", voted), ("1", '{"data":{"x":["MALICIOUS"]}}'), ("2", voted), ("3", '{"error":"malicious"}'), ("4", "no json"), ("4", None)]
+    got = report.apply_reputation(rows, spark.createDataFrame(replies, "md5 string, reply string"))
+    assert sorted((r["path"], r["verdict"]) for r in got.collect()) == [("a", "webshell"), ("b", "malicious"), ("c", None), ("d", None)]
+
+
+def test_orders_over_many_partitions(spark):
+    rng = random.Random(2)
+    rows = [(f"/p{i:04}", None if i % 50 == 0 else rng.randrange(9), rng.choice([0.0, 1.5, None]), i % 11 == 0, rng.random()) for i in range(900)]
+    frame = spark.createDataFrame(rows, "path string, mtime long, threat_score double, is_unreadable boolean, entropy double").repartition(7)
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        got = {r["path"]: r["place"] for r in dashboard.ranked_rows(frame, "threat").collect()}
+        ranks = {r["path"]: r["rank"] for r in dashboard.entropy_rank(frame.withColumn("mtime", F.coalesce("mtime", F.lit(0)))).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want = sorted(rows, key=lambda r: (-(r[2] or 0), r[3], 0 if r[3] else -(r[1] or 0), r[0]))
+    assert [got[r[0]] for r in want] == list(range(900))
+    read = sorted((r for r in rows if not r[3]), key=lambda r: r[4])
+    assert [ranks[r[0]] for r in read] == pytest.approx([i / (len(read) - 1) for i in range(len(read))])
+
+
+@pytest.mark.parametrize(("value", "want"), [(0.25, "0.3"), (-0.25, "-0.3"), (0.04, "0.0"), (-0.04, "0.0"), (1234.5, "1234.5"), (None, None)])
+def test_one_decimal(spark, value, want):
+    assert spark.range(1).select(report.one_decimal(F.lit(value).cast("double"))).first()[0] == want
+
+
 def test_json_leaves():
+    assert text.leaf_paths({"a": {"b": {"c": "MALICIOUS", "d": ["x", {"e": "malicious"}]}}}, "malicious") == ["a[b[c]]", "a[b[d[1[e]]]]"]
     assert text.leaf_paths({"a": {"b": "Malicious"}, "c": 1, "d": ["x", "malicious"]}, "malicious") == ["a[b]", "d[1]"]
 
 
@@ -118,7 +181,7 @@ def test_files_and_hash_lists(spark, tmp_path):
     assert sorted(r["md5"] for r in sources.load_hashes(spark, f"file://{tmp_path}/list").collect()) == ["ab", "cd"]
 
 
-@pytest.mark.parametrize("name", ["top_threats", "scored", "cli_report", "chunked_scan"])
+@pytest.mark.parametrize("name", ["top_threats", "scored", "cli_report", "chunked_scan", "scored_by_lexer", "scored_by_own_needles", "dense_files", "result_orders", "manifest_read", "labels"])
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
     for table in ("documents", "pages", "events"):
