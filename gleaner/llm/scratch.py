@@ -21,6 +21,16 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts are long: where the session leaves the size of Arrow batches at Spark's default of 10,000
+    rows, it is set to ``rows``, as tasks hold several batches outside the heap."""
+    if spark.conf.get(ARROW_ROWS, "10000") == "10000":
+        spark.conf.set(ARROW_ROWS, str(rows))
+
+
 class Scratch:
     """One job's folder of intermediate tables. ``drop`` removes those no longer needed.
 
@@ -28,6 +38,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, job: str):
+        bounded_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/gleaner-{job}-{uuid.uuid4().hex}"
 

@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gleaner.llm.scratch import bounded_batches
 from gleaner.llm.tokens import chunked, encoder
 
 #: Fixed values of the seekable format.
@@ -119,6 +120,7 @@ def write_tokens(
     A null or empty text is the end id alone; a null id comes first; rows that repeat an id follow
     each other, ordered by text. Other columns are ignored; no rows give an empty index.
     """
+    bounded_batches(spark)
     docs = docs.select(id_col, text_col)
     chars = docs.agg(F.sum(F.length(text_col)).alias("n")).first()["n"] or 0
     files = max(spark.sparkContext.defaultParallelism, -(-chars // file_chars))

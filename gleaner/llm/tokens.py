@@ -34,7 +34,7 @@ _SPACE_SIGN, _WORD_END = "Ġ", "</w>"
 _ENTRY = 170
 #: Longer pieces are encoded each time.
 _LONGEST_KEY = 64
-CHUNK_BYTES = 3_000_000
+CHUNK_BYTES = 2_500_000
 _loaded: dict[tuple[str, int], "WordEncoder"] = {}
 
 
@@ -166,10 +166,7 @@ class WordEncoder:
         if respaced is not None:
             data, starts, lengths, at, begins = self._respace(*respaced, data, starts, lengths, at, offsets)
         own = lengths[at]
-        end = np.cumsum(own, dtype=np.int64)
-        where = np.repeat(starts[at] - (end - own), own)
-        where += np.arange(len(where))
-        return data[where], np.add.reduceat(own.astype(np.int64), begins)
+        return data[stretches(starts[at], own)], np.add.reduceat(own, begins)
 
     @staticmethod
     def _spaces(pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -212,8 +209,7 @@ class WordEncoder:
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         begin = np.cumsum(size) - size
         own = size[places].ravel()
-        where = np.repeat(begin[places].ravel() - (np.cumsum(own) - own), own)
-        where += np.arange(len(where))
+        where = stretches(begin[places].ravel(), own)
         lengths = own.reshape(-1, 3).sum(1)
         return np.frombuffer(b"".join(ids), "<u4")[where], np.cumsum(lengths) - lengths, lengths
 
@@ -240,6 +236,15 @@ class WordEncoder:
         return out
 
 
+def stretches(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, so many of each."""
+    ends = np.cumsum(lengths)
+    kind = np.int32 if len(ends) and max(int(ends[-1]), int(starts.max())) < 1 << 31 else np.int64
+    where = np.repeat((starts - (ends - lengths)).astype(kind), lengths)
+    where += np.arange(len(where), dtype=kind)
+    return where
+
+
 def _ends_of(strings: pa.StringArray, rows: np.ndarray, sizes: np.ndarray) -> pa.StringArray:
     """The last ``sizes`` bytes of the strings of ``rows``."""
     some = strings.take(pa.array(rows))
@@ -251,11 +256,14 @@ def _ends_of(strings: pa.StringArray, rows: np.ndarray, sizes: np.ndarray) -> pa
 
 
 def chunked(words: WordEncoder, texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(number of the first text, ids, counts) of stretches of about ``limit`` bytes; a longer text stands alone."""
+    """(number of the first text, ids, counts) of stretches of equal size, of ``limit`` bytes at most; a
+    longer text stands alone."""
     ends, lo = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    even = -(-int(ends[-1]) // max(1, -(-int(ends[-1]) // limit))) if len(ends) else 0
     while lo < len(texts):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + limit, "right")))
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + even, "right")))
         yield lo, *words.flat(texts.slice(lo, hi - lo))
+        pa.default_memory_pool().release_unused()
         lo = hi
 
 

@@ -19,6 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.llm.scratch import bounded_batches
+
 # Fixed values of the format.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_TYPE = "application/http; msgtype=response"
@@ -72,6 +74,7 @@ def write_archives(
     that repeat an id and payload are treated alike. Other columns are ignored; no rows, no index
     rows. Files are named by the attempt that wrote them and count only once the index names them.
     """
+    bounded_batches(spark)
     payload = F.coalesce(F.col(html_col), F.lit(""))
     digest = F.sha2(payload.cast("binary"), 256)
     light = pages.select(F.col(id_col).alias("at"), digest.alias("sha"), F.octet_length(payload).alias("bytes")).where(F.col("at").isNotNull() & (F.col("bytes") >= least_bytes))
