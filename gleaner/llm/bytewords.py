@@ -15,7 +15,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 256_000
 
 #: Word bytes of the two word rules in use.
 NOT_SPACE = np.ones(256, bool)
@@ -34,13 +34,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power_tables(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + CHUNK_BYTES // 4)
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            table = np.full(size, base, np.uint64)
-            table[0] = 1
-            _powers[i] = np.cumprod(table)
-    return _powers
+    """Powers of the base and of its inverse; kept for chunks of the usual size only."""
+    if len(_powers[0]) >= n:
+        return _powers
+    size, tables = max(n, CHUNK_BYTES + CHUNK_BYTES // 4), []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        table = np.full(size, base, np.uint64)
+        table[0] = 1
+        tables.append(np.cumprod(table))
+    if size > n:
+        _powers[:] = tables
+    return tables
 
 
 def chunks(texts: list[str | None], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:

@@ -33,7 +33,7 @@ from gleaner.llm.tokens import release
 COUNT_BLOCK = 8192
 
 
-def _text_batches(batches: Iterator[pa.RecordBatch], column: int, rows: int = 2048) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def _text_batches(batches: Iterator[pa.RecordBatch], column: int, rows: int = 512) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     release()
     for batch in batches:
         for lo in range(0, batch.num_rows, rows):
@@ -43,27 +43,32 @@ def _text_batches(batches: Iterator[pa.RecordBatch], column: int, rows: int = 20
 
 def frequency_ranks(texts: DataFrame, buckets: int) -> np.ndarray:
     """A rank from 0 to 255 for each bucket of shingle hashes: eight times the logarithm of how
-    many sets hold a shingle of the bucket. Fixed in size, whatever the corpus holds."""
+    many sets hold a shingle of the bucket. Fixed in size, whatever the corpus holds; the tasks'
+    counts are added block by block as a stream, so no task holds those of several tasks."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(buckets, np.uint32)
+        total, any_set = np.zeros(buckets, np.uint32), False
         for _, sets in _text_batches(batches, 0):
-            if sets:
-                total += np.bincount((np.concatenate(sets) & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets).astype(np.uint32)
-        blocks = [(b, zlib.compress(part.tobytes(), 1)) for b, part in enumerate(total.reshape(-1, COUNT_BLOCK)) if part.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in blocks], pa.int32()), pa.array([c for _, c in blocks], pa.binary())], ["block", "counts"])
-
-    def add(key: tuple, rows: Iterator[pa.RecordBatch] | pa.Table) -> pa.Table:
-        total = np.zeros(COUNT_BLOCK, np.uint64)
-        for packed in rows.column("counts").to_pylist():
-            total += np.frombuffer(zlib.decompress(packed), np.uint32)
+            for s in sets:
+                np.add.at(total, (s & np.uint64(buckets - 1)).astype(np.int64), np.uint32(1))
+                any_set |= len(s) > 0
+        if any_set:
+            for b, part in enumerate(total.reshape(-1, min(COUNT_BLOCK, buckets))):
+                if part.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["block", "counts"])
+
+    def add(key: tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(min(COUNT_BLOCK, buckets), np.uint64)
+        for batch in rows:
+            for packed in batch.column("counts"):
+                total += np.frombuffer(zlib.decompress(packed.as_py()), np.uint32)
         rank = np.minimum(255, np.floor(8 * np.log2(np.maximum(total, 1)))).astype(np.uint8)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "ranks": pa.array([rank.tobytes()], pa.binary())})
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([rank.tobytes()], pa.binary())], ["block", "ranks"])
 
     parts = texts.mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, ranks binary")
     ranks = np.zeros(buckets, np.uint8)
     for row in parts.collect():  # at most buckets / COUNT_BLOCK rows
-        ranks[row["block"] * COUNT_BLOCK : (row["block"] + 1) * COUNT_BLOCK] = np.frombuffer(row["ranks"], np.uint8)
+        ranks[row["block"] * COUNT_BLOCK : row["block"] * COUNT_BLOCK + len(row["ranks"])] = np.frombuffer(row["ranks"], np.uint8)
     return ranks
 
 
@@ -76,10 +81,13 @@ def leading(shingles: np.ndarray, ranks: np.ndarray, percent: int) -> np.ndarray
     return shingles[order[: n - (percent * n + 99) // 100 + 1 + n // 10]]
 
 
-def meet(a: list[tuple[int, int, np.ndarray]], b: list[tuple[int, int, np.ndarray]], percent: int, same: bool) -> list[tuple[int, int, int]]:
-    """Links between the members (id, copies, sorted set) of two groups, or within one.
+Member = tuple[tuple[int, int], int, np.ndarray]
+
 
-    Returns (id, the id that stands for those it is connected with here, linked documents).
+def meet(a: list[Member], b: list[Member], percent: int, same: bool) -> list[tuple[tuple[int, int], tuple[int, int], int]]:
+    """Links between the members (name, copies, sorted set) of two groups, or within one.
+
+    Returns (name, the name that stands for those it is connected with here, linked documents).
     """
     ids = [m[0] for m in a] + ([] if same else [m[0] for m in b])
     union = np.unique(np.concatenate([m[2] for m in b]))
@@ -133,19 +141,25 @@ def jaccard_components(
     text_col: str = "text",
     percent: int = 80,
     group_size: int = 128,
+    group_shingles: int = 500_000,
     buckets: int = 1 << 23,
-    broadcast_rows: int = 1_000_000,
+    broadcast_rows: int = 500_000,
 ) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, n_shingles, component_id, n_links.
 
     Shingles are five consecutive words (A-Z lower-cased, cut at blanks, tabs and line ends); a
     shorter text has its whole word sequence as one. Two documents link when their sets' Jaccard
     similarity reaches ``percent``. component_id is the smallest id reachable, n_links the number
-    of other documents linked directly.
+    of other documents that the row's text links with.
 
     A null text or one without words has an empty set and links with nothing: it is its own
-    component. Rows that repeat an id count as one document that has each of their texts. A row
-    with a null id has no component. Other columns are ignored; no rows give no rows. Ids are longs.
+    component. Rows that repeat an id count as one document that has each of their texts, and have
+    one component. A row with a null id has no component. Other columns are ignored; no rows give no
+    rows. Ids are longs. Shingles are compared by 64-bit hashes and equal sets found by 128-bit ones;
+    words themselves are not compared again.
+
+    Groups hold ``group_size`` sets or ``group_shingles`` shingles, about. As ``n_links`` counts every
+    link, the groups of one cluster of n near copies all meet: (n / group_size)**2 / 2 meetings.
     """
     work = Scratch(spark, "ngram-join")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -168,7 +182,8 @@ def jaccard_components(
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), short, lists], ["id", "n", "key", "class", "leads"])
 
     signed = work.table("signed", docs.mapInArrow(sign, "id long, n long, key binary, class long, leads array<long>"))
-    classes = signed.where("id is not null and n > 0").groupBy("key", "class").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"))
+    held = signed.where("id is not null and n > 0").groupBy("key", "class", "id").agg(F.max("n").alias("n"))
+    classes = work.table("classes", held.groupBy("key", "class").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n")))
 
     # shingles that lead at least two classes
     leads = signed.where("id is not null and n > 0").select(F.explode("leads").alias("shingle"), "class")
@@ -180,8 +195,8 @@ def jaccard_components(
     smallest = F.floor((percent * F.col("n") + 99) / 100)
     keyed = shared.groupBy("class").agg(F.count("*").alias("found"), F.min(F.xxhash64("shingle")).alias("gkey"))
     keyed = classes.join(keyed, "class").where(F.col("found") >= 1 + F.floor(smallest / 10))
-    keyed = work.table("keyed", keyed.select("rep", "class", "copies", "gkey", (1 + F.floor(F.col("n") / 10)).alias("least")))
-    sizes = keyed.groupBy("gkey").agg(F.ceil(F.count("*") / group_size).alias("parts"))
+    keyed = work.table("keyed", keyed.select("rep", "class", "copies", "gkey", "n", (1 + F.floor(F.col("n") / 10)).alias("least")))
+    sizes = keyed.groupBy("gkey").agg(F.greatest(F.ceil(F.count("*") / group_size), F.ceil(F.sum("n") / group_shingles)).alias("parts"))
     members = work.table("members", keyed.join(sizes, "gkey").select("rep", "class", "copies", "least", F.xxhash64("gkey", F.pmod(F.xxhash64("class"), F.col("parts"))).alias("grp")))
 
     wanted = members.select(F.col("rep").alias("id"), "class", "copies", "grp")
@@ -193,11 +208,11 @@ def jaccard_components(
             keys = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8 * 2).digest()[:8], "little", signed=True) if len(s) else None for s in sets]
             fits = [i for i, (k, c) in enumerate(zip(keys, rows.column(2).to_pylist(), strict=True)) if k == c]
             at = pa.array(fits, pa.int64())
-            yield pa.RecordBatch.from_arrays([rows.column(1).take(at), rows.column(3).take(at), rows.column(4).take(at), pa.array([sets[i].tobytes() for i in fits], pa.binary())], ["rep", "copies", "grp", "tokens"])
+            yield pa.RecordBatch.from_arrays([rows.column(1).take(at), rows.column(3).take(at), rows.column(4).take(at), rows.column(2).take(at), pa.array([sets[i].tobytes() for i in fits], pa.binary())], ["rep", "copies", "grp", "class", "tokens"])
 
-    sets = docs.join(wanted, "id").select("text", F.col("id").alias("rep"), "class", "copies", "grp").mapInArrow(pack, "rep long, copies long, grp long, tokens binary")
-    member = F.struct("rep", "copies", "tokens")
-    groups = work.table("groups", sets.dropDuplicates(["rep", "tokens"]).groupBy("grp").agg(F.collect_list(member).alias("members")))
+    sets = docs.join(wanted, "id").select("text", F.col("id").alias("rep"), "class", "copies", "grp").mapInArrow(pack, "rep long, copies long, grp long, class long, tokens binary")
+    member = F.struct("rep", "class", "copies", "tokens")
+    groups = work.table("groups", sets.dropDuplicates(["rep", "class"]).groupBy("grp").agg(F.collect_list(member).alias("members")))
 
     # groups that share enough leading shingles meet
     least = members.groupBy("grp").agg(F.min("least").alias("least"))
@@ -210,20 +225,27 @@ def jaccard_components(
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[int, int, int]] = []
+            out: list[tuple[tuple[int, int], tuple[int, int], int]] = []
             for i in range(batch.num_rows):
                 row = {n: batch.column(n)[i].as_py() for n in ("g", "h", "left", "right")}
-                a, b = ([(m["rep"], m["copies"], np.frombuffer(m["tokens"], np.uint64)) for m in row[side]] for side in ("left", "right"))
+                a, b = ([((m["rep"], m["class"]), m["copies"], np.frombuffer(m["tokens"], np.uint64)) for m in row[side]] for side in ("left", "right"))
                 out += meet(a, b, percent, row["g"] == row["h"])
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], ["src", "dst", "links"])
-
-    links = work.table("links", met.mapInArrow(compare, "src long, dst long, links long"))
-    labels = connected_components(links, work)
-    degree = links.groupBy("src").agg(F.sum("links").alias("links"))
-    found = classes.join(labels, F.col("rep") == F.col("node"), "left").join(degree, F.col("rep") == F.col("src"), "left")
-    found = found.select("key", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    work.drop("shared", "keyed", "members", "groups", "cc-links")
+            columns = [x[0][0] for x in out], [x[1][0] for x in out], [x[0][1] for x in out], [x[2] for x in out]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["src", "dst", "class", "links"])
+
+    links = work.table("links", met.mapInArrow(compare, "src long, dst long, class long, links long"))
+    # an id with several texts ties their classes together
+    several = held.groupBy("id").agg(F.count("*").alias("texts")).where("texts > 1").select("id")
+    tied = work.table("tied", held.join(several, "id", "left_semi").join(classes.select("key", "rep"), "key").select(F.col("id").alias("src"), F.col("rep").alias("dst")))
+    labels = connected_components(links.select("src", "dst").unionByName(tied), work)
+    degree = links.groupBy("class").agg(F.sum("links").alias("links"))
+    found = classes.join(labels, F.col("rep") == F.col("node"), "left").join(degree, "class", "left")
+    found = work.table("found", found.select("key", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")))
+    work.drop("shared", "keyed", "members", "groups", "cc-links", "links", "tied", "classes")
     linkable = F.col("id").isNotNull() & (F.col("n") > 0)
-    rows = signed.select("id", "n", F.when(linkable, F.col("key")).alias("key")).join(found, "key", "left")
-    # rows that repeat an id stand for one document
-    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    rows = signed.where(linkable).select("id", "n", "key").join(found, "key").select("id", "n", "component", "links")
+    # a row without words takes the component that its id has from other rows
+    bare = signed.where(~linkable).select("id", "n")
+    named = held.join(bare.select("id").where("id is not null"), "id", "left_semi").join(found, "key").groupBy("id").agg(F.min("component").alias("component"))
+    bare = bare.join(named, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"), F.lit(0).alias("links"))
+    return rows.unionByName(bare).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("links").cast("long").alias("n_links"))
