@@ -9,16 +9,19 @@ Spans that overlap are merged document by document.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.bytewords import ALNUM, chunks, word_hashes
+from gleaner.llm.scratch import Scratch, bounded_batches
 from gleaner.llm.tokens import release
 
 SHARD_SYMBOLS = 400_000
@@ -157,19 +160,34 @@ class Phrases:
         for _, docs in chunks([t for _, t in items]):
             words, begin = word_hashes(docs, ALNUM)
             hashes += [words[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True)]
-        self.items = [i for i, _ in items]
-        self.words = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
-        owners: dict[tuple, list[int]] = {}
-        for k, words in enumerate(hashes):
-            symbols = (np.searchsorted(self.words, words) + 1).tolist()
-            for a in range(max(1, len(symbols) - width + 1) if symbols else 0):
-                owners.setdefault(tuple(symbols[a : a + width]), []).append(k)
-        self.lengths = np.array([len(w) for w in owners], np.int64)
-        self.table = np.zeros((len(owners), width), np.int64)
-        for row, window in enumerate(owners):
-            self.table[row, : len(window)] = window
-        self.owners = [sorted(set(o)) for o in owners.values()]
-        self.shortest = int(self.lengths.min()) if len(owners) else width
+        self.items = sorted({i for i, _ in items})
+        number = {name: k for k, name in enumerate(self.items)}
+        joined = np.concatenate([*hashes, np.zeros(0, np.uint64)])
+        self.words = np.unique(joined)
+        counts = np.array([len(h) for h in hashes], np.int64)
+        # windows of each item, one at least if it has words; symbols from 1, 0 after the end of a shorter one
+        windows = np.where(counts > 0, np.maximum(1, counts - width + 1), 0)
+        owner = np.repeat(np.arange(len(counts)), windows)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+        start, length = (np.cumsum(counts) - counts)[owner] + nth, np.minimum(width, counts[owner])
+        symbols = np.concatenate([np.searchsorted(self.words, joined) + 1, np.zeros(width, np.int64)]).astype(np.int32)
+        table = np.zeros((len(owner), width), np.int32)
+        for j in range(width):
+            table[:, j] = np.where(j < length, symbols[start + j], 0)
+        # equal windows get one number, symbol by symbol
+        code = np.zeros(len(table), np.int64)
+        for j in range(width):
+            code = np.unique(code * np.int64(len(self.words) + 1) + table[:, j], return_inverse=True)[1]
+        _, first = np.unique(code, return_index=True)
+        self.table, self.lengths = table[first], length[first]
+        names = np.array([number[i] for i, _ in items], np.int64)[owner] if len(owner) else owner
+        pairs = np.unique(np.stack([code, names], 1), axis=0) if len(code) else np.zeros((0, 2), np.int64)
+        self.owner_names, self.owner_begin = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(first) + 1))
+        self.shortest = int(self.lengths.min()) if len(first) else width
+
+    def owners(self, window: int) -> list[int]:
+        """Numbers, in ``items``, of the items that have the window."""
+        return self.owner_names[self.owner_begin[window] : self.owner_begin[window + 1]].tolist()
 
     def symbols(self, words: np.ndarray) -> np.ndarray:
         if not len(self.words):
@@ -210,7 +228,7 @@ def search_shard(symbols: np.ndarray, doc_of: np.ndarray, phrases: Phrases, top:
     np.add.at(mark, begin + phrases.lengths[window], -1)
     hit = np.cumsum(mark[:-1]) > 0
     for doc, w in np.unique(np.stack([doc_of[begin], window], 1), axis=0).tolist():
-        items.setdefault(doc, set()).update(phrases.owners[w])
+        items.setdefault(doc, set()).update(phrases.owners(w))
     return hit, items
 
 
@@ -219,13 +237,26 @@ def _runs(hit: np.ndarray) -> list[dict[str, int]]:
     return [{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
-def _search(docs: DataFrame, items: list[tuple[str, str]], id_col: str, text_col: str, width: int) -> DataFrame:
-    """One row per document for one block of items: n_words, spans and items."""
-    kind = docs.schema[id_col].dataType.simpleString()
+#: The phrases that this process has built last.
+_built: list[tuple[str, Phrases]] = []
+
+
+def _phrases(key: str, items: list[tuple[str, str]], width: int) -> Phrases:
+    if not _built or _built[0][0] != key:
+        _built[:] = [(key, Phrases(items, width))]
+    return _built[0][1]
+
+
+def _search(docs: DataFrame, items: list[tuple[str, str]], id_col: str, text_col: str, width: int, carry: tuple[str, ...], cleaned: bool = False) -> DataFrame:
+    """One row per document for one block of items: n_words, spans and items, ``carry`` columns and the cleaned text."""
+    taken = list(dict.fromkeys([id_col, text_col, *carry]))
+    given = list(dict.fromkeys([id_col, *carry]))
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in given)
+    block = hashlib.sha256(repr((items, width)).encode("utf-8", "surrogatepass")).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        phrases = Phrases(items, width)
+        phrases = _phrases(block, items, width)
         top = len(phrases.words)
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
@@ -242,10 +273,10 @@ def _search(docs: DataFrame, items: list[tuple[str, str]], id_col: str, text_col
                 for k, symbols in enumerate(held):
                     out[0].append(len(symbols))
                     out[1].append(_runs(hit[ends[k] - 1 - len(symbols) : ends[k] - 1]) if k in found else [])
-                    out[2].append(sorted(phrases.items[x] for x in found.get(k, ())))
+                    out[2].append([phrases.items[x] for x in sorted(found.get(k, ()))])
                 held, size = [], 0
 
-            for _, raw in chunks(batch.column(1).to_pylist()):
+            for _, raw in chunks(batch.column(text_col).to_pylist()):
                 words, begin = word_hashes(raw, ALNUM)
                 symbols = phrases.symbols(words)
                 for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
@@ -254,9 +285,19 @@ def _search(docs: DataFrame, items: list[tuple[str, str]], id_col: str, text_col
                     held.append(symbols[a:b])
                     size += b - a + 1
             flush()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], span), pa.array(out[2], pa.list_(pa.string()))], [id_col, "n_words", "spans", "items"])
+            more = []
+            if cleaned:
+                marked = [i for i, spans in enumerate(out[1]) if spans]
+                texts = batch.column(text_col)
+                if marked:
+                    new = [cut_words(texts[i].as_py(), out[1][i]) for i in marked]
+                    mask = np.zeros(len(texts), bool)
+                    mask[marked] = True
+                    texts = pc.replace_with_mask(texts, pa.array(mask), pa.array(new, texts.type))
+                more = [texts]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in given), *more, pa.array(out[0], pa.int64()), pa.array(out[1], span), pa.array(out[2], pa.list_(pa.string()))], [*given, *["cleaned"] * cleaned, "n_words", "spans", "items"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
+    return docs.select(*taken).mapInArrow(run, kinds + ", cleaned string" * cleaned + ", n_words long, spans array<struct<start:long,end:long>>, items array<string>")
 
 
 def find_contamination(
@@ -269,66 +310,77 @@ def find_contamination(
     item_text_col: str = "text",
     width: int = 10,
     block_chars: int = 8_000_000,
+    carry: tuple[str, ...] = (),
+    cleaned: bool = False,
 ) -> DataFrame:
-    """One row per row of ``docs``: ``id_col``, n_words, spans (of hit words, end exclusive, merged
-    and in order), items (ids as strings, sorted; each whose window occurs).
+    """One row per row of ``docs``: ``id_col``, the columns of ``carry``, with ``cleaned`` the text without
+    hit words and what stands between them, n_words, spans (of hit words, end exclusive, merged and in order), items (ids as strings, distinct and sorted; each whose window occurs).
 
     Words are runs of ASCII letters (A-Z lower-cased), digits and all non-ASCII characters. A window
     is ``width`` consecutive words of an item; an item with fewer is one window; one without words,
-    or null, has none. The documents are searched where they lie, without a shuffle.
+    or null, has none. An item id that recurs has the windows of all its texts. The documents are
+    searched where they lie, without a shuffle. Words are told apart by 64-bit hashes.
 
-    Benchmark items reach the tasks in blocks of ``block_chars`` characters; a larger benchmark is
-    searched block by block and the spans of all blocks are merged, so none is left out. A null text
-    has no words. Repeated rows give repeated rows, with several blocks too. Other columns are
-    ignored. No items, no spans.
+    Benchmark items reach the driver and the tasks in blocks of about ``block_chars`` characters, one
+    block after another, each over all documents; the findings of all blocks are merged, so the
+    rows are those of one block. A null text has no words. Repeated rows give repeated rows. Other
+    columns are ignored; ``carry`` must not name n_words, spans, items or cleaned. No items, no spans.
     """
+    bounded_batches(spark)
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where(F.col("item").isNotNull() & (F.length("text") > 0))
     chars = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     blocks = -(-chars // block_chars) or 1
+
+    def block(b: int) -> list[tuple[str, str]]:
+        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b) if blocks > 1 else items
+        return sorted((r["item"], r["text"]) for r in part.distinct().collect())
+
     if blocks == 1:
-        return _search(docs, [(r["item"], r["text"]) for r in items.distinct().collect()], id_col, text_col, width)
-    found = None
+        return _search(docs, block(0), id_col, text_col, width, carry, cleaned)
+    work = Scratch(spark, "decontaminate")
     key = F.struct(F.col(id_col).alias("id"), F.sha2(F.col(text_col).cast("binary"), 256).alias("sha"))
-    keyed = docs.select(key.alias("_key"), F.col(text_col).alias("_text"))
-    for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).distinct().collect()
-        one = _search(keyed, [(r["item"], r["text"]) for r in part], "_key", "_text", width)
-        found = one if found is None else found.unionByName(one)
-    # a row comes once from every block, and rows equal in id and text have equal findings
-    rows = (F.count("*") / blocks).cast("int").alias("rows")
-    merged = found.groupBy("_key").agg(rows, F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-
-    def join_spans(acc, s):  # noqa: ANN001, ANN202  columns
+    keyed = docs.select(*dict.fromkeys([id_col, text_col, *carry]), key.alias("_key"))
+    own = work.table("0", _search(keyed, block(0), id_col, text_col, width, (*carry, "_key", *[text_col] * (cleaned and text_col not in carry))))
+    others = None
+    for b in range(1, blocks):
+        hits = work.table(str(b), _search(keyed.select("_key", text_col), block(b), "_key", text_col, width, ()).where(F.size("spans") > 0).drop("n_words"))
+        others = hits if others is None else others.unionByName(hits)
+    # rows equal in id and text have equal findings
+    others = others.groupBy("_key").agg(F.flatten(F.collect_set("spans")).alias("_spans"), F.flatten(F.collect_set("items")).alias("_items"))
+
+    def join_spans(acc: Column, s: Column) -> Column:
         touches = (F.size(acc) > 0) & (s["start"] <= F.get(acc, F.size(acc) - 1)["end"])
         longer = F.struct(F.get(acc, F.size(acc) - 1)["start"].alias("start"), F.greatest(F.get(acc, F.size(acc) - 1)["end"], s["end"]).alias("end"))
         return F.when(touches, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(acc, F.array(s)))
 
-    spans = F.aggregate("spans", F.array().cast("array<struct<start:long,end:long>>"), join_spans)
-    one = merged.select(F.col("_key.id").alias(id_col), "n_words", spans.alias("spans"), "items", "rows")
-    return one.withColumn("_row", F.explode(F.sequence(F.lit(1), "rows"))).drop("rows", "_row")
+    met = own.join(others.withColumnRenamed("_key", "_other"), F.col("_key").eqNullSafe(F.col("_other")), "left")
+    both = F.array_sort(F.concat("spans", F.coalesce("_spans", F.array().cast("array<struct<start:long,end:long>>"))))
+    spans = F.aggregate(both, F.array().cast("array<struct<start:long,end:long>>"), join_spans)
+    names = F.array_sort(F.array_distinct(F.concat("items", F.coalesce("_items", F.array().cast("array<string>")))))
+    met = met.withColumn("spans", spans).withColumn("items", names)
+    return met.select(*dict.fromkeys([id_col, *carry]), *[without_words(F.col(text_col), F.col("spans")).alias("cleaned")] * cleaned, "n_words", "spans", "items")
 
 
 #: The words that spans count: ASCII letters, digits and all non-ASCII characters.
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
+def cut_words(text: str, marks: list[dict[str, int]]) -> str:
+    """The text without the words of these spans and what stands between them."""
+    words = [m.span() for m in _WORD.finditer(text)]
+    out, at = [], 0
+    for s in marks:
+        out.append(text[at : words[s["start"]][0]])
+        at = words[s["end"] - 1][1]
+    return "".join([*out, text[at:]])
+
+
 def without_words(text: Column, spans: Column) -> Column:
-    """The text without the words of ``spans`` and what stands between them. Texts without spans
-    are not sent to Python."""
+    """``cut_words`` of a column. Texts without spans are not sent to Python."""
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, found: pd.Series) -> pd.Series:
-        def one(t: str | None, marks: list) -> str | None:
-            if t is None:
-                return None
-            words = [m.span() for m in _WORD.finditer(t)]
-            out, at = [], 0
-            for s in marks:
-                out.append(t[at : words[s["start"]][0]])
-                at = words[s["end"] - 1][1]
-            return "".join([*out, t[at:]])
-
-        return pd.Series([one(t, m) for t, m in zip(texts, found, strict=True)], dtype=object)
+        return pd.Series([None if t is None else cut_words(t, m) for t, m in zip(texts, found, strict=True)], dtype=object)
 
     hit = F.size(spans) > 0
     return F.when(hit, cut(F.when(hit, text), spans)).otherwise(text)
