@@ -22,8 +22,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language identification rejects go; the others take the language it found."""
     learned = langid.build_dictionaries(docs.where(~held_out()))
-    judged = langid.identify_language(spark, docs.select(F.struct(*COLUMNS).alias("row"), "text"), learned, id_col="row")
-    return judged.where(~F.col("rejected")).select("row.doc_id", "row.text", F.col("lang_pred").alias("lang"), "row.source", "row.n_chars")
+    judged = langid.identify_language(spark, docs, learned, carry=("text", "source", "n_chars"))
+    return judged.where(~F.col("rejected")).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,25 +40,28 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     # written, so that the numbers stay the same
     nameless = work.table("nameless", docs.where("doc_id is null").dropDuplicates().withColumn("_id", after))
     named = docs.where("doc_id is not null").withColumn("_id", F.col("doc_id").cast("long")).unionByName(nameless)
-    found = ngram_join.jaccard_components(spark, named, id_col="_id").where("_id = component_id")
-    kept = work.table("kept", found.groupBy(F.col("_id").alias("_kept")).agg(F.count("*").alias("rows")))
+    found = ngram_join.jaccard_components(spark, named, id_col="_id")
+    gone = work.table("gone", found.where("_id <> component_id").select("_id").distinct())
+    several = work.table("several", named.groupBy("_id").agg(F.count("*").alias("rows")).where("rows > 1").select("_id"))
+    kept = named.join(small(gone), "_id", "left_anti")
+    if not several.limit(1).count():
+        return kept.select(*COLUMNS)
+    once = kept.join(small(several), "_id", "left_anti").select(*COLUMNS)
+    return once.unionByName(kept.join(small(several), "_id", "left_semi").select(*COLUMNS).dropDuplicates())
 
-    def only(of: str) -> DataFrame:
-        return named.join(kept.where(of), F.col("_id") == F.col("_kept"), "left_semi").select(*COLUMNS)
 
-    if not kept.where("rows > 1").limit(1).count():
-        return only("rows = 1")
-    return only("rows = 1").unionByName(only("rows > 1").dropDuplicates())
+def small(ids: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A written table of ids, to be broadcast if it has no more than ``rows``."""
+    return F.broadcast(ids) if ids.count() <= rows else ids
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words hit by a benchmark passage leave the text; a document without a hit is unchanged, and
     one of which no word is left goes."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.find_contamination(spark, docs.select(F.struct(*COLUMNS).alias("row"), "text"), benchmark, id_col="row")
-    return found.where((F.size("spans") == 0) | (hit_words(F.col("spans")) < F.col("n_words"))).select(
-        "row.doc_id", F.when(F.size("spans") == 0, F.col("row.text")).otherwise(decontaminate.without_words(F.col("row.text"), F.col("spans"))).alias("text"), "row.lang", "row.source", "row.n_chars"
-    ).withColumn("n_chars", F.length("text").cast("long"))
+    found = decontaminate.find_contamination(spark, docs, benchmark, carry=("lang", "source"), cleaned=True)
+    kept = found.where((F.size("spans") == 0) | (hit_words(F.col("spans")) < F.col("n_words")))
+    return kept.select("doc_id", F.col("cleaned").alias("text"), "lang", "source", F.length("cleaned").cast("long").alias("n_chars"))
 
 
 def hit_words(spans: Column) -> Column:
@@ -93,4 +96,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = work.table(str(k), stage(spark, docs, sf_dir))
+        if k:
+            work.drop(str(k - 1))
     return docs
