@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from gleaner.llm.scratch import Scratch
 
 BINS = 128
-BLOCK = "ids binary, width int, data binary"
+BLOCK = "ids binary, width int, kind string, data binary"
+HELD_PARTS = 16  # blocks of queries whose counts a task holds
 LIMIT = 1 << 61  # so that differences of scores fit a long
 
 
@@ -35,8 +36,12 @@ def integer_vectors(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -
     return kept.select(F.col(id_col).cast("long").alias("id"), whole.alias("vec")).distinct()
 
 
-def _matrix(vectors: list[list[int]]) -> bytes:
-    return np.array(vectors, np.int64).tobytes()
+def packed(vectors: list[list[int]]) -> tuple[str, bytes]:
+    """A matrix of whole numbers in the narrowest type that holds them."""
+    rows = np.array(vectors, np.int64)
+    most = int(np.abs(rows).max(initial=0))
+    kind = next(k for k in ("<i2", "<i4", "<i8") if most <= np.iinfo(k).max)
+    return kind, rows.astype(kind).tobytes()
 
 
 def scores_of(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
@@ -84,53 +89,80 @@ def exact_top_k(
     bound = F.least(F.sqrt(squared("vec")) * F.lit(longest * 1.000001) + 2, F.lit(float(LIMIT)))
     parts = max(1, -(-facts["m"] // block_rows))
     state = asked.select(
-        "key", "id", "vec", F.size("vec").alias("width"), F.pmod(F.xxhash64("key"), F.lit(parts)).alias("part"),
+        "key", F.size("vec").alias("width"), F.pmod(F.xxhash64("key"), F.lit(parts)).alias("part"),
         (-bound).cast("long").alias("low"), bound.cast("long").alias("high"), F.lit(k).cast("long").alias("need"),
     )
+    state = work.table("state", state)
 
     def block_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 0
         for batch in batches:
             by_width: dict[int, list[tuple[int, list[int]]]] = {}
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 by_width.setdefault(len(v), []).append((i, v))
             for width, rows in by_width.items():
                 for lo in range(0, len(rows), block_rows):
-                    some, n = rows[lo : lo + block_rows], n + 1
+                    some = rows[lo : lo + block_rows]
+                    kind, data = packed([v for _, v in some])
                     ids = np.array([i for i, _ in some], np.int64).tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([ids], pa.binary()), pa.array([width], pa.int32()), pa.array([_matrix([v for _, v in some])], pa.binary())], ["n", "ids", "width", "data"])
+                    yield pa.RecordBatch.from_arrays([pa.array([ids], pa.binary()), pa.array([width], pa.int32()), pa.array([kind]), pa.array([data], pa.binary())], ["ids", "width", "kind", "data"])
 
-    blocks = cand.select("id", "vec").mapInArrow(block_up, f"n int, {BLOCK}")
-    blocks = work.table("blocks", blocks.select(F.pmod(F.xxhash64("ids"), F.lit(shards)).alias("shard"), "ids", "width", "data"))
+    def query_block(rows: pa.Table) -> pa.Table:
+        kind, data = packed(rows.column("vec").to_pylist())
+        keys, ids = (rows.column(c).to_numpy().astype("<i8").tobytes() for c in ("key", "id"))
+        cols = [rows.column("part")[:1], rows.column("width")[:1], pa.array([keys], pa.binary()), pa.array([ids], pa.binary()), pa.array([kind]), pa.array([data], pa.binary())]
+        return pa.Table.from_arrays([pa.chunked_array([c]) if isinstance(c, pa.Array) else c for c in cols], ["part", "width", "keys", "own", "qkind", "qdata"])
+
+    blocks = cand.select("id", "vec").mapInArrow(block_up, BLOCK)
+    blocks = work.table("blocks", blocks.select(F.pmod(F.xxhash64("ids"), F.lit(shards)).alias("shard"), "*"))
+    members = asked.select(F.pmod(F.xxhash64("key"), F.lit(parts)).alias("part"), F.size("vec").alias("width"), "key", "id", "vec")
+    questions = work.table("questions", members.groupBy("part", "width").applyInArrow(query_block, "part long, width int, keys binary, own binary, qkind string, qdata binary"))
 
     def met(now: DataFrame) -> DataFrame:
-        row = F.struct("key", "id", "vec", "low", "high", "need")
-        asking = now.groupBy("part", "width").agg(F.collect_list(row).alias("rows"))  # block_rows of them, about
-        spread = asking.select("width", "rows", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
-        return spread.join(blocks, ["shard", "width"]).select("rows", "ids", "data")
-
-    def unpack(batch: pa.RecordBatch) -> Iterator[tuple[list[dict], np.ndarray, np.ndarray, np.ndarray]]:
-        for rows, ids, data in zip(*(batch.column(c) for c in ("rows", "ids", "data")), strict=True):
-            rows, ids = rows.as_py(), np.frombuffer(ids.as_py(), np.int64)
-            matrix = np.frombuffer(data.as_py(), np.int64).reshape(len(ids), -1)
-            own = np.array([r["id"] for r in rows], np.int64)
-            found = scores_of(np.array([r["vec"] for r in rows], np.int64).reshape(len(rows), -1), matrix)
-            yield rows, ids, found, own[:, None] != ids[None, :]
+        """Every block of queries, with the interval of each, beside every block of candidates."""
+        limits = now.groupBy("part", "width").agg(F.collect_list(F.struct("key", "low", "high", "need")).alias("limits"))  # block_rows of them, about
+        asking = questions.join(limits, ["part", "width"]).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+        return asking.join(blocks, ["shard", "width"]).select("part", "keys", "own", "qkind", "qdata", "limits", "ids", "kind", "data")
 
-    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Met = tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[Met]:
+        """(part, keys, ids of the queries, [low, high, need], candidates' ids, scores, which are another's)."""
         for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for rows, _, found, other in unpack(batch):
-                low, high = (np.array([r[c] for r in rows], np.int64)[:, None] for c in ("low", "high"))
-                step = (high - low) // BINS + 1
-                ok = other & (found >= low) & (found <= high)
-                slot = np.where(ok, (found - low) // step, BINS) + np.arange(len(rows))[:, None] * (BINS + 1)
-                counts = np.bincount(slot.ravel(), minlength=len(rows) * (BINS + 1)).reshape(len(rows), -1)[:, :BINS]
-                q, b = np.nonzero(counts)
-                for col, values in zip(out, (np.array([r["key"] for r in rows], np.int64)[q], b, counts[q, b]), strict=True):
-                    col.append(values)
-            cols = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["key", "bin", "n"])
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                part, keys, own, qkind, qdata, ids, kind, data = (row.column(c)[0].as_py() for c in ("part", "keys", "own", "qkind", "qdata", "ids", "kind", "data"))
+                limits = row.column("limits").flatten()
+                order = np.argsort(limits.field("key").to_numpy())
+                bounds = np.stack([limits.field(c).to_numpy()[order] for c in ("low", "high", "need")])
+                keys, own, ids = (np.frombuffer(x, "<i8") for x in (keys, own, ids))
+                by_key = np.argsort(keys)
+                asked_for = np.frombuffer(qdata, qkind).reshape(len(keys), -1).astype(np.int64)[by_key]
+                found = scores_of(asked_for, np.frombuffer(data, kind).reshape(len(ids), -1).astype(np.int64))
+                yield part, keys[by_key], own[by_key], bounds, ids, found, own[by_key][:, None] != ids[None, :]
+
+    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts are added up over the blocks of candidates that a task sees. A bin below the one that
+        holds the task's own kth score can't hold that of all, so it is left out."""
+        held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+        def rows(part: int) -> pa.RecordBatch:
+            keys, need, counts = held.pop(part)
+            above = np.cumsum(counts[:, ::-1], 1)[:, ::-1] - counts
+            q, b = np.nonzero((counts > 0) & (above < need[:, None]))
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (keys[q], b, counts[q, b])], ["key", "bin", "n"])
+
+        for part, keys, _, (low, high, need), _, found, other in unpack(batches):
+            step = ((high - low) // BINS + 1)[:, None]
+            ok = other & (found >= low[:, None]) & (found <= high[:, None])
+            slot = np.where(ok, (found - low[:, None]) // step, BINS) + np.arange(len(keys))[:, None] * (BINS + 1)
+            counts = np.bincount(slot.ravel(), minlength=len(keys) * (BINS + 1)).reshape(len(keys), -1)[:, :BINS]
+            if part in held:
+                counts = held[part][2] + counts
+            held[part] = keys, need, counts
+            if len(held) > HELD_PARTS:
+                yield rows(next(iter(held)))
+        for part in list(held):
+            yield rows(part)
 
     rounds, span = 0, 2 * min(longest * 1.000001 * math.sqrt(facts["qsq"] or 0.0) + 2, LIMIT) + 1
     while span > 1:
@@ -146,25 +178,20 @@ def exact_top_k(
         high = F.when(F.col("kth").isNull(), F.col("low")).otherwise(F.least("high", F.col("low") + (F.col("kth.bin") + 1) * step - 1))
         # fewer scores than asked for: everything from the lower end on is wanted
         need = F.when(F.col("kth").isNull(), F.lit(k)).otherwise(F.col("kth.need")).cast("long")
-        state = work.table(f"state-{r}", joined.select("key", "id", "vec", "width", "part", low.alias("low"), high.alias("high"), need.alias("need")))
+        state = work.table(f"state-{r}", joined.select("key", "width", "part", low.alias("low"), high.alias("high"), need.alias("need")))
         if r:
             work.drop(f"state-{r - 1}")
         if not state.where("low < high").limit(1).count():
             break
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for rows, ids, found, other in unpack(batch):
-                for q, row in enumerate(rows):
-                    above = np.flatnonzero(other[q] & (found[q] > row["low"]))
-                    equal = np.flatnonzero(other[q] & (found[q] == row["low"]))
-                    equal = equal[np.argsort(ids[equal])[: row["need"]]]
-                    at = np.concatenate([above, equal])
-                    for col, values in zip(out, (np.full(len(at), row["id"]), ids[at], found[q, at]), strict=True):
-                        col.append(values)
-            cols = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "id", "score"])
+        for _, _, own, (low, _, need), ids, found, other in unpack(batches):
+            order = np.argsort(ids, kind="stable")
+            ids, found, other = ids[order], found[:, order], other[:, order]
+            equal = other & (found == low[:, None])
+            keep = other & (found > low[:, None]) | equal & (np.cumsum(equal, 1) <= need[:, None])
+            q, c = np.nonzero(keep)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (own[q], ids[c], found[q, c])], ["query_id", "id", "score"])
 
     best = met(state).mapInArrow(select, "query_id long, id long, score long")
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")))
