@@ -26,17 +26,23 @@ RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "
 SIDE = {"nav", "aside", "footer", "form", "menu", "dialog", "fieldset", "datalist"}
 CONTAINER = {"article", "main"}
 BREAKS = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul caption".split())
-SPACES = {"br", "td", "th", "option", "wbr"} - {"wbr"}
-NESTED = BREAKS - {"p", "hr", "li", "dd", "dt", "tr", "html", "body", "head", "tbody", "tfoot", "thead"}
+SPACES = {"br", "td", "th", "option"}
+NESTED = BREAKS - {"p", "hr", "html", "body", "head", "tbody", "tfoot", "thead"}
+ITEMS = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}}  # an item ends where the next one of its list begins
 SIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar"}
+# Words of class and id names: what stands beside an article, and what says nothing by itself. A name counts
+# as a mark if all its words are of these and one at least is of the first, as in ad-slot, but not in social-history.
 SIDE_NAMES = set(
-    "ad ads advert advertisement advertising sponsor sponsored promo menu nav navbar navigation breadcrumb breadcrumbs sidebar related cookie cookies consent notice banner popup modal newsletter subscribe signup share sharing social comment comments disqus footer masthead pagination pager widget".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo menu nav navbar navigation breadcrumb breadcrumbs sidebar related teaser cookie cookies consent notice banner popup modal newsletter subscribe signup share sharing social comment comments commentlist disqus reply replies respond footer masthead pagination pager widget widgets".split()
+)
+PLAIN_NAMES = set(
+    "area bar block body bottom box btn button buttons card container content desktop entry fixed form group head header icon icons inner item items label large left line link links list main media message mobile module outer overlay page panel post posts primary right row secondary section side site slot small sticky text title top unit user wrap wrapper".split()
 )
 MAIN_NAMES = {"article", "post", "story", "entry"}
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-_NAME = re.compile(r"[a-z]+")
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
 
@@ -44,11 +50,14 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
     """(marked as something beside the article, marked as the article)."""
     if not attributes:
         return tag in SIDE, tag in CONTAINER
-    found = {k.lower(): (a or b or c).lower() for k, a, b, c in _ATTRIBUTE.findall(attributes)}
-    names = set(_NAME.findall(found.get("class", "") + " " + found.get("id", "")))
+    given = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
+    found = {k: v.lower() for k, v in given.items()}
+    names = [{w.lower() for w in _NAME.findall(n)} for n in f"{given.get('class', '')} {given.get('id', '')}".split()]
+    marked = any(n & SIDE_NAMES and n <= SIDE_NAMES | PLAIN_NAMES for n in names) and tag not in ("main", "body")
     hidden = re.search(r"\shidden(?:[\s=/]|$)", attributes.lower()) or "display:none" in found.get("style", "").replace(" ", "") or found.get("aria-hidden") == "true"
-    side = tag in SIDE or found.get("role") in SIDE_ROLES or bool(hidden) or (bool(names & SIDE_NAMES) and tag not in CONTAINER and tag != "body")
-    return side, tag in CONTAINER or found.get("role") in ("main", "article") or (tag in ("div", "section") and bool(names & MAIN_NAMES) and not side)
+    side = tag in SIDE or found.get("role") in SIDE_ROLES or found.get("itemprop") == "comment" or bool(hidden) or marked
+    article = any(n & MAIN_NAMES and not n & SIDE_NAMES for n in names)
+    return side, tag in CONTAINER or found.get("role") in ("main", "article") or (tag in ("div", "section") and article and not side)
 
 
 def blocks_of(page: str | None) -> list[tuple[str, bool, bool]]:
@@ -103,8 +112,16 @@ def blocks_of(page: str | None) -> list[tuple[str, bool, bool]]:
             if not closing and attributes and tag not in ("html", "body", "head"):
                 p_side = _marks(tag, attributes)[0]
             continue
+        if tag in ITEMS:
+            # an item ends at its closing tag or where the next one of its list begins
+            same = {"dd", "dt"} if tag != "li" and tag != "tr" and not closing else {tag}
+            deep = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in same | ITEMS[tag]), -1)
+            if deep >= 0 and stack[deep][0] in same:
+                for _, s, c in stack[deep:]:
+                    side, inside = side - s, inside - c
+                del stack[deep:]
         if closing:
-            if any(t == tag for t, _, _ in stack):
+            if tag not in ITEMS and any(t == tag for t, _, _ in stack):
                 while stack:
                     t, s, c = stack.pop()
                     side, inside = side - s, inside - c
@@ -144,23 +161,6 @@ def run_groups(codes: np.ndarray, lengths: np.ndarray, least: int, owner: np.nda
     return order, group, np.bincount(pairs // np.int64(owner.max() + 1), minlength=group[-1] + 1)
 
 
-def repeated_tokens(streams: list[list[str]], least: int) -> list[np.ndarray]:
-    """For each page's stream, which tokens lie in a run of at least ``least`` tokens that another
-    page has too: suffixes that agree in that many tokens stand together in the suffix array."""
-    if not any(streams):
-        return [np.zeros(len(s), bool) for s in streams]
-    lengths = np.array([len(s) for s in streams])
-    codes = np.array([t for s in streams for t in s], object).astype(str)
-    order, group, count = run_groups(codes, lengths, least, np.arange(len(streams)))
-    starts = order[(count > 1)[group]]
-    ends = np.cumsum(lengths + 1) - 1
-    mark = np.zeros(int(ends[-1]) + least + 2, np.int64)
-    np.add.at(mark, starts, 1)
-    np.add.at(mark, starts + least, -1)
-    covered = np.cumsum(mark) > 0
-    return [covered[e - n : e] for e, n in zip(ends, lengths, strict=True)]
-
-
 def block_codes(blocks: list[str], least: int) -> tuple[np.ndarray, np.ndarray]:
     """The tokens of all blocks as numbers that are the same in every process, and each block's length.
     A block of fewer than ``least`` tokens is filled up, so that it is one run as a whole."""
@@ -208,16 +208,17 @@ def common_runs(pages: list[tuple[np.ndarray, np.ndarray]], least: int, share: f
     return runs[enough], total[enough]
 
 
-def kept_text(blocks: list[tuple[str, bool]], common: np.ndarray, least: int, near_copy: int) -> str:
-    """The unmarked blocks without the ``common`` runs. A block of which these are less than half
+def kept_text(blocks: list[tuple[str, bool, bool]], common: np.ndarray, firm: np.ndarray, least: int, near_copy: int) -> str:
+    """The unmarked blocks without the ``common`` runs, or inside an article container the ``firm`` ones. A block of which these are less than half
     stays whole. If more than ``near_copy`` tokens and half of the page would go, it is one of many
     near copies rather than an article among menus, and stays whole."""
-    texts = [t for t, side in blocks if not side]
+    texts = [t for t, _, side in blocks if not side]
     if not texts or not len(common):
         return "\n\n".join(texts)
     codes, lengths = block_codes(texts, least)
     hashes, within = window_hashes(codes, lengths, least)
-    covered = np.convolve(within & np.isin(hashes, common), np.ones(least, int)) > 0
+    inside = np.repeat([c for _, c, side in blocks if not side], lengths)[: len(hashes)]
+    covered = np.convolve(within & np.where(inside, np.isin(hashes, firm), np.isin(hashes, common)), np.ones(least, int)) > 0
     kept, cut, total, begin = [], 0, 0, 0
     for text, end in zip(texts, np.cumsum(lengths).tolist(), strict=True):
         tokens = text.split(" ")
@@ -244,17 +245,18 @@ def extract_text(
     url_col: str = "url",
     html_col: str = "html",
     least_tokens: int = 8,
-    shard_chars: int = 32_000_000,
+    shard_chars: int = 4_000_000,
     broadcast_rows: int = 100_000,
     least_pages: int = 3,
     share: float = 0.25,
+    firm_share: float = 0.5,
     near_copy: int = 100,
 ) -> DataFrame:
     """One row per row of ``pages``: ``id_col``, ``url_col``, text (blocks joined by two line ends; empty if none).
 
     A run of ``least_tokens`` tokens within a block, or a whole shorter block, is boilerplate if at
-    least ``least_pages`` of the host's distinct pages and a ``share`` of them have it, inside an
-    article container or not. ``kept_text`` says what of it leaves a page. Blocks that the markup
+    least ``least_pages`` of the host's distinct pages and a ``share`` of them have it, or ``firm_share``
+    where it stands inside an article container. ``kept_text`` says what of it leaves a page. Blocks that the markup
     marks as something beside the article go; all others stay, also outside the container.
 
     A host whose pages hold more than ``shard_chars`` characters of html is dealt over shards of
@@ -307,6 +309,8 @@ def extract_text(
     if n_large:
         # a host of several shards: count what any of them proposed on all its pages
         several = counted.join(small(large, n_large), "host", "left_semi").groupBy("host").agg(F.collect_set("run").alias("runs"))
+        several = work.table("several", several)
+        n_several = several.agg(F.sum(F.size("runs"))).first()[0] or 0
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -317,20 +321,20 @@ def extract_text(
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, pa.list_(pa.int64()))], ["host", "page", "hits"])
 
         again = dealt.join(small(large.select("host"), n_large), "host", "left_semi").mapInArrow(parse, "host string, page binary, shards long, blocks array<string>")
-        hits = again.join(small(several, n_large), "host").select("host", "page", "blocks", "runs").mapInArrow(count, "host string, page binary, hits array<long>")
+        hits = again.join(small(several, n_several // 10), "host").select("host", "page", "blocks", "runs").mapInArrow(count, "host string, page binary, hits array<long>")
         exact = hits.dropDuplicates(["host", "page"]).select("host", F.explode("hits").alias("run")).groupBy("host", "run").agg(F.count("*").alias("pages"))
         counted = counted.join(small(large, n_large), "host", "left_anti").unionByName(exact)
     common = counted.join(total, "host").where((F.col("pages") >= least_pages) & (F.col("pages") >= share * F.col("total")))
-    common = work.table("common", common.groupBy("host").agg(F.collect_list("run").alias("runs")))
+    firm = F.collect_list(F.when(F.col("pages") >= firm_share * F.col("total"), F.col("run")))
+    common = work.table("common", common.groupBy("host").agg(F.collect_list("run").alias("runs"), firm.alias("firm")))
     n_common = common.agg(F.sum(F.size("runs"))).first()[0] or 0
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for page, runs in zip(batch.column(2), batch.column(3), strict=True):
-                blocks = [(t, side) for t, _, side in blocks_of(page.as_py())]
-                texts.append(kept_text(blocks, np.array(runs.as_py() or [], np.int64), least_tokens, near_copy))
+            for page, runs, firm in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
+                texts.append(kept_text(blocks_of(page.as_py()), *(np.array(x.as_py() or [], np.int64) for x in (runs, firm)), least_tokens, near_copy))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], [id_col, url_col, "text"])
 
-    marked = read.join(small(common, n_common // 10), "host", "left").select("id", "url", "html", "runs")
+    marked = read.join(small(common, n_common // 10), "host", "left").select("id", "url", "html", "runs", "firm")
     return marked.mapInArrow(clean, f"`{id_col}` {kind}, `{url_col}` string, text string")
