@@ -108,13 +108,17 @@ def scan_secrets(
     code points of the whole text. A null text is scanned as an empty one. Versions with equal
     text share a blob and are scanned once. Repeated rows give repeated rows; null paths are kept.
     Other columns are ignored. No rows give no rows, and leave the ledger as it was.
+
+    Only blobs with findings are joined back, from a written table, so that Spark can split a blob
+    that very many paths hold.
     """
+    work = Scratch(spark, "findings")
     held = scan_new_blobs(spark, versions, ledger, path_col, text_col, rules)
     order = F.create_map(*(x for i, k in enumerate(k for kinds in rules.values() for k in kinds) for x in (F.lit(k), F.lit(i))))
-    known = read_ledger(spark, ledger).where(F.col("rule_version").isin(*rules)).dropDuplicates(["blob", "rule_version"])
+    known = read_ledger(spark, ledger).where(F.col("rule_version").isin(*rules) & (F.size("findings") > 0)).dropDuplicates(["blob", "rule_version"])
     merged = known.groupBy("blob").agg(F.flatten(F.collect_list("findings")).alias("findings"))
     ranked = F.array_sort(F.transform("findings", lambda f: F.struct(f["start"].alias("start"), order[f["kind"]].alias("order"), f["kind"].alias("kind"), f["end"].alias("end"))))
-    merged = merged.select("blob", F.transform(ranked, lambda f: F.struct(f["kind"].alias("kind"), f["start"].alias("start"), f["end"].alias("end"))).alias("findings"))
+    merged = work.table("merged", merged.select("blob", F.transform(ranked, lambda f: F.struct(f["kind"].alias("kind"), f["start"].alias("start"), f["end"].alias("end"))).alias("findings")))
     return held.join(merged, "blob", "left").select(path_col, "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
 
 
