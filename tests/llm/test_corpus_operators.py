@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gleaner.llm import decontaminate, html_text, ngram_join, packing, token_store, warc
@@ -79,6 +80,15 @@ def test_ngram_join_of_odd_rows(spark):
     assert ngram_join.jaccard_components(spark, frame.limit(0)).collect() == []
 
 
+def test_rows_that_repeat_an_id_are_one_document(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "xyz")
+    rows = [(5, one), (5, two), (5, two), (5, ""), (3, one + " end"), (9, two + " end"), (9, three), (12, three), (20, two), (30, None), (4, "other words only here now")]
+    frame = spark.createDataFrame([(i, t, "c", 1, "r") for i, t in rows], DOC)
+    for group_size in (128, 1):
+        got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join.jaccard_components(spark, frame, group_size=group_size).collect())
+        assert got == [(3, 37, 3, 1), (4, 1, 4, 0), (5, 0, 3, 0), (5, 36, 3, 1), (5, 36, 3, 2), (5, 36, 3, 2), (9, 36, 3, 1), (9, 37, 3, 2), (12, 36, 3, 1), (20, 36, 3, 2), (30, 0, 30, 0)]
+
+
 PAGES = "page_id long, url string, html string, digest string, first long"
 
 
@@ -141,6 +151,12 @@ def test_repeated_blocks_leave_containers_and_unique_ones_outside_stay(spark):
     assert page_texts(spark, pages) == [(i, f"own{i} text{i} here\n\nmore of {i}") for i in range(4)]
 
 
+def test_inside_a_container_half_of_the_pages_must_have_a_run(spark):
+    line = " ".join(f"line{i}" for i in range(9))
+    pages = [(i, f"<article><p>own{i} words</p>{f'<p>{line}</p>' * (i % 3 == 0)}</article>{f'<p>{line}</p>' * (i % 3 == 0)}") for i in range(9)]
+    assert page_texts(spark, pages) == [(i, f"own{i} words" + f"\n\n{line}" * (i % 3 == 0)) for i in range(9)]
+
+
 def test_shards_do_not_change_page_text(spark):
     rng = random.Random(8)
     notes = [" ".join(f"note{k}x{i}" for i in range(9)) for k in range(6)]
@@ -171,17 +187,31 @@ def test_copies_and_quotes_stay(spark):
     assert page_texts(spark, quoted) == [(i, p[3:-4]) for i, p in quoted]
 
 
-def test_repeated_tokens_match_brute_force():
+def test_common_runs_match_brute_force():
     rng = random.Random(9)
     for _ in range(30):
-        streams = [[rng.choice("abc") for _ in range(rng.randrange(25))] for _ in range(5)]
-        got = html_text.repeated_tokens(streams, 4)
-        for k, s in enumerate(streams):
-            hit = [False] * len(s)
-            for i in range(len(s) - 3):
-                if any(s[i : i + 4] == o[j : j + 4] for m, o in enumerate(streams) if m != k for j in range(len(o) - 3)):
-                    hit[i : i + 4] = [True] * 4
-            assert got[k].tolist() == hit
+        pages = [[" ".join(rng.choices("abc", k=rng.randint(1, 12))) for _ in range(rng.randrange(4))] for _ in range(8)]
+        coded = [html_text.block_codes(p, 4) for p in pages]
+        found = dict(zip(*(x.tolist() for x in html_text.common_runs(coded, 4, 0.4)), strict=True))
+        padded = [[(*b.split(" "), *[""] * (4 - len(b.split(" ")))) for b in p] for p in pages]
+        runs = [{b[i : i + 4] for b in p for i in range(len(b) - 3)} for p in padded]
+        count = collections.Counter(r for p in runs for r in p)
+        number = {r: int(html_text.window_hashes(html_text.block_codes([" ".join(r).strip()], 4)[0], np.array([4]), 4)[0][0]) for r in count}
+        assert found == {number[r]: n for r, n in count.items() if n >= 0.4 * len(pages)}
+
+
+MARKED = """<body><article class="post category-social"><h1>Head</h1><div class="social-history"><p>The social history of the town</p></div><ul><li>kept item<li class="reply"><p>a reader's reply</p><li>last item</ul>
+<ol class="comment-list"><li>nice!</li></ol><div class="AdSlot">buy</div><p>end</p></article><article class="teaser"><p>another story</p></article><div class="share-buttons">tell all</div></body>"""
+
+
+def test_marks_are_whole_names():
+    kept = [t for t, _, side in html_text.blocks_of(MARKED) if not side]
+    assert kept == ["Head", "The social history of the town", "kept item", "last item", "end"]
+
+
+def test_long_tokens(spark):
+    pages = [(i, f"<article><p>{'x' * 100_000}{i}</p><p>short {i}</p></article>") for i in range(4)]
+    assert page_texts(spark, pages) == [(i, f"{'x' * 100_000}{i}\n\nshort {i}") for i in range(4)]
 
 
 def test_fm_index_matches_brute_force():
@@ -236,7 +266,10 @@ def test_decontamination(spark, block_chars):
 def test_decontamination_keeps_repeated_rows(spark, block_chars):
     bench = spark.createDataFrame([(i, " ".join(f"item{i}w{k}" for k in range(12))) for i in range(5)], "item_id long, text string")
     rows = [(1, " ".join(f"item2w{k}" for k in range(12)) + " x"), (2, "clean"), (None, "null id"), (3, None)]
+    bench = bench.unionByName(bench.where("item_id = 2").withColumn("text", F.concat("text", F.lit(" more")))).unionByName(bench)  # ids that recur
     frame = spark.createDataFrame([(i, t, "c", 1, "r") for i, t in rows * 3 + rows[:1]], DOC)
+    kept = decontaminate.find_contamination(spark, frame, bench, block_chars=block_chars, carry=("text", "class")).collect()
+    assert collections.Counter((r["doc_id"], r["text"], r["class"]) for r in kept) == collections.Counter((i, t, "c") for i, t in rows * 3 + rows[:1])
     got = decontaminate.find_contamination(spark, frame, bench, block_chars=block_chars).collect()
     found = collections.Counter((r["doc_id"], r["n_words"], tuple(map(tuple, r["spans"])), tuple(r["items"])) for r in got)
     assert found == {(1, 13, ((0, 12),), ("2",)): 4, (2, 1, (), ()): 3, (None, 2, (), ()): 3, (3, 0, (), ()): 3}
