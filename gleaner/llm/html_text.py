@@ -245,7 +245,7 @@ def extract_text(
     url_col: str = "url",
     html_col: str = "html",
     least_tokens: int = 8,
-    shard_chars: int = 4_000_000,
+    shard_chars: int = 2_000_000,
     broadcast_rows: int = 100_000,
     least_pages: int = 3,
     share: float = 0.25,
@@ -268,9 +268,9 @@ def extract_text(
     """
     work = Scratch(spark, "html-text")
     read = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(url_col).alias("host"))
-    large = read.groupBy("host").agg(F.sum(F.length("html")).alias("chars")).where(F.col("chars") > shard_chars).select("host", F.ceil(F.col("chars") / shard_chars).alias("shards"))
-    large = work.table("large", large)
-    n_large = large.count()
+    sizes = work.table("sizes", read.groupBy("host").agg(F.sum(F.length("html")).alias("chars")))
+    large = sizes.where(F.col("chars") > shard_chars).select("host", F.ceil(F.col("chars") / shard_chars).alias("shards"))
+    n_large, total_chars = large.count(), sizes.agg(F.sum("chars")).first()[0] or 0
 
     def small(df: DataFrame, rows: int) -> DataFrame:
         return F.broadcast(df) if rows <= broadcast_rows else df
@@ -303,7 +303,9 @@ def extract_text(
         runs, count = common_runs(list(distinct.values()), least_tokens, share)
         return pa.table([pa.array([table.column("host")[0].as_py()] * (len(runs) + 1), pa.string()), pa.array([None, *runs.tolist()], pa.int64()), pa.array([len(distinct), *count.tolist()], pa.int64())], ["host", "run", "pages"])
 
-    proposed = work.table("proposed", parsed.withColumn("shard", shard).groupBy("host", "shard").applyInArrow(propose, "host string, run long, pages long"))
+    # twice as many tasks as shards, so that few of these meet in one
+    dealt_out = parsed.withColumn("shard", shard).repartition(2 * -(-total_chars // shard_chars) or 1, "host", "shard")
+    proposed = work.table("proposed", dealt_out.groupBy("host", "shard").applyInArrow(propose, "host string, run long, pages long"))
     total = proposed.where("run is null").groupBy("host").agg(F.sum("pages").alias("total"))
     counted = proposed.where("run is not null")
     if n_large:
