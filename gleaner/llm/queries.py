@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontaminate, html_text, langid, ngram_join, packing, secret_scan, token_store, topk, url_filter, warc
+from gleaner.llm import decontaminate, hard_negatives, html_text, langid, lm_score, ngram_join, packing, periodic, secret_scan, token_store, topk, url_filter, warc
 from gleaner.llm.scratch import Scratch
 from gleaner.llm.tokens import vocabulary
 
@@ -83,9 +84,55 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_tokens(index, folder, with_ids=False)
 
 
+def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    text_id = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")
+    held = F.pmod(F.crc32(text_id), F.lit(7)) == 2
+    found = lm_score.score_texts(spark, docs, train=~held, order=2)
+    return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """The texts of op12: of a tenth of the ids the words from some place on repeat with some period."""
+
+    @F.pandas_udf("string")
+    def repeat(texts: pd.Series, numbers: pd.Series) -> pd.Series:
+        def one(text: str | None, g: int) -> str | None:
+            words = (text or "").encode("utf-8", "surrogatepass").split()
+            n = len(words)
+            if not n:
+                return text
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            tail = (words[a : a + p] * (-(-(n - a) // p)))[: n - a]
+            return b" ".join(words[:a] + tail).decode("utf-8", "surrogatepass")
+
+        return pd.Series([one(t, int(g)) for t, g in zip(texts, numbers, strict=True)], dtype=object)
+
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    chosen = h % 10 == 0
+    repeated = repeat(F.when(chosen, F.col("text")), F.when(chosen, F.floor(h / 10)).otherwise(F.lit(0)).cast("long"))
+    return docs.select("doc_id", F.when(chosen, repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(spark, with_repeats(_table(spark, sf_dir, "documents")))
+    first = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("length"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), first.alias("first"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    longest = [F.col("first.start").alias("start"), (-F.col("first.length")).alias("length"), F.col("first.period").alias("period"), F.expr("(-first.length * 1000) div first.period").alias("exponent_milli")]
+    return found.select("doc_id", "n_runs", *longest, "runs_sha256", "collapsed_sha256")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _table(spark, sf_dir, "embeddings").withColumn("label", changed)
+    return hard_negatives.mine_hard_negatives(spark, vectors, F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_top_k, op2_secret_scan, op3_url_filter, op4_language_id, op5_ngram_join, op6_warc, op7_html_text, op8_decontaminate, op9_packing, op10_token_store)
+    for f in (op1_top_k, op2_secret_scan, op3_url_filter, op4_language_id, op5_ngram_join, op6_warc, op7_html_text, op8_decontaminate, op9_packing, op10_token_store, op11_lm_score, op12_periodic_runs, op13_hard_negatives)
 }
 
 #: What is plain enough for SQL over whole tables; the others are tested against brute force.
@@ -134,5 +181,22 @@ with d as (
 select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(hit.n, 0) as bigint) as n_hit, cast(coalesce(named.n, 0) as bigint) as n_items,
   sha256(coalesce(items, '')) as items_sha256, coalesce(hit.n, 0) > 0 as contaminated
 from d left join hit on d.doc_id = hit.doc_id left join named on d.doc_id = named.doc_id
+""",
+    "op13_hard_negatives": """
+with rows as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scores as (
+  select a.vec_id as anchor_id, c.vec_id, a.label = c.label as alike, cast(list_sum(list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
+  from rows a join rows c on a.vec_id <> c.vec_id where a.vec_id % 50 = 0
+), positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scores where alike
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+), ranked as (
+  select anchor_id, positive_id, cast(row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) as integer) as rank, vec_id as negative_id, positive_score, score as negative_score
+  from positives join scores using (anchor_id) where not alike and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+)
+select * from ranked where rank <= 3
 """,
 }
