@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.bytewords import ALNUM, chunks, word_hashes
+from gleaner.llm.bytewords import ALNUM, Words, chunks
 from gleaner.llm.scratch import Scratch, bounded_batches
 from gleaner.llm.tokens import release
 
@@ -156,28 +156,31 @@ class Phrases:
     """The distinct windows of a block of items, as symbols."""
 
     def __init__(self, items: list[tuple[str, str]], width: int):
-        hashes: list[np.ndarray] = []
+        numbers: dict[bytes, int] = {}  # distinct words, from 1
+        texts: list[np.ndarray] = []
         for _, docs in chunks([t for _, t in items]):
-            words, begin = word_hashes(docs, ALNUM)
-            hashes += [words[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True)]
+            words = Words(docs, ALNUM)
+            low = words.low.tobytes()
+            found = [numbers.setdefault(low[a:b], len(numbers) + 1) for a, b in zip(words.starts.tolist(), words.ends.tolist(), strict=True)]
+            texts += np.split(np.array(found, np.int64), words.begin[1:-1])
+        self.vocabulary(list(numbers))
         self.items = sorted({i for i, _ in items})
         number = {name: k for k, name in enumerate(self.items)}
-        joined = np.concatenate([*hashes, np.zeros(0, np.uint64)])
-        self.words = np.unique(joined)
-        counts = np.array([len(h) for h in hashes], np.int64)
+        joined = np.concatenate([*texts, np.zeros(0, np.int64)])
+        counts = np.array([len(t) for t in texts], np.int64)
         # windows of each item, one at least if it has words; symbols from 1, 0 after the end of a shorter one
         windows = np.where(counts > 0, np.maximum(1, counts - width + 1), 0)
         owner = np.repeat(np.arange(len(counts)), windows)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
         start, length = (np.cumsum(counts) - counts)[owner] + nth, np.minimum(width, counts[owner])
-        symbols = np.concatenate([np.searchsorted(self.words, joined) + 1, np.zeros(width, np.int64)]).astype(np.int32)
+        symbols = np.concatenate([joined, np.zeros(width, np.int64)]).astype(np.int32)
         table = np.zeros((len(owner), width), np.int32)
         for j in range(width):
             table[:, j] = np.where(j < length, symbols[start + j], 0)
         # equal windows get one number, symbol by symbol
         code = np.zeros(len(table), np.int64)
         for j in range(width):
-            code = np.unique(code * np.int64(len(self.words) + 1) + table[:, j], return_inverse=True)[1]
+            code = np.unique(code * np.int64(len(numbers) + 1) + table[:, j], return_inverse=True)[1]
         _, first = np.unique(code, return_index=True)
         self.table, self.lengths = table[first], length[first]
         names = np.array([number[i] for i, _ in items], np.int64)[owner] if len(owner) else owner
@@ -189,11 +192,33 @@ class Phrases:
         """Numbers, in ``items``, of the items that have the window."""
         return self.owner_names[self.owner_begin[window] : self.owner_begin[window + 1]].tolist()
 
-    def symbols(self, words: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(words), np.int64)
-        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return np.where(self.words[at] == words, at + 1, 0)
+    def vocabulary(self, words: list[bytes]) -> None:
+        """Keep distinct words, of which the kth has symbol k + 1, in the order of their hashes; the seed is the
+        first with which no two of them have one hash."""
+        self.size, self.seed, docs = len(words), 0, [b" ".join(words)]
+        while True:
+            own = Words(docs, ALNUM, self.seed)
+            order = np.argsort(own.hashes)
+            self.hashes = own.hashes[order]
+            if (self.hashes[1:] != self.hashes[:-1]).all():
+                break
+            self.seed += 1
+        self.symbol, self.low, self.starts, self.lengths_of = order + 1, own.low, own.starts[order], own.lengths[order]
+
+    def symbols(self, words: Words) -> np.ndarray:
+        """The symbol of each word, 0 for those that the items lack. Equal hashes are compared byte by byte."""
+        if not self.size:
+            return np.zeros(len(words.hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, words.hashes), self.size - 1)
+        like = np.flatnonzero((self.hashes[at] == words.hashes) & (self.lengths_of[at] == words.lengths))
+        sizes = words.lengths[like]
+        begin = np.cumsum(sizes) - sizes
+        step = np.arange(sizes.sum()) - np.repeat(begin, sizes)
+        same = words.low[np.repeat(words.starts[like], sizes) + step] == self.low[np.repeat(self.starts[at[like]], sizes) + step]
+        like = like[np.logical_and.reduceat(same, begin)] if len(like) else like
+        out = np.zeros(len(words.hashes), np.int64)
+        out[like] = self.symbol[at[like]]
+        return out
 
 
 def long_runs(inside: np.ndarray, least: int) -> np.ndarray:
@@ -257,7 +282,7 @@ def _search(docs: DataFrame, items: list[tuple[str, str]], id_col: str, text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         phrases = _phrases(block, items, width)
-        top = len(phrases.words)
+        top = phrases.size
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             out: tuple[list, list, list] = ([], [], [])
@@ -277,9 +302,9 @@ def _search(docs: DataFrame, items: list[tuple[str, str]], id_col: str, text_col
                 held, size = [], 0
 
             for _, raw in chunks(batch.column(text_col).to_pylist()):
-                words, begin = word_hashes(raw, ALNUM)
+                words = Words(raw, ALNUM, phrases.seed)
                 symbols = phrases.symbols(words)
-                for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+                for a, b in zip(words.begin[:-1].tolist(), words.begin[1:].tolist(), strict=True):
                     if held and size + b - a > SHARD_SYMBOLS:
                         flush()
                     held.append(symbols[a:b])
@@ -319,7 +344,7 @@ def find_contamination(
     Words are runs of ASCII letters (A-Z lower-cased), digits and all non-ASCII characters. A window
     is ``width`` consecutive words of an item; an item with fewer is one window; one without words,
     or null, has none. An item id that recurs has the windows of all its texts. The documents are
-    searched where they lie, without a shuffle. Words are told apart by 64-bit hashes.
+    searched where they lie, without a shuffle. Words are found by hashes and compared byte by byte.
 
     Benchmark items reach the driver and the tasks in blocks of about ``block_chars`` characters, one
     block after another, each over all documents; the findings of all blocks are merged, so the

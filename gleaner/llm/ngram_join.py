@@ -17,12 +17,13 @@
 from __future__ import annotations
 
 import hashlib
+import secrets
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.bytewords import shingle_sets
@@ -33,22 +34,22 @@ from gleaner.llm.tokens import release
 COUNT_BLOCK = 8192
 
 
-def _text_batches(batches: Iterator[pa.RecordBatch], column: int, rows: int = 512) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def _text_batches(batches: Iterator[pa.RecordBatch], column: int, seed: int, rows: int = 512) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     release()
     for batch in batches:
         for lo in range(0, batch.num_rows, rows):
             part = batch.slice(lo, rows)
-            yield part, list(shingle_sets(part.column(column).to_pylist()))
+            yield part, list(shingle_sets(part.column(column).to_pylist(), seed=seed))
 
 
-def frequency_ranks(texts: DataFrame, buckets: int) -> np.ndarray:
+def frequency_ranks(texts: DataFrame, buckets: int, seed: int = 0) -> np.ndarray:
     """A rank from 0 to 255 for each bucket of shingle hashes: eight times the logarithm of how
     many sets hold a shingle of the bucket. Fixed in size, whatever the corpus holds; the tasks'
     counts are added block by block as a stream, so no task holds those of several tasks."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, any_set = np.zeros(buckets, np.uint32), False
-        for _, sets in _text_batches(batches, 0):
+        for _, sets in _text_batches(batches, 0, seed):
             for s in sets:
                 np.add.at(total, (s & np.uint64(buckets - 1)).astype(np.int64), np.uint32(1))
                 any_set |= len(s) > 0
@@ -155,19 +156,21 @@ def jaccard_components(
     A null text or one without words has an empty set and links with nothing: it is its own
     component. Rows that repeat an id count as one document that has each of their texts, and have
     one component. A row with a null id has no component. Other columns are ignored; no rows give no
-    rows. Ids are longs. Shingles are compared by 64-bit hashes and equal sets found by 128-bit ones;
-    words themselves are not compared again.
+    rows. Ids are longs. Shingles are compared by 64-bit hashes from a seed drawn for each run, and equal
+    sets found by 128-bit ones; words themselves are not compared again. Two sets of n and m shingles have
+    two of them in common by chance with a probability of n * m / 2**64.
 
     Groups hold ``group_size`` sets or ``group_shingles`` shingles, about. As ``n_links`` counts every
     link, the groups of one cluster of n near copies all meet: (n / group_size)**2 / 2 meetings.
     """
     work = Scratch(spark, "ngram-join")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ranks = spark.sparkContext.broadcast(frequency_ranks(docs.select("text"), buckets))
+    seed = secrets.randbits(63)
+    ranks = spark.sparkContext.broadcast(frequency_ranks(docs.select("text"), buckets, seed))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = ranks.value, set()
-        for rows, sets in _text_batches(batches, 1):
+        for rows, sets in _text_batches(batches, 1, seed):
             keys, leads = [], []
             for s in sets:
                 key = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
@@ -187,9 +190,9 @@ def jaccard_components(
 
     # shingles that lead at least two classes
     leads = signed.where("id is not null and n > 0").select(F.explode("leads").alias("shingle"), "class")
-    same = Window.partitionBy("shingle")
-    spread = leads.withColumn("low", F.min("class").over(same)).withColumn("high", F.max("class").over(same)).where("low <> high")
-    shared = work.table("shared", spread.select("shingle", "class").distinct())
+    ends = leads.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
+    ends = work.table("ends", ends.select("shingle"))
+    shared = work.table("shared", leads.join(F.broadcast(ends) if ends.count() <= broadcast_rows else ends, "shingle").distinct())
 
     # a match is at least this large, and shares as many leading shingles as the smaller set must
     smallest = F.floor((percent * F.col("n") + 99) / 100)
@@ -204,7 +207,7 @@ def jaccard_components(
         wanted = F.broadcast(wanted)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, sets in _text_batches(batches, 0):
+        for rows, sets in _text_batches(batches, 0, seed):
             keys = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8 * 2).digest()[:8], "little", signed=True) if len(s) else None for s in sets]
             fits = [i for i, (k, c) in enumerate(zip(keys, rows.column(2).to_pylist(), strict=True)) if k == c]
             at = pa.array(fits, pa.int64())
@@ -241,7 +244,7 @@ def jaccard_components(
     degree = links.groupBy("class").agg(F.sum("links").alias("links"))
     found = classes.join(labels, F.col("rep") == F.col("node"), "left").join(degree, "class", "left")
     found = work.table("found", found.select("key", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")))
-    work.drop("shared", "keyed", "members", "groups", "cc-links", "links", "tied", "classes")
+    work.drop("ends", "shared", "keyed", "members", "groups", "cc-links", "links", "tied", "classes")
     linkable = F.col("id").isNotNull() & (F.col("n") > 0)
     rows = signed.where(linkable).select("id", "n", "key").join(found, "key").select("id", "n", "component", "links")
     # a row without words takes the component that its id has from other rows
