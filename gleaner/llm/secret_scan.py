@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,21 +21,23 @@ from gleaner.llm.tokens import release
 
 # The kinds in the order that decides ties, each with its pattern, the group that is
 # measured and the fewest characters of it. Runs are maximal, so a length bound inside the pattern
-# of access and hex accepts the same runs as a check afterwards.
+# of access and hex accepts the same runs as a check afterwards. A web token begins where a run of its
+# signs begins, and its parts take all of theirs, so each run is read once.
 ASSIGN = (r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6)
 ACCESS = (r"AKIA[A-Z0-9]{16,}", 0, 20)
 HEX = (r"(?<![0-9a-f])[0-9a-f]{24,}", 0, 24)
 KEY_BLOCK = (r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----", 0, 1)
-WEB_TOKEN = (r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 1)
+WEB_TOKEN = (r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+", 0, 1)
 URL_LOGIN = (r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:[^\s:/@]{6,128}@", 0, 1)
 
 #: rule version -> kind -> rule. A changed rule needs a new version name, so that old blobs are scanned anew.
 RULES: dict[str, dict[str, tuple[str, int, int]]] = {
     "base-1": {"assign": ASSIGN, "access": ACCESS, "hex": HEX},
-    "more-1": {"key_block": KEY_BLOCK, "web_token": WEB_TOKEN, "url_login": URL_LOGIN},
+    "more-2": {"key_block": KEY_BLOCK, "web_token": WEB_TOKEN, "url_login": URL_LOGIN},
 }
 KIND_ORDER = [kind for rules in RULES.values() for kind in rules]
 FINDINGS = "array<struct<kind:string,start:int,end:int>>"
+SEEN_BLOBS = 100_000
 LEDGER_SCHEMA = f"blob string, rule_version string, findings {FINDINGS}"
 
 
@@ -83,6 +86,8 @@ def scan_new_blobs(spark: SparkSession, versions: DataFrame, ledger: str, path_c
             rows: tuple[list, list, list] = ([], [], [])
             for text, blob, names in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if blob not in seen:
+                    if len(seen) >= SEEN_BLOBS:  # one that comes again is scanned again, and the ledger's reader takes one
+                        seen.clear()
                     seen.add(blob)
                     for name in names:
                         found = [{"kind": k, "start": a, "end": b} for k, a, b in find_secrets(text, compiled[name])]
@@ -122,22 +127,33 @@ def scan_secrets(
     return held.join(merged, "blob", "left").select(path_col, "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
 
 
+def masked(text: str, findings: list[dict], mark: str) -> str:
+    """The text with ``mark`` for each span; spans that overlap become one."""
+    out, at = [], 0
+    for f in sorted(findings, key=lambda f: f["start"]):
+        if f["end"] > at:
+            out += [text[at : f["start"]], mark] if f["start"] >= at else []
+            at = f["end"]
+    return "".join([*out, text[at:]])
+
+
 def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """``docs`` with every found span of ``text_col`` replaced by ``mark``; overlapping spans become one.
 
-    Joined by id and by the text's own hash, so rows that share an id keep their own findings.
+    Joined by id and by the text's own hash, so rows that share an id keep their own findings. Null ids match each
+    other, null and empty texts have no findings, repeated rows stay, and so do all columns of ``docs``, whatever
+    their names; no rows give no rows. Only texts with findings go to Python, each put together once.
     """
-    hits = found.where(F.size("findings") > 0).select(F.col(id_col).alias("_id"), F.col("blob").alias("_blob"), "findings").dropDuplicates(["_id", "_blob"])
-
-    # fold over the sorted spans: text so far and where it ends
-    def add(acc: Column, f: Column) -> Column:
-        start = F.greatest(f["start"], acc["at"])
-        piece = F.substring(F.col(text_col), acc["at"] + 1, start - acc["at"])
-        new = f["end"] > acc["at"]
-        joined = F.when(f["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], piece, F.lit(mark)))
-        return F.struct(F.when(new, joined).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], f["end"]).alias("at"))
-
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    masked = F.aggregate("findings", zero, add, lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.length(text_col))))
-    joined = docs.join(hits, F.col(id_col).eqNullSafe(F.col("_id")) & (blob_of(F.col(text_col)) == F.col("_blob")), "left")
-    return joined.withColumn(text_col, F.when(F.size("findings") > 0, masked).otherwise(F.col(text_col))).select(*docs.columns)
+
+    @F.pandas_udf("string")
+    def cover(texts: pd.Series, findings: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else masked(t, f, mark) for t, f in zip(texts, findings, strict=True)], dtype=object)
+
+
+    hits = found.where(F.size("findings") > 0).select(F.col(id_col).alias("_id"), F.col("blob").alias("_blob"), F.col("findings").alias("_found")).dropDuplicates(["_id", "_blob"])
+    own, kept = docs.alias("own"), [F.col(f"own.{c}") for c in docs.columns]
+    text = F.col(f"own.{text_col}")
+    met = own.join(hits.alias("hit"), F.col(f"own.{id_col}").eqNullSafe(F.col("hit._id")) & (blob_of(text) == F.col("hit._blob")), "left")
+    hit = F.size("hit._found") > 0
+    new = F.when(hit, cover(F.when(hit, text), F.when(hit, F.col("hit._found")))).otherwise(text)
+    return met.select(*(new.alias(c) if c == text_col else k for c, k in zip(docs.columns, kept, strict=True)))
