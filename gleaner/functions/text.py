@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gleaner.functions.lexer import lex
+from gleaner.functions.lexer import scan
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # The tokens of the word rule, control signs, and short open tags that are written out.
@@ -43,18 +43,20 @@ def clean_source(content: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(content.cast("string"), CONTROL, ""), SHORT_TAG, "<?php ")
 
 
-def tokens(content: Column, mode: str = "words") -> Column:
+def tokens(content: Column, mode: str = "words", naming: int = 8) -> Column:
     """Distinct non-empty tokens other than '0', in order of appearance. ``words`` is built-in;
-    ``lexer`` follows the language's own lexical rules."""
+    ``lexer`` follows the language's own lexical rules, with names as before or from version 8 on."""
     source = clean_source(content)
-    found = F.regexp_extract_all(source, F.lit(WORD_TOKEN), 0) if mode == "words" else lexer_tokens(source)
+    found = F.regexp_extract_all(source, F.lit(WORD_TOKEN), 0) if mode == "words" else lexer_tokens(source, naming)
     return F.array_remove(F.array_remove(F.array_distinct(found), "0"), "")
 
 
-def lexer_tokens(source: Column) -> Column:
+def lexer_tokens(source: Column, naming: int = 8) -> Column:
+    """Trimmed distinct tokens; a file's repeated ones don't leave the task."""
+
     @F.pandas_udf("array<string>")
     def found(sources: pd.Series) -> pd.Series:
-        return sources.map(lambda s: None if s is None else [t.strip(" \t\n\r\0\x0b") for t in lex(s)])
+        return sources.map(lambda s: None if s is None else list(dict.fromkeys(t.strip(" \t\n\r\0\x0b") for t in scan(s, naming))))
 
     return found(source)
 

@@ -16,6 +16,7 @@ from gleaner.functions import needles as N
 from gleaner.functions.text import base_name, extension, json_leaf_paths, short_label, tokens
 from gleaner.operators import analysis, dashboard, hashes, report, selection
 from gleaner.sources import files as sources
+from gleaner.sources import tree
 from gleaner.sources.tables import shared_folder, written
 from gleaner.streaming.incremental import read_chunks, scan_in_chunks
 
@@ -504,6 +505,21 @@ def manifest_read(s: SparkSession, d: str) -> DataFrame:
     return _lines(files).unionByName(files.where("not is_readable").select(F.lit(-1).cast("long").alias("doc_id"), F.lit("unreadable").alias("md5")))
 
 
+TREE_LIMIT = 6000
+
+
+@_add("tree_read", _with("base", f"""select path, {EXT} as ext, cast(strlen(source_text) as bigint) as size, strlen(source_text) <= {TREE_LIMIT} as is_readable,
+  case when strlen(source_text) <= {TREE_LIMIT} then md5(source_text) end as md5, case when strlen(source_text) > {TREE_LIMIT} then 'too large' end as error
+from base where regexp_matches({EXT}, '{PATTERN}') and strlen(source_text) >= 300"""))
+def tree_read(s: SparkSession, d: str) -> DataFrame:
+    """A real tree with names that begin with a dot; only scripts of some size are opened, those over the limit are not."""
+    root = shared_folder(s, "tree")
+    tree.write_tree(files_view(s, d).select("path", F.col("source_text").alias("content")), root)
+    found = tree.read_tree(s, root, maxFileBytes=TREE_LIMIT).where("is_script and size >= 300")
+    path = F.regexp_extract("path", "(/srv/www/.*)$", 1)
+    return found.select(path.alias("path"), F.col("extension").alias("ext"), "size", "is_readable", F.md5("content").alias("md5"), "error")
+
+
 @_add("hash_list_loaded", _with("base", "select distinct md5(source_text) as md5 from base"))
 def hash_list_loaded(s: SparkSession, d: str) -> DataFrame:
     folder = shared_folder(s, "hashes")
@@ -544,6 +560,33 @@ def scored_by_lexer(s: SparkSession, d: str) -> DataFrame:
     return _short(analysis.analyse(analysis.features(files_view(s, d), _list(s, d, 17), _list(s, d, 23), mode="lexer")))
 
 
+# Sources whose strings hold code that holds strings, by the length of the text, and their tokens.
+_NESTED = {
+    0: ('echo "{$a["eval"]}";', 'echo " { $a [ "eval" ] } ;'), 1: ('eval("${b["x"]}");', 'eval ( " ${ b [ "x" ] } ) ;'),
+    2: ('`{$c("system")}`; system(1);', '` { $c ( "system" ) } ; system 1'), 3: ("#[exec] function f() {}", "#[ exec ] function f ( ) { }"),
+    4: ('\\system("$d[assert]");', '\\system ( " $d [ assert ] ) ;'),
+    5: ('echo <<<E\n{$f->passthru("exec")} eval\nE;\nproc_open(2);', 'echo <<<E { $f -> passthru ( "exec" ) } eval E ; proc_open 2'),
+}
+_NESTED_CASE = "case length(text) % 6 " + " ".join(f"when {k} then '{v}'" for k, (v, _) in _NESTED.items()) + " end"
+_NESTED_TOKENS = f"""list_filter(list_concat(['<?php'], case cast(length(body) % 6 as integer) {" ".join(f"when {k} then {_sql_list(v.split())}" for k, (_, v) in _NESTED.items())} end, ['?>', trim(regexp_replace(body, '{CONTROL}', '', 'g'), ' \t\n\r\x0b')]), lambda x: x <> '' and x <> '0')"""
+_NESTED_STEPS = {
+    k: v.replace(SNIPPETS, _NESTED_CASE).replace("as source_text\n", "as source_text, text as body\n").replace("is_readable\nfrom", "is_readable, text as body\nfrom") if k == "base" else v.replace("select doc_id, path, mtime, is_readable, source_text,", "select doc_id, path, mtime, is_readable, source_text, body,")
+    for k, v in _steps(tokens=_NESTED_TOKENS).items()
+}
+
+
+@_add("scored_by_nested_lexer", _with("scored", f"select {_SCORE} from scored", _NESTED_STEPS))
+def scored_by_nested_lexer(s: SparkSession, d: str) -> DataFrame:
+    """Code in strings in code: what stands in quotes there doesn't match, what is code there does."""
+    docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id", "source", "text")
+    rows = s.sql(FILES_SQL.format(S="string").replace("from documents", "from {docs}"), docs=docs).join(docs.select("doc_id", "text"), "doc_id")
+    snippet = F.element_at(F.array(*(F.lit(v) for v, _ in _NESTED.values())), (F.length("text") % 6 + 1).cast("int"))
+    rows = rows.withColumn("source_text", F.concat(F.lit("<?php "), snippet, F.lit(" ?> "), F.col("text")))
+    files = rows.withColumn("content", F.when(F.col("is_readable"), F.col("source_text"))).withColumn("size", F.octet_length("content").cast("long"))
+    lists = [files.where(F.col("doc_id") % n == 0).select(F.md5(F.col("source_text").cast("binary")).alias("md5")).distinct() for n in (17, 23)]
+    return _short(analysis.analyse(analysis.features(files, *lists, mode="lexer")))
+
+
 OWN_NEEDLES = [(0, "echo", 42.0, True, False, False), (1, "Return", 3.5, False, False, True), (2, "base64_decode", 7.0, False, True, False), (3, "getenv", None, False, False, False), (4, "eval", 1.5, True, False, False)]
 _OWN = [(t, w) for _, t, w, *_ in OWN_NEEDLES]
 _OWN_SQL = [(t, "null" if w is None else w) for t, w in _OWN]

@@ -30,11 +30,11 @@ def unreadable_features(files: DataFrame) -> DataFrame:
 
 
 def token_features(
-    files: DataFrame, mode: str = "words", needles: list[tuple[str, float | None]] = N.WEB, emit: str = "needle", entropy_source: str = "tokens"
+    files: DataFrame, mode: str = "words", needles: list[tuple[str, float | None]] = N.WEB, emit: str = "needle", entropy_source: str = "tokens", naming: int = 8
 ) -> DataFrame:
     """(path, size, mtime, md5, total_tokens, matched_tokens, entropy) of each file, made where the file
     lies: content goes through no shuffle."""
-    found = files.select("path", "size", "mtime", "content", F.md5(F.col("content").cast("binary")).alias("md5"), tokens(F.col("content"), mode).alias("tokens"))
+    found = files.select("path", "size", "mtime", "content", F.md5(F.col("content").cast("binary")).alias("md5"), tokens(F.col("content"), mode, naming).alias("tokens"))
     found = found.withColumn("matched_tokens", match_needles(F.col("tokens"), needles, emit))
     measure = entropy(F.array_join("matched_tokens", "")) if entropy_source == "tokens" else entropy_bytes(F.col("content"))
     return found.select("path", "size", "mtime", "md5", F.size("tokens").cast("long").alias("total_tokens"), "matched_tokens", measure.alias("entropy"))

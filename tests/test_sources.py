@@ -1,0 +1,131 @@
+"""The tree data source, and the lexer's constructs."""
+
+import os
+import time
+
+import pytest
+from pyspark.sql import datasource as ds
+from pyspark.sql import functions as F
+
+from gleaner.functions import text
+from gleaner.functions.lexer import lex, scan
+from gleaner.operators import analysis
+from gleaner.sources import tree
+
+
+@pytest.fixture
+def site(tmp_path):
+    for name, content in {"a.php": "<?php 1;", "b/.htaccess": "Deny", "b/_c/.d/e.PHTML": "x", "b/f.txt": "text", "g.inc": "y" * 500, "big.php": "z" * 5000, ".hidden/h": ""}.items():
+        path = tmp_path / "site" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(content)
+        os.utime(path, (1_700_000_000 + len(content), 1_700_000_000 + len(content)))
+    os.symlink(tmp_path / "site", tmp_path / "site" / "loop")
+    return tmp_path / "site"
+
+
+class Counting(tree.TreeReader):
+    """Names the files that it opens; one of them is gone by then."""
+
+    names: list[str] = []
+
+    def opened(self, system, path):
+        self.names.append(os.path.basename(path))
+        if path.endswith(".inc"):
+            raise FileNotFoundError("gone")
+        return super().opened(system, path)
+
+
+def read(site, filters=(), **options):
+    reader = Counting({"path": f"file://{site}", **{k: str(v) for k, v in options.items()}})
+    reader.names = []
+    left = list(reader.pushFilters(list(filters)))
+    parts = reader.partitions()
+    rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    return {os.path.relpath(r["path"], site): r for r in rows}, reader.names, left, parts
+
+
+def test_all_names_are_listed_and_failures_are_rows(site):
+    rows, names, left, _ = read(site, maxFileBytes=1000)
+    assert sorted(rows) == [".hidden/h", "a.php", "b/.htaccess", "b/_c/.d/e.PHTML", "b/f.txt", "big.php", "g.inc"] and left == []
+    assert [(rows[n]["is_readable"], rows[n]["error"], rows[n]["content"]) for n in ("g.inc", "big.php", ".hidden/h")] == [(False, "gone", None), (False, "too large", None), (True, None, b"")]
+    assert "big.php" not in names and rows["b/.htaccess"]["extension"] == "htaccess" and rows["a.php"]["mtime"] == 1_700_000_008
+    assert {n for n, r in rows.items() if r["is_script"]} == {"a.php", "b/.htaccess", "b/_c/.d/e.PHTML", "big.php", "g.inc"}
+
+
+def test_filters_decide_what_is_opened(site):
+    asked = [ds.EqualTo(("is_script",), True), ds.LessThan(("size",), 100), ds.Not(ds.StringEndsWith(("path",), ".php")), ds.EqualTo(("content",), b"x"), ds.EqualTo(("size",), None)]
+    rows, names, left, _ = read(site, asked)
+    assert sorted(names) == [".htaccess", "e.PHTML"] and sorted(rows) == ["b/.htaccess", "b/_c/.d/e.PHTML"] and left == asked[3:]
+    rows, names, _, _ = read(site, [ds.In(("extension",), ["txt", "inc"]), ds.GreaterThan(("mtime",), 0)])
+    assert sorted(names) == ["f.txt", "g.inc"]
+
+
+def test_partitions_follow_size_and_tasks_list_what_the_driver_left(site):
+    assert len(read(site)[3]) == 1
+    rows, _, _, parts = read(site, partitionBytes=2000, openBytes=10)
+    assert len(parts) == 2 and len(rows) == 7
+    rows, _, _, parts = read(site, plannedFiles=4)
+    assert len(rows) == 7 and any(p.folders for p in parts)
+    with pytest.raises(FileNotFoundError):
+        read(site / "none")
+    os.mkdir(site / "empty")
+    assert read(site / "empty")[0] == {}
+
+
+def test_tree_in_spark(spark, site):
+    found = tree.read_tree(spark, f"file://{site}").where("is_script and size < 100")
+    plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    assert "EqualTo(is_script,true)" in plan and "LessThan(size,100)" in plan
+    none = spark.createDataFrame([], "md5 string")
+    feats = analysis.features(tree.read_tree(spark, str(site), maxFileBytes=1000).where("is_script"), none, none)
+    got = {os.path.relpath(r["path"], site): (r["is_unreadable"], r["is_htaccess"]) for r in feats.collect()}
+    assert got == {"a.php": (False, False), "b/.htaccess": (False, True), "b/_c/.d/e.PHTML": (False, False), "g.inc": (False, False), "big.php": (True, False)}
+    assert tree.read_tree(spark, f"file://{site}/.hidden").where("extension = 'php'").count() == 0
+
+
+LEXED = [
+    ('"{$a["eval"]}"', ['"', "{", "$a", "[", '"eval"', "]", "}", '"']),
+    ('"${a}${b["x"]}"', ['"', "${", "a", "}", "${", "b", "[", '"x"', "]", "}", '"']),
+    ('"$a[0]$b[k]$c[-1]$d[$e]"', ['"', "$a", "[", "0", "]", "$b", "[", "k", "]", "$c", "[", "-", "1", "]", "$d", "[", "$e", "]", '"']),
+    ('"$a->b->c $d?->e"', ['"', "$a", "->", "b", "->c ", "$d", "?->", "e", '"']),
+    ('"\\$a {\\$b} $ {x"', ['"\\$a {\\$b} $ {x"']),
+    ('"{$a(function() { return "x{$y}"; })}";', ['"', "{", "$a", "(", "function", "(", ")", "{", "return", '"', "x", "{", "$y", "}", '"', ";", "}", ")", "}", '"', ";"]),
+    ('<<<E\na $b\n  {$c["x"]}\nEx\n  E; eval', ["<<<E\n", "a ", "$b", "{", "$c", "[", '"x"', "]", "}", "\nEx\n", "  E", ";", "eval"]),
+    ("<<<E\n{$a(<<<F\n$b\nF)}\nE;", ["<<<E\n", "{", "$a", "(", "<<<F\n", "$b", "F", ")", "}", "E", ";"]),
+    ("<<<'E'\nraw {$x}\nE . 1", ["<<<'E'\n", "raw {$x}\n", "E", ".", "1"]),
+    ("`a {$b[`c`]} d`", ["`", "a ", "{", "$b", "[", "`", "c", "`", "]", "}", " d", "`"]),
+    ("#[eval] f() # x ?> y", ["#[", "eval", "]", "f", "(", ")", "# x ", "?>", " y"]),
+    ("if (1) { ?>a<?php }", ["if", "(", "1", ")", "{", "?>", "a", "<?php", "}"]),
+    ('"open $a', ['"', "open ", "$a"]),
+    ('"open', ['"', "open"]),
+    ("'open", ["'open"]),
+    ("/* open", ["/* open"]),
+    ("<<<E\nopen $a", ["<<<E\n", "open ", "$a"]),
+    ("1_000 0o17 .5e3 1.5 0x1F", ["1_000", "0o17", ".5e3", "1.5", "0x1F"]),
+    ("__halt_compiler ( ) ; eval <?php", ["__halt_compiler", "(", ")", ";", " eval <?php"]),
+    ("__halt_compiler ?>eval <?php", ["__halt_compiler", "?>", "eval ", "<?php"]),
+    ("a << <b <<< c", ["a", "<<", "<", "b", "<<<", "c"]),
+]
+
+
+@pytest.mark.parametrize(("source", "want"), LEXED)
+def test_constructs(source, want):
+    found = lex("<?php " + source)
+    assert "".join(found) == "<?php " + source
+    assert [t for t in found[1:] if t.strip()] == want
+
+
+def test_names_before_version_8(spark):
+    source = "<?php \\system(a\\b); #[eval]\n$a?->b"
+    assert [t for t in lex(source, 7)[1:] if t.strip()] == ["\\", "system", "(", "a", "\\", "b", ")", ";", "#[eval]", "$a", "?", "->", "b"]
+    assert [t for t in lex(source)[1:] if t.strip()] == ["\\system", "(", "a\\b", ")", ";", "#[", "eval", "]", "$a", "?->", "b"]
+    frame = spark.createDataFrame([(source,)], "c string")
+    assert [("system" in frame.select(text.tokens(F.col("c"), "lexer", n)).first()[0]) for n in (7, 8)] == [True, False]
+
+
+@pytest.mark.parametrize("unit", ['"{$a["', '"${a', "{$", "`", '"$a[', "<<<E\n", "'", "\\", "(", "yield ", '"{$a["eval"]}" '])
+def test_any_source_of_a_megabyte_takes_seconds(unit):
+    source = "<?php " + unit * (1_000_000 // len(unit))
+    began = time.time()
+    assert sum(map(len, scan(source))) == len(source) and time.time() - began < 20

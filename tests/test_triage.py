@@ -181,7 +181,7 @@ def test_files_and_hash_lists(spark, tmp_path):
     assert sorted(r["md5"] for r in sources.load_hashes(spark, f"file://{tmp_path}/list").collect()) == ["ab", "cd"]
 
 
-@pytest.mark.parametrize("name", ["top_threats", "scored", "cli_report", "chunked_scan", "scored_by_lexer", "scored_by_own_needles", "dense_files", "result_orders", "manifest_read", "labels"])
+@pytest.mark.parametrize("name", ["top_threats", "scored", "cli_report", "chunked_scan", "scored_by_lexer", "scored_by_nested_lexer", "tree_read", "scored_by_own_needles", "dense_files", "result_orders", "manifest_read", "labels"])
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
     for table in ("documents", "pages", "events"):
