@@ -91,6 +91,15 @@ def block_documents(docs: DataFrame, block_tokens: int) -> DataFrame:
     return docs.mapInArrow(run, BLOCKS)
 
 
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Rising keys by their gaps, bytes of equal weight together: the upper ones are 0 and pack away."""
+    return np.diff(keys.astype("<u8"), prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+
+
 class Grams:
     """All n-grams of a block: for each order, which distinct gram ends at each place.
 
@@ -130,10 +139,10 @@ class Grams:
         return np.bincount(self.at[level][self.counted], minlength=self.sizes[level])
 
     def dealt(self, level: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct grams ordered by part, and where each part begins in that order."""
-        part = (self.keys[level] % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        return order, np.searchsorted(part[order], np.arange(parts + 1))
+        """The distinct grams ordered by key, and where each part, a range of keys, begins in that order."""
+        order = np.argsort(self.keys[level], kind="stable")
+        low = np.array([(p << 64) // parts for p in range(parts)], np.uint64)
+        return order, np.append(np.searchsorted(self.keys[level][order], low), len(order))
 
 
 def ask_counts(blocks: DataFrame, order: int, parts: int) -> DataFrame:
@@ -141,6 +150,7 @@ def ask_counts(blocks: DataFrame, order: int, parts: int) -> DataFrame:
     the block's own counts in training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {n: batch.column(n)[i].as_py() for n in ("block", "deleted", "kinds", "lengths", "stream", "words")}
@@ -148,10 +158,10 @@ def ask_counts(blocks: DataFrame, order: int, parts: int) -> DataFrame:
                 for level in range(order):
                     by_part, begin = grams.dealt(level, parts)
                     counts = grams.counts(level).astype("<u4")[by_part]
-                    keys = [grams.words[k] for k in by_part.tolist()] if level == 0 else grams.keys[level][by_part].astype("<u8")
+                    keys = [grams.words[k] for k in by_part.tolist()] if level == 0 else grams.keys[level][by_part]
                     some = [p for p in range(parts) if begin[p] < begin[p + 1]]
                     cut = [slice(begin[p], begin[p + 1]) for p in some]
-                    packed = [BETWEEN.join(keys[s]) if level == 0 else keys[s].tobytes() for s in cut]
+                    packed = [BETWEEN.join(keys[s]) if level == 0 else packed_keys(keys[s]) for s in cut]
                     n = len(some)
                     cols = [pa.array(some, pa.int32()), pa.array([row["block"]] * n, pa.int64()), pa.array([level] * n, pa.int32()), pa.array([row["deleted"]] * n, pa.bool_())]
                     cols += [pa.array(packed, pa.binary()), pa.array([counts[s].tobytes() for s in cut], pa.binary())]
@@ -165,6 +175,7 @@ def answer_counts(asked: DataFrame) -> DataFrame:
     ones. A row with a null block holds a part's sums: tokens and distinct words counted, and with the deleted ones."""
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         part, levels = key[0].as_py(), {}
         for batch in batches:
             for block, level, deleted, grams, counts in zip(*(batch.column(c).to_pylist() for c in ("block", "level", "deleted", "grams", "counts")), strict=True):
@@ -175,7 +186,7 @@ def answer_counts(asked: DataFrame) -> DataFrame:
                 numbers = _Numbers()
                 at = np.fromiter((numbers[w] for r in rows for w in r[2].split(BETWEEN)), np.int64, int(sizes.sum()))
             else:
-                keys, at = np.unique(np.concatenate([np.frombuffer(r[2], "<u8") for r in rows]), return_inverse=True)
+                keys, at = np.unique(np.concatenate([unpacked_keys(r[2]) for r in rows]), return_inverse=True)
             counts, gone = np.concatenate([r[3] for r in rows]), np.repeat([r[1] for r in rows], sizes)
             total = [np.bincount(at, counts * (gone == d)).astype(np.int64) for d in (False, True)]
             ends = np.cumsum(sizes)
@@ -201,6 +212,7 @@ def met(blocks: DataFrame, answers: DataFrame) -> DataFrame:
 
 def gathered(batches: Iterator[pa.RecordBatch], order: int, parts: int) -> tuple[dict, Grams, list[list[np.ndarray]]]:
     """A block, its grams, and for each order their counts in all blocks: counted ones and deleted ones."""
+    release()
     row, told = {}, {}
     for batch in batches:
         for k in range(batch.num_rows):
@@ -287,7 +299,7 @@ def score_texts(
     text_col: str = "text",
     order: int = 3,
     deleted_part: int = 10,
-    block_tokens: int = 1 << 20,
+    block_tokens: int = 1 << 19,
     part_bytes: int = 16_000_000,
 ) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, n_tokens, n_known, train_tokens, base_score, score.
