@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.bytewords import shingle_sets
@@ -145,6 +145,7 @@ def jaccard_components(
     group_shingles: int = 500_000,
     buckets: int = 1 << 23,
     broadcast_rows: int = 500_000,
+    hot_sets: int = 1 << 16,
 ) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, n_shingles, component_id, n_links.
 
@@ -161,38 +162,41 @@ def jaccard_components(
     two of them in common by chance with a probability of n * m / 2**64.
 
     Groups hold ``group_size`` sets or ``group_shingles`` shingles, about. As ``n_links`` counts every
-    link, the groups of one cluster of n near copies all meet: (n / group_size)**2 / 2 meetings.
+    link, the groups of one cluster of n near copies all meet: (n / group_size)**2 / 2 meetings. Leading shingles
+    in whose bucket of counts ``hot_sets`` sets or more fall are taken for shared without being brought together.
     """
     work = Scratch(spark, "ngram-join")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    seed = secrets.randbits(63)
+    seed, hot_rank = secrets.randbits(63), 8 * (hot_sets.bit_length() - 1)
     ranks = spark.sparkContext.broadcast(frequency_ranks(docs.select("text"), buckets, seed))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = ranks.value, set()
         for rows, sets in _text_batches(batches, 1, seed):
-            keys, leads = [], []
+            keys, leads, hot = [], [], []
             for s in sets:
                 key = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
                 keys.append(key)
                 # copies within the task lead with the same shingles
-                leads.append(leading(s, order, percent).view(np.int64) if key and key not in seen else None)
+                first = leading(s, order, percent) if key and key not in seen else np.zeros(0, np.uint64)
+                common = order[(first & np.uint64(buckets - 1)).astype(np.int64)] >= hot_rank
+                leads.append(first[~common].view(np.int64))
+                hot.append(first[common].view(np.int64))
                 seen.add(key)
-            lengths = [0 if x is None else len(x) for x in leads]
-            values = np.concatenate([x for x in leads if x is not None]) if any(lengths) else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *lengths]), pa.int32()), pa.array(values, pa.int64()))
+            lists, others = (pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate([*x, np.zeros(0, np.int64)]), pa.int64())) for x in (leads, hot))
             short = pa.array([None if k is None else int.from_bytes(k[:8], "little", signed=True) for k in keys], pa.int64())
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), short, lists], ["id", "n", "key", "class", "leads"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), short, lists, others], ["id", "n", "key", "class", "leads", "hot"])
 
-    signed = work.table("signed", docs.mapInArrow(sign, "id long, n long, key binary, class long, leads array<long>"))
+    signed = work.table("signed", docs.mapInArrow(sign, "id long, n long, key binary, class long, leads array<long>, hot array<long>"))
     held = signed.where("id is not null and n > 0").groupBy("key", "class", "id").agg(F.max("n").alias("n"))
     classes = work.table("classes", held.groupBy("key", "class").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n")))
 
     # shingles that lead at least two classes
     leads = signed.where("id is not null and n > 0").select(F.explode("leads").alias("shingle"), "class")
-    ends = leads.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
-    ends = work.table("ends", ends.select("shingle"))
-    shared = work.table("shared", leads.join(F.broadcast(ends) if ends.count() <= broadcast_rows else ends, "shingle").distinct())
+    same = Window.partitionBy("shingle")  # those of a shingle that fewer than ``hot_sets`` sets hold
+    spread = leads.withColumn("low", F.min("class").over(same)).withColumn("high", F.max("class").over(same)).where("low <> high")
+    hot = signed.where("id is not null and n > 0").select(F.explode("hot").alias("shingle"), "class")
+    shared = work.table("shared", spread.select("shingle", "class").unionByName(hot).distinct())
 
     # a match is at least this large, and shares as many leading shingles as the smaller set must
     smallest = F.floor((percent * F.col("n") + 99) / 100)
@@ -244,7 +248,7 @@ def jaccard_components(
     degree = links.groupBy("class").agg(F.sum("links").alias("links"))
     found = classes.join(labels, F.col("rep") == F.col("node"), "left").join(degree, "class", "left")
     found = work.table("found", found.select("key", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")))
-    work.drop("ends", "shared", "keyed", "members", "groups", "cc-links", "links", "tied", "classes")
+    work.drop("shared", "keyed", "members", "groups", "cc-links", "links", "tied", "classes")
     linkable = F.col("id").isNotNull() & (F.col("n") > 0)
     rows = signed.where(linkable).select("id", "n", "key").join(found, "key").select("id", "n", "component", "links")
     # a row without words takes the component that its id has from other rows

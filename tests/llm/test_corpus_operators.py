@@ -64,12 +64,12 @@ def brute_components(texts):
     return sorted((i, len(sets[i]), top(i), links[i]) for i in sets)
 
 
-@pytest.mark.parametrize("group_size", [128, 4])
-def test_ngram_join(spark, group_size):
+@pytest.mark.parametrize(("group_size", "hot_sets"), [(128, 1 << 16), (4, 8)])
+def test_ngram_join(spark, group_size, hot_sets):
     texts = list(enumerate(odd_texts()))
     random.Random(2).shuffle(texts)
     frame = spark.createDataFrame([(i, t, "c", 1, "r") for i, t in texts], DOC).repartition(5)
-    got = ngram_join.jaccard_components(spark, frame, group_size=group_size, buckets=1 << 14, broadcast_rows=10**6 if group_size > 4 else 0)
+    got = ngram_join.jaccard_components(spark, frame, group_size=group_size, buckets=1 << 14, broadcast_rows=10**6 if group_size > 4 else 0, hot_sets=hot_sets)
     assert sorted(map(tuple, got.collect())) == brute_components(texts)
 
 
