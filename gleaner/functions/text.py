@@ -6,7 +6,7 @@ import json
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.lexer import scan
@@ -120,3 +120,29 @@ def json_leaf_paths(reply: Column, needle: str) -> Column:
         return replies.map(one)
 
     return search(reply)
+
+
+def variant_leaf_paths(replies: DataFrame, needle: str, key: str = "id", reply: str = "reply") -> DataFrame:
+    """(key, paths): the key paths of ``json_leaf_paths`` for each distinct row of ``replies``, in ascending order,
+    without Python: the reply is a VARIANT and a recursive query goes down its levels.
+
+    No paths for a null reply, one that is not JSON, or one in which an object repeats a key. Levels that hold the
+    needle nowhere are not followed. ``key`` must name a row; the depth is bounded by Spark's limit of recursion (100).
+    """
+    spark, low = replies.sparkSession, needle.translate(str.maketrans(UPPER, LOWER))
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    fold = f"translate({{}}, '{UPPER}', '{LOWER}')"
+    rows = replies.select(F.col(key).alias("k"), F.col(reply).alias("r")).distinct()
+    walked = spark.sql(
+        f"""with recursive walk(k, v, path, depth) as (
+          select k, v, '', 0 from (select k, try_parse_json(r) as v from {{rows}}) where contains({fold.format("to_json(v)")}, :text)
+          union all
+          select k, e.value, concat(path, if(depth = 0, '', '['), coalesce(e.key, cast(e.pos as string))), depth + 1
+          from walk, lateral variant_explode(v) as e where contains({fold.format("to_json(e.value)")}, :text)
+        )
+        select k, concat(path, repeat(']', depth - 1)) as path from walk
+        where schema_of_variant(v) = 'STRING' and {fold.format("variant_get(v, '$', 'string')")} = :low and depth > 0""",
+        {"low": low, "text": json.dumps(low, ensure_ascii=False)[1:-1]}, rows=rows,
+    )
+    found = walked.groupBy("k").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    return rows.select("k").distinct().join(found, "k", "left").select(F.col("k").alias(key), F.coalesce("paths", F.array().cast("array<string>")).alias("paths"))

@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import needles as N
-from gleaner.functions.text import base_name, extension, json_leaf_paths, short_label, tokens
-from gleaner.operators import analysis, dashboard, hashes, report, selection
+from gleaner.functions.text import base_name, extension, json_leaf_paths, short_label, tokens, variant_leaf_paths
+from gleaner.operators import analysis, dashboard, hash_store, hashes, moments, order_stats, report, selection
 from gleaner.sources import files as sources
 from gleaner.sources import tree
-from gleaner.sources.tables import shared_folder, written
+from gleaner.sources.tables import shared_folder, spread, written
+from gleaner.streaming import stateful
 from gleaner.streaming.incremental import read_chunks, scan_in_chunks
 
 SNIPPETS = """case length(text) % 8
@@ -34,10 +35,12 @@ FILES_SQL = f"""select doc_id,
 from documents"""
 
 
-def files_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, path, mtime, size, content, is_readable, source_text): a file for every document."""
+def files_view(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """(doc_id, path, mtime, size, content, is_readable, source_text): a file for every document; ``dealt`` over all
+    tasks where the table has too few row groups for them."""
     sql = FILES_SQL.format(S="string").replace("from documents", "from {docs}")
-    rows = spark.sql(sql, docs=spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    rows = spark.sql(sql, docs=spread(docs) if dealt else docs)
     content = F.when(F.col("is_readable"), F.col("source_text"))
     return rows.withColumn("content", content).withColumn("size", F.octet_length(content).cast("long"))
 
@@ -46,8 +49,15 @@ def _list(spark: SparkSession, sf_dir: str, every: int) -> DataFrame:
     return files_view(spark, sf_dir).where(F.col("doc_id") % every == 0).select(F.md5(F.col("source_text").cast("binary")).alias("md5")).distinct()
 
 
-def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.features(files_view(spark, sf_dir), _list(spark, sf_dir, 17), _list(spark, sf_dir, 23))
+def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Both lists from one written table, so that the documents are hashed once for them."""
+    some = files_view(spark, sf_dir).where("doc_id % 17 = 0 or doc_id % 23 = 0")
+    kept = written(some.select("doc_id", F.md5(F.col("source_text").cast("binary")).alias("md5")), "lists")
+    return tuple(kept.where(F.col("doc_id") % n == 0).select("md5").distinct() for n in (17, 23))
+
+
+def _features(spark: SparkSession, sf_dir: str, **how: object) -> DataFrame:
+    return analysis.features(files_view(spark, sf_dir, dealt=True), *_lists(spark, sf_dir), **how)
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,7 +281,7 @@ def _outcomes(s: SparkSession, d: str) -> DataFrame:
 
 
 def _features_with_outcomes(s: SparkSession, d: str) -> DataFrame:
-    return analysis.features(files_view(s, d), _list(s, d, 17), _list(s, d, 23), outcomes=_outcomes(s, d))
+    return _features(s, d, outcomes=_outcomes(s, d))
 
 
 @_add("warnings", _FAILED + "select 'action failed' as warning, path from told where err is not null union all select 'not readable', path from told where is_unreadable")
@@ -557,7 +567,7 @@ def _short(scored: DataFrame) -> DataFrame:
 @_add("scored_by_lexer", _with("scored", f"select {_SCORE} from scored", _steps(tokens=_LEXED_SQL)))
 def scored_by_lexer(s: SparkSession, d: str) -> DataFrame:
     """The language's own lexical rules from tokens to score: words of the page text don't match."""
-    return _short(analysis.analyse(analysis.features(files_view(s, d), _list(s, d, 17), _list(s, d, 23), mode="lexer")))
+    return _short(analysis.analyse(_features(s, d, mode="lexer")))
 
 
 # Sources whose strings hold code that holds strings, by the length of the text, and their tokens.
@@ -597,10 +607,39 @@ def scored_by_own_needles(s: SparkSession, d: str) -> DataFrame:
     """A needle table of the user's, with weights and categories, from matching to score."""
     rows = [(i, t, None if w is None else Decimal(str(w)), *flags) for i, t, w, *flags in OWN_NEEDLES]
     needles, categories = sources.needle_lists(s.createDataFrame(rows, sources.NEEDLES))
-    feats = analysis.features(files_view(s, d), _list(s, d, 17), _list(s, d, 23), needles=needles)
+    feats = _features(s, d, needles=needles)
     return _short(analysis.analyse(feats, needles=needles, categories=categories))
 
 
+FINE_NEEDLES = [("echo", 0.125), ("return", 0.3125), ("base64_decode", 1.0078125), ("eval", 2.5078125), ("substr", 0.125), ("include", 0.0078125), ("copy", 0.125)]
+
+
+@_add("scored_by_fine_weights", _with("scored", f"select {_SCORE} from scored", _steps(needles=FINE_NEEDLES)))
+def scored_by_fine_weights(s: SparkSession, d: str) -> DataFrame:
+    """Weights of up to seven decimals: sums keep them all, and the score is rounded once."""
+    return _short(analysis.analyse(_features(s, d, needles=FINE_NEEDLES), needles=FINE_NEEDLES))
+
+
+_BY_SOURCE = STEPS["stats"].replace("select coalesce(avg(size)", "select split_part(path, '/', 4) as source, coalesce(avg(size)") + " group by 1"
+_GROUPED = STEPS | {"stats": _BY_SOURCE, "zs": STEPS["zs"].replace("from bonus, stats", "from bonus left join stats on split_part(path, '/', 4) = source")}
+
+
+@_add("scored_within_sources", _with("scored", f"select {_SCORED} from scored", _GROUPED))
+def scored_within_sources(s: SparkSession, d: str) -> DataFrame:
+    """Deviations from the files of the same source, not from the whole corpus."""
+    feats = _features(s, d).withColumn("source", F.split_part("path", F.lit("/"), F.lit(4)))
+    return _flat(analysis.analyse(feats, by=["source"]))
+
+
+@_add("moments_merged", _with("stats", "select " + ", ".join(f"round(cast({c} as double), {4 if c.startswith('mtime') else 6}) as {c}" for c in _STATS) + " from stats"))
+def moments_merged(s: SparkSession, d: str) -> DataFrame:
+    """Corpus statistics from moments by day, merged by path part, then to one row."""
+    feats = _features(s, d).withColumns({"day": F.floor(F.col("mtime") / 86400), "part": F.split_part("path", F.lit("/"), F.lit(4))})
+    days = written(moments.moments(feats, ["day", "part"]), "moments")
+    told = moments.stats(moments.merged(moments.merged(days, ["part"])))
+    return told.select(*(F.round(c, 4 if c.startswith("mtime") else 6).alias(c) for c in _STATS))
+
+
 @_add("lexer_tokens", None)
 def lexer_tokens(s: SparkSession, d: str) -> DataFrame:
     rows = _readable(s, d).dropDuplicates(["md5"])
@@ -609,7 +648,7 @@ def lexer_tokens(s: SparkSession, d: str) -> DataFrame:
 
 @_add("content_entropy", _with("scored", "select path, round(entropy, 6) as entropy, threat_score from scored", _steps(entropy=BYTE_ENTROPY)))
 def content_entropy(s: SparkSession, d: str) -> DataFrame:
-    feats = analysis.features(files_view(s, d), _list(s, d, 17), _list(s, d, 23), entropy_source="content")
+    feats = _features(s, d, entropy_source="content")
     return analysis.analyse(feats).select("path", _r("entropy"), "threat_score")
 
 
@@ -646,5 +685,62 @@ def chunked_scan(s: SparkSession, d: str) -> DataFrame:
     return _flat(scan)
 
 
+@_add("stateful_scan", _with("scored", f"select {_SCORED} from scored"))
+def stateful_scan(s: SparkSession, d: str) -> DataFrame:
+    """The same chunks through one stateful stream, which goes on from its checkpoint after each."""
+    root, chunks = shared_folder(s, "stateful"), 2
+    listed = files_view(s, d).drop("source_text")
+    ends = listed.agg(F.min("mtime").alias("a"), F.max("mtime").alias("b")).first()
+    if ends["a"] is None:
+        return _flat(analysis.analyse(_features(s, d)))
+    width = (ends["b"] - ends["a"]) // chunks + 1
+    white, black = (written(x, "list") for x in _lists(s, d))
+    for k in range(chunks):
+        high = ends["b"] - k * width
+        listed.where(F.col("mtime").between(high - width + 1, high)).write.mode("append").parquet(f"{root}/files")
+        stateful.stream_marked(read_chunks(s, f"{root}/files", listed.schema), white, black, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return _flat(analysis.analyse(s.read.parquet(f"{root}/out")))
+
+
+@_add("event_percentiles_by_sketch", _order_sql("events", "value"))
+def event_percentiles_by_sketch(s: SparkSession, d: str) -> DataFrame:
+    return order_stats.order_stats_by_sketch(s.read.parquet(f"{d}/events.parquet"), "value", few=1000).select("q", _r("value"))
+
+
+@_add("price_percentiles", _order_sql("lineitem", "l_extendedprice + l_orderkey / 100000.0 + l_linenumber / 10.0"))
+def price_percentiles(s: SparkSession, d: str) -> DataFrame:
+    """A column in which nearly all values differ."""
+    price = F.col("l_extendedprice").cast("double") + F.col("l_orderkey") / 100000.0 + F.col("l_linenumber") / 10.0
+    return order_stats.order_stats_by_sketch(s.read.parquet(f"{d}/lineitem.parquet").select(price.alias("p")), "p", few=1000).select("q", _r("value"))
+
+
+@_add("json_leaves_by_variant", "select event_id, case when lower(event_type) = 'click' then 'a[b[type]]|c[1]' else '' end as paths from events")
+def json_leaves_by_variant(s: SparkSession, d: str) -> DataFrame:
+    kind = F.col("event_type")
+    reply = F.concat(F.lit('{"a":{"b":{"type":"'), kind, F.lit('"}},"c":[1,"'), kind, F.lit('"],"props":'), F.col("props"), F.lit("}"))
+    rows = s.read.parquet(f"{d}/events.parquet").select("event_id", reply.alias("reply"))
+    return variant_leaf_paths(rows, "CLICK", "event_id").select("event_id", F.array_join("paths", "|").alias("paths"))
+
+
+@_add("reputation_by_variant", _with("readable", "").rstrip() + f", {_REPLIES} select path, md5, {_VERDICT} as verdict from readable left join replies on m = md5")
+def reputation_by_variant(s: SparkSession, d: str) -> DataFrame:
+    return report.apply_reputation(_readable(s, d).select("path", "md5"), _replies(s, d), variant=True)
+
+
+@_add("lists_by_store", _with("readable", "select path, md5, md5 in (select md5 from black) as is_blacklisted from readable where md5 not in (select md5 from white)"))
+def lists_by_store(s: SparkSession, d: str) -> DataFrame:
+    """Both lists as bucketed tables, which are not moved for the joins."""
+    white, black = (hash_store.save_hash_store(x, 16) for x in _lists(s, d))
+    rows = written(_readable(s, d).select("path", "md5"), "hashed")
+    return hash_store.flag_listed(hash_store.drop_listed(rows, white), black).select("path", "md5", "is_blacklisted")
+
+
+@_add("features_of_days", _with("features", "select path, size, mtime, md5, duplicate_of, is_unreadable from features where mtime between 1700500000 and 1700900000"))
+def features_of_days(s: SparkSession, d: str) -> DataFrame:
+    feats, folder = _features(s, d), shared_folder(s, "days")
+    report.write_features(feats, folder)
+    return report.read_features(s, folder, feats.schema, 1_700_500_000, 1_700_900_000).select("path", "size", "mtime", "md5", "duplicate_of", "is_unreadable")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for name, f, _ in CATALOG}
 ORACLE_SQL: dict[str, str] = {name: sql for name, _, sql in CATALOG if sql}

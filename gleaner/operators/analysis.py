@@ -11,6 +11,7 @@ from gleaner.functions import needles as N
 from gleaner.functions.text import ascii_lower, entropy, entropy_bytes, tokens
 from gleaner.operators.hashes import drop_whitelisted, flag_blacklisted, mark_duplicates
 from gleaner.operators.selection import filter_patterns, is_htaccess, match_needles
+from gleaner.operators.moments import STATS, equal_keys, moments, stats as stats_of
 from gleaner.sources.tables import written
 
 FEATURES = ["path", "size", "mtime", "total_tokens", "matched_tokens", "md5", "is_blacklisted", "is_htaccess", "duplicate_of", "error", "is_unreadable", "entropy"]
@@ -30,14 +31,14 @@ def unreadable_features(files: DataFrame) -> DataFrame:
 
 
 def token_features(
-    files: DataFrame, mode: str = "words", needles: list[tuple[str, float | None]] = N.WEB, emit: str = "needle", entropy_source: str = "tokens", naming: int = 8
+    files: DataFrame, mode: str = "words", needles: list[tuple[str, float | None]] = N.WEB, emit: str = "needle", entropy_source: str = "tokens", naming: int = 8, carry: tuple[str, ...] = ()
 ) -> DataFrame:
-    """(path, size, mtime, md5, total_tokens, matched_tokens, entropy) of each file, made where the file
-    lies: content goes through no shuffle."""
-    found = files.select("path", "size", "mtime", "content", F.md5(F.col("content").cast("binary")).alias("md5"), tokens(F.col("content"), mode, naming).alias("tokens"))
+    """(path, size, mtime, md5, total_tokens, matched_tokens, entropy, columns of ``carry``) of each file, made where
+    the file lies: content goes through no shuffle."""
+    found = files.select("path", "size", "mtime", "content", *carry, F.md5(F.col("content").cast("binary")).alias("md5"), tokens(F.col("content"), mode, naming).alias("tokens"))
     found = found.withColumn("matched_tokens", match_needles(F.col("tokens"), needles, emit))
     measure = entropy(F.array_join("matched_tokens", "")) if entropy_source == "tokens" else entropy_bytes(F.col("content"))
-    return found.select("path", "size", "mtime", "md5", F.size("tokens").cast("long").alias("total_tokens"), "matched_tokens", measure.alias("entropy"))
+    return found.select("path", "size", "mtime", "md5", F.size("tokens").cast("long").alias("total_tokens"), "matched_tokens", measure.alias("entropy"), *carry)
 
 
 def features(files: DataFrame, white: DataFrame, black: DataFrame, mark: bool = True, outcomes: DataFrame | None = None, **how: object) -> DataFrame:
@@ -45,11 +46,13 @@ def features(files: DataFrame, white: DataFrame, black: DataFrame, mark: bool =
     the first file of their hash; unreadable files (also those of which that is not known) keep a row
     without content. ``outcomes`` (md5, error) says what failed of the actions on known bad files.
 
-    The rows are written once, without content, and what follows reads those.
+    Files are read once: their tokens and hashes are written, without content, and so are the joined rows, which is
+    all that the returned DataFrame reads.
     """
-    kept = filter_patterns(files)
-    rows = drop_whitelisted(written(token_features(kept.where(readable()), **how), "features"), white)
-    rows = flag_blacklisted(rows, black)
+    kept = filter_patterns(files).withColumn("is_readable", readable())
+    kept = kept.withColumn("content", F.when(F.col("is_readable"), F.col("content")))
+    found = written(token_features(kept, carry=("is_readable",), **how), "tokens")
+    rows = flag_blacklisted(drop_whitelisted(found.where("is_readable"), white), black)
     rows = mark_duplicates(rows) if mark else rows.withColumn("duplicate_of", F.lit(None).cast("string"))
     if outcomes is None:
         rows = rows.withColumn("error", F.lit(None).cast("string"))
@@ -59,60 +62,70 @@ def features(files: DataFrame, white: DataFrame, black: DataFrame, mark: bool =
         "path", "size", "mtime", "total_tokens", "matched_tokens", "md5", "is_blacklisted", is_htaccess(F.col("path")).alias("is_htaccess"), "duplicate_of",
         "error", F.lit(False).alias("is_unreadable"), "entropy",
     )
-    return full.unionByName(unreadable_features(kept))
+    return written(full.unionByName(unreadable_features(found)), "features")
+
+
+def weight_scale(needles: list[tuple[str, float | None]]) -> int:
+    """The decimals that sums of these weights need, 2 at least; those beyond the eighth are rounded."""
+    return min(8, max([2, *(-Decimal(str(w)).normalize().as_tuple().exponent for _, w in needles if w is not None)]))
 
 
 def base_score(matched: Column, needles: list[tuple[str, float | None]] = N.WEB) -> Column:
-    """Sum of weights; the table's own spelling is looked up with the lower-cased token, and what
-    it lacks weighs 1."""
-    zero = F.lit(Decimal("0.00")).cast("decimal(12,2)")
-    weights = {n: w for n, w in needles if w is not None}
-    table = F.create_map(*(x for n, w in weights.items() for x in (F.lit(n), F.lit(Decimal(str(w)))))).cast("map<string,decimal(12,2)>")
-    one = F.lit(Decimal("1.00")).cast("decimal(12,2)")
-    return F.aggregate(matched, zero, lambda s, t: (s + F.coalesce(F.try_element_at(table, ascii_lower(t)), one)).cast("decimal(12,2)"))
+    """Sum of weights, with all their decimals; the table's own spelling is looked up with the lower-cased
+    token, and what it lacks weighs 1."""
+    weights = {n: Decimal(str(w)) for n, w in needles if w is not None}
+    kind = f"decimal(28,{weight_scale(needles)})"
+    table = F.create_map(*(x for n, w in weights.items() for x in (F.lit(n), F.lit(w).cast(kind)))).cast(f"map<string,{kind}>")
+    zero, one = (F.lit(Decimal(n)).cast(kind) for n in (0, 1))
+    return F.aggregate(matched, zero, lambda s, t: (s + F.coalesce(F.try_element_at(table, ascii_lower(t)), one)).cast(kind))
 
 
 def threat_score(
     path: Column, size: Column, matched: Column, text_entropy: Column, is_blacklisted: Column, needles: list[tuple[str, float | None]] = N.WEB, categories: N.Categories = N.CATEGORIES
 ) -> Column:
     """Weights, then multipliers for categories found together, then bonuses for place and small
-    dense files, rounded; at least 100 for a known bad file."""
+    dense files, and only then rounded to two decimals, halves up; at least 100 for a known bad file."""
     low = F.transform(matched, ascii_lower)
     critical, obfuscation, upload = (F.arrays_overlap(low, F.array(*map(F.lit, c)).cast("array<string>")) for c in categories)
-    score = base_score(matched, needles).cast("decimal(16,4)")
-    score = F.when(critical & obfuscation, score * F.lit(Decimal("2.5"))).otherwise(score).cast("decimal(18,4)")
-    score = F.when(critical & upload, score * F.lit(Decimal("1.8"))).otherwise(score).cast("decimal(20,4)")
+    kind = f"decimal(32,{weight_scale(needles) + 2})"
+    score = base_score(matched, needles).cast(kind)
+    score = F.when(critical & obfuscation, score * F.lit(Decimal("2.5"))).otherwise(score).cast(kind)
+    score = F.when(critical & upload, score * F.lit(Decimal("1.8"))).otherwise(score).cast(kind)
     place = ascii_lower(F.replace(path, F.lit("\\"), F.lit("/"))).rlike("|".join(N.UPLOAD_PLACES))
-    score = F.when(place & ((score > 0) | (text_entropy > 5.5)), score + F.lit(Decimal("5"))).otherwise(score).cast("decimal(20,4)")
-    score = F.when(size.isNotNull() & (size < 20480) & (text_entropy > 5.8), score + F.lit(Decimal("3"))).otherwise(score).cast("decimal(20,4)")
+    score = F.when(place & ((score > 0) | (text_entropy > 5.5)), score + F.lit(Decimal("5"))).otherwise(score).cast(kind)
+    score = F.when(size.isNotNull() & (size < 20480) & (text_entropy > 5.8), score + F.lit(Decimal("3"))).otherwise(score).cast(kind)
     value = F.round(score, 2).cast("double")
     return F.when(is_blacklisted, F.greatest(value, F.lit(100.0))).otherwise(value)
 
 
-STATS = {"size": "size", "mtime": "mtime", "tokens": "total_tokens", "susp": "susp_count", "entropy": "entropy"}
-
-
 def susp_count() -> Column:
     return F.when(F.col("is_unreadable"), 0).otherwise(F.size("matched_tokens")).cast("long")
 
 
-def corpus_stats(feats: DataFrame) -> DataFrame:
-    """One row: mean and population deviation of each measure over readable rows (0 without any),
-    and matched tokens per token."""
-    rows = feats.where("not is_unreadable").withColumn("susp_count", susp_count())
-    aggs = []
-    for name, col in STATS.items():
-        value = F.nanvl(F.col(col).cast("double"), F.lit(None).cast("double"))
-        aggs += [F.coalesce(F.avg(value), F.lit(0.0)).alias(f"{name}_mean"), F.coalesce(F.stddev_pop(value), F.lit(0.0)).alias(f"{name}_std")]
-    return rows.agg(*aggs).withColumn("ratio", F.col("susp_mean") / F.greatest(F.lit(1.0), F.col("tokens_mean")))
+def corpus_stats(feats: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Mean and population deviation of each measure over readable rows (0 without any), and matched tokens per
+    token: one row, or one for each group of the columns ``by``."""
+    return stats_of(moments(feats, by), by)
 
 
 def analyse(
-    feats: DataFrame, z_threshold: float = 3.5, stats: DataFrame | None = None, needles: list[tuple[str, float | None]] = N.WEB, categories: N.Categories = N.CATEGORIES
-) -> DataFrame:
+    feats: DataFrame, z_threshold: float = 3.5, stats: DataFrame | None = None, needles: list[tuple[str, float | None]] = N.WEB, categories: N.Categories = N.CATEGORIES,
+    by: list[str] | None = None,
+) -> DataFrame:
     """Adds susp_count, threat_score, z, residual, is_anomaly and date to features. ``needles`` and
-    ``categories`` are those that the features were matched with (see ``sources.files.needle_lists``)."""
-    rows = feats.withColumn("susp_count", susp_count()).crossJoin(F.broadcast(stats if stats is not None else corpus_stats(feats)))
+    ``categories`` are those that the features were matched with (see ``sources.files.needle_lists``).
+
+    z and residual are against all readable rows, or with ``by`` against those of the row's own group; a group's
+    statistics are one row, so the group of most rows meets one row, and Spark may split it. A group without
+    readable rows has z and residual 0. The columns of ``by`` stay.
+    """
+    told = stats if stats is not None else corpus_stats(feats, by)
+    rows = feats.withColumn("susp_count", susp_count())
+    if by:
+        numbers = [c for c in told.columns if c not in by]
+        rows = rows.alias("f").join(told.alias("s"), equal_keys("f", "s", by), "left").select("f.*", *(F.coalesce(f"s.{c}", F.lit(0.0)).alias(c) for c in numbers))
+    else:
+        rows = rows.crossJoin(F.broadcast(told))
     unreadable = F.col("is_unreadable")
 
     def z(name: str) -> Column:
@@ -126,7 +139,7 @@ def analyse(
     for n in ("size", "susp", "entropy", "mtime"):
         far = far | (F.abs(F.col(f"z.{n}")) > z_threshold)
     odd = (F.col("threat_score") >= 8) | far | (F.col("residual") > 5) | F.col("is_blacklisted") | F.col("is_htaccess") | F.col("duplicate_of").isNotNull()
-    return rows.withColumn("is_anomaly", unreadable | odd).withColumn("date", format_date(F.col("mtime"))).select(*FEATURES, "susp_count", "threat_score", "z", "residual", "is_anomaly", "date")
+    return rows.withColumn("is_anomaly", unreadable | odd).withColumn("date", format_date(F.col("mtime"))).select(*FEATURES, *(k for k in by or [] if k not in FEATURES), "susp_count", "threat_score", "z", "residual", "is_anomaly", "date")
 
 
 def format_date(mtime: Column) -> Column:

@@ -47,12 +47,13 @@ def entropy_band() -> Column:
 def timeline(rows: DataFrame, buckets: int = 20, time: str = "mtime", score: str = "threat_score") -> DataFrame:
     """``buckets`` equal spans from the first to the last time above 0: how many rows, the highest
     score (0 at least), its band and the height beside the fullest; empty ones stay."""
-    timed = rows.where(F.col(time) > 0).select(F.col(time).alias("t"), F.col(score).cast("double").alias("s"))
+    # two columns are written, so that rows are analysed once for the ends and the counts
+    timed = written(rows.where(F.col(time) > 0).select(F.col(time).alias("t"), F.col(score).cast("double").alias("s")), "times")
     ends = timed.agg(F.min("t").alias("first"), F.greatest(F.lit(1), F.max("t") - F.min("t")).alias("span")).where("first is not null")
     place = F.least(F.lit(buckets - 1), F.floor((F.col("t") - F.col("first")) / (F.col("span") / buckets)))
     counts = timed.crossJoin(F.broadcast(ends)).groupBy(place.cast("int").alias("bucket")).agg(F.count("*").alias("n"), F.greatest(F.max("s"), F.lit(0.0)).alias("max_threat"))
     spans = rows.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).crossJoin(F.broadcast(ends))
-    full = spans.join(counts, "bucket", "left").na.fill(0, ["n", "max_threat"])
+    full = spans.join(F.broadcast(counts), "bucket", "left").na.fill(0, ["n", "max_threat"])  # ``buckets`` rows
     most = full.agg(F.greatest(F.lit(1), F.max("n")).alias("most"))
     start = F.col("first") + F.col("bucket") * F.col("span") / buckets
     return full.crossJoin(F.broadcast(most)).select("bucket", start.alias("start"), "n", "max_threat", score_band(F.col("max_threat")).alias("band"), (F.col("n") / F.col("most")).alias("height"))

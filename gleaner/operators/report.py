@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StructField, StructType
 
 from gleaner.functions import needles as N
-from gleaner.functions.text import json_leaf_paths
+from gleaner.functions.text import json_leaf_paths, variant_leaf_paths
 from gleaner.operators.analysis import readable, token_features
 from gleaner.operators.hashes import drop_whitelisted, flag_blacklisted, mark_duplicates
 from gleaner.operators.selection import filter_patterns
@@ -65,12 +66,27 @@ def write_features(features: DataFrame, path: str, form: str = "json") -> None:
     features.withColumn("day", F.to_date(F.timestamp_seconds("mtime"))).write.partitionBy("day").format(form).save(path)
 
 
-def apply_reputation(files: DataFrame, reputation: DataFrame) -> DataFrame:
+def read_features(spark: SparkSession, path: str, schema: StructType, low: int, high: int, form: str = "json") -> DataFrame:
+    """Rows of ``write_features`` whose time lies from ``low`` to ``high``, both ends in and not 0; only the folders
+    of those days are read, which the session's time zone decides as it did when they were written."""
+    kept = StructType([f for f in schema.fields if f.name != "day"])
+    rows = spark.read.schema(StructType([*kept.fields, StructField("day", DateType())])).format(form).load(path)
+    first, last = (F.to_date(F.timestamp_seconds(F.lit(t))) for t in (low, high))
+    return rows.where(F.col("day").between(first, last) & F.col("mtime").between(low, high) & (F.col("mtime") != 0))
+
+
+def apply_reputation(files: DataFrame, reputation: DataFrame, variant: bool = False) -> DataFrame:
     """Adds verdict: webshell if any string of the reply is 'malicious', malicious if it counts votes for
-    that, else null; a reply without data has none. Of several replies to one hash the worst counts."""
+    that, else null; a reply without data has none. Of several replies to one hash the worst counts. With
+    ``variant`` the strings are searched without Python, see ``variant_leaf_paths``."""
     votes = F.get_json_object("reply", "$.data.attributes.total_votes.malicious").try_cast("double")
     held = F.get_json_object("reply", "$.data").isNotNull()
-    told = reputation.where(held).select("md5", (F.size(json_leaf_paths(F.col("reply"), "malicious")) > 0).alias("named"), F.coalesce(votes > 0, F.lit(False)).alias("voted"))
+    voted = F.coalesce(votes > 0, F.lit(False)).alias("voted")
+    if variant:
+        found = variant_leaf_paths(reputation.where(held), "malicious", "md5").where(F.size("paths") > 0).select("md5", F.lit(True).alias("named"))
+        told = reputation.where(held).select("md5", F.lit(False).alias("named"), voted).unionByName(found.withColumn("voted", F.lit(False)))
+    else:
+        told = reputation.where(held).select("md5", (F.size(json_leaf_paths(F.col("reply"), "malicious")) > 0).alias("named"), voted)
     told = told.groupBy("md5").agg(F.max("named").alias("_named"), F.max("voted").alias("_voted"))
     verdict = F.when(F.col("_named"), "webshell").when(F.col("_voted"), "malicious")
     return files.join(told, "md5", "left").withColumn("verdict", verdict).drop("_named", "_voted")

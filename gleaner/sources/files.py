@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator
 from decimal import Decimal
 
-import pandas as pd
+import pyarrow as pa
+from pyarrow import fs as storage
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,36 +16,53 @@ from gleaner.functions import needles as N
 from gleaner.functions.text import LOWER, UPPER
 
 FILES = "path string, mtime long, size long, content binary, is_readable boolean"
-NEEDLES = "pos int, token string, weight decimal(6,2), is_critical boolean, is_obfuscation boolean, is_upload boolean"
+MANIFEST_BATCH = 32 << 20
+NEEDLES = "pos int, token string, weight decimal(18,8), is_critical boolean, is_obfuscation boolean, is_upload boolean"
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """All files below ``path``. Spark's reader hides names that begin with a dot or an underscore;
-    such files come through ``read_manifest``."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return raw.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.unix_timestamp("modificationTime").alias("mtime"), F.col("length").alias("size"), "content", F.lit(True).alias("is_readable"))
-
+def file_rows(raw: DataFrame) -> DataFrame:
+    """Rows of Spark's binary files, batch or stream, as file rows."""
+    path = F.regexp_replace("path", "^file:/+", "/")
+    return raw.select(path.alias("path"), F.unix_timestamp("modificationTime").alias("mtime"), F.col("length").alias("size"), "content", F.lit(True).alias("is_readable"))
 
-def read_manifest(manifest: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Files named by ``manifest(path, mtime)``, opened on the executors from a shared file system;
-    one that can't be opened has null size and content and is_readable false."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """All files below ``path``. Spark's reader hides names that begin with a dot or an underscore;
+    such files come through ``tree.read_tree``."""
+    return file_rows(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path))
+
+
+def read_manifest(manifest: DataFrame, partitions: int | None = None, max_bytes: int = 256 << 20) -> DataFrame:
+    """Files named by ``manifest(path, mtime)``, opened on the executors on any storage that ``pyarrow.fs`` opens;
+    paths without a scheme are local. One that can't be opened, or has more than ``max_bytes``, has null size and
+    content and is_readable false. Whole files of a batch are held up to that size, so batches end there."""
+
+    def opened(path: str) -> bytes | None:
+        try:
+            system, name = storage.FileSystem.from_uri(path if re.match("[A-Za-z][A-Za-z0-9+.-]*:", path) else f"file://{os.path.abspath(path)}")
+            with system.open_input_file(name) as f:
+                return None if f.size() > max_bytes else f.read()
+        except (OSError, ValueError):
+            return None
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["path", "mtime", "size", "content", "is_readable"]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
         for batch in batches:
-            for lo in range(0, len(batch), 64):
-                part = batch.iloc[lo : lo + 64]
-                contents = []
-                for path in part["path"]:
-                    try:
-                        with open(path, "rb") as f:
-                            contents.append(f.read())
-                    except OSError:
-                        contents.append(None)
-                sizes = pd.array([None if c is None else len(c) for c in contents], dtype="Int64")
-                yield pd.DataFrame({"path": part["path"].array, "mtime": part["mtime"].array, "size": sizes, "content": contents, "is_readable": [c is not None for c in contents]})
+            held: list[tuple] = []
+            size = 0
+            for path, mtime in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                content = None if path is None else opened(path)
+                held.append((path, mtime, None if content is None else len(content), content, content is not None))
+                size += len(content or b"")
+                if size > MANIFEST_BATCH:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
+                    held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
 
     rows = manifest.select("path", F.coalesce(F.col("mtime"), F.lit(0)).cast("long").alias("mtime"))
-    return rows.repartition(partitions or manifest.sparkSession.sparkContext.defaultParallelism).mapInPandas(read, FILES)
+    return rows.repartition(partitions or manifest.sparkSession.sparkContext.defaultParallelism).mapInArrow(read, FILES)
 
 
 def load_hashes(spark: SparkSession, path: str) -> DataFrame:

@@ -17,9 +17,33 @@ def shared_folder(spark: SparkSession, job: str) -> str:
     return f"{base.rstrip('/')}/gleaner-{job}-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables that this process has written and not dropped.
+_written: list[str] = []
+
+
+def drop_written(spark: SparkSession, since: int = 0) -> None:
+    """Remove the tables of ``written`` (all, or those after the first ``since``); no DataFrame may read them any more."""
+    jvm = spark.sparkContext._jvm
+    while len(_written) > since:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def count_written() -> int:
+    return len(_written)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as tasks can run, where its files give fewer. A table of many files is left as
+    it is, and its rows go through no shuffle."""
+    width = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 4 * width else df.repartition(width)
+
+
 def written(df: DataFrame, job: str) -> DataFrame:
     """``df`` as a Parquet table: computed once however often it is read, and read again rather than
     computed again when an executor is lost."""
     path = shared_folder(df.sparkSession, job)
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

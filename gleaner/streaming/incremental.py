@@ -1,4 +1,8 @@
-"""The chunked scan as a stream: features per chunk, copies found across chunks, rolling analysis."""
+"""The chunked scan as a stream: features per chunk, copies found across chunks, rolling analysis.
+
+Each chunk leaves one row of moments. A re-analysis merges those rows into the statistics so far and reads no
+features; rows are scored with them when they are asked for.
+"""
 
 from __future__ import annotations
 
@@ -8,9 +12,12 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from gleaner.operators.analysis import FEATURES, analyse, features
 from gleaner.operators.hashes import mark_duplicates
-
+from gleaner.operators.moments import merged, moments, stats
+from gleaner.sources.files import file_rows
+from gleaner.sources.tables import count_written, drop_written
 
 SEEN = "md5 string, path string, chunk int, prefix string"
+BINARY_FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def read_chunks(spark: SparkSession, folder: str, schema: object, files_per_chunk: int | None = None, newest_first: bool = False) -> DataFrame:
@@ -19,15 +26,23 @@ def read_chunks(spark: SparkSession, folder: str, schema: object, files_per_chun
     return (source.option("maxFilesPerTrigger", files_per_chunk) if files_per_chunk else source).parquet(folder)
 
 
+def read_file_chunks(spark: SparkSession, folder: str, files_per_chunk: int = 500, newest_first: bool = True) -> DataFrame:
+    """A stream of the files below ``folder`` themselves, so many per chunk, newest first as the listing is; names
+    that begin with a dot or an underscore are hidden from it."""
+    source = spark.readStream.format("binaryFile").schema(BINARY_FILES).option("recursiveFileLookup", True)
+    return file_rows(source.option("latestFirst", newest_first).option("maxFilesPerTrigger", files_per_chunk).load(folder))
+
+
 def stream_features(files: DataFrame, white: DataFrame, black: DataFrame, out: str, checkpoint: str, every: int = 3, **how: object) -> StreamingQuery:
     """Start the scan. Features are appended to ``out``/features by chunk; a chunk that runs again
     replaces its own rows. A file's copies in earlier chunks are found in ``out``/seen, which holds the
     first file of each hash by chunk and by the first two signs of the hash; a chunk reads the parts that
-    its own hashes need. After every third chunk all rows so far are analysed to ``out``/scored.
+    its own hashes need. ``out``/moments gets a row for each chunk; after every ``every`` chunks they are merged to
+    a row of ``out``/stats, with which ``scored_so_far`` reads the features.
     """
 
     def chunk(rows: DataFrame, number: int) -> None:
-        spark = rows.sparkSession
+        spark, before = rows.sparkSession, count_written()
         own = features(rows, white, black, mark=False, **how)
         readable = mark_duplicates(own.where("not is_unreadable").drop("duplicate_of")).withColumn("prefix", F.substring("md5", 1, 2))
         if number:
@@ -39,14 +54,28 @@ def stream_features(files: DataFrame, white: DataFrame, black: DataFrame, out: s
         done = spark.read.parquet(f"{out}/features/chunk={number}")
         first = done.where(F.col("duplicate_of").isNull() & ~F.col("is_unreadable")).select("md5", "path", F.substring("md5", 1, 2).alias("prefix"))
         first.repartition("prefix").write.mode("overwrite").partitionBy("prefix").parquet(f"{out}/seen/chunk={number}")
+        moments(done).coalesce(1).write.mode("overwrite").parquet(f"{out}/moments/chunk={number}")
         if number % every == every - 1:
-            analyse(spark.read.parquet(f"{out}/features").drop("chunk")).write.mode("overwrite").parquet(f"{out}/scored")
+            stats_so_far(spark, out, number).coalesce(1).write.mode("overwrite").parquet(f"{out}/stats/chunk={number}")
+        drop_written(spark, before)
 
     return files.writeStream.foreachBatch(chunk).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def scan_in_chunks(spark: SparkSession, files: DataFrame, white: DataFrame, black: DataFrame, out: str, checkpoint: str) -> DataFrame:
+def stats_so_far(spark: SparkSession, out: str, chunk: int | None = None) -> DataFrame:
+    """The statistics of all rows up to a chunk, from one row a chunk."""
+    kept = spark.read.parquet(f"{out}/moments")
+    return stats(merged(kept if chunk is None else kept.where(F.col("chunk") <= chunk)))
+
+
+def scored_so_far(spark: SparkSession, out: str, chunk: int) -> DataFrame:
+    """The analysis that was made after ``chunk``: the rows up to it, with the statistics of then."""
+    told = spark.read.parquet(f"{out}/stats").where(F.col("chunk") == chunk).drop("chunk")
+    return analyse(spark.read.parquet(f"{out}/features").where(F.col("chunk") <= chunk).drop("chunk"), stats=told)
+
+
+def scan_in_chunks(spark: SparkSession, files: DataFrame, white: DataFrame, black: DataFrame, out: str, checkpoint: str, **how: object) -> DataFrame:
     """Run the stream over all that is there and analyse all chunks so far."""
-    query = stream_features(files, white, black, out, checkpoint)
+    query = stream_features(files, white, black, out, checkpoint, **how)
     query.awaitTermination()
-    return analyse(spark.read.parquet(f"{out}/features").drop("chunk"))
+    return analyse(spark.read.parquet(f"{out}/features").drop("chunk"), stats=stats_so_far(spark, out))
