@@ -54,9 +54,9 @@ def timeline(rows: DataFrame, buckets: int = 20, time: str = "mtime", score: str
     counts = timed.crossJoin(F.broadcast(ends)).groupBy(place.cast("int").alias("bucket")).agg(F.count("*").alias("n"), F.greatest(F.max("s"), F.lit(0.0)).alias("max_threat"))
     spans = rows.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).crossJoin(F.broadcast(ends))
     full = spans.join(F.broadcast(counts), "bucket", "left").na.fill(0, ["n", "max_threat"])  # ``buckets`` rows
-    most = full.agg(F.greatest(F.lit(1), F.max("n")).alias("most"))
+    most = F.greatest(F.lit(1), F.max("n").over(Window.partitionBy(F.lit(0))))  # over ``buckets`` rows
     start = F.col("first") + F.col("bucket") * F.col("span") / buckets
-    return full.crossJoin(F.broadcast(most)).select("bucket", start.alias("start"), "n", "max_threat", score_band(F.col("max_threat")).alias("band"), (F.col("n") / F.col("most")).alias("height"))
+    return full.select("bucket", start.alias("start"), "n", "max_threat", score_band(F.col("max_threat")).alias("band"), (F.col("n") / most).alias("height"))
 
 
 def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
