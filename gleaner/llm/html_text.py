@@ -208,10 +208,10 @@ def common_runs(pages: list[tuple[np.ndarray, np.ndarray]], least: int, share: f
     return runs[enough], total[enough]
 
 
-def kept_text(blocks: list[tuple[str, bool, bool]], common: np.ndarray, firm: np.ndarray, least: int, near_copy: int) -> str:
-    """The unmarked blocks without the ``common`` runs, or inside an article container the ``firm`` ones. A block of which these are less than half
-    stays whole. If more than ``near_copy`` tokens and half of the page would go, it is one of many
-    near copies rather than an article among menus, and stays whole."""
+def kept_text(blocks: list[tuple[str, bool, bool]], common: np.ndarray, firm: np.ndarray, least: int) -> str:
+    """The unmarked blocks without the ``common`` runs, or inside an article container the ``firm`` ones. A block of
+    which these are less than half stays whole, and is the page's own. A page that has no block of its own is one
+    of many near copies rather than an article among menus, and stays whole."""
     texts = [t for t, _, side in blocks if not side]
     if not texts or not len(common):
         return "\n\n".join(texts)
@@ -219,19 +219,17 @@ def kept_text(blocks: list[tuple[str, bool, bool]], common: np.ndarray, firm: np
     hashes, within = window_hashes(codes, lengths, least)
     inside = np.repeat([c for _, c, side in blocks if not side], lengths)[: len(hashes)]
     covered = np.convolve(within & np.where(inside, np.isin(hashes, firm), np.isin(hashes, common)), np.ones(least, int)) > 0
-    kept, cut, total, begin = [], 0, 0, 0
+    kept, own_blocks, begin = [], 0, 0
     for text, end in zip(texts, np.cumsum(lengths).tolist(), strict=True):
         tokens = text.split(" ")
         own = covered[begin : begin + len(tokens)]
-        hit, total, begin = int(own.sum()), total + len(tokens), end
-        if not hit or 2 * hit < len(tokens):
+        hit, begin = int(own.sum()), end
+        if 2 * hit < len(tokens):
+            own_blocks += 1
             kept.append(text)
         else:
-            cut += hit
             kept.append(" ".join(t for t, c in zip(tokens, own.tolist(), strict=True) if not c))
-    if cut > near_copy and 2 * cut > total:
-        kept = texts
-    return "\n\n".join(t for t in kept if t)
+    return "\n\n".join(t for t in (kept if own_blocks else texts) if t)
 
 
 def host_of(url: str) -> F.Column:
@@ -250,7 +248,6 @@ def extract_text(
     least_pages: int = 3,
     share: float = 0.25,
     firm_share: float = 0.5,
-    near_copy: int = 100,
 ) -> DataFrame:
     """One row per row of ``pages``: ``id_col``, ``url_col``, text (blocks joined by two line ends; empty if none).
 
@@ -335,7 +332,7 @@ def extract_text(
         for batch in batches:
             texts = []
             for page, runs, firm in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
-                texts.append(kept_text(blocks_of(page.as_py()), *(np.array(x.as_py() or [], np.int64) for x in (runs, firm)), least_tokens, near_copy))
+                texts.append(kept_text(blocks_of(page.as_py()), *(np.array(x.as_py() or [], np.int64) for x in (runs, firm)), least_tokens))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], [id_col, url_col, "text"])
 
     marked = read.join(small(common, n_common // 10), "host", "left").select("id", "url", "html", "runs", "firm")

@@ -187,6 +187,15 @@ def test_copies_and_quotes_stay(spark):
     assert page_texts(spark, quoted) == [(i, p[3:-4]) for i, p in quoted]
 
 
+@pytest.mark.parametrize("size", [30, 150, 900])
+def test_equal_blocks_go_whatever_their_size(spark, size):
+    notice = " ".join(f"notice{k}" for k in range(size))
+    pages = [(i, f"<p>{notice}</p><p>{' '.join(f'a{i}w{k}' for k in range(40))}</p>") for i in range(20)]
+    assert page_texts(spark, pages) == [(i, p.split("</p><p>")[1].removesuffix("</p>")) for i, p in pages]
+    near = [(i, f"<h1>{notice}</h1><p>{notice} end{i}</p>") for i in range(8)]
+    assert page_texts(spark, near) == [(i, f"{notice}\n\n{notice} end{i}") for i in range(8)]
+
+
 def test_common_runs_match_brute_force():
     rng = random.Random(9)
     for _ in range(30):
