@@ -191,6 +191,13 @@ def test_language_id(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_languages_are_bounded(spark):
+    rows = [(i, f"text {i} words here", f"l{i % 40:02}") for i in range(100)] + [(200, "more words", "l39")]
+    learned = langid.build_dictionaries(docs(spark, rows), languages=5)
+    assert sorted(learned) == ["l00", "l01", "l02", "l03", "l39"] or sorted(learned) == ["l00", "l01", "l02", "l03", "l04"]
+    assert len(langid.build_dictionaries(docs(spark, rows))) == 40 and langid.build_dictionaries(docs(spark, rows).limit(0)) == {}
+
+
 def test_language_id_of_odd_texts(spark):
     learned = {"en": b"the of and to in is that", "de": b"der die und das ist nicht"}
     frame = docs(spark, [(1, None, "en"), (2, "", "en"), (3, "12 !?", None), (4, "und das ist nicht der", None), (4, "und das ist nicht der", None), (5, "the of and to in is that " * 9000, "de")])
