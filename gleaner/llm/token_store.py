@@ -117,8 +117,8 @@ def write_tokens(
     it in all files), n_tokens (with the end id). Files are named by the attempt that wrote them
     and count only once the index names them, so a task that runs twice does no harm.
 
-    A null or empty text is the end id alone; a null id comes first; rows that repeat an id follow
-    each other, ordered by text. Other columns are ignored; no rows give an empty index.
+    A null or empty text is the end id alone; a null id comes first; rows that repeat an id, or have none, follow
+    each other, ordered by text, so that they may lie in several files. Other columns are ignored; no rows give an empty index.
     """
     bounded_batches(spark)
     docs = docs.select(id_col, text_col)
@@ -150,7 +150,8 @@ def write_tokens(
         if out is not None:
             out.close()
 
-    dealt = docs.repartitionByRange(files, F.col(id_col)).sortWithinPartitions(id_col, text_col)
+    # texts sort as their beginnings do, which are all that the ranges need
+    dealt = docs.repartitionByRange(files, F.col(id_col), F.substring(text_col, 1, 128)).sortWithinPartitions(id_col, text_col)
     index_path = f"{folder}/index"
     dealt.mapInArrow(write, f"`{id_col}` {kind}, file string, file_no long, first long, n_tokens long").write.parquet(index_path)
     index = spark.read.parquet(index_path)
@@ -163,7 +164,8 @@ def read_tokens(index: DataFrame, folder: str, id_col: str = "doc_id", with_ids:
     """The ids of the documents that ``index`` lists (all of it, or any selection of its rows).
 
     Columns: ``id_col``, start, n_tokens, ids_crc32, and ids (array<int>) if ``with_ids``. Rows of
-    one stretch of a file go to one task, in file order, so each frame is decompressed once there.
+    one stretch of a file go to one task, in file order, so each frame is decompressed once there. Rows of the
+    index that repeat are read again; other columns of it are ignored; an empty index gives no rows.
     """
     kind = index.schema[id_col].dataType.simpleString()
 
