@@ -20,7 +20,12 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that language identification rejects go; the others take the language it found."""
+    """Documents that language identification rejects go; the others take the language it found.
+
+    A null or empty text, and one without letters, is rejected; a text of any length is judged as a whole. Repeated
+    rows, and rows without an id, are judged each. lang of the documents teaches, its nulls don't. Other columns are
+    ignored, whatever their names; no rows give no rows, and where nothing teaches all rows go.
+    """
     learned = langid.build_dictionaries(docs.where(~held_out()))
     judged = langid.identify_language(spark, docs, learned, carry=("text", "source", "n_chars"))
     return judged.where(~F.col("rejected")).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
@@ -57,7 +62,11 @@ def small(ids: DataFrame, rows: int = 1_000_000) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words hit by a benchmark passage leave the text; a document without a hit is unchanged, and
-    one of which no word is left goes."""
+    one of which no word is left goes.
+
+    A null or empty text has no words and stays. A text of any length is searched as a whole. Repeated rows, and rows
+    without an id, stay. Other columns are ignored, whatever their names; no rows or no benchmark change nothing.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.find_contamination(spark, docs, benchmark, carry=("lang", "source"), cleaned=True)
     kept = found.where((F.size("spans") == 0) | (hit_words(F.col("spans")) < F.col("n_words")))
@@ -69,13 +78,22 @@ def hit_words(spans: Column) -> Column:
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the text; all documents stay."""
+    """Secrets are masked in the text; all documents stay.
+
+    A null text stays null, an empty one empty. A text of any length is scanned as a whole, with time in proportion.
+    Rows that repeat an id have their own findings each; rows without an id stay. Other columns are ignored, whatever
+    their names; no rows give no rows.
+    """
     found = secret_scan.scan_secrets(spark, docs, Scratch(spark, "ledger").path("ledger"))
     return secret_scan.redact(docs.select(*COLUMNS), found).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def power_of_two_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece and sequence."""
+    """One row per piece and sequence, the columns of ``packing.pack_power_of_two``.
+
+    A null or empty text is the end id alone. A text of any length is encoded and cut as a whole. Repeated rows, and
+    rows without an id, are packed each. Other columns are ignored, whatever their names; no rows give no rows.
+    """
     return packing.pack_power_of_two(spark, docs, vocabulary("byte_bpe_50k.json"), with_ids=False)
 
 
