@@ -620,6 +620,12 @@ def scored_by_fine_weights(s: SparkSession, d: str) -> DataFrame:
     return _short(analysis.analyse(_features(s, d, needles=FINE_NEEDLES), needles=FINE_NEEDLES))
 
 
+@_add("scored_by_needle_table", _with("scored", f"select {_SCORE} from scored"))
+def scored_by_needle_table(s: SparkSession, d: str) -> DataFrame:
+    """The needle table joined from matching to score, as one too long for literals is."""
+    return _short(analysis.analyse(_features(s, d, table=sources.needle_table(s))))
+
+
 _BY_SOURCE = STEPS["stats"].replace("select coalesce(avg(size)", "select split_part(path, '/', 4) as source, coalesce(avg(size)") + " group by 1"
 _GROUPED = STEPS | {"stats": _BY_SOURCE, "zs": STEPS["zs"].replace("from bonus, stats", "from bonus left join stats on split_part(path, '/', 4) = source")}
 

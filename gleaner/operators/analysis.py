@@ -41,17 +41,51 @@ def token_features(
     return found.select("path", "size", "mtime", "md5", F.size("tokens").cast("long").alias("total_tokens"), "matched_tokens", measure.alias("entropy"), *carry)
 
 
-def features(files: DataFrame, white: DataFrame, black: DataFrame, mark: bool = True, outcomes: DataFrame | None = None, **how: object) -> DataFrame:
+WEIGHED = "weighed"
+
+
+def table_features(files: DataFrame, table: DataFrame, mode: str = "words", naming: int = 8, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``token_features`` with a needle table of any length, as joins: also weighed (base, critical, obfuscation,
+    upload), null without a match. ``table`` has the columns of ``sources.files.needle_table``.
+
+    Files' distinct lower-cased tokens meet the table's by equality, so a token that most files have meets one row
+    for each of its spellings; Spark broadcasts the table while it is small and may split such a token otherwise.
+    A weight is looked up under the lower-cased token, the last of several counts, and what has none weighs 1.
+    """
+    known = table.select("pos", "token", ascii_lower(F.col("token")).alias("low"), F.col("weight").cast("decimal(18,8)").alias("weight"), "is_critical", "is_obfuscation", "is_upload")
+    flags = [F.coalesce(F.max(f"is_{c}"), F.lit(False)).alias(c) for c in ("critical", "obfuscation", "upload")]
+    by_low = known.groupBy("low").agg(*flags)
+    weights = known.where("weight is not null").groupBy(F.col("token").alias("low")).agg(F.max_by("weight", "pos").alias("weight"))
+    spelled = known.groupBy("low", "token").agg(F.min("pos").alias("pos")).join(weights, "low", "left").join(by_low, "low")
+    spelled = spelled.withColumn("weight", F.coalesce("weight", F.lit(Decimal(1)).cast("decimal(18,8)")))
+
+    found = files.select("path", "size", "mtime", *carry, F.md5(F.col("content").cast("binary")).alias("md5"), tokens(F.col("content"), mode, naming).alias("tokens"))
+    found = written(found.withColumn("_row", F.monotonically_increasing_id()), "file-tokens")  # so that rows keep their numbers
+    low = found.select("_row", F.explode(F.array_distinct(F.transform("tokens", ascii_lower))).alias("low"))
+    hits = low.join(spelled, "low").groupBy("_row").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "token")))["token"].alias("matched_tokens"),
+        F.struct(F.sum("weight").alias("base"), *(F.max(c).alias(c) for c in ("critical", "obfuscation", "upload"))).alias(WEIGHED),
+    )
+    none = F.array().cast("array<string>")
+    met = found.join(hits, "_row", "left").withColumn("matched_tokens", F.coalesce("matched_tokens", none))
+    return met.select("path", "size", "mtime", "md5", F.size("tokens").cast("long").alias("total_tokens"), "matched_tokens", entropy(F.array_join("matched_tokens", "")).alias("entropy"), *carry, WEIGHED)
+
+
+def features(
+    files: DataFrame, white: DataFrame, black: DataFrame, mark: bool = True, outcomes: DataFrame | None = None, table: DataFrame | None = None, **how: object
+) -> DataFrame:
     """One row per kept file: known good files are dropped, known bad ones flagged, copies point at
     the first file of their hash; unreadable files (also those of which that is not known) keep a row
     without content. ``outcomes`` (md5, error) says what failed of the actions on known bad files.
 
     Files are read once: their tokens and hashes are written, without content, and so are the joined rows, which is
-    all that the returned DataFrame reads.
+    all that the returned DataFrame reads. With ``table``, a needle table of any length, files are matched by joins
+    and the rows keep what ``analyse`` needs of it in the column weighed.
     """
     kept = filter_patterns(files).withColumn("is_readable", readable())
     kept = kept.withColumn("content", F.when(F.col("is_readable"), F.col("content")))
-    found = written(token_features(kept, carry=("is_readable",), **how), "tokens")
+    made = token_features(kept, carry=("is_readable",), **how) if table is None else table_features(kept, table, carry=("is_readable",), **how)
+    found, extra = written(made, "tokens"), [] if table is None else [WEIGHED]
     rows = flag_blacklisted(drop_whitelisted(found.where("is_readable"), white), black)
     rows = mark_duplicates(rows) if mark else rows.withColumn("duplicate_of", F.lit(None).cast("string"))
     if outcomes is None:
@@ -60,9 +94,9 @@ def features(files: DataFrame, white: DataFrame, black: DataFrame, mark: bool =
         rows = rows.join(outcomes.groupBy("md5").agg(F.min("error").alias("_error")), "md5", "left").withColumn("error", F.when(F.col("is_blacklisted"), F.col("_error")))
     full = rows.select(
         "path", "size", "mtime", "total_tokens", "matched_tokens", "md5", "is_blacklisted", is_htaccess(F.col("path")).alias("is_htaccess"), "duplicate_of",
-        "error", F.lit(False).alias("is_unreadable"), "entropy",
+        "error", F.lit(False).alias("is_unreadable"), "entropy", *extra,
     )
-    return written(full.unionByName(unreadable_features(found)), "features")
+    return written(full.unionByName(unreadable_features(found), allowMissingColumns=True), "features")
 
 
 def weight_scale(needles: list[tuple[str, float | None]]) -> int:
@@ -86,9 +120,14 @@ def threat_score(
     """Weights, then multipliers for categories found together, then bonuses for place and small
     dense files, and only then rounded to two decimals, halves up; at least 100 for a known bad file."""
     low = F.transform(matched, ascii_lower)
-    critical, obfuscation, upload = (F.arrays_overlap(low, F.array(*map(F.lit, c)).cast("array<string>")) for c in categories)
-    kind = f"decimal(32,{weight_scale(needles) + 2})"
-    score = base_score(matched, needles).cast(kind)
+    flags = (F.arrays_overlap(low, F.array(*map(F.lit, c)).cast("array<string>")) for c in categories)
+    return score_of(path, size, base_score(matched, needles), *flags, text_entropy, is_blacklisted, weight_scale(needles))
+
+
+def score_of(path: Column, size: Column, base: Column, critical: Column, obfuscation: Column, upload: Column, text_entropy: Column, is_blacklisted: Column, scale: int) -> Column:
+    """The score of a file from its sum of weights, of ``scale`` decimals, and the categories among its tokens."""
+    kind = f"decimal(32,{scale + 2})"
+    score = base.cast(kind)
     score = F.when(critical & obfuscation, score * F.lit(Decimal("2.5"))).otherwise(score).cast(kind)
     score = F.when(critical & upload, score * F.lit(Decimal("1.8"))).otherwise(score).cast(kind)
     place = ascii_lower(F.replace(path, F.lit("\\"), F.lit("/"))).rlike("|".join(N.UPLOAD_PLACES))
@@ -132,7 +171,12 @@ def analyse(
         v, m, s = F.col(STATS[name]).cast("double"), F.col(f"{name}_mean"), F.col(f"{name}_std")
         return F.when(unreadable | (s == 0) | v.isNull(), F.lit(0.0)).otherwise((v - m) / s)
 
-    score = threat_score(F.col("path"), F.col("size"), F.col("matched_tokens"), F.col("entropy"), F.col("is_blacklisted"), needles, categories)
+    given = [F.col(c) for c in ("path", "size", "matched_tokens", "entropy", "is_blacklisted")]
+    if WEIGHED in feats.columns:  # matched by a table, which gave weights and categories
+        told = [F.coalesce(F.col(f"{WEIGHED}.base"), F.lit(0)), *(F.coalesce(F.col(f"{WEIGHED}.{c}"), F.lit(False)) for c in ("critical", "obfuscation", "upload"))]
+        score = score_of(*given[:2], *told, *given[3:], 8)
+    else:
+        score = threat_score(*given, needles, categories)
     rows = rows.withColumn("z", F.struct(*(z(n).alias(n) for n in STATS))).withColumn("threat_score", F.when(unreadable, F.lit(0.0)).otherwise(score))
     rows = rows.withColumn("residual", F.when(unreadable, F.lit(0.0)).otherwise(F.col("susp_count") - F.col("total_tokens") * F.col("ratio")))
     far = F.lit(False)

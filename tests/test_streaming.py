@@ -115,6 +115,23 @@ def test_weights_keep_their_decimals(spark):
     assert analysis.weight_scale(WEB) == 2
 
 
+def test_long_needle_tables_reach_the_score(spark):
+    rng = random.Random(6)
+    names = [f"w{i}" for i in range(3000)]
+    needles = [(n.upper() if i % 7 == 0 else n, None if i % 5 == 0 else rng.randrange(1000) / 1000) for i, n in enumerate(names)] + [("Zap", 42.0), ("zap", 5.125), ("ZAP", 1.5)]
+    flags = [[i % k == 0 for k in (40, 60, 90)] for i in range(len(needles))]
+    table = spark.createDataFrame([(i, n, w, *f) for i, ((n, w), f) in enumerate(zip(needles, flags, strict=True))], "pos int, token string, weight double, is_critical boolean, is_obfuscation boolean, is_upload boolean")
+    rows = [(f"/{rng.choice(['uploads', 'x'])}/{i}.php", i, None, " ".join(rng.choices([*names, "zap", "ZAP", "none"], k=rng.randrange(30))), i % 10 != 9) for i in range(60)]
+    frame = spark.createDataFrame([(p, m, len(c), c, ok) for p, m, _, c, ok in rows] * 2, SCHEMA).repartition(3)
+    none = spark.createDataFrame([], "md5 string")
+    listed, categories = sources.needle_lists(table)
+    shown = ["path", "matched_tokens", "total_tokens", "threat_score", "entropy", "is_anomaly"]
+    by_join = analysis.analyse(analysis.features(frame, none, none, table=table)).select(*shown)
+    by_list = analysis.analyse(analysis.features(frame, none, none, needles=listed), needles=listed, categories=categories).select(*shown)
+    got, want = (sorted(map(str, x.collect())) for x in (by_join, by_list))
+    assert got == want and len(got) == 120 and sum("matched_tokens=[]" in r for r in got) < 30
+
+
 @pytest.mark.parametrize("kind", ["distinct", "few", "one", "steps"])
 def test_order_statistics_by_sketch(spark, kind):
     n = 20_000
