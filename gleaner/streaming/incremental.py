@@ -16,7 +16,9 @@ from gleaner.operators.moments import merged, moments, stats
 from gleaner.sources.files import file_rows
 from gleaner.sources.tables import count_written, drop_written
 
-SEEN = "md5 string, path string, chunk int, prefix string"
+SEEN = "md5 string, path string, level int, start int, prefix string"
+#: So many neighbouring parts of the seen hashes become one.
+SPAN = 16
 BINARY_FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -33,11 +35,40 @@ def read_file_chunks(spark: SparkSession, folder: str, files_per_chunk: int = 50
     return file_rows(source.option("latestFirst", newest_first).option("maxFilesPerTrigger", files_per_chunk).load(folder))
 
 
+def spans(chunks: int) -> list[tuple[int, int]]:
+    """(level, first chunk) of the parts that hold the first ``chunks`` chunks: a part of a level holds SPAN parts of
+    the level below, so they are few however many chunks there were."""
+    out, start = [], 0
+    while start < chunks:
+        level = 0
+        while start % SPAN ** (level + 1) == 0 and start + SPAN ** (level + 1) <= chunks:
+            level += 1
+        out.append((level, start))
+        start += SPAN**level
+    return out
+
+
+def seen_before(spark: SparkSession, out: str, parts: list[tuple[int, int]]) -> DataFrame:
+    paths = [f"{out}/seen/level={level}/start={start}" for level, start in parts]
+    return spark.read.schema(SEEN).option("basePath", f"{out}/seen").parquet(*paths)
+
+
+def merge_seen(spark: SparkSession, out: str, chunks: int) -> None:
+    """Put together the parts that are complete after ``chunks`` chunks; done again, it gives the same."""
+    level = 1
+    while chunks % SPAN**level == 0:
+        size = SPAN ** (level - 1)
+        start = chunks - SPAN**level
+        below = seen_before(spark, out, [(level - 1, start + k * size) for k in range(SPAN)])
+        below.select("md5", "path", "prefix").repartition("prefix").write.mode("overwrite").partitionBy("prefix").parquet(f"{out}/seen/level={level}/start={start}")
+        level += 1
+
+
 def stream_features(files: DataFrame, white: DataFrame, black: DataFrame, out: str, checkpoint: str, every: int = 3, **how: object) -> StreamingQuery:
     """Start the scan. Features are appended to ``out``/features by chunk; a chunk that runs again
     replaces its own rows. A file's copies in earlier chunks are found in ``out``/seen, which holds the
-    first file of each hash by chunk and by the first two signs of the hash; a chunk reads the parts that
-    its own hashes need. ``out``/moments gets a row for each chunk; after every ``every`` chunks they are merged to
+    first file of each hash by chunks and by the first two signs of the hash; a chunk reads the folders that
+    its own hashes need, of parts that are put together as chunks grow many. ``out``/moments gets a row for each chunk; after every ``every`` chunks they are merged to
     a row of ``out``/stats, with which ``scored_so_far`` reads the features.
     """
 
@@ -47,13 +78,14 @@ def stream_features(files: DataFrame, white: DataFrame, black: DataFrame, out: s
         readable = mark_duplicates(own.where("not is_unreadable").drop("duplicate_of")).withColumn("prefix", F.substring("md5", 1, 2))
         if number:
             asked = [r["prefix"] for r in readable.select("prefix").distinct().collect()]  # 256 at the most
-            seen = spark.read.schema(SEEN).parquet(f"{out}/seen").where((F.col("chunk") < number) & F.col("prefix").isin(asked)).select("md5", F.col("path").alias("_seen"))
+            seen = seen_before(spark, out, spans(number)).where(F.col("prefix").isin(asked)).select("md5", F.col("path").alias("_seen"))
             readable = readable.join(seen, "md5", "left").withColumn("duplicate_of", F.coalesce("_seen", "duplicate_of")).drop("_seen")
         every_row = readable.select(*FEATURES).unionByName(own.where("is_unreadable").select(*FEATURES))
         every_row.write.mode("overwrite").parquet(f"{out}/features/chunk={number}")
         done = spark.read.parquet(f"{out}/features/chunk={number}")
         first = done.where(F.col("duplicate_of").isNull() & ~F.col("is_unreadable")).select("md5", "path", F.substring("md5", 1, 2).alias("prefix"))
-        first.repartition("prefix").write.mode("overwrite").partitionBy("prefix").parquet(f"{out}/seen/chunk={number}")
+        first.repartition("prefix").write.mode("overwrite").partitionBy("prefix").parquet(f"{out}/seen/level=0/start={number}")
+        merge_seen(spark, out, number + 1)
         moments(done).coalesce(1).write.mode("overwrite").parquet(f"{out}/moments/chunk={number}")
         if number % every == every - 1:
             stats_so_far(spark, out, number).coalesce(1).write.mode("overwrite").parquet(f"{out}/stats/chunk={number}")

@@ -38,7 +38,14 @@ def marks(df):
     return {r["path"]: (r["md5"], r["duplicate_of"], r["is_blacklisted"], r["is_unreadable"], r["mtime"], r["size"], tuple(r["matched_tokens"])) for r in df.collect()}
 
 
-def test_keyed_state_equals_the_other_scans_and_goes_on(spark, tmp_path):
+def test_parts_of_seen_hashes_stay_few():
+    for n in (0, 1, 15, 16, 17, 300, 5000):
+        parts = incremental.spans(n)
+        assert [c for level, start in parts for c in range(start, start + 16**level)] == list(range(n)) and len(parts) <= 15 * 4
+
+
+def test_keyed_state_equals_the_other_scans_and_goes_on(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(incremental, "SPAN", 2)  # so that the third chunk reads a part of two
     rows = some_files(60)
     rows.sort(key=lambda r: (-(r[1] or 0), r[0]))
     white, black = lists(spark, rows)
