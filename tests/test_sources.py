@@ -1,5 +1,6 @@
 """The tree data source, and the lexer's constructs."""
 
+import hashlib
 import os
 import time
 
@@ -129,3 +130,25 @@ def test_any_source_of_a_megabyte_takes_seconds(unit):
     source = "<?php " + unit * (1_000_000 // len(unit))
     began = time.time()
     assert sum(map(len, scan(source))) == len(source) and time.time() - began < 20
+
+
+def test_scan_of_a_tree(spark, site, tmp_path):
+    from gleaner.jobs import scan
+
+    (site / "evil.php").write_text('<?php eval(base64_decode("x")); ?> eval')
+    (site / "quoted.php").write_text('<?php echo "{$a["system"]} exec it"; ?> <b>text</b>')
+    (tmp_path / "white").write_text(hashlib.md5(b"<?php 1;").hexdigest() + "\n")
+    (tmp_path / "black").write_text(hashlib.md5(b"x").hexdigest().upper() + " \r\n")
+    scan.scan(spark, f"file://{site}", f"file://{tmp_path}/out", f"file://{tmp_path}/white", f"file://{tmp_path}/black", tokens="lexer", max_file_bytes=1000)
+    lines = [r[0] for r in spark.read.text(f"file://{tmp_path}/out/report").collect()]
+    names = [line.split(" ")[0].removeprefix(f"{site}/") for line in lines]
+    assert names[:2] == ["b/_c/.d/e.PHTML", "evil.php"] and set(names) == {"b/_c/.d/e.PHTML", "evil.php", "quoted.php", "b/.htaccess", "g.inc", "big.php"}
+    assert "(eval, base64_decode)" in lines[1] and "ThreatScore: 42.5" in lines[1] and "(BLACKLIST)" in lines[0]
+    told = {r["path"].removeprefix(f"{site}/"): r["severity"] for r in spark.read.json(f"{tmp_path}/out/labels").collect()}
+    assert told == {"b/_c/.d/e.PHTML": "BLACKLIST", "evil.php": "CRITICAL", "b/.htaccess": "HTACCESS", "big.php": "NOT READABLE"}
+    assert spark.read.json(f"{tmp_path}/out/insights").first()["total"] == 6 and spark.read.json(f"{tmp_path}/out/timeline").count() == 20
+    (tmp_path / "needles.csv").write_text("pos,token,weight,is_critical,is_obfuscation,is_upload\n0,ECHO,0.125,false,false,false\n")
+    scan.scan(spark, f"file://{site}", f"file://{tmp_path}/own", needles=f"file://{tmp_path}/needles.csv")
+    assert "(ECHO)" in next(r[0] for r in spark.read.text(f"file://{tmp_path}/own/report").collect() if "quoted" in r[0])
+    scan.scan(spark, f"file://{site}", f"file://{tmp_path}/cli", black=f"file://{tmp_path}/black", profile="cli")
+    assert any(r[0].endswith("evil.php (eval, base64_decode)") for r in spark.read.text(f"file://{tmp_path}/cli/report").collect())
