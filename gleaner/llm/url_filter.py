@@ -106,8 +106,9 @@ def judge_urls(
 
     Every URL with a rule is labelled; one in ``held_out`` of the labelled ones, by its hash, finds
     the threshold and the others train. Where one label is missing the threshold is 0. A null or
-    empty URL scores 0. The models read A-Z as a-z and all signs that URLs are not written in as one;
-    contexts are exact up to order 5. Repeated rows count as often as they occur and give repeated rows. Other
+    empty URL scores 0. The models read A-Z as a-z and all signs that URLs are not written in as one, which
+    also stands for the places before a URL's first character; contexts are exact up to order 5. The threshold is the
+    hundredth at which the shares of held-out allowed URLs below it and of blocked ones not below it are least in sum. Repeated rows count as often as they occur and give repeated rows. Other
     columns are ignored; no rows give no rows.
     """
     work = Scratch(spark, "url-filter")

@@ -174,6 +174,24 @@ def test_url_scores_match_brute_force(judged):
     assert all(abs(scores[j] - x) < 1e-9 for j, x in want.items())
 
 
+def test_url_threshold_matches_brute_force(judged):
+    urls, got = judged
+    spark = SparkSession.getActiveSession()
+    hashed = spark.createDataFrame([(u,) for u in {u for u in urls if u is not None}], "u string").selectExpr("u", "pmod(xxhash64(u), 5) = 0 as held")
+    held = {r["u"] for r in hashed.where("held").collect()}
+    bins = [(math.floor(r["score"] * 100), brute_rule(urls[r["page_id"]])[3] == "allow") for r in got if urls[r["page_id"]] in held and brute_rule(urls[r["page_id"]])[3]]
+    good, bad = (sum(a == x for _, a in bins) for x in (True, False))
+
+    def error(at):
+        return sum(a for b, a in bins if b < at) / good + sum(not a for b, a in bins if b >= at) / bad
+
+    want = min(sorted({b for b, _ in bins}), key=lambda b: (round(error(b), 12), b)) / 100
+    assert good > 20 and bad > 20 and {r["threshold"] for r in got} == {want}
+    for r in got:
+        ruled = brute_rule(urls[r["page_id"]])[3]
+        assert r["verdict"] == (ruled or ("allow" if r["score"] >= want else "block"))
+
+
 def test_urls_without_labels_or_rows(spark):
     frame = spark.createDataFrame([(1, "https://a.example.com/x"), (2, None)], "page_id long, url string")
     assert {r["verdict"] for r in url_filter.judge_urls(spark, frame).collect()} == {"allow"}
