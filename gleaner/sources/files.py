@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import re
 from collections.abc import Iterator
 from decimal import Decimal
 
 import pyarrow as pa
-from pyarrow import fs as storage
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import needles as N
 from gleaner.functions.text import LOWER, UPPER
+from gleaner.sources.tree import located
 
 FILES = "path string, mtime long, size long, content binary, is_readable boolean"
 MANIFEST_BATCH = 32 << 20
@@ -39,7 +37,7 @@ def read_manifest(manifest: DataFrame, partitions: int | None = None, max_bytes:
 
     def opened(path: str) -> bytes | None:
         try:
-            system, name = storage.FileSystem.from_uri(path if re.match("[A-Za-z][A-Za-z0-9+.-]*:", path) else f"file://{os.path.abspath(path)}")
+            system, name = located(path)
             with system.open_input_file(name) as f:
                 return None if f.size() > max_bytes else f.read()
         except (OSError, ValueError):

@@ -56,6 +56,13 @@ def known(f: ds.Filter) -> bool:
     return type(f) in TESTS and not nulls and len(f.attribute) == 1 and f.attribute[0] in LISTED
 
 
+def located(uri: str) -> tuple[storage.FileSystem, str]:
+    """The storage of a URI and the path in it; without a scheme the path is local, and taken as it is."""
+    if re.match("[A-Za-z][A-Za-z0-9+.-]*:", uri):
+        return storage.FileSystem.from_uri(uri)
+    return storage.LocalFileSystem(), os.path.abspath(uri)
+
+
 class Part(ds.InputPartition):
     """Files to read, and directories to list and read."""
 
@@ -83,7 +90,7 @@ class TreeReader(ds.DataSourceReader):
         return [f for f in filters if not known(f)]
 
     def storage(self) -> tuple[storage.FileSystem, str]:
-        system, root = storage.FileSystem.from_uri(self.uri if "://" in self.uri or self.uri.startswith("file:") else f"file://{os.path.abspath(self.uri)}")
+        system, root = located(self.uri)
         return system, root.rstrip("/") or "/"
 
     def listed(self, system: storage.FileSystem, folder: str) -> tuple[list[Entry], list[str]]:
@@ -111,9 +118,11 @@ class TreeReader(ds.DataSourceReader):
     def partitions(self) -> list[Part]:
         """Level by level until the bound; then files by size, the largest first, and single directories."""
         system, root = self.storage()
-        if system.get_file_info(root).type == storage.FileType.NotFound:
+        top = system.get_file_info(root)
+        if top.type == storage.FileType.NotFound:
             raise FileNotFoundError(self.uri)
-        files, level = [], [root]
+        single = (root, int((top.mtime_ns or 0) // 10**9), int(top.size or 0))
+        files, level = ([single] if self.wanted(single) else [], []) if top.type == storage.FileType.File else ([], [root])
         with ThreadPoolExecutor(16) as pool:
             while level and len(files) + len(level) < self.planned:
                 found = list(pool.map(lambda folder: self.listed(system, folder), level))
@@ -204,7 +213,7 @@ def write_tree(files: DataFrame, uri: str) -> None:
     that recurs is written again."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = storage.FileSystem.from_uri(uri)
+        system, root = located(uri)
         done = 0
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import text
 from gleaner.functions.lexer import lex, scan
 from gleaner.operators import analysis
+from gleaner.sources import files as sources
 from gleaner.sources import tree
 
 
@@ -70,10 +71,20 @@ def test_partitions_follow_size_and_tasks_list_what_the_driver_left(site):
     assert len(rows) == 7 and any(p.folders for p in parts)
     with pytest.raises(FileNotFoundError):
         read(site / "none")
+    assert sorted(read(site / "b" / "f.txt")[0]) == ["."]
     os.mkdir(site / "empty")
     assert read(site / "empty")[0] == {}
 
 
+def test_names_are_taken_as_they_are(spark, tmp_path):
+    (tmp_path / "a b#%41").mkdir()
+    (tmp_path / "a b#%41" / "c d%20.php").write_text("<?php 2;")
+    found = tree.read_tree(spark, f"{tmp_path}/a b#%41").collect()
+    assert [(r["path"], r["size"]) for r in found] == [(f"{tmp_path}/a b#%41/c d%20.php", 8)]
+    manifest = spark.createDataFrame([(found[0]["path"], 1), (None, 1), ("nowhere://x", 2)], "path string, mtime long")
+    assert sorted(((r["mtime"], r["size"], r["is_readable"]) for r in sources.read_manifest(manifest).collect()), key=str) == [(1, 8, True), (1, None, False), (2, None, False)]
+
+
 def test_tree_in_spark(spark, site):
     found = tree.read_tree(spark, f"file://{site}").where("is_script and size < 100")
     plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
