@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,16 @@ ANSWERS = "block long, part int, level int, main binary, deleted_counts binary,
 SCORES = "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+def tight(data: bytes) -> bytes:
+    """What travels or is kept of a block: word numbers and counts are far from evenly spread, which Spark's own
+    codecs don't make use of."""
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def loose(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 class _Numbers(dict):
     """Gives each new key the next number."""
 
@@ -66,7 +77,7 @@ class _Block:
         planes = stream.view(np.uint8).reshape(-1, 4).T.tobytes()  # bytes of equal weight together, which packs better
         lengths = np.array(self.lengths, "<u4").tobytes()
         cols = [pa.array([block], pa.int64()), pa.array([deleted]), pa.array([self.ids], pa.list_(pa.int64()))]
-        cols += [pa.array([x], pa.binary()) for x in (bytes(self.kinds), lengths, planes, BETWEEN.join(self.numbers))]
+        cols += [pa.array([x], pa.binary()) for x in (bytes(self.kinds), tight(lengths), tight(planes), tight(BETWEEN.join(self.numbers)))]
         return pa.RecordBatch.from_arrays(cols, ["block", "deleted", "ids", "kinds", "lengths", "stream", "words"])
 
 
@@ -93,11 +104,11 @@ def block_documents(docs: DataFrame, block_tokens: int) -> DataFrame:
 
 def packed_keys(keys: np.ndarray) -> bytes:
     """Rising keys by their gaps, bytes of equal weight together: the upper ones are 0 and pack away."""
-    return np.diff(keys.astype("<u8"), prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return tight(np.diff(keys.astype("<u8"), prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
 def unpacked_keys(data: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(loose(data), np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
 
 
 class Grams:
@@ -107,9 +118,9 @@ class Grams:
     """
 
     def __init__(self, row: dict, order: int):
-        self.words = row["words"].split(BETWEEN)
-        kinds, lengths = np.frombuffer(row["kinds"], np.uint8), np.frombuffer(row["lengths"], "<u4").astype(np.int64)
-        stream = np.ascontiguousarray(np.frombuffer(row["stream"], np.uint8).reshape(4, -1).T).view("<u4").ravel()
+        self.words = loose(row["words"]).split(BETWEEN)
+        kinds, lengths = np.frombuffer(row["kinds"], np.uint8), np.frombuffer(loose(row["lengths"]), "<u4").astype(np.int64)
+        stream = np.ascontiguousarray(np.frombuffer(loose(row["stream"]), np.uint8).reshape(4, -1).T).view("<u4").ravel()
         pad = order - 1
         full = lengths + pad + 1
         first = np.cumsum(full) - full
@@ -161,10 +172,10 @@ def ask_counts(blocks: DataFrame, order: int, parts: int) -> DataFrame:
                     keys = [grams.words[k] for k in by_part.tolist()] if level == 0 else grams.keys[level][by_part]
                     some = [p for p in range(parts) if begin[p] < begin[p + 1]]
                     cut = [slice(begin[p], begin[p + 1]) for p in some]
-                    packed = [BETWEEN.join(keys[s]) if level == 0 else packed_keys(keys[s]) for s in cut]
+                    packed = [tight(BETWEEN.join(keys[s])) if level == 0 else packed_keys(keys[s]) for s in cut]
                     n = len(some)
                     cols = [pa.array(some, pa.int32()), pa.array([row["block"]] * n, pa.int64()), pa.array([level] * n, pa.int32()), pa.array([row["deleted"]] * n, pa.bool_())]
-                    cols += [pa.array(packed, pa.binary()), pa.array([counts[s].tobytes() for s in cut], pa.binary())]
+                    cols += [pa.array(packed, pa.binary()), pa.array([tight(counts[s].tobytes()) for s in cut], pa.binary())]
                     yield pa.RecordBatch.from_arrays(cols, ["part", "block", "level", "deleted", "grams", "counts"])
 
     return blocks.select("block", "deleted", "kinds", "lengths", "stream", "words").mapInArrow(run, "part int, block long, level int, deleted boolean, grams binary, counts binary")
@@ -179,18 +190,18 @@ def answer_counts(asked: DataFrame) -> DataFrame:
         part, levels = key[0].as_py(), {}
         for batch in batches:
             for block, level, deleted, grams, counts in zip(*(batch.column(c).to_pylist() for c in ("block", "level", "deleted", "grams", "counts")), strict=True):
-                levels.setdefault(level, []).append((block, deleted, grams, np.frombuffer(counts, "<u4")))
+                levels.setdefault(level, []).append((block, deleted, grams, np.frombuffer(loose(counts), "<u4")))
         for level, rows in levels.items():
             sizes = np.array([len(r[3]) for r in rows])
             if level == 0:
                 numbers = _Numbers()
-                at = np.fromiter((numbers[w] for r in rows for w in r[2].split(BETWEEN)), np.int64, int(sizes.sum()))
+                at = np.fromiter((numbers[w] for r in rows for w in loose(r[2]).split(BETWEEN)), np.int64, int(sizes.sum()))
             else:
                 keys, at = np.unique(np.concatenate([unpacked_keys(r[2]) for r in rows]), return_inverse=True)
             counts, gone = np.concatenate([r[3] for r in rows]), np.repeat([r[1] for r in rows], sizes)
             total = [np.bincount(at, counts * (gone == d)).astype(np.int64) for d in (False, True)]
             ends = np.cumsum(sizes)
-            told = [[t[at[e - n : e]].astype("<u4").tobytes() for n, e in zip(sizes, ends, strict=True)] for t in total]
+            told = [[tight(t[at[e - n : e]].astype("<u4").tobytes()) for n, e in zip(sizes, ends, strict=True)] for t in total]
             n = len(rows)
             cols = [pa.array([r[0] for r in rows], pa.int64()), pa.array([part] * n, pa.int32()), pa.array([level] * n, pa.int32()), *(pa.array(t, pa.binary()) for t in told), pa.array([None] * n, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, ["block", "part", "level", "main", "deleted_counts", "sums"])
@@ -228,7 +239,7 @@ def gathered(batches: Iterator[pa.RecordBatch], order: int, parts: int) -> tuple
         for p in range(parts):
             if begin[p] < begin[p + 1]:
                 for out, packed in zip(both, told[level, p], strict=True):
-                    out[by_part[begin[p] : begin[p + 1]]] = np.frombuffer(packed, "<u4")
+                    out[by_part[begin[p] : begin[p + 1]]] = np.frombuffer(loose(packed), "<u4")
         counts.append(both)
     return row, grams, counts
 
@@ -274,7 +285,7 @@ def learn_weights(places: DataFrame, order: int, n: int, v: int) -> list[np.ndar
             sums = np.zeros(BUCKETS * RATIOS, np.int64)
             for batch in batches:
                 for i in range(batch.num_rows):
-                    at = [np.frombuffer(batch.column(c)[i].as_py(), "<u4").astype(np.int64) for c in range(batch.num_columns)]
+                    at = [np.frombuffer(loose(batch.column(c)[i].as_py()), "<u4").astype(np.int64) for c in range(batch.num_columns)]
                     context = np.full(len(at[0]), n) if level == 0 else at[2 * level - 1]
                     ratio = at[2 * level] / np.maximum(context, 1) / estimates(at, n, v, weights)
                     fine = np.floor((np.log2(np.maximum(ratio, 1e-300)) + OCTAVES) * PER_OCTAVE)
@@ -299,8 +310,8 @@ def score_texts(
     text_col: str = "text",
     order: int = 3,
     deleted_part: int = 10,
-    block_tokens: int = 1 << 19,
-    part_bytes: int = 16_000_000,
+    block_tokens: int = 3 << 18,
+    part_bytes: int = 8_000_000,
 ) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -321,7 +332,7 @@ def score_texts(
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), kind.alias("kind"))
     blocks = work.table("blocks", block_documents(rows, block_tokens))
     size = blocks.agg(F.sum(F.octet_length("stream")).alias("n")).first()["n"] or 0
-    parts = max(64, -(-size // part_bytes))
+    parts = max(64, -(-size // part_bytes))  # what a part gathers grows with the packed streams of 8 MB
     answers = work.table("answers", answer_counts(ask_counts(blocks, order, parts)))
     sums = answers.where("sums is not null").agg(*(F.coalesce(F.sum(F.col("sums")[i]), F.lit(0)).alias(c) for i, c in enumerate(("n_main", "v_main", "n", "v")))).first()
     answers = answers.where("block is not null")
@@ -334,7 +345,7 @@ def score_texts(
             if level:
                 cols.append(counts[level - 1][0][grams.at[level - 1][grams.before[at]]])
             cols.append(counts[level][0][grams.at[level][at]])
-        yield pa.RecordBatch.from_arrays([pa.array([c.astype("<u4").tobytes()], pa.binary()) for c in cols], [f"c{i}" for i in range(len(cols))])
+        yield pa.RecordBatch.from_arrays([pa.array([tight(c.astype("<u4").tobytes())], pa.binary()) for c in cols], [f"c{i}" for i in range(len(cols))])
 
     gone = blocks.where("deleted")
     schema = ", ".join(f"c{i} binary" for i in range(2 * order - 1))
