@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -208,17 +209,16 @@ def common_runs(pages: list[tuple[np.ndarray, np.ndarray]], least: int, share: f
     return runs[enough], total[enough]
 
 
-def kept_text(blocks: list[tuple[str, bool, bool]], common: np.ndarray, firm: np.ndarray, least: int) -> str:
-    """The unmarked blocks without the ``common`` runs, or inside an article container the ``firm`` ones. A block of
+def kept_text(texts: list[str], inside: list[bool], common: np.ndarray, firm: np.ndarray, least: int) -> str:
+    """The unmarked blocks (``inside`` tells which stand in an article container) without the ``common`` runs, or inside an article container the ``firm`` ones. A block of
     which these are less than half stays whole, and is the page's own. A page that has no block of its own is one
     of many near copies rather than an article among menus, and stays whole."""
-    texts = [t for t, _, side in blocks if not side]
     if not texts or not len(common):
         return "\n\n".join(texts)
     codes, lengths = block_codes(texts, least)
     hashes, within = window_hashes(codes, lengths, least)
-    inside = np.repeat([c for _, c, side in blocks if not side], lengths)[: len(hashes)]
-    covered = np.convolve(within & np.where(inside, np.isin(hashes, firm), np.isin(hashes, common)), np.ones(least, int)) > 0
+    held = np.repeat(inside, lengths)[: len(hashes)]
+    covered = np.convolve(within & np.where(held, np.isin(hashes, firm), np.isin(hashes, common)), np.ones(least, int)) > 0
     kept, own_blocks, begin = [], 0, 0
     for text, end in zip(texts, np.cumsum(lengths).tolist(), strict=True):
         tokens = text.split(" ")
@@ -232,6 +232,35 @@ def kept_text(blocks: list[tuple[str, bool, bool]], common: np.ndarray, firm: np
     return "\n\n".join(t for t in (kept if own_blocks else texts) if t)
 
 
+class HostRuns:
+    """Lists of runs by host, for tasks that go through pages. Up to ``most`` runs in all they are broadcast, once
+    per worker; beyond that they are joined to the pages, by the host."""
+
+    def __init__(self, table: DataFrame, names: tuple[str, ...], most: int):
+        self.names, self.table, self.held = names, table, None
+        n_runs = table.agg(F.sum(sum(F.size(n) for n in names))).first()[0] or 0
+        if n_runs <= most:
+            found = table.toArrow()
+            lists = [[np.array(x.as_py(), np.int64) for x in found.column(n)] for n in names]
+            self.held = table.sparkSession.sparkContext.broadcast(dict(zip(found.column("host").to_pylist(), zip(*lists, strict=True), strict=True)))
+
+    def __getstate__(self) -> dict:
+        return {"names": self.names, "held": self.held}
+
+    def beside(self, pages: DataFrame) -> DataFrame:
+        return pages.join(self.table.select("host", *self.names), "host", "left") if self.held is None else pages
+
+    def of(self, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        """The lists of each row's host, empty where it has none."""
+        if self.held is None:
+            for row in zip(*(batch.column(n) for n in self.names), strict=True):
+                yield tuple(np.array(x.as_py() or [], np.int64) for x in row)
+            return
+        none = (np.zeros(0, np.int64),) * len(self.names)
+        for host in batch.column("host").to_pylist():
+            yield self.held.value.get(host, none)
+
+
 def host_of(url: str) -> F.Column:
     return F.translate(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"(?s)^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -262,34 +291,37 @@ def extract_text(
     counted on all pages of the host, so the shards do not change the result. Pages without a host
     share the empty one. A null html is empty. Repeated rows give repeated rows, and count as one
     page, as do pages of a host with equal html. Other columns are ignored; no rows give no rows.
+    The runs of all hosts are broadcast up to ten times ``broadcast_rows``, and joined beyond that.
     """
     work = Scratch(spark, "html-text")
+    kind = pages.schema[id_col].dataType.simpleString()
     read = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(url_col).alias("host"))
-    sizes = work.table("sizes", read.groupBy("host").agg(F.sum(F.length("html")).alias("chars")))
+    read = read.withColumn("page", F.unhex(F.md5(F.col("html").cast("binary"))))
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            fresh = []
+            for key in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                fresh.append(key[1] is not None and key not in seen)  # copies within the task
+                seen.add(key)
+            found = [[(t, c) for t, c, side in blocks_of(p.as_py()) if not side] for p in batch.column(2)]
+            texts, inside = pa.array([[t for t, _ in f] for f in found], pa.list_(pa.string())), pa.array([[c for _, c in f] for f in found], pa.list_(pa.bool_()))
+            chars = pc.utf8_length(batch.column(2)).cast(pa.int64())
+            arrays = [*(batch.column(i) for i in (0, 1, 3, 4)), chars, pa.array(fresh, pa.bool_()), texts, inside]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "url", "host", "page", "chars", "fresh", "blocks", "inside"])
+
+    # the html is read and parsed once; all that follows reads the unmarked blocks
+    schema = f"id {kind}, url string, host string, page binary, chars long, fresh boolean, blocks array<string>, inside array<boolean>"
+    parsed = work.table("blocks", read.mapInArrow(parse, schema), compression="zstd")
+    sizes = work.table("sizes", parsed.groupBy("host").agg(F.sum("chars").alias("chars")))
     large = sizes.where(F.col("chars") > shard_chars).select("host", F.ceil(F.col("chars") / shard_chars).alias("shards"))
     n_large, total_chars = large.count(), sizes.agg(F.sum("chars")).first()[0] or 0
 
     def small(df: DataFrame, rows: int) -> DataFrame:
         return F.broadcast(df) if rows <= broadcast_rows else df
 
-    kind = pages.schema[id_col].dataType.simpleString()
-    digest = F.unhex(F.md5(F.col("html").cast("binary")))
-    dealt = read.where("html is not null").join(small(large, n_large), "host", "left").select("host", digest.alias("page"), "html", "shards")
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
-        for batch in batches:
-            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            fresh = []
-            for i, k in enumerate(keys):  # copies within the task
-                if k not in seen:
-                    seen.add(k)
-                    fresh.append(i)
-            one = batch.take(pa.array(fresh, pa.int64()))
-            blocks = [[t for t, _, side in blocks_of(p.as_py()) if not side] for p in one.column(2)]
-            yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), one.column(3), pa.array(blocks, pa.list_(pa.string()))], ["host", "page", "shards", "blocks"])
-
-    parsed = dealt.mapInArrow(parse, "host string, page binary, shards long, blocks array<string>")
+    distinct = parsed.where("fresh").select("host", "page", "blocks").join(small(large, n_large), "host", "left")
     shard = F.pmod(F.xxhash64("page"), F.coalesce("shards", F.lit(1)))
 
     def propose(table: pa.Table) -> pa.Table:
@@ -301,39 +333,38 @@ def extract_text(
         return pa.table([pa.array([table.column("host")[0].as_py()] * (len(runs) + 1), pa.string()), pa.array([None, *runs.tolist()], pa.int64()), pa.array([len(distinct), *count.tolist()], pa.int64())], ["host", "run", "pages"])
 
     # twice as many tasks as shards, so that few of these meet in one
-    dealt_out = parsed.withColumn("shard", shard).repartition(2 * -(-total_chars // shard_chars) or 1, "host", "shard")
+    dealt_out = distinct.withColumn("shard", shard).repartition(2 * -(-total_chars // shard_chars) or 1, "host", "shard")
     proposed = work.table("proposed", dealt_out.groupBy("host", "shard").applyInArrow(propose, "host string, run long, pages long"))
     total = proposed.where("run is null").groupBy("host").agg(F.sum("pages").alias("total"))
     counted = proposed.where("run is not null")
     if n_large:
         # a host of several shards: count what any of them proposed on all its pages
         several = counted.join(small(large, n_large), "host", "left_semi").groupBy("host").agg(F.collect_set("run").alias("runs"))
-        several = work.table("several", several)
-        n_several = several.agg(F.sum(F.size("runs"))).first()[0] or 0
+        several = HostRuns(work.table("several", several), ("runs",), 10 * broadcast_rows)
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 hits = []
-                for blocks, runs in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                    hashes, within = window_hashes(*block_codes(blocks, least_tokens), least_tokens)
-                    hits.append(np.intersect1d(hashes[within], np.array(runs, np.int64)).tolist())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, pa.list_(pa.int64()))], ["host", "page", "hits"])
+                for blocks, (runs,) in zip(batch.column("blocks"), several.of(batch), strict=True):
+                    hashes, within = window_hashes(*block_codes(blocks.as_py(), least_tokens), least_tokens)
+                    hits.append(np.intersect1d(hashes[within], runs).tolist())
+                yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("page"), pa.array(hits, pa.list_(pa.int64()))], ["host", "page", "hits"])
 
-        again = dealt.join(small(large.select("host"), n_large), "host", "left_semi").mapInArrow(parse, "host string, page binary, shards long, blocks array<string>")
-        hits = again.join(small(several, n_several // 10), "host").select("host", "page", "blocks", "runs").mapInArrow(count, "host string, page binary, hits array<long>")
+        again = several.beside(distinct.where("shards is not null").select("host", "page", "blocks"))
+        hits = again.mapInArrow(count, "host string, page binary, hits array<long>")
         exact = hits.dropDuplicates(["host", "page"]).select("host", F.explode("hits").alias("run")).groupBy("host", "run").agg(F.count("*").alias("pages"))
         counted = counted.join(small(large, n_large), "host", "left_anti").unionByName(exact)
     common = counted.join(total, "host").where((F.col("pages") >= least_pages) & (F.col("pages") >= share * F.col("total")))
     firm = F.collect_list(F.when(F.col("pages") >= firm_share * F.col("total"), F.col("run")))
-    common = work.table("common", common.groupBy("host").agg(F.collect_list("run").alias("runs"), firm.alias("firm")))
-    n_common = common.agg(F.sum(F.size("runs"))).first()[0] or 0
+    common = common.groupBy("host").agg(F.collect_list("run").alias("runs"), firm.alias("firm"))
+    common = HostRuns(work.table("common", common), ("runs", "firm"), 10 * broadcast_rows)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for page, runs, firm in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
-                texts.append(kept_text(blocks_of(page.as_py()), *(np.array(x.as_py() or [], np.int64) for x in (runs, firm)), least_tokens))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], [id_col, url_col, "text"])
+            for blocks, inside, (runs, firm) in zip(batch.column("blocks"), batch.column("inside"), common.of(batch), strict=True):
+                texts.append(kept_text(blocks.as_py(), inside.as_py(), runs, firm, least_tokens))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string())], [id_col, url_col, "text"])
 
-    marked = read.join(small(common, n_common // 10), "host", "left").select("id", "url", "html", "runs", "firm")
-    return marked.mapInArrow(clean, f"`{id_col}` {kind}, `{url_col}` string, text string")
+    rows = common.beside(parsed.select("id", "url", "host", "blocks", "inside"))
+    return rows.mapInArrow(clean, f"`{id_col}` {kind}, `{url_col}` string, text string")

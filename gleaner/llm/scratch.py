@@ -45,9 +45,9 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def table(self, name: str, df: DataFrame) -> DataFrame:
+    def table(self, name: str, df: DataFrame, compression: str | None = None) -> DataFrame:
         """Write ``df`` as Parquet and read it back."""
-        df.write.parquet(self.path(name))
+        df.write.parquet(self.path(name), compression=compression)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def _delete(self, path: str) -> None:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.scratch import bounded_batches
+from gleaner.llm.scratch import Scratch, bounded_batches
 
 # Fixed values of the format.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -65,13 +65,15 @@ def write_archives(
     html_col: str = "html",
     least_bytes: int = 100,
     file_bytes: int = 1 << 30,
+    broadcast_rows: int = 250_000,
 ) -> DataFrame:
     """Write a record per row of ``pages`` to files below ``folder`` and return the index.
 
     The payload is the html in UTF-8 (null: empty). Of records with equal payloads of at least
     ``least_bytes`` the one with the smallest id is a response and the others revisit it; smaller
     payloads are always responses. Rows with a null id are responses and are never revisited. Rows
-    that repeat an id and payload are treated alike. Other columns are ignored; no rows, no index
+    that repeat an id and payload are treated alike. The payloads are written where they lie, without
+    a shuffle, as long as there are no more than ``broadcast_rows`` revisits to know of. Other columns are ignored; no rows, no index
     rows. Files are named by the attempt that wrote them and count only once the index names them.
     """
     bounded_batches(spark)
@@ -80,9 +82,10 @@ def write_archives(
     light = pages.select(F.col(id_col).alias("at"), digest.alias("sha"), F.octet_length(payload).alias("bytes")).where(F.col("at").isNotNull() & (F.col("bytes") >= least_bytes))
     first = light.groupBy("sha").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1")
     # only pages that revisit another get a row here
-    revisits = light.join(first, "sha").where("at <> first").select("at", "sha", "first").distinct()
+    revisits = Scratch(spark, "warc-revisits").table("0", light.join(first, "sha").where("at <> first").select("at", "sha", "first").distinct())
+    held = F.broadcast(revisits) if revisits.count() <= broadcast_rows else revisits.hint("shuffle_hash")
     full = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("html"), digest.alias("digest"))
-    dealt = full.join(revisits.hint("shuffle_hash"), (F.col("id") == F.col("at")) & (F.col("digest") == F.col("sha")), "left").select("id", "url", "html", "digest", "first")
+    dealt = full.join(held, (F.col("id") == F.col("at")) & (F.col("digest") == F.col("sha")), "left").select("id", "url", "html", "digest", "first")
     kind = pages.schema[id_col].dataType.simpleString()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
