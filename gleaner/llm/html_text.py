@@ -171,6 +171,14 @@ def block_codes(blocks: list[str], least: int) -> tuple[np.ndarray, np.ndarray]:
     return codes, np.array([max(least, len(s)) for s in streams], np.int64)
 
 
+def page_codes(pages: list[list[str]], least: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``block_codes`` of each of these pages, made at once."""
+    codes, lengths = block_codes([b for blocks in pages for b in blocks], least)
+    begin = np.concatenate([[0], np.cumsum([len(blocks) for blocks in pages])]).astype(np.int64)
+    at = np.concatenate([[0], np.cumsum(lengths)])[begin]
+    return [(codes[at[i] : at[i + 1]], lengths[begin[i] : begin[i + 1]]) for i in range(len(pages))]
+
+
 def window_hashes(codes: np.ndarray, lengths: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """A number for the run of ``least`` tokens from each place on, and whether it lies within a block."""
     out = np.zeros(max(0, len(codes) - least + 1), np.uint64)
@@ -324,17 +332,48 @@ def extract_text(
     distinct = parsed.where("fresh").select("host", "page", "blocks").join(small(large, n_large), "host", "left")
     shard = F.pmod(F.xxhash64("page"), F.coalesce("shards", F.lit(1)))
 
+    fields = pa.schema([("page", pa.binary()), ("blocks", pa.list_(pa.string()))])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pages of one shard travel together, compressed: one row for each shard in some MB of pages."""
+        codec = pa.Codec("zstd", 3)
+
+        def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            keys = list(zip(table.column("host").to_pylist(), table.column("shard").to_pylist(), strict=True))
+            by: dict[tuple, list[int]] = {}
+            for i, key in enumerate(keys):
+                by.setdefault(key, []).append(i)
+            data, sizes = [], []
+            for places in by.values():
+                part = table.take(pa.array(places, pa.int64())).combine_chunks().to_batches()[0]
+                raw = pa.RecordBatch.from_arrays([part.column("page"), part.column("blocks").cast(fields.field("blocks").type)], schema=fields).serialize()
+                data.append(codec.compress(raw, asbytes=True))
+                sizes.append(len(raw))
+            arrays = [pa.array([h for h, _ in by], pa.string()), pa.array([n for _, n in by], pa.int64()), pa.array(sizes, pa.int64()), pa.array(data, pa.binary())]
+            return pa.RecordBatch.from_arrays(arrays, ["host", "shard", "size", "data"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.nbytes for b in held) > 16 << 20:
+                yield packed(held)
+                held = []
+        if held:
+            yield packed(held)
+
     def propose(table: pa.Table) -> pa.Table:
-        distinct = {}
-        for key, blocks in zip(table.column("page").to_pylist(), table.column("blocks"), strict=True):
-            if key not in distinct:
-                distinct[key] = block_codes(blocks.as_py(), least_tokens)
-        runs, count = common_runs(list(distinct.values()), least_tokens, share)
-        return pa.table([pa.array([table.column("host")[0].as_py()] * (len(runs) + 1), pa.string()), pa.array([None, *runs.tolist()], pa.int64()), pa.array([len(distinct), *count.tolist()], pa.int64())], ["host", "run", "pages"])
+        codec, pages = pa.Codec("zstd"), {}
+        for size, data in zip(table.column("size").to_pylist(), table.column("data").to_pylist(), strict=True):
+            part = pa.ipc.read_record_batch(codec.decompress(data, size), fields)
+            pages.update(zip(part.column("page").to_pylist(), part.column("blocks").to_pylist(), strict=True))
+        runs, count = common_runs(page_codes(list(pages.values()), least_tokens), least_tokens, share)
+        return pa.table([pa.array([table.column("host")[0].as_py()] * (len(runs) + 1), pa.string()), pa.array([None, *runs.tolist()], pa.int64()), pa.array([len(pages), *count.tolist()], pa.int64())], ["host", "run", "pages"])
 
     # twice as many tasks as shards, so that few of these meet in one
-    dealt_out = distinct.withColumn("shard", shard).repartition(2 * -(-total_chars // shard_chars) or 1, "host", "shard")
-    proposed = work.table("proposed", dealt_out.groupBy("host", "shard").applyInArrow(propose, "host string, run long, pages long"))
+    dealt = distinct.select("host", shard.cast("long").alias("shard"), "page", "blocks").mapInArrow(pack, "host string, shard long, size long, data binary")
+    dealt = dealt.repartition(2 * -(-total_chars // shard_chars) or 1, "host", "shard")
+    proposed = work.table("proposed", dealt.groupBy("host", "shard").applyInArrow(propose, "host string, run long, pages long"))
     total = proposed.where("run is null").groupBy("host").agg(F.sum("pages").alias("total"))
     counted = proposed.where("run is not null")
     if n_large:
@@ -345,9 +384,10 @@ def extract_text(
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 hits = []
-                for blocks, (runs,) in zip(batch.column("blocks"), several.of(batch), strict=True):
-                    hashes, within = window_hashes(*block_codes(blocks.as_py(), least_tokens), least_tokens)
-                    hits.append(np.intersect1d(hashes[within], runs).tolist())
+                coded = page_codes(batch.column("blocks").to_pylist(), least_tokens)
+                for (codes, lengths), (runs,) in zip(coded, several.of(batch), strict=True):
+                    hashes, within = window_hashes(codes, lengths, least_tokens)
+                    hits.append(np.unique(hashes[within & np.isin(hashes, runs)]).tolist())
                 yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("page"), pa.array(hits, pa.list_(pa.int64()))], ["host", "page", "hits"])
 
         again = several.beside(distinct.where("shards is not null").select("host", "page", "blocks"))
