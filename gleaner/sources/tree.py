@@ -39,6 +39,10 @@ TESTS: dict[type, Callable[[object, object], bool]] = {
 }
 LISTED = {"path", "extension", "is_script", "mtime", "size"}
 Entry = tuple[str, int, int]  # path, mtime, size
+#: So many directories are listed between two looks at the bound.
+AT_ONCE = 64
+#: So many directories a writing task remembers as made.
+MADE = 10_000
 
 
 def holds(f: ds.Filter, row: dict[str, object]) -> bool:
@@ -79,8 +83,9 @@ class TreeReader(ds.DataSourceReader):
         self.uri = options["path"]
         self.script = re.compile("(?:" + options.get("patterns", "|".join(N.PATTERNS)) + ")", re.I)
         self.part_bytes = int(options.get("partitionbytes", 128 << 20))
-        self.open_bytes = int(options.get("openbytes", 1 << 20))
+        self.open_bytes = int(options.get("openbytes", 256 << 10))
         self.planned = int(options.get("plannedfiles", 200_000))
+        self.folder_parts = int(options.get("folderpartitions", 256))
         self.largest = int(options.get("maxfilebytes", 256 << 20))
         self.batch_bytes = int(options.get("batchbytes", 32 << 20))
         self.filters: list[ds.Filter] = []
@@ -116,7 +121,8 @@ class TreeReader(ds.DataSourceReader):
         return all(holds(f, row) for f in self.filters)
 
     def partitions(self) -> list[Part]:
-        """Level by level until the bound; then files by size, the largest first, and single directories."""
+        """Level by level, some directories at a time, until the bound; then files by size, the largest first, and the
+        directories that are left, dealt over a bounded number of partitions."""
         system, root = self.storage()
         top = system.get_file_info(root)
         if top.type == storage.FileType.NotFound:
@@ -124,10 +130,14 @@ class TreeReader(ds.DataSourceReader):
         single = (root, int((top.mtime_ns or 0) // 10**9), int(top.size or 0))
         files, level = ([single] if self.wanted(single) else [], []) if top.type == storage.FileType.File else ([], [root])
         with ThreadPoolExecutor(16) as pool:
-            while level and len(files) + len(level) < self.planned:
-                found = list(pool.map(lambda folder: self.listed(system, folder), level))
-                files += [e for own, _ in found for e in own]
-                level = [folder for _, below in found for folder in below]
+            below: list[str] = []
+            while (level or below) and len(files) + len(level) + len(below) < self.planned:
+                level, below = level or below, below if level else []
+                some, level = level[:AT_ONCE], level[AT_ONCE:]
+                for own, folders in pool.map(lambda folder: self.listed(system, folder), some):
+                    files += own
+                    below += folders
+            level += below
         parts, held, size = [], [], 0
         for e in sorted(files, key=lambda e: (-e[2], e[0])):
             if held and size + e[2] + self.open_bytes > self.part_bytes:
@@ -135,7 +145,8 @@ class TreeReader(ds.DataSourceReader):
                 held, size = [], 0
             held.append(e)
             size += e[2] + self.open_bytes
-        parts += [Part(held, [])] * bool(held) + [Part([], [folder]) for folder in level]
+        dealt = min(len(level), self.folder_parts)
+        parts += [Part(held, [])] * bool(held) + [Part([], level[k::dealt]) for k in range(dealt)]
         return parts or [Part([], [])]
 
     def entries(self, system: storage.FileSystem, part: Part) -> Iterator[Entry]:
@@ -196,7 +207,8 @@ def read_tree(spark: SparkSession, uri: str, **options: object) -> DataFrame:
     is_script whether it matches ``patterns`` (regular expressions joined by |) as a whole, letter case aside. A
     file that can't be opened, or is over ``maxFileBytes``, has null content, is_readable false and a reason in
     error. Links of a local storage are not followed. ``partitionBytes`` and ``openBytes`` (a file's own cost) size
-    the partitions, ``plannedFiles`` bounds what the driver lists. An empty tree gives no rows, a missing one an error.
+    the partitions, ``plannedFiles`` bounds what the driver lists, and the directories that it leaves are dealt over
+    ``folderPartitions`` at most. An empty tree gives no rows, a missing one an error.
 
     Filters reach the listing through ``spark.sql.python.filterPushdown.enabled``, which is switched on here.
     """
@@ -214,11 +226,16 @@ def write_tree(files: DataFrame, uri: str) -> None:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = located(uri)
-        done = 0
+        done, made = 0, set()
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
                 target = f"{root}/{path.as_py().lstrip('/')}"
-                system.create_dir(os.path.dirname(target), recursive=True)
+                folder = os.path.dirname(target)
+                if folder not in made:
+                    system.create_dir(folder, recursive=True)
+                    if len(made) == MADE:
+                        made.clear()
+                    made.add(folder)
                 with system.open_output_stream(target) as stream:
                     stream.write(content.as_py() or b"")
                 done += 1

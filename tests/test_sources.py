@@ -163,3 +163,22 @@ def test_scan_of_a_tree(spark, site, tmp_path):
     assert "(ECHO)" in next(r[0] for r in spark.read.text(f"file://{tmp_path}/own/report").collect() if "quoted" in r[0])
     scan.scan(spark, f"file://{site}", f"file://{tmp_path}/cli", black=f"file://{tmp_path}/black", profile="cli")
     assert any(r[0].endswith("evil.php (eval, base64_decode)") for r in spark.read.text(f"file://{tmp_path}/cli/report").collect())
+
+
+def test_many_directories_are_dealt_over_a_bounded_number_of_tasks(tmp_path):
+    for i in range(300):
+        (tmp_path / f"d{i % 3}" / f"e{i}").mkdir(parents=True)
+        (tmp_path / f"d{i % 3}" / f"e{i}" / ".htaccess").write_text("x")
+    rows, _, _, parts = read(tmp_path, plannedFiles=100)
+    assert len(rows) == 300 and sum(len(p.folders) for p in parts) == 300 and len(parts) <= 256
+    rows, _, _, parts = read(tmp_path, plannedFiles=100, folderPartitions=7)
+    assert len(rows) == 300 and [len(p.folders) for p in parts] == [43] * 6 + [42]
+
+
+def test_the_driver_stops_listing_within_a_level(tmp_path):
+    for i in range(200):
+        (tmp_path / f"d{i}").mkdir()
+        for k in range(10):
+            (tmp_path / f"d{i}" / f"{k}.php").write_text("x")
+    rows, _, _, parts = read(tmp_path, plannedFiles=300)
+    assert len(rows) == 2000 and 300 <= sum(len(p.files) for p in parts) <= 640 + 300
