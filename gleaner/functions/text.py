@@ -6,7 +6,8 @@ import json
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.lexer import scan
@@ -17,6 +18,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD_TOKEN = r"[$]?[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^ \t\n\x0B\f\rA-Za-z0-9_]"
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 SHORT_TAG = r"<\?([^=A-Za-z0-9_])"
+#: Rows and bytes of an Arrow batch of sources, where the session leaves Spark's default; sources lexed between two arrays.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
+LEXED_AT_ONCE = 32
 
 
 def ascii_lower(c: Column) -> Column:
@@ -52,15 +56,30 @@ def tokens(content: Column, mode: str = "words", naming: int = 8) -> Column:
 
 
 def lexer_tokens(source: Column, naming: int = 8) -> Column:
-    """Trimmed distinct tokens; a file's repeated ones don't leave the task."""
+    """Trimmed distinct tokens; a file's repeated ones don't leave the task. A worker holds an Arrow batch of sources,
+    which is small, and the tokens of a few of them as Python's strings."""
+    small_batches()
+    kind = pa.list_(pa.string())
 
-    @F.pandas_udf("array<string>")
-    def found(sources: pd.Series) -> pd.Series:
-        return sources.map(lambda s: None if s is None else list(dict.fromkeys(t.strip(" \t\n\r\0\x0b") for t in scan(s, naming))))
+    def lexed(source: str | None) -> list[str] | None:
+        return None if source is None else list(dict.fromkeys(t.strip(" \t\n\r\0\x0b") for t in scan(source, naming)))
+
+    @F.arrow_udf("array<string>")
+    def found(sources: pa.Array) -> pa.Array:
+        parts = [pa.array([lexed(s.as_py()) for s in sources.slice(i, LEXED_AT_ONCE)], kind) for i in range(0, len(sources), LEXED_AT_ONCE)]
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     return found(source)
 
 
+def small_batches() -> None:
+    """Keep the Arrow batches of the active session small, where it doesn't say otherwise."""
+    spark = SparkSession.getActiveSession()
+    for name, (default, value) in BATCH.items() if spark else ():
+        if spark.conf.get(name) == default:
+            spark.conf.set(name, value)
+
+
 def entropy(text: Column) -> Column:
     """Shannon entropy (base 2) of the characters of a string, 0 for an empty one."""
 

@@ -47,10 +47,11 @@ def match_needles(tokens: Column, needles: list[tuple[str, float | None]], emit:
 
 def _lowered(tokens: Column, names: list[str]) -> Column:
     """All tokens in lower case. If no needle has other signs than ASCII, one call of Spark's ``lower``
-    serves for all tokens of a file; of the signs that it makes ASCII only the Kelvin sign does so alone."""
-    if not all(n.isascii() and "\n" not in n for n in names):
+    serves for all tokens of a file; of the signs that it makes ASCII only the Kelvin sign does so alone. Tokens of
+    sources have no NUL, which stands between them; the lexer's have line ends."""
+    if not all(n.isascii() and "\0" not in n for n in names):
         return F.transform(tokens, ascii_lower)
-    return F.split(F.lower(F.replace(F.array_join(tokens, "\n"), F.lit("\u212a"), F.lit("?"))), "\n")
+    return F.split(F.lower(F.replace(F.array_join(tokens, "\0"), F.lit("\u212a"), F.lit("?"))), "\0")
 
 
 def match_needles_by_join(files: DataFrame, needles: DataFrame, key: str = "path") -> DataFrame:

@@ -190,3 +190,24 @@ def test_queries_match_sql(spark, name):
     want = con.execute(f"select {', '.join(got.columns)} from ({catalog.ORACLE_SQL[name]})").fetchall()
     clean = lambda rows: sorted(tuple(str(round(v, 5) + 0.0 if isinstance(v, float) else v) for v in r) for r in rows)
     assert clean(map(tuple, got.collect())) == clean(want)
+
+
+def test_sources_go_to_the_lexer_in_small_batches(spark):
+    from pyspark.sql import Row
+
+    names = list(text.BATCH)
+    kept = {n: spark.conf.get(n) for n in names}
+    for n in names:
+        spark.conf.unset(n)
+    try:
+        lines = "<?php echo 1; ?> a\neval\nb"
+        frame = spark.createDataFrame([Row(c=lines), Row(c=None), Row(c="")] * 50 + [Row(c="<?php eval(2);")], "c string").coalesce(1)
+        made = frame.select(text.tokens(F.col("c"), "lexer").alias("t"))
+        assert [spark.conf.get(n) for n in names] == ["1000", "8m"]
+        found = [r["t"] for r in made.collect()]
+        assert found == [["<?php", "echo", "1", ";", "?>", "a\neval\nb"], None, []] * 50 + [["<?php", "eval", "(", "2", ")", ";"]]
+        told = [r[0] for r in made.select(selection.match_needles(F.col("t"), WEB)).collect()]
+        assert told[0] == [] and told[-1] == ["eval"]  # a line of the page text is no token
+    finally:
+        for n in names:
+            spark.conf.set(n, kept[n])
