@@ -50,8 +50,12 @@ def _list(spark: SparkSession, sf_dir: str, every: int) -> DataFrame:
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return _lists_of(files_view(spark, sf_dir))
+
+
+def _lists_of(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both lists from one written table, so that the documents are hashed once for them."""
-    some = files_view(spark, sf_dir).where("doc_id % 17 = 0 or doc_id % 23 = 0")
+    some = files.where("doc_id % 17 = 0 or doc_id % 23 = 0")
     kept = written(some.select("doc_id", F.md5(F.col("source_text").cast("binary")).alias("md5")), "lists")
     return tuple(kept.where(F.col("doc_id") % n == 0).select("md5").distinct() for n in (17, 23))
 
@@ -589,12 +593,15 @@ _NESTED_STEPS = {
 def scored_by_nested_lexer(s: SparkSession, d: str) -> DataFrame:
     """Code in strings in code: what stands in quotes there doesn't match, what is code there does."""
     docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id", "source", "text")
-    rows = s.sql(FILES_SQL.format(S="string").replace("from documents", "from {docs}"), docs=docs).join(docs.select("doc_id", "text"), "doc_id")
+    files = _nested_files(s, spread(docs))
+    return _short(analysis.analyse(analysis.features(files, *_lists_of(_nested_files(s, docs)), mode="lexer")))
+
+
+def _nested_files(s: SparkSession, docs: DataFrame) -> DataFrame:
+    rows = s.sql(FILES_SQL.format(S="string").replace("is_readable\nfrom documents", "is_readable, text\nfrom {docs}"), docs=docs)
     snippet = F.element_at(F.array(*(F.lit(v) for v, _ in _NESTED.values())), (F.length("text") % 6 + 1).cast("int"))
-    rows = rows.withColumn("source_text", F.concat(F.lit("<?php "), snippet, F.lit(" ?> "), F.col("text")))
-    files = rows.withColumn("content", F.when(F.col("is_readable"), F.col("source_text"))).withColumn("size", F.octet_length("content").cast("long"))
-    lists = [files.where(F.col("doc_id") % n == 0).select(F.md5(F.col("source_text").cast("binary")).alias("md5")).distinct() for n in (17, 23)]
-    return _short(analysis.analyse(analysis.features(files, *lists, mode="lexer")))
+    rows = rows.withColumn("source_text", F.concat(F.lit("<?php "), snippet, F.lit(" ?> "), F.col("text"))).drop("text")
+    return rows.withColumn("content", F.when(F.col("is_readable"), F.col("source_text"))).withColumn("size", F.octet_length("content").cast("long"))
 
 
 OWN_NEEDLES = [(0, "echo", 42.0, True, False, False), (1, "Return", 3.5, False, False, True), (2, "base64_decode", 7.0, False, True, False), (3, "getenv", None, False, False, False), (4, "eval", 1.5, True, False, False)]

@@ -211,3 +211,13 @@ def test_sources_go_to_the_lexer_in_small_batches(spark):
     finally:
         for n in names:
             spark.conf.set(n, kept[n])
+
+
+def test_nested_sources_of_recurring_ids(spark, tmp_path):
+    rows = [(i % 20, f"text {i}", "en", "s", 6) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.QUERIES["scored_by_nested_lexer"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(f"select path, total_tokens from ({catalog.ORACLE_SQL['scored_by_nested_lexer']})").fetchall()
+    assert sorted(map(str, got.select("path", "total_tokens").collect())) == sorted(f"Row(path={p!r}, total_tokens={n})" for p, n in want)
