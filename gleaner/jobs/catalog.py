@@ -486,8 +486,10 @@ def blacklist_dropped(s: SparkSession, d: str) -> DataFrame:
 
 @_add("needles_matched_by_join", _with("matched", "select path, array_to_string(matched_tokens, '|') as matched from matched where len(matched_tokens) > 0"))
 def needles_matched_by_join(s: SparkSession, d: str) -> DataFrame:
-    rows = hashes.drop_whitelisted(_readable(s, d), _list(s, d, 17)).select("path", tokens(F.col("content")).alias("tokens"))
-    return selection.match_needles_by_join(rows, sources.needle_table(s)).select("path", F.array_join("matched_tokens", "|").alias("matched"))
+    """Files are matched where they lie; only what matched meets the list."""
+    rows = _readable(s, d).select(F.struct("path", "md5").alias("file"), tokens(F.col("content")).alias("tokens"))
+    found = selection.match_needles_by_join(rows, sources.needle_table(s), "file").select("file.*", "matched_tokens")
+    return hashes.drop_whitelisted(found, _list(s, d, 17)).select("path", F.array_join("matched_tokens", "|").alias("matched"))
 
 
 # -- sources and sinks: what was written from the tables is read back -----------------------------

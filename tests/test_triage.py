@@ -221,3 +221,16 @@ def test_nested_sources_of_recurring_ids(spark, tmp_path):
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     want = con.execute(f"select path, total_tokens from ({catalog.ORACLE_SQL['scored_by_nested_lexer']})").fetchall()
     assert sorted(map(str, got.select("path", "total_tokens").collect())) == sorted(f"Row(path={p!r}, total_tokens={n})" for p, n in want)
+
+
+def test_tokens_meet_the_needle_table_before_a_shuffle(spark):
+    frame = spark.createDataFrame([("/a", ["EVAL", "eval", "x", "Äb", "Key"]), ("/b", []), ("/c", None), ("/a", ["Echo"]), ("/d", ["none"])], "path string, tokens array<string>")
+    table = spark.createDataFrame([(2, "eval"), (0, "Eval"), (1, "ÄB"), (3, "key"), (4, "echo")], "pos int, token string")
+    found = selection.match_needles_by_join(frame, table)
+    assert {r["path"]: r["matched_tokens"] for r in found.collect()} == {"/a": ["Eval", "ÄB", "eval", "echo"]}
+    plan = spark._jvm.PythonSQLUtils.explainString(selection.match_needles_by_join(frame, F.broadcast(table))._jdf.queryExecution(), "formatted")
+    assert plan.count(") Exchange\n") == 1
+
+
+def test_files_matched_by_join_match_sql(spark):
+    test_queries_match_sql(spark, "needles_matched_by_join")
