@@ -6,7 +6,7 @@ by the same expressions; see ``files_view``.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +17,7 @@ from gleaner.functions.text import base_name, extension, json_leaf_paths, short_
 from gleaner.operators import analysis, dashboard, hash_store, hashes, moments, order_stats, report, selection
 from gleaner.sources import files as sources
 from gleaner.sources import tree
-from gleaner.sources.tables import shared_folder, spread, written
+from gleaner.sources.tables import move_files, shared_folder, spread, written
 from gleaner.streaming import stateful
 from gleaner.streaming.incremental import read_chunks, scan_in_chunks
 
@@ -682,22 +682,29 @@ def dense_files(s: SparkSession, d: str) -> DataFrame:
     return scored.join(dense, "path", "left").select("path", _r("entropy"), "threat_score", "is_anomaly", F.coalesce("obfuscated", F.lit(False)).alias("obfuscated"))
 
 
-@_add("chunked_scan", _with("scored", f"select {_SCORED} from scored"))
-def chunked_scan(s: SparkSession, d: str) -> DataFrame:
-    """The listing cut into chunks, newest first, that arrive one after another in the folder that the
-    stream reads; equal to the scan in one go."""
-    root, chunks = shared_folder(s, "scan"), 4
-    listed = files_view(s, d).drop("source_text")
+def _arriving(listed: DataFrame, root: str, chunks: int) -> Iterator[int]:
+    """Cut the listing into chunks by time, newest first, in one pass over it; each step puts the files of the next
+    chunk into ``root``/files. No steps without rows."""
     ends = listed.agg(F.min("mtime").alias("a"), F.max("mtime").alias("b")).first()
     if ends["a"] is None:
-        return _flat(analysis.analyse(_features(s, d)))
+        return
     width = (ends["b"] - ends["a"]) // chunks + 1
-    white, black, scan = _list(s, d, 17), _list(s, d, 23), None
+    chunk = F.floor((F.lit(ends["b"]) - F.col("mtime")) / width).alias("chunk")
+    listed.where("mtime is not null").select("*", chunk).write.partitionBy("chunk").parquet(f"{root}/listed")
     for k in range(chunks):
-        high = ends["b"] - k * width
-        listed.where(F.col("mtime").between(high - width + 1, high)).write.mode("append").parquet(f"{root}/files")
+        move_files(listed.sparkSession, f"{root}/listed/chunk={k}", f"{root}/files")
+        yield k
+
+
+@_add("chunked_scan", _with("scored", f"select {_SCORED} from scored"))
+def chunked_scan(s: SparkSession, d: str) -> DataFrame:
+    """The listing cut into chunks, newest first, that arrive one after another in the folder that the
+    stream reads; equal to the scan in one go."""
+    root, scan = shared_folder(s, "scan"), None
+    (white, black), listed = _lists(s, d), files_view(s, d).drop("source_text")
+    for _ in _arriving(listed, root, 4):
         scan = scan_in_chunks(s, read_chunks(s, f"{root}/files", listed.schema), white, black, f"{root}/out", f"{root}/checkpoint")
-    return _flat(scan)
+    return _flat(analysis.analyse(_features(s, d)) if scan is None else scan)
 
 
 @_add("stateful_scan", _with("scored", f"select {_SCORED} from scored"))

@@ -29,6 +29,19 @@ def drop_written(spark: SparkSession, since: int = 0) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def move_files(spark: SparkSession, folder: str, to: str) -> None:
+    """Move the data files of ``folder``, if it is there, into ``to``, which is made. Their names begin with the
+    folder's there, as one write gives its folders files of the same names."""
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    source, target = fs.Path(folder), fs.Path(to)
+    storage = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    storage.mkdirs(target)
+    for found in storage.listStatus(source) if storage.exists(source) else ():
+        name = found.getPath().getName()
+        if not name.startswith(("_", ".")) and not storage.rename(found.getPath(), fs.Path(target, f"{source.getName().replace('=', '-')}-{name}")):
+            raise OSError(f"can't move {found.getPath()} into {to}")
+
+
 def count_written() -> int:
     return len(_written)
 

@@ -220,3 +220,19 @@ def test_documents_are_read_once_for_features(spark):
 
     plan = plan_of(catalog.timeline(spark, "/root/testdata/sf0.001"))
     assert "documents.parquet" not in plan and len(re.findall(r"^\(\d+\) \w*Join", plan, re.M)) <= 4
+
+
+def test_the_listing_is_cut_in_one_pass(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    from gleaner.jobs import catalog
+
+    written, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **b: (written.append(path), write(self, path, *a, **b))[1])
+    listed = spark.createDataFrame([(f"/{i}", 100 + i if i < 9 else 140) for i in range(10)] + [("/none", None)], "path string, mtime long").repartition(3)
+    seen = []
+    for k in catalog._arriving(listed, f"file://{tmp_path}", 4):
+        names = [r["path"] for r in spark.read.schema(listed.schema).parquet(f"file://{tmp_path}/files").collect()]
+        seen.append((k, sorted(set(names) - {p for _, s in seen for p in s})))
+    assert seen == [(0, ["/9"]), (1, []), (2, ["/8"]), (3, [f"/{i}" for i in range(8)])] and len(written) == 1
+    assert list(catalog._arriving(listed.limit(0), f"file://{tmp_path}/empty", 4)) == []
