@@ -710,18 +710,12 @@ def chunked_scan(s: SparkSession, d: str) -> DataFrame:
 @_add("stateful_scan", _with("scored", f"select {_SCORED} from scored"))
 def stateful_scan(s: SparkSession, d: str) -> DataFrame:
     """The same chunks through one stateful stream, which goes on from its checkpoint after each."""
-    root, chunks = shared_folder(s, "stateful"), 2
+    root, chunk = shared_folder(s, "stateful"), None
     listed = files_view(s, d).drop("source_text")
-    ends = listed.agg(F.min("mtime").alias("a"), F.max("mtime").alias("b")).first()
-    if ends["a"] is None:
-        return _flat(analysis.analyse(_features(s, d)))
-    width = (ends["b"] - ends["a"]) // chunks + 1
     white, black = (written(x, "list") for x in _lists(s, d))
-    for k in range(chunks):
-        high = ends["b"] - k * width
-        listed.where(F.col("mtime").between(high - width + 1, high)).write.mode("append").parquet(f"{root}/files")
+    for chunk in _arriving(listed, root, 2):
         stateful.stream_marked(read_chunks(s, f"{root}/files", listed.schema), white, black, f"{root}/out", f"{root}/checkpoint").awaitTermination()
-    return _flat(analysis.analyse(s.read.parquet(f"{root}/out")))
+    return _flat(analysis.analyse(_features(s, d) if chunk is None else s.read.parquet(f"{root}/out")))
 
 
 @_add("event_percentiles_by_sketch", _order_sql("events", "value"))

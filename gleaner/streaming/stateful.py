@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
@@ -22,22 +21,24 @@ PACKED = "size long, mtime long, total_tokens long, matched_tokens array<string>
 
 class FirstSeen(StatefulProcessor):
     """Adds duplicate_of. Within a chunk the newest file of a hash comes first, then by path; over chunks the one
-    that was seen first. A chunk's rows of one hash are held, without content, as many as the chunk has at most."""
+    that was seen first. A chunk's rows of one hash are held, without content, as many as the chunk has at most. Most
+    hashes have one row, so rows come as they are, not as frames, and the state is asked once."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.first = handle.getValueState("first", "path string")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        held = pd.concat(list(rows), ignore_index=True)
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
         first = None
         if key[0] is not None:  # files without a hash are nobody's copies
-            if self.first.exists():
-                first = self.first.get()[0]
+            seen = self.first.get()
+            if seen is not None:
+                first = seen[0]
             else:
-                first = held.sort_values(["age", "path"], kind="stable")["path"].iloc[0]
+                rows = list(rows)
+                first = min((age, path is None, path) for _, path, age, _ in rows)[2]
                 self.first.update((first,))
-        target = [None if first is None or p == first else first for p in held["path"]]
-        yield pd.DataFrame({"md5": held["md5"], "path": held["path"], "duplicate_of": pd.Series(target, dtype=object), "packed": held["packed"]})
+        for md5, path, _, packed in rows:
+            yield Row(md5=md5, path=path, duplicate_of=None if first is None or path == first else first, packed=packed)
 
     def close(self) -> None:
         pass
@@ -57,7 +58,7 @@ def stream_marked(files: DataFrame, white: DataFrame, black: DataFrame, out: str
     names = [f.split()[0] for f in PACKED.split(", ")]
     age = (-F.coalesce("mtime", F.lit(0))).cast("long").alias("age")
     slim = rows.select("md5", "path", age, F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("packed"))
-    marked = slim.groupBy("md5").transformWithStateInPandas(FirstSeen(), MARKED, "Append", "None")
+    marked = slim.groupBy("md5").transformWithState(FirstSeen(), MARKED, "Append", "None")
     full = marked.withColumn("p", F.from_json("packed", PACKED)).select("md5", "path", "duplicate_of", "p.*")
     full = full.withColumns({"is_htaccess": is_htaccess(F.col("path")), "error": F.lit(None).cast("string"), "is_unreadable": F.lit(False)}).select(*FEATURES)
     every_row = full.unionByName(unreadable_features(kept))

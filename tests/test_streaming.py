@@ -236,3 +236,26 @@ def test_the_listing_is_cut_in_one_pass(spark, tmp_path, monkeypatch):
         seen.append((k, sorted(set(names) - {p for _, s in seen for p in s})))
     assert seen == [(0, ["/9"]), (1, []), (2, ["/8"]), (3, [f"/{i}" for i in range(8)])] and len(written) == 1
     assert list(catalog._arriving(listed.limit(0), f"file://{tmp_path}/empty", 4)) == []
+
+
+def test_a_hash_asks_the_state_once(spark):
+    from pyspark.sql import Row
+
+    class State:
+        value, calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls += 1
+            self.value = value
+
+    seen = stateful.FirstSeen()
+    seen.first = state = State()
+    rows = [Row(md5="m", path=p, age=a, packed=str(a)) for p, a in (("/b", 2), ("/c", 1), (None, 1), ("/a", 1))]
+    told = [(r["path"], r["duplicate_of"], r["packed"]) for r in seen.handleInputRows(("m",), iter(rows), None)]
+    assert told == [("/b", "/a", "2"), ("/c", "/a", "1"), (None, "/a", "1"), ("/a", None, "1")] and state.calls == 2
+    assert [r["duplicate_of"] for r in seen.handleInputRows(("m",), iter(rows[:1]), None)] == ["/a"] and state.calls == 3
+    assert [r["duplicate_of"] for r in seen.handleInputRows((None,), iter(rows[:1]), None)] == [None] and state.calls == 3
